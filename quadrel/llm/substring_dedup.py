@@ -4,9 +4,10 @@ Pass 1 counts every window of words in Count-min sketches, one for each piece of
 of cells seen once and at least twice, cut into shards; shards are merged by a shuffle, so no task holds all pieces.
 The merged sketch has a fixed largest size (`max_log2_cells`), which bounds what is broadcast; a window's cells say twice
 whenever the window occurs twice, so none is lost, and beyond that size only more windows are estimated repeated.
-Pass 2 groups exactly (by 128-bit hashes of the window's bytes) the windows estimated repeated. Within a batch of
+Pass 2 groups exactly (by 96 bits of a hash of the window's bytes) the windows estimated repeated. Within a batch of
 documents only the earliest occurrence can be the first of all, so the others are removed there and then, and each batch
-sends one row for each window at most, whatever the number of copies.
+sends one entry for each window at most, whatever the number of copies. Entries travel packed by bucket of their hash; the
+number of buckets follows the input, so that one bucket fits in a task.
 
 Null texts have no words. A null doc_id ranks before all others. Rows that share a doc_id count as one document: of equal
 positions none is earlier, and what is removed from one is removed from all. Empty tables give empty results; other columns are ignored.
@@ -19,15 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WindowHash, flat, key_of, text_batches
 
-#: Rows of the sketch, bits of a shard, and windows of which one piece of a sketch is made.
-DEPTH, SHARD_BITS, PIECE = 2, 21, 6_000_000
+#: Rows of the sketch, bits of a shard, windows of which one piece of a sketch is made, and windows of a bucket.
+DEPTH, SHARD_BITS, PIECE, BUCKET = 2, 21, 6_000_000, 1_000_000
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
@@ -35,21 +37,31 @@ def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
     return ((h * np.uint64(MULTIPLIERS[row])) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _gaps(cells: np.ndarray) -> bytes:
+    """Ascending cells as one byte a gap; 255 stands for 255 cells without a hit."""
+    gaps = np.diff(cells, prepend=-1)
+    skips = gaps // 255
+    out = np.full(len(gaps) + int(skips.sum()), 255, np.uint8)
+    out[np.arange(len(gaps)) + np.cumsum(skips)] = gaps % 255
+    return out.tobytes()
+
+
+def _hits(gaps: bytes) -> np.ndarray:
+    g = np.frombuffer(gaps, np.uint8)
+    return (np.cumsum(g, dtype=np.int64) - 1)[g < 255]
+
+
 def _piece(hashes: list[np.ndarray], bits: int) -> Iterator[tuple]:
-    h, shard_bits, packer = np.concatenate(hashes), min(bits, SHARD_BITS), zstandard.ZstdCompressor(level=1)
+    h, shard_bits = np.concatenate(hashes), min(bits, SHARD_BITS)
     for row in range(DEPTH):
         cells = np.sort(_cells(h, row, bits))
-        again = cells[1:][cells[1:] == cells[:-1]]
+        repeat = np.concatenate([[False], cells[1:] == cells[:-1]])
+        again, cells = np.unique(cells[repeat]), cells[~repeat]
         bounds = np.arange((1 << (bits - shard_bits)) + 1) << shard_bits
         at, at2 = np.searchsorted(cells, bounds), np.searchsorted(again, bounds)
         for shard in range(len(bounds) - 1):
-            blobs = []
-            for own in (cells[at[shard] : at[shard + 1]], again[at2[shard] : at2[shard + 1]]):
-                seen = np.zeros(1 << shard_bits, bool)
-                seen[own - bounds[shard]] = True
-                blobs.append(packer.compress(np.packbits(seen, bitorder="little").tobytes()))
             if at[shard] < at[shard + 1]:
-                yield row, shard, *blobs
+                yield row, shard, _gaps(cells[at[shard] : at[shard + 1]] - bounds[shard]), _gaps(again[at2[shard] : at2[shard + 1]] - bounds[shard])
 
 
 def _sketcher(width: int, bits: int):
@@ -77,32 +89,74 @@ def _sketcher(width: int, bits: int):
 SKETCH = pa.schema([("row", pa.int32()), ("shard", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces arrive sorted by row and shard; two bitmaps at a time are held."""
-    opener, packer, key = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3), None
-    once = twice = np.zeros(0, np.uint8)
+def _merger(bits: int):
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces arrive sorted by row and shard; two bitmaps at a time are held."""
+        packer, key, size = zstandard.ZstdCompressor(level=3), None, 1 << min(bits, SHARD_BITS)
+        once, twice = np.zeros(size, bool), np.zeros(size, bool)
+
+        def out() -> pa.RecordBatch:
+            blob = packer.compress(np.packbits(twice, bitorder="little").tobytes())
+            return pa.RecordBatch.from_pydict({"row": [key[0]], "shard": [key[1]], "twice": [blob]}, pa.schema([SKETCH.field(0), SKETCH.field(1), SKETCH.field(3)]))
+
+        for batch in batches:
+            for row, shard, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (row, shard):
+                    if key is not None:
+                        yield out()
+                    key = (row, shard)
+                    once[:] = twice[:] = False
+                hits = _hits(a)
+                twice[hits[once[hits]]] = True
+                twice[_hits(b)] = True
+                once[hits] = True
+        if key is not None:
+            yield out()
+
+    return merge
+
+
+#: A blob holds what a batch sends to a bucket of hashes; a row without one is a run of words to remove for sure.
+FOUND = pa.schema([("bucket", pa.int64()), ("blob", pa.binary()), ("doc", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+LATE = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+
+
+def _digests(words: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    digest = xxhash.xxh3_128_digest
+    return b"".join([digest(words[a:b])[:12] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"row": [key[0]], "shard": [key[1]], "twice": [packer.compress(twice.tobytes())]}, pa.schema([SKETCH.field(0), SKETCH.field(1), SKETCH.field(3)]))
 
-    for batch in batches:
-        for row, shard, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            a, b = (np.frombuffer(opener.decompress(x), np.uint8) for x in (a, b))
-            if key != (row, shard):
-                if key is not None:
-                    yield out()
-                key, once, twice = (row, shard), a.copy(), b.copy()
-            else:
-                twice |= b | (once & a)
-                once |= a
-    if key is not None:
-        yield out()
+def _pack(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, start: np.ndarray) -> bytes:
+    """Rows in order of document and start, so that these pack to little beside the hashes."""
+    places = np.diff(doc, prepend=0).tobytes() + np.diff(start, prepend=0).astype(np.int32).tobytes()
+    return len(doc).to_bytes(8, "little") + h1.tobytes() + h2.tobytes() + zstandard.ZstdCompressor(level=3).compress(places)
 
 
-FOUND = "h1 long, h2 long, doc long, start int, stop int, sure boolean"
+def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    n = int.from_bytes(blob[:8], "little")
+    places = zstandard.ZstdDecompressor().decompress(blob[8 + 12 * n :])
+    return np.frombuffer(blob, np.uint64, n, 8), np.frombuffer(blob, np.uint32, n, 8 + 8 * n), np.cumsum(np.frombuffer(places, np.int64, n)), np.cumsum(np.frombuffer(places, np.int32, n, 8 * n), dtype=np.int64)
 
 
-def _finder(width: int, bits: int, sketch):
+def _runs(doc: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """The words that windows cover, as runs per document."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + width)])
+    last = np.concatenate([np.flatnonzero(new)[1:], [len(doc)]]) - 1
+    return doc[new], start[new].astype(np.int32), (start[last] + width).astype(np.int32)
+
+
+def _first_of(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by hash and place, which rows in it head a group of equal hashes, and which come later than their head."""
+    order = np.lexsort((start, doc, h2, h1))
+    h1, h2, doc, start = h1[order], h2[order], doc[order], start[order]
+    head = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+    of = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+    return order, head, (doc != doc[of]) | (start != start[of])
+
+
+def _finder(width: int, bits: int, bucket_bits: int, sketch):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opener, shard_bits, hasher = zstandard.ZstdDecompressor(), min(bits, SHARD_BITS), WindowHash(width)
         rows = [np.zeros(1 << max(0, bits - 3), np.uint8) for _ in range(DEPTH)]
@@ -120,32 +174,57 @@ def _finder(width: int, bits: int, sketch):
                     maybe &= (bitmap[c >> 3] >> (c & 7).astype(np.uint8)) & 1 > 0
                 at = np.flatnonzero(maybe)
                 if len(at):
-                    digest = xxhash.xxh3_128_digest
-                    digests.append(b"".join([digest(words[a:b]) for a, b in zip(first[at].tolist(), ends[at + width - 1].tolist(), strict=True)]))
+                    digests.append(_digests(words, first[at], ends[at + width - 1]))
                     docs.append(np.full(len(at), doc, np.int64))
                     starts.append(at)
             if not digests:
                 continue
-            h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            d, s = np.concatenate(docs), np.concatenate(starts)
-            order = np.lexsort((s, d, h[:, 1], h[:, 0]))
-            h, d, s = h[order], d[order], s[order]
-            head = np.concatenate([[True], (h[1:] != h[:-1]).any(axis=1)])
-            of = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
-            late = (d != d[of]) | (s != s[of])
-            if head.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[head, 0], h[head, 1], d[head], s[head].astype(np.int32), (s[head] + width).astype(np.int32), np.zeros(head.sum(), bool))], names=["h1", "h2", "doc", "start", "stop", "sure"])
+            parts = np.frombuffer(b"".join(digests), np.dtype([("a", "<u8"), ("b", "<u4")]))
+            h1, h2, d, s = parts["a"].copy(), parts["b"].copy(), np.concatenate(docs), np.concatenate(starts)
+            order, head, late = _first_of(h1, h2, d, s)
             if late.any():
-                order = np.lexsort((s[late], d[late]))
-                d, s = d[late][order], s[late][order]
-                new = np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] > s[:-1] + width)])
-                first, last = np.flatnonzero(new), np.concatenate([np.flatnonzero(new)[1:], [len(d)]]) - 1
-                n = len(first)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d[first], np.arange(n), d[first], s[first].astype(np.int32), (s[last] + width).astype(np.int32), np.ones(n, bool))], names=["h1", "h2", "doc", "start", "stop", "sure"])
+                runs = _runs(d[order[late]], s[order[late]], width)
+                n = len(runs[0])
+                yield pa.RecordBatch.from_arrays([pa.array(runs[0] & ((1 << bucket_bits) - 1)), pa.nulls(n, pa.binary()), *map(pa.array, runs)], schema=FOUND)
+            own = order[head]
+            bucket = (h1[own] >> np.uint64(64 - bucket_bits)).astype(np.int64)
+            own = own[np.lexsort((s[own], d[own], bucket))]
+            bucket = (h1[own] >> np.uint64(64 - bucket_bits)).astype(np.int64)
+            cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(own)]])
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                x = own[i:j]
+                yield pa.RecordBatch.from_pydict({"bucket": [int(bucket[i])], "blob": [_pack(h1[x], h2[x], d[x], s[x])], "doc": [None], "start": [None], "stop": [None]}, FOUND)
 
     return find
 
 
+def _resolver(width: int):
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows arrive sorted by bucket; one bucket's blobs at a time are held."""
+        at, held = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if held:
+                h1, h2, d, s = map(np.concatenate, zip(*map(_unpack, held), strict=True))
+                order, _, late = _first_of(h1, h2, d, s)
+                if late.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in _runs(d[order[late]], s[order[late]], width)], schema=LATE)
+
+        for batch in batches:
+            sure = batch.filter(pc.is_null(batch.column(1)))
+            if sure.num_rows:
+                yield pa.RecordBatch.from_arrays([sure.column(k).cast(LATE.field(k - 2).type) for k in (2, 3, 4)], schema=LATE)
+            rest = batch.filter(pc.is_valid(batch.column(1)))
+            for bucket, blob in zip(rest.column(0).to_pylist(), rest.column(1).to_pylist(), strict=True):
+                if bucket != at:
+                    yield from out()
+                    at, held = bucket, []
+                held.append(blob)
+        yield from out()
+
+    return resolve
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in text_batches(batches):
         ids, out = table["doc_id"].to_pylist(), {"doc_id": [], "n_words": [], "n_removed": [], "kept_text": []}
@@ -167,11 +246,17 @@ def remove_repeats(docs: DataFrame, width: int = 20, max_log2_cells: int = 29) -
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = min(max_log2_cells, max(12, math.ceil(math.log2(max(1, chars / 6) * 2.5))))
+    bucket_bits = min(40, max(3, math.ceil(math.log2(max(1, chars / 6) / BUCKET))))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pieces = docs.select("text").mapInArrow(_sketcher(width, bits), "row int, shard int, once binary, twice binary")
-    merged = pieces.repartition("row", "shard").sortWithinPartitions("row", "shard").mapInArrow(_merge, "row int, shard int, twice binary")
-    sketch = spark.sparkContext.broadcast([(x.row, x.shard, bytes(x.twice)) for x in merged.collect()])  # 2**max_log2_cells bits a row at most
-    found = docs.select(key_of("doc_id").alias("_key"), "text").mapInArrow(_finder(width, bits, sketch), FOUND)
-    place = F.struct("doc", "start")
-    late = found.withColumn("first", F.min(place).over(Window.partitionBy("h1", "h2"))).filter(F.col("sure") | (place > F.col("first")))
+    merged = pieces.repartition("row", "shard").sortWithinPartitions("row", "shard").mapInArrow(_merger(bits), "row int, shard int, twice binary")
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:  # pieces are large rows
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+        sketch = spark.sparkContext.broadcast([(x.row, x.shard, bytes(x.twice)) for x in merged.collect()])  # 2**max_log2_cells bits a row at most
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    found = docs.select(key_of("doc_id").alias("_key"), "text").mapInArrow(_finder(width, bits, bucket_bits, sketch), "bucket long, blob binary, doc long, start int, stop int")
+    late = found.repartition(max(n, (1 << bucket_bits) // 8), "bucket").sortWithinPartitions("bucket").mapInArrow(_resolver(width), "doc long, start int, stop int")
     cuts = late.groupBy(F.col("doc").alias("_key")).agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
     return docs.withColumn("_key", key_of("doc_id")).join(cuts, "_key", "left").select("doc_id", "text", "cuts").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")
