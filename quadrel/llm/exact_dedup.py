@@ -1,8 +1,9 @@
 """Operator 2. Exact dedup by content sort, in DataFrame operations only.
 
-Rows are range-partitioned by their normalised bytes (Spark samples the splitters), sorted within each partition by an
-external sort, and compared in full with their neighbours (the window's frame ends where the text changes), which leaves
-the smallest doc_id. Texts that hold more rows than a partition should are found first by counting 8-byte hashes with
+Rows are range-partitioned by their normalised bytes, sorted within each partition by an external sort, and compared in full
+with their neighbours (the window's frame ends where the text changes), which leaves the smallest doc_id. Spark samples the
+splitters; of a text they hold its first characters and an 8-byte hash of the rest, for whole texts would swell the
+sample that the driver sorts. Texts that hold more rows than a partition should are found first by counting 8-byte hashes with
 partial aggregation; their copies are dealt to several partitions by a salt, and the few heads that the salts leave are
 merged in a second sort. At most `partitions` texts per `1/share` can be that frequent, which bounds the broadcast.
 
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, key_of
 
+#: Characters of a text in a splitter.
+FRONT = 48
+
 
 def mark_copies(docs: DataFrame, keep: tuple[str, ...] = (), partitions: int | None = None, share: float = 0.25) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, norm, and the columns in `keep`.
@@ -32,10 +36,11 @@ def mark_copies(docs: DataFrame, keep: tuple[str, ...] = (), partitions: int | N
     found = [(x.h, int(x.n // even) + 1) for x in per.filter(F.col("n") > even).collect()]  # n / share rows at most
     hot = spark.createDataFrame(found, "h long, salts long")
     salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("key", F.lit(1)), "salts")).otherwise(F.lit(0)).alias("salt")
-    dealt = rows.join(F.broadcast(hot), "h", "left").select("doc_id", "key", "norm", *(f"_{c}" for c in keep), F.col("salts").isNotNull().alias("hot"), salt)
-    part = Window.partitionBy("norm", "salt")
+    front = F.substring("norm", 1, FRONT).alias("front")
+    dealt = rows.join(F.broadcast(hot), "h", "left").select("doc_id", "key", "norm", "h", front, *(f"_{c}" for c in keep), F.col("salts").isNotNull().alias("hot"), salt)
+    part = Window.partitionBy("front", "h", "norm", "salt")
     first = part.orderBy("key")
-    sorted_ = dealt.repartitionByRange(n, "norm", "salt").select(
+    sorted_ = dealt.repartitionByRange(n, "front", "h", "salt").select(
         "*", F.row_number().over(first).alias("nth"), F.min("key").over(part).alias("low"), F.count(F.lit(1)).over(part).alias("size")
     )
     # Of a text that isn't hot there is one salt, so its head is the head of all.
