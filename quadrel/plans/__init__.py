@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from . import catalog, raster, requests, tiles
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {q.__name__: q for module in (requests, catalog, tiles, raster) for q in module.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return requests.ORACLE | catalog.ORACLE | tiles.ORACLE | raster.oracle()
