@@ -37,7 +37,7 @@ def decode(r: Column, g: Column, b: Column, f: tuple[float, ...]) -> Column:
 def encode(px: Column, f: tuple[float, ...]) -> Column:
     """struct of r, g, b arrays: heights in steps of the smallest factor, held within 24 bits; no data is 0."""
     step = min(f[:3])
-    units = F.transform(px, lambda h: F.coalesce(F.greatest(F.lit(0), F.least(F.lit((1 << 24) - 1), F.floor((h + f[3]) / step + 0.5))), F.lit(0)).cast("long"))
+    units = F.transform(px, lambda h: F.when(h.isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(F.lit((1 << 24) - 1), F.floor((h + f[3]) / step + 0.5)))).cast("long"))
     part = lambda n: F.transform(units, lambda u: F.shiftright(u, n).bitwiseAND(F.lit(255)).cast("int"))
     return F.struct(part(16).alias("r"), part(8).alias("g"), part(0).alias("b"))
 

@@ -125,7 +125,7 @@ class _Reader(DataSourceReader):
                 leaves = [e for e in root if e[3] == 0]
                 if len(leaves) < len(root):
                     out.append(_Leaf(path, h["root_offset"], h["root_length"], self.low, self.high))
-                for e, after in zip(leaves, [*(x[0] for x in leaves[1:]), 1 << 62], strict=True):
+                for e, after in zip(leaves, [*(x[0] for x in leaves[1:]), 1 << 62], strict=False):
                     if e[0] <= self.high and after > self.low:
                         out.append(_Leaf(path, h["leaf_offset"] + e[1], e[2], self.low, self.high))
         return out
