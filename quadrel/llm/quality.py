@@ -93,16 +93,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return np.concatenate([[w[0] - (w[1:] * mean / scale).sum()], w[1:] / scale])
 
 
-def fit(labelled: DataFrame, per_class: int = 1500, piece: int = 2048, size: int = 32 << 10, sample_bytes: int = 4 << 20) -> Scorer | float:
-    """labelled: doc_id, text, quality. A float is the score of all texts where nothing can be told apart."""
-    rows = labelled.filter("quality in (0, 1) and doc_id is not null").select("doc_id", "quality", F.col("text").cast("string").alias("text"))
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, piece: int = 2048, size: int = 32 << 10, sample_bytes: int = 4 << 20) -> Scorer | float:
+    """docs: doc_id, text; labels: doc_id, quality. A float is the score of all texts where nothing can be told apart.
+
+    The sample is drawn from the labels alone; only its documents' texts are looked up and reach the driver.
+    """
+    known = labels.filter("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").distinct()
     order = F.xxhash64(F.col("doc_id"), F.lit("fit"))
-    sample = [x for q in (0, 1) for x in rows.filter(F.col("quality") == q).orderBy(order, "text").limit(per_class).collect()]
+    drawn = known.filter("quality = 0").orderBy(order, "doc_id").limit(per_class).unionByName(known.filter("quality = 1").orderBy(order, "doc_id").limit(per_class))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")  # 2 * per_class rows at most
+    sample = sorted(rows.collect(), key=lambda x: (x.quality, x.doc_id, x.text or ""))
     classes = {x.quality for x in sample}
     if len(classes) < 2:
         return float(next(iter(classes), 1))
     words = [(x.quality, flat(x.text)) for x in sample]
     train, rest = words[::2], words[1::2]
+    if any({q for q, _ in part} != classes for part in (train, rest)):
+        return sum(q for q, _ in words) / len(words)
     dictionaries = []
     for view in (lambda w: w, shape):
         dictionaries.append(tuple(_dictionary([view(w) for q, w in train if q == kind], piece, size, sample_bytes) for kind in (0, 1)))

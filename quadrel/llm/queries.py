@@ -75,8 +75,7 @@ def held_out() -> Column:
 
 
 def quality_model(docs: DataFrame, labels: DataFrame):
-    known = labels.filter(~held_out()).select("doc_id", "quality").distinct()
-    return quality.fit(docs.filter(~held_out()).select("doc_id", "text").join(known, "doc_id"))
+    return quality.fit(docs.filter(~held_out()).select("doc_id", "text"), labels.filter(~held_out()))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
