@@ -6,6 +6,9 @@ counts nothing. The best container's path, generalised to tags and class names w
 vote; Spark sums the votes by host and path, and pages are extracted again at their host's winning path. A page without
 an element at that path uses its own best container.
 
+The winners (a row for each host) are broadcast up to `broadcast_bytes`. Where they are more, pages meet them by host, and a host
+with more pages than its share of a partition is dealt to several partitions by a salt, with a copy of its winner in each.
+
 Null html gives an empty text. A null or unreadable url belongs to the host "". Equal votes go to the path that sorts last. Repeated rows give
 equal rows; malformed markup is read as browsers do in the main (open elements end with their parents). Empty tables give empty
 results; other columns are ignored.
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import stored, text_batches
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[^<>]*>|[^<]++|<""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -137,14 +140,14 @@ def main_text(html: str, path: str | None) -> str:
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n: Counter = Counter()
+    score, pages = Counter(), Counter()
     for table in text_batches(batches, "html"):
         for host, html in zip(table["host"].to_pylist(), table["html"], strict=True):
             top = best(read(html.as_py() or "")[1])
-            if top.score:
-                n[host, top.path] += top.score
-    if n:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in ([k[0] for k in n], [k[1] for k in n], list(n.values()))], names=["host", "path", "score"])
+            score[host, top.path] += top.score
+            pages[host, top.path] += 1
+    if pages:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in ([k[0] for k in pages], [k[1] for k in pages], [score[k] for k in pages], list(pages.values()))], names=["host", "path", "score", "pages"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,12 +161,25 @@ def host_of(url: Column) -> Column:
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): one row for each host."""
-    votes = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_vote, "host string, path string, score long")
-    return votes.groupBy("host", "path").agg(F.sum("score").alias("score")).groupBy("host").agg(F.max_by("path", F.struct("score", "path")).alias("path"))
+    """(host, path, pages): one row for each host with its number of pages. Where no page has text, the path is one that no text is under."""
+    votes = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_vote, "host string, path string, score long, pages long")
+    by_path = votes.groupBy("host", "path").agg(F.sum("score").alias("score"), F.sum("pages").alias("pages"))
+    return by_path.groupBy("host").agg(F.max_by("path", F.struct("score", "path")).alias("path"), F.sum("pages").alias("pages"))
+
+
+def _with_winners(rows: DataFrame, winners: DataFrame, broadcast_bytes: int, share: float) -> DataFrame:
+    total = winners.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64).alias("bytes"), F.sum("pages").alias("pages")).first()
+    if (total.bytes or 0) <= broadcast_bytes:
+        return rows.join(F.broadcast(winners), "host", "left")
+    even = max(1.0, share * total.pages / int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salts = winners.withColumn("salts", F.floor(F.col("pages") / even).cast("int") + 1)
+    hot = salts.filter("salts > 1").select("host", "salts")  # partitions / share rows at most
+    dealt = rows.join(F.broadcast(hot), "host", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), "salts"), F.lit(0)).cast("int")).drop("salts")
+    return dealt.join(salts.select("host", "path", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")), ["host", "salt"], "left")
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, broadcast_bytes: int = 32 << 20, share: float = 0.25) -> DataFrame:
     """page_id, url, text of each page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
-    return rows.join(winning_paths(pages), "host", "left").select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string")
+    winners = stored(winning_paths(pages), "winners")
+    return _with_winners(rows, winners, broadcast_bytes, share).select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string")

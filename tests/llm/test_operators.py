@@ -239,6 +239,9 @@ def test_extraction(spark, sf_dir, none):
     got = sorted((r.page_id, r.text) for r in html_text.extract(odd).collect())
     assert got == [(1, ""), (2, ""), (3, "only this"), (3, "only this"), (4, "plain < text")]
     assert html_text.extract(spark.createDataFrame([], odd.schema)).count() == 0
+    for frame in (pages, odd):  # hosts salted, not broadcast
+        salted = html_text.extract(frame, broadcast_bytes=-1, share=1e-9)
+        assert sorted(map(str, salted.collect())) == sorted(map(str, html_text.extract(frame).collect()))
 
 
 def test_quality_on_held_out_labels(spark, odd, none):
