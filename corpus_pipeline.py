@@ -23,8 +23,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest doc_id stays."""
-    found = simhash_dedup.near_copies(docs, width=5)
+    """Of each group of texts that are similar at 0.8 or more in five-word shingles the smallest doc_id stays."""
+    found = simhash_dedup.similar_texts(docs, width=5, similarity=0.8)
     late = found.filter(F.col("doc_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     return docs.join(late, "doc_id", "left_anti").select(*docs.columns)
 

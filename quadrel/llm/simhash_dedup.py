@@ -8,12 +8,19 @@ shard over `tree_size` is cut again by blocks of the bits left, in the same way,
 fingerprints have no size bound, so they are not broadcast whole: each meets its queries in the shard's own task.
 A shard gives links to the smallest fingerprint of each of its components, never all pairs.
 
+near_copies() links 64-bit fingerprints. similar_texts() finds texts whose sets of five-word shingles are similar at 0.8 or more: such
+texts lie some 10 of 64 bits apart, too near chance for so short a fingerprint, so there it has 512 bits, and shards are named by pairs of least
+shingle hashes (a pair of texts shares one of the six shards with a probability of 0.99 at 0.8, more above). Trees are searched
+with the radius of that similarity. Nodes and queries that are both within it of the same root are in one component and aren't
+compared, so a tight group of copies costs one pass. Shards over `shard_rows` are dealt in blocks, and each two blocks meet in a task.
+
 Null and empty texts have fingerprint zero and link like any other. A null doc_id ranks before all others. Repeated rows have
 equal fingerprints. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, flat, key_of, stored, text_batches
+from .common import NULL_KEY, WindowHash, flat, key_of, stored, text_batches
 from .graph import components
 
 BLOCKS = 4
@@ -151,3 +158,128 @@ def near_copies(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     return each.join(of, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component") != F.lit(NULL_KEY), F.col("component")).alias("component_id")
     )
+
+
+#: Hash words of a wide fingerprint, and the pairs of their least values that name shards.
+WORDS = 8
+PAIRS = ((0, 1), (2, 3), (4, 5), (6, 7), (0, 2), (1, 3))
+
+
+def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = h + np.uint64((salt + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def wide_fingerprint(text: str | None, hasher: WindowHash) -> tuple[bytes, list[int]]:
+    """512 bits of SimHash over the set of a text's shingles, and the text's shards (signed 64-bit)."""
+    words = flat(text).lower()
+    if not words:
+        return bytes(8 * WORDS), [0]
+    h = np.unique(hasher(words)[2])
+    if not len(h):
+        h = np.array([xxhash.xxh64_intdigest(words, SEED)], np.uint64)
+    counts, least = np.zeros((WORDS, 64), np.int64), np.full(WORDS, 2**64 - 1, np.uint64)
+    for at in range(0, len(h), 1 << 15):
+        for k in range(WORDS):
+            u = _mixed(h[at : at + (1 << 15)], k)
+            counts[k] += np.unpackbits(u.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+            least[k] = min(least[k], u.min())
+    a, b = np.array(PAIRS).T
+    shards = _mixed(_mixed(least[a], 0) ^ least[b], 1) + np.arange(len(PAIRS), dtype=np.uint64)
+    return np.packbits(counts * 2 > len(h), axis=1, bitorder="little").tobytes(), shards.view(np.int64).tolist()
+
+
+def radius_of(similarity: float, bits: int = 64 * WORDS, sure: float = 1.3) -> int:
+    """Bits by which fingerprints of sets of that Jaccard similarity differ, and `sure` standard deviations more (1.3: nine in ten of just that similarity)."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + sure * math.sqrt(bits * p * (1 - p)))
+
+
+def tree_components(fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """(index, index of its component's first) of rows of uint64 words that links within the radius join, by a BK-tree."""
+    root_of = np.arange(len(fps))
+
+    def find(x: int) -> int:
+        while root_of[x] != x:
+            root_of[x] = root_of[root_of[x]]
+            x = root_of[x]
+        return x
+
+    everything = np.arange(len(fps))
+    todo = [(everything, everything)]
+    while todo:
+        nodes, queries = todo.pop()
+        root = int(nodes[0])
+        to_nodes, to_queries = (np.bitwise_count(fps[x] ^ fps[root]).sum(axis=1, dtype=np.int32) for x in (nodes, queries))
+        for q in queries[to_queries <= radius].tolist():
+            a, b = find(q), find(root)
+            root_of[max(a, b)] = min(a, b)
+        for edge in np.unique(to_nodes[1:]).tolist():
+            near = np.abs(to_queries - edge) <= radius
+            if edge <= radius:
+                near &= to_queries > radius  # the others are in the root's component, as these nodes are
+            if near.any():
+                todo.append((nodes[1:][to_nodes[1:] == edge], queries[near]))
+    for x in everything.tolist():
+        if (r := find(x)) != x:
+            yield x, r
+
+
+def _wide_linker(radius: int):
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (shard, node, fp) arrive sorted by shard; one shard at a time is held."""
+        held_key, nodes, held = None, [], []
+
+        def out() -> list[tuple[int, int]]:
+            ids = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
+            if len(ids) < 2:
+                return []
+            fps = np.frombuffer(b"".join(held), np.uint64).reshape(len(ids), WORDS)
+            return [(int(ids[a]), int(ids[b])) for a, b in tree_components(fps, radius)]
+
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            shard, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]]) if len(shard) else [0]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if shard[i] != held_key:
+                    found += out()
+                    held_key, nodes, held = shard[i], [], []
+                nodes.append(node[i:j])
+                held += batch.column(2).slice(int(i), int(j - i)).to_pylist()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+        if found := out():
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    return link
+
+
+def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, shard_rows: int = 200_000) -> DataFrame:
+    """One row for each document: doc_id, component_id (smallest doc_id of the texts that links reach). Fingerprints are named by 64-bit hashes in the links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WindowHash(width)
+        for table in text_batches(batches):
+            found = [wide_fingerprint(t.as_py(), hasher) for t in table["text"]]
+            yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], names=["doc_id", "fp", "shards"])
+
+    sketched = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp binary, shards array<long>")
+    each = stored(sketched.withColumns({"key": key_of("doc_id"), "node": F.xxhash64("fp")}), "sketches")
+    by_shard = each.select(F.explode("shards").alias("shard"), "node", "fp").distinct()
+    crowded = stored(each.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard_rows), "crowded")
+    if not crowded.isEmpty():
+        blocks = crowded.select("shard", (F.floor(F.col("n") / shard_rows) + 1).cast("int").alias("blocks"))
+        own, other = F.pmod("node", "blocks"), F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("other")
+        met = by_shard.join(blocks, "shard", "left").select("shard", "node", "fp", F.coalesce(own, F.lit(0)).alias("own"), "blocks", other)
+        name = F.when(F.col("blocks").isNull(), F.col("shard")).otherwise(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")))
+        by_shard = met.select(name.alias("shard"), "node", "fp")
+    links = by_shard.repartition("shard").sortWithinPartitions("shard").mapInArrow(_wide_linker(radius_of(similarity)), "a long, b long")
+    member = components(links)
+    low = each.groupBy("node").agg(F.min("key").alias("low"))
+    named = low.join(member, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    of = named.select("node", "root").join(named.groupBy("root").agg(F.min("low").alias("component")), "root").select("node", "component")
+    return each.select("doc_id", "node").join(of, "node").select("doc_id", F.when(F.col("component") != F.lit(NULL_KEY), F.col("component")).alias("component_id"))

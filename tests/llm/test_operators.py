@@ -129,6 +129,47 @@ def test_trees_lose_no_link():
     assert simhash_dedup.tree_links(fps, 2, tree_size=8) == want
 
 
+def test_wide_trees_keep_components():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**64, (12, 8), dtype=np.uint64)
+    near = [b ^ np.packbits(rng.random((8, 64)) < p, axis=1).view(np.uint64)[:, 0] for b in base for p in (0.02, 0.05, 0.1, 0.1, 0.12)]
+    fps = rng.permutation(np.concatenate([base, near]))
+    for radius in (40, 88, 120):
+        parent = list(range(len(fps)))
+        for i in range(len(fps)):
+            for j in range(i):
+                if np.bitwise_count(fps[i] ^ fps[j]).sum() <= radius:
+                    a, b = parent[i], parent[j]
+                    parent = [min(a, b) if x in (a, b) else x for x in parent]
+        got = dict(simhash_dedup.tree_components(fps, radius))
+        assert [got.get(i, i) for i in range(len(fps))] == parent
+
+
+def test_similar_texts(spark, odd, none):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    rows, k = [], 0
+    for g in range(60):
+        original = rng.choice(vocabulary, 300).tolist()
+        rows.append((k, " ".join(original)))
+        for change in (3, 5):  # at most 5 shingles lost and gained for each changed word: a similarity of 0.84 or more
+            copy = list(original)
+            for at in rng.choice(300, change, replace=False):
+                copy[at] = "changed"
+            rows.append((k + change, "  ".join(copy).upper()))
+        rows.append((k + 1, " ".join(original[:120] + rng.choice(vocabulary, 180).tolist())))  # similar at 0.25
+        k += 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for shard_rows in (200_000, 1):
+        got = {r.doc_id: r.component_id for r in simhash_dedup.similar_texts(docs, shard_rows=shard_rows).collect()}
+        assert all(got[d] == d for d in got if d % 10 in (0, 1))
+        caught = [got[d] == d - d % 10 for d in got if d % 10 in (3, 5)]
+        assert len(caught) == 120 and np.mean(caught) >= 0.97
+    found = {r.doc_id: r.component_id for r in simhash_dedup.similar_texts(odd).collect()}
+    assert found[0] == found[1] == found[2] == 0 and found[4] == 3 and found[6] == found[7] == 5 and found[12] == 11 and found[13] == 13
+    assert simhash_dedup.similar_texts(none).count() == 0
+
+
 def test_token_rollup(spark, tmp_path):
     docs = spark.createDataFrame([(1, "one two", "en", "a"), (2, None, "en", "a"), (3, "drei", None, None)], "doc_id long, text string, lang string, source string")
     roll = token_rollup.Rollup(spark, str(tmp_path / "r"))
