@@ -281,5 +281,6 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, shar
     member = components(links)
     low = each.groupBy("node").agg(F.min("key").alias("low"))
     named = low.join(member, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    of = named.select("node", "root").join(named.groupBy("root").agg(F.min("low").alias("component")), "root").select("node", "component")
+    ids = stored(named.groupBy("root").agg(F.min("low").alias("component")), "ids")  # written, so that the join below may split a large component
+    of = named.select("node", "root").join(ids, "root").select("node", "component")
     return each.select("doc_id", "node").join(of, "node").select("doc_id", F.when(F.col("component") != F.lit(NULL_KEY), F.col("component")).alias("component_id"))
