@@ -161,6 +161,12 @@ def log_rules(s, d):
     return A.classified_log(lines, {"errors": "^error", "bought": "purchase", "sevens": "7$"})
 
 
+def watched_rules(s, d):
+    ending = F.when(F.col("doc_id") % 3 == 0, ".mbtiles").otherwise(".pmtiles")
+    files = table(s, d, "documents").select("doc_id", F.concat(F.lit("/watch/"), "source", F.lit("/"), "lang", F.lit("-"), F.col("doc_id").cast("string"), ending).alias("path"))
+    return A.matched_rules(files, [("english", "en-*.pmtiles"), ("early", "??-??.*"), ("boxes", "*.mbtiles")]).select("doc_id", "rule")
+
+
 def _snapshots(s, d):
     e = table(s, d, "events").filter("user_id % 20 < 12")
     return e.groupBy((F.col("user_id") % 20).alias("info_hash"), F.hour(F.col("ts").cast("timestamp")).alias("cycle")).agg(F.when(F.first(F.col("user_id") % 20) == 5, F.lit(0)).otherwise(F.max("event_id")).alias("mtime"))
@@ -221,7 +227,7 @@ def counter_maps(s, d):
     return m.select("info_hash", F.to_json("by_status").alias("by_status"))
 
 
-QUERIES = (coverage_union, coverage_overlap, coverage_by_zoom, tile_places, priority_tiles, parent_fallback, child_assembly, tiles_in_bounds, tile_counts, warm_report, shared_domain, box_sides, tile_dedup, tile_runs, content_counts, tile_offsets, clustered_check, passthrough_split, bake_report, bake_remaining, contributor_report, piece_digests, piece_ranges, piece_verify, piece_buckets, distributed_copies, lru_plan, shared_files, import_paths, log_rules, save_cycles, never_saved, disk_use, orphan_files, listing_links, listing_newest, link_reachability, parsed_feed, counter_maps)
+QUERIES = (coverage_union, coverage_overlap, coverage_by_zoom, tile_places, priority_tiles, parent_fallback, child_assembly, tiles_in_bounds, tile_counts, warm_report, shared_domain, box_sides, tile_dedup, tile_runs, content_counts, tile_offsets, clustered_check, passthrough_split, bake_report, bake_remaining, contributor_report, piece_digests, piece_ranges, piece_verify, piece_buckets, distributed_copies, lru_plan, shared_files, import_paths, log_rules, watched_rules, save_cycles, never_saved, disk_use, orphan_files, listing_links, listing_newest, link_reachability, parsed_feed, counter_maps)
 
 AT, Z = with_views("archive_tiles"), with_views("archive_tiles", "zoomed")
 _BOX = "boxes AS (SELECT n_nationkey AS box, n_nationkey * 12.0 - 150 AS west, n_nationkey * 5.0 - 70 AS south, n_nationkey * 12.0 - 150 + 1 + n_nationkey % 7 * 4 AS east, n_nationkey * 5.0 - 70 + 1 + n_nationkey % 5 * 3 AS north FROM nation)"
@@ -274,6 +280,7 @@ x AS (SELECT s.archive, bucket, coalesce(copies, 0) AS c FROM s JOIN range(100)
     "import_paths": "WITH r AS (SELECT source, count(*) AS entries, count(*) FILTER (WHERE n_chars % 4 = 0) AS troubled, count(*) FILTER (WHERE n_chars % 4 = 0) / count(*) AS rate FROM documents GROUP BY source) SELECT source, entries, troubled, round(rate, 6) AS rate, rate > 1.1 * (SELECT rate FROM r WHERE source = 'src0') AS suspect FROM r",
     "log_rules": """WITH l AS (SELECT event_id AS seq, event_type || ' ' || user_id AS line FROM events), h AS (SELECT seq, 'errors' AS rule FROM l WHERE line LIKE 'error%' UNION ALL SELECT seq, 'bought' FROM l WHERE line LIKE '%purchase%' UNION ALL SELECT seq, 'sevens' FROM l WHERE line LIKE '%7'),
 k AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY seq DESC) AS n FROM h) SELECT rule, count(*) AS hits, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) FILTER (WHERE n <= 3) AS last_seqs FROM k GROUP BY rule""",
+    "watched_rules": "WITH f AS (SELECT doc_id, lang || '-' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.mbtiles' ELSE '.pmtiles' END AS base FROM documents WHERE source IS NOT NULL) SELECT doc_id, CASE WHEN base GLOB 'en-*.pmtiles' THEN 'english' WHEN base GLOB '??-??.*' THEN 'early' WHEN base GLOB '*.mbtiles' THEN 'boxes' END AS rule FROM f WHERE rule IS NOT NULL",
     "save_cycles": f"WITH {_SNAP} SELECT CAST(cycle AS INT) AS cycle, count(DISTINCT info_hash) AS written, count(DISTINCT info_hash) = (SELECT count(DISTINCT info_hash) FROM snap) AS full FROM marked WHERE new GROUP BY cycle",
     "never_saved": f"WITH {_SNAP} SELECT DISTINCT info_hash FROM snap WHERE info_hash NOT IN (SELECT info_hash FROM marked WHERE new)",
     "disk_use": f"{with_views('catalog')} SELECT info_hash, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS bytes, count(doc_id) AS files FROM catalog LEFT JOIN documents ON doc_id // 3 = info_hash GROUP BY info_hash",

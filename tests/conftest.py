@@ -4,6 +4,7 @@ import os
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
@@ -44,9 +45,9 @@ def rows_of(frame):
     for row in frame.itertuples(index=False):
         cells = []
         for v in row:
-            if v is None or v != v or str(v) == "<NA>":
+            if v is None or str(v) in ("<NA>", "NaT") or v != v:
                 cells.append("null")
-            elif hasattr(v, "__float__") and not isinstance(v, bool) and type(v).__name__ != "bool_":
+            elif hasattr(v, "__float__") and not isinstance(v, (bool, np.bool_)):
                 cells.append(f"{float(v) + 0.0:.6f}".replace("-0.000000", "0.000000"))
             else:
                 cells.append(str(v))
