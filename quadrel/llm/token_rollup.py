@@ -6,8 +6,10 @@ back the counts that the document had, `revise` does both. What a document count
 document part, so totals stay additive and are never recounted. A commit is keyed by its batch id: the batch is written
 under a temporary name and renamed to `batch=<id>`, and a batch whose folder exists is skipped, so a retry changes nothing.
 
-Null texts count no tokens; null sources and languages form groups of their own. Within a batch, repeated rows of one document are one
-change; rows of one document that differ are an error. Empty batches commit and change nothing. Other columns are ignored.
+A null text counts no tokens; null sources and languages form groups of their own, and a null doc_id is an id like any other. Within
+a batch, repeated rows of one document (all columns and the text equal) are one change, and texts that share a doc_id count each;
+different operations on one document, and unknown ones, are an error that commits nothing. An insert trusts its caller: a document
+that counts already counts again (use revise). Empty batches commit and change nothing. Other columns are ignored. One writer at a time.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ def ranks(path: str) -> dict[bytes, int]:
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, version: str) -> DataFrame:
-    """docs with columns tokenizer, tokens, words and characters. The vocabulary is a file of the driver and is broadcast (some 50,000 entries)."""
+    """docs with columns tokenizer, tokens, words, characters and a hash of the text. The vocabulary is a file of the driver and is broadcast (some 50,000 entries)."""
     table = docs.sparkSession.sparkContext.broadcast(ranks(vocabulary))
     schema = docs.select("doc_id", "source", "lang", "text")
 
@@ -47,7 +49,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, version: str) -> DataFrame:
 
     counted = schema.mapInArrow(run, f"{', '.join(f'{n} {t}' for n, t in schema.dtypes)}, tokens long")
     text = F.coalesce("text", F.lit(""))
-    return counted.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer"), "tokens", F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long").alias("words"), F.length(text).cast("long").alias("characters"))
+    return counted.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer"), "tokens", F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long").alias("words"), F.length(text).cast("long").alias("characters"), F.xxhash64("text").alias("text_hash"))
 
 
 class Rollup:
@@ -83,12 +85,16 @@ class Rollup:
         """changes: (op, doc_id); counts: what documents that are inserted or revised count, from count_tokens(). False if the batch was there already."""
         if self.committed(batch):
             return False
-        ops = changes.select("op", F.col("doc_id").cast("long").alias("doc_id")).distinct()
+        own = changes.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("op").alias("op"), F.max("op").alias("other"), F.count("op").alias("n"), F.count(F.lit(1)).alias("all"))
+        fair = F.col("op").isin("insert", "delete", "revise") & (F.col("op") == F.col("other")) & (F.col("n") == F.col("all"))
+        wrong = F.raise_error(F.concat(F.lit("no single known operation on document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+        ops = own.select(F.col("doc_id").alias("of"), F.when(fair, F.col("op")).otherwise(wrong).alias("op"))
+        same = F.col("doc_id").eqNullSafe(F.col("of"))
         one = lambda sign: (F.lit(sign).alias("documents"), *((F.col(c) * sign).alias(c) for c in TOTALS[1:]))
-        plus = counts.distinct().join(ops.filter("op in ('insert', 'revise')").select("doc_id"), "doc_id", "left_semi").select("doc_id", *GROUP, *one(1))
+        plus = counts.distinct().join(ops.filter("op in ('insert', 'revise')").select("of"), same, "left_semi").select("doc_id", *GROUP, *one(1))
         signed = plus
         if not ops.filter("op <> 'insert'").isEmpty():
-            was = self.documents().join(ops.filter("op in ('delete', 'revise')").select("doc_id"), "doc_id", "left_semi")
+            was = self.documents().join(ops.filter("op in ('delete', 'revise')").select("of"), same, "left_semi")
             now = was.groupBy("doc_id", *GROUP).agg(*(F.sum(c).alias(c) for c in TOTALS)).filter("documents <> 0")
             signed = plus.unionByName(now.select("doc_id", *GROUP, *((-F.col(c)).alias(c) for c in TOTALS)))
         fs, path = self._fs()

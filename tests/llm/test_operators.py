@@ -185,6 +185,33 @@ def test_token_rollup(spark, tmp_path):
     assert got == {("a", "en"): (1, 0), ("a", "fr"): (1, 3)}
 
 
+def test_token_rollup_odd(spark, tmp_path, odd, none):
+    roll = token_rollup.Rollup(spark, str(tmp_path / "odd"))
+    counts = token_rollup.count_tokens(odd, queries.VOCABULARY, "v1")
+    load = odd.select(F.lit("insert").alias("op"), "doc_id", "row")
+    assert roll.commit("load", load, counts)
+    rows = {tuple(r) for r in odd.select("doc_id", "source", "text").collect()}  # the repeated row once
+    want = {}
+    for _, source, text in rows:
+        n = want.get(source, (0, 0, 0))
+        want[source] = (n[0] + 1, n[1] + len(words(text)), n[2] + len(text or ""))
+    assert {r.source: (r.documents, r.words, r.characters) for r in roll.totals().collect()} == want
+    assert roll.commit("nothing", load.limit(0), counts) and roll.commit("none", none.select(F.lit("delete").alias("op"), "doc_id"), token_rollup.count_tokens(none, queries.VOCABULARY, "v1"))
+    for bad in ([("insert", 1), ("delete", 1)], [(None, 1)], [("remove", 1)]):
+        with pytest.raises(Exception, match="no single known operation"):
+            roll.commit("bad", spark.createDataFrame(bad, "op string, doc_id long"), counts)
+        assert not roll.committed("bad")
+    assert {r.source: (r.documents, r.words, r.characters) for r in roll.totals().collect()} == want
+    assert roll.commit("all away", odd.select(F.lit("delete").alias("op"), "doc_id"), counts) and roll.totals().count() == 0
+
+
+def test_token_rollup_shared_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one two", "en", "a"), (1, "six ten", "en", "a"), (None, "x", "en", "a")], "doc_id long, text string, lang string, source string")
+    roll = token_rollup.Rollup(spark, str(tmp_path / "shared"))
+    roll.commit("a", docs.select(F.lit("insert").alias("op"), "doc_id"), token_rollup.count_tokens(docs, queries.VOCABULARY, "v1"))
+    assert [(r.documents, r.words) for r in roll.totals().collect()] == [(3, 5)]
+
+
 def test_tokens_against_the_library(spark, sf_dir):
     import tiktoken
 
