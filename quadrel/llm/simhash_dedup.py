@@ -35,6 +35,18 @@ from .graph import components
 
 BLOCKS = 4
 SEED = 42
+#: One bit of each byte, and the shifts that bring a byte's other bits there.
+LANES, SHIFTS = np.uint64(0x0101010101010101), np.arange(8, dtype=np.uint64)[:, None]
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes along the last axis have each of their 64 bits set. Bytes count up to 255 hashes side by side."""
+    out = np.zeros((*h.shape[:-1], 8, 8), np.int64)
+    for at in range(0, h.shape[-1], 255 * 16):
+        bits = (h[..., None, at : at + 255 * 16] >> SHIFTS) & LANES
+        sums = np.add.reduceat(bits, np.arange(0, bits.shape[-1], 255), axis=-1)
+        out += sums.view(np.uint8).reshape(*sums.shape, 8).sum(axis=-2, dtype=np.int64)
+    return out.swapaxes(-1, -2).reshape(*h.shape[:-1], 64)
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -51,7 +63,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     for at in range(0, n, 1 << 18):
         to = min(n, at + (1 << 18))
         h = np.array([h64(words[i:j], SEED) for i, j in zip(starts[at:to], ends[at + width - 1 : to + width - 1], strict=True)], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += bit_counts(h)
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
@@ -165,9 +177,9 @@ WORDS = 8
 PAIRS = ((0, 1), (2, 3), (4, 5), (6, 7), (0, 2), (1, 3))
 
 
-def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
+def _mixed(h: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        h = h + np.uint64((salt + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        h = h + (np.asarray(salt, np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
@@ -182,11 +194,10 @@ def wide_fingerprint(text: str | None, hasher: WindowHash) -> tuple[bytes, list[
     if not len(h):
         h = np.array([xxhash.xxh64_intdigest(words, SEED)], np.uint64)
     counts, least = np.zeros((WORDS, 64), np.int64), np.full(WORDS, 2**64 - 1, np.uint64)
-    for at in range(0, len(h), 1 << 15):
-        for k in range(WORDS):
-            u = _mixed(h[at : at + (1 << 15)], k)
-            counts[k] += np.unpackbits(u.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-            least[k] = min(least[k], u.min())
+    for at in range(0, len(h), 1 << 13):
+        u = _mixed(h[at : at + (1 << 13)], np.arange(WORDS)[:, None])
+        counts += bit_counts(u)
+        least = np.minimum(least, u.min(axis=1))
     a, b = np.array(PAIRS).T
     shards = _mixed(_mixed(least[a], 0) ^ least[b], 1) + np.arange(len(PAIRS), dtype=np.uint64)
     return np.packbits(counts * 2 > len(h), axis=1, bitorder="little").tobytes(), shards.view(np.int64).tolist()

@@ -212,6 +212,15 @@ def test_token_rollup_shared_ids(spark, tmp_path):
     assert [(r.documents, r.words) for r in roll.totals().collect()] == [(3, 5)]
 
 
+def test_bit_counts():
+    rng = np.random.default_rng(9)
+    for n in (1, 254, 255, 256, 4080, 4081, 9000):
+        h = rng.integers(0, 2**64, (2, n), dtype=np.uint64)
+        h[:, : n // 2] = 2**64 - 1  # full lanes
+        want = [[int(((x >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(64)] for x in h]
+        assert simhash_dedup.bit_counts(h).tolist() == want and simhash_dedup.bit_counts(h[1]).tolist() == want[1]
+
+
 def test_tokens_against_the_library(spark, sf_dir):
     import tiktoken
 
