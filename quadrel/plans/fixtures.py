@@ -15,8 +15,12 @@ def _at(c: str):
 
 
 def tile_requests(spark: SparkSession, d: str) -> DataFrame:
+    return as_requests(table(spark, d, "events"))
+
+
+def as_requests(events: DataFrame) -> DataFrame:
     status = F.when(F.col("event_type").isin("view", "click"), 200).when(F.col("event_type") == "signup", 204).when(F.col("event_type") == "purchase", 304).otherwise(503)
-    return table(spark, d, "events").select(
+    return events.select(
         (F.col("user_id") % 20).alias("info_hash"), (F.col("user_id") % 15).cast("int").alias("z"), status.alias("status"), F.floor(F.col("value") * 1000 + 0.5).alias("bytes"), F.col("value").alias("ms"),
         F.col("user_id").alias("ip"), _at("ts").alias("at"), F.col("event_id").alias("seq"), F.concat(F.lit("archive-"), (F.col("user_id") % 20).cast("string")).alias("name"),
     )

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -44,10 +46,11 @@ class RecentDurations(StatefulProcessor):
         self.kept = handle.getValueState("kept", "ms array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        kept = list(self.kept.get()[0]) if self.kept.exists() else []
-        for frame in rows:
-            kept += [float(x) for x in frame.sort_values(["at", "seq"])["ms"] if pd.notna(x)]
-        kept = kept[-self.last :]
+        kept, new = list(self.kept.get()[0]) if self.kept.exists() else [], None
+        for frame in rows:  # a trigger's rows come in several frames, in no order among them
+            frame = frame.loc[frame["ms"].notna(), ["at", "seq", "ms"]]
+            new = (frame if new is None else pd.concat([new, frame])).sort_values(["at", "seq"]).tail(self.last)
+        kept = (kept + [float(x) for x in new["ms"]] if new is not None else kept)[-self.last :]
         self.kept.update((kept,))
         if kept:
             s = sorted(kept)
@@ -72,14 +75,12 @@ class SettledFiles(StatefulProcessor):
         self.handle, self.seen = handle, handle.getValueState("seen", "length long, modified timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for frame in rows:
-            last = frame.sort_values("modified").iloc[-1]
-            now = (int(last["length"]), last["modified"].to_pydatetime())
-            if not self.seen.exists() or tuple(self.seen.get()) != now:
-                for t in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(t)
-                self.seen.update(now)
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.seconds * 1000)
+        now = max((r.modified.to_pydatetime(), int(r.length)) for frame in rows for r in frame.itertuples())[::-1]
+        if not self.seen.exists() or tuple(self.seen.get()) != now:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.seen.update(now)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.seconds * 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -106,15 +107,15 @@ class SeedingClock(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         since, done = self.since.get() if self.since.exists() else (None, False)
-        for frame in rows:
-            for row in frame.sort_values("at").itertuples():
-                if since is None and row.progress >= 1:
-                    since = row.at.to_pydatetime()
-                if since is not None and not done:
-                    by_ratio, by_time = row.ratio >= self.ratio, (row.at.to_pydatetime() - since).total_seconds() >= self.minutes * 60
-                    if by_ratio or by_time:
-                        done = True
-                        yield pd.DataFrame({"info_hash": [key[0]], "reason": ["ratio" if by_ratio else "time"]})
+        frames = list(rows) if not done else []  # one archive's status rows of one trigger
+        for row in pd.concat(frames).sort_values("at").itertuples() if frames else ():
+            if since is None and row.progress >= 1:
+                since = row.at.to_pydatetime()
+            if since is not None and not done:
+                by_ratio, by_time = row.ratio >= self.ratio, (row.at.to_pydatetime() - since).total_seconds() >= self.minutes * 60
+                if by_ratio or by_time:
+                    done = True
+                    yield pd.DataFrame({"info_hash": [key[0]], "reason": ["ratio" if by_ratio else "time"]})
         if since is not None:
             self.since.update((since, done))
 
@@ -125,3 +126,31 @@ class SeedingClock(StatefulProcessor):
 def seeding_ends(status: DataFrame, minutes: float, ratio: float) -> DataFrame:
     """status: (info_hash, at, progress, ratio) rows."""
     return status.groupBy("info_hash").transformWithStateInPandas(SeedingClock(minutes, ratio), "info_hash long, reason string", "append", "none")
+
+
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's files as a stream. The pattern names the one table; a plain path would have to be a folder."""
+    return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What the stream gives for all that is there, with the number of its trigger.
+
+    Each trigger's rows are written under their number in the shared folder, so that a trigger that is run again replaces its own rows.
+    """
+    spark = stream.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quadrel-")  # the last in tests on one machine only
+    folder, before = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}", spark.conf.get(STORE)
+
+    def keep(rows: DataFrame, trigger: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/out/trigger={trigger}")
+
+    spark.conf.set(STORE, ROCKS)
+    try:
+        stream.writeStream.foreachBatch(keep).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").start().awaitTermination()
+    finally:
+        spark.conf.set(STORE, before)
+    return spark.read.schema(f"{', '.join(f'`{n}` {t}' for n, t in stream.dtypes)}, trigger int").option("basePath", f"{folder}/out").parquet(f"{folder}/out")
