@@ -9,10 +9,12 @@ fingerprints have no size bound, so they are not broadcast whole: each meets its
 A shard gives links to the smallest fingerprint of each of its components, never all pairs.
 
 near_copies() links 64-bit fingerprints. similar_texts() finds texts whose sets of five-word shingles are similar at 0.8 or more: such
-texts lie some 10 of 64 bits apart, too near chance for so short a fingerprint, so there it has 512 bits, and shards are named by pairs of least
-shingle hashes (a pair of texts shares one of the six shards with a probability of 0.99 at 0.8, more above). Trees are searched
-with the radius of that similarity. Nodes and queries that are both within it of the same root are in one component and aren't
-compared, so a tight group of copies costs one pass. Shards over `shard_rows` are dealt in blocks, and each two blocks meet in a task.
+texts lie some 10 of 64 bits apart, too near chance for so short a fingerprint, so there it has 512 bits, and shards are named by twelve
+pairs of least shingle hashes (a pair of texts misses all of them with a probability of 5e-6 at 0.8, less above). A shard's BK-tree only
+proposes: its radius is 4.5 standard deviations beyond the mean of texts at the threshold, and the groups that it links are named by
+their members, so that a group found in several shards is tested once. In a group each proposed pair is tested by the exact
+similarity of the shingle sets (as 64-bit hashes) before it joins a component. Pairs that are in one component by then aren't
+tested, so a tight group of copies costs one pass. Shards and groups with too many rows are dealt in blocks, and each two blocks meet in a task.
 
 Null and empty texts have fingerprint zero and link like any other. A null doc_id ranks before all others. Repeated rows have
 equal fingerprints. An empty table gives an empty result; other columns are ignored.
@@ -21,8 +23,9 @@ equal fingerprints. An empty table gives an empty result; other columns are igno
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterator
+from functools import cache
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -172,9 +175,9 @@ def near_copies(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     )
 
 
-#: Hash words of a wide fingerprint, and the pairs of their least values that name shards.
+#: Hash words of a wide fingerprint, and how many pairs of least hashes name a text's shards.
 WORDS = 8
-PAIRS = ((0, 1), (2, 3), (4, 5), (6, 7), (0, 2), (1, 3))
+PAIRS = 12
 
 
 def _mixed(h: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
@@ -185,110 +188,186 @@ def _mixed(h: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def wide_fingerprint(text: str | None, hasher: WindowHash) -> tuple[bytes, list[int]]:
-    """512 bits of SimHash over the set of a text's shingles, and the text's shards (signed 64-bit)."""
+def wide_fingerprint(text: str | None, hasher: WindowHash) -> tuple[bytes, list[int], bytes]:
+    """512 bits of SimHash over the set of a text's shingles, the text's shards (signed 64-bit), and the set as sorted 64-bit hashes."""
     words = flat(text).lower()
     if not words:
-        return bytes(8 * WORDS), [0]
+        return bytes(8 * WORDS), [0], b""
     h = np.unique(hasher(words)[2])
     if not len(h):
         h = np.array([xxhash.xxh64_intdigest(words, SEED)], np.uint64)
-    counts, least = np.zeros((WORDS, 64), np.int64), np.full(WORDS, 2**64 - 1, np.uint64)
+    counts, least = np.zeros((WORDS, 64), np.int64), np.full(2 * PAIRS, 2**64 - 1, np.uint64)
     for at in range(0, len(h), 1 << 13):
-        u = _mixed(h[at : at + (1 << 13)], np.arange(WORDS)[:, None])
-        counts += bit_counts(u)
+        u = _mixed(h[at : at + (1 << 13)], np.arange(2 * PAIRS)[:, None])
+        counts += bit_counts(u[:WORDS])
         least = np.minimum(least, u.min(axis=1))
-    a, b = np.array(PAIRS).T
-    shards = _mixed(_mixed(least[a], 0) ^ least[b], 1) + np.arange(len(PAIRS), dtype=np.uint64)
-    return np.packbits(counts * 2 > len(h), axis=1, bitorder="little").tobytes(), shards.view(np.int64).tolist()
+    shards = _mixed(_mixed(least[::2], 0) ^ least[1::2], 1) + np.arange(PAIRS, dtype=np.uint64)
+    return np.packbits(counts * 2 > len(h), axis=1, bitorder="little").tobytes(), shards.view(np.int64).tolist(), h.tobytes()
 
 
-def radius_of(similarity: float, bits: int = 64 * WORDS, sure: float = 1.3) -> int:
-    """Bits by which fingerprints of sets of that Jaccard similarity differ, and `sure` standard deviations more (1.3: nine in ten of just that similarity)."""
+def bit_differs(common: int, a: int, b: int) -> float:
+    """The probability that a bit of the fingerprints differs, for sets with so many common and own members."""
+    of = [[math.comb(n, k) / 2**n for k in range(n + 1)] for n in (common, a, b)]
+    out = 0.0
+    for k, p in enumerate(of[0]):
+        one, other = (sum(q for i, q in enumerate(x) if 2 * (k + i) > common + len(x) - 1) for x in of[1:])
+        out += p * (one * (1 - other) + other * (1 - one))
+    return out
+
+
+@cache
+def radius_of(similarity: float, bits: int = 64 * WORDS, sure: float = 4.5) -> int:
+    """Bits by which fingerprints of sets of that Jaccard similarity differ, and `sure` standard deviations more. Ties make small sets differ in more bits than large ones: sizes up to 24 are counted out."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    for union in range(1, 25):
+        own = union - math.ceil(similarity * union - 1e-9)
+        p = max(p, *(bit_differs(union - own, a, own - a) for a in range(own // 2 + 1)), 0)
     return int(bits * p + sure * math.sqrt(bits * p * (1 - p)))
 
 
-def tree_components(fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    """(index, index of its component's first) of rows of uint64 words that links within the radius join, by a BK-tree."""
-    root_of = np.arange(len(fps))
-
-    def find(x: int) -> int:
-        while root_of[x] != x:
-            root_of[x] = root_of[root_of[x]]
-            x = root_of[x]
-        return x
+def tree_components(fps: np.ndarray, radius: int, similar: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
+    """(index, index of its component's first) of rows of uint64 words that links within the radius join, by a BK-tree.
 
+    similar(i, others) tells which of the links from i hold; without it all do.
+    """
     everything = np.arange(len(fps))
+    of, members = everything.copy(), [[x] for x in everything.tolist()]
+
+    def join(a: int, b: int) -> None:
+        a, b = sorted((int(of[a]), int(of[b])), key=lambda c: len(members[c]))
+        if a != b:
+            of[members[a]] = b
+            members[b] += members[a]
+            members[a] = []
+
     todo = [(everything, everything)]
     while todo:
         nodes, queries = todo.pop()
-        root = int(nodes[0])
+        root, own = int(nodes[0]), of[nodes[0]]
+        if (of[nodes] == own).all():
+            queries = queries[of[queries] != own]
+            if not len(queries):
+                continue
         to_nodes, to_queries = (np.bitwise_count(fps[x] ^ fps[root]).sum(axis=1, dtype=np.int32) for x in (nodes, queries))
-        for q in queries[to_queries <= radius].tolist():
-            a, b = find(q), find(root)
-            root_of[max(a, b)] = min(a, b)
+        near = queries[(to_queries <= radius) & (of[queries] != own) & (queries > root)]  # a pair is met from both ends
+        if len(near) and similar:
+            near = near[similar(root, near)]
+        for q in near.tolist():
+            join(root, q)
+        own = of[root]
         for edge in np.unique(to_nodes[1:]).tolist():
-            near = np.abs(to_queries - edge) <= radius
-            if edge <= radius:
-                near &= to_queries > radius  # the others are in the root's component, as these nodes are
-            if near.any():
-                todo.append((nodes[1:][to_nodes[1:] == edge], queries[near]))
-    for x in everything.tolist():
-        if (r := find(x)) != x:
-            yield x, r
+            below, close = nodes[1:][to_nodes[1:] == edge], queries[np.abs(to_queries - edge) <= radius]
+            ours = of[below] == own
+            for part, against in ((below[~ours], close), (below[ours], close[of[close] != own])):
+                if len(part) and len(against):
+                    todo.append((part, against))
+    first = np.full(len(fps), len(fps))
+    np.minimum.at(first, of, everything)
+    for x in np.flatnonzero(first[of] != everything).tolist():
+        yield x, int(first[of[x]])
+
+
+def _similar_sets(sets: list[np.ndarray], similarity: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Exact Jaccard similarity of sorted sets, one against several."""
+    size = np.array([len(s) for s in sets])
+
+    def similar(i: int, others: np.ndarray) -> np.ndarray:
+        out, mine = np.zeros(len(others), bool), sets[i]
+        small, large = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
+        able = np.flatnonzero((large == 0) | (small >= similarity * large * (1 - 1e-9)))
+        for part in np.split(able, np.flatnonzero(np.diff(np.cumsum(size[others[able]]) >> 20)) + 1):  # some 8 MB at once
+            if len(part):
+                whose, theirs = np.repeat(part, size[others[part]]), np.concatenate([sets[x] for x in others[part]])
+                at = np.searchsorted(mine, theirs)
+                shared = np.bincount(whose[mine[np.minimum(at, len(mine) - 1)] == theirs] if len(mine) else [], minlength=len(others))[part]
+                union = size[others[part]] + size[i] - shared
+                out[part] = (union == 0) | (shared / np.maximum(union, 1) >= similarity)
+        return out
 
+    return similar
 
-def _wide_linker(radius: int):
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (shard, node, fp) arrive sorted by shard; one shard at a time is held."""
-        held_key, nodes, held = None, [], []
 
-        def out() -> list[tuple[int, int]]:
-            ids = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
-            if len(ids) < 2:
-                return []
-            fps = np.frombuffer(b"".join(held), np.uint64).reshape(len(ids), WORDS)
-            return [(int(ids[a]), int(ids[b])) for a, b in tree_components(fps, radius)]
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[list]]]:
+    """Rows (key, node, fp, ...) arrive sorted by key: nodes, fingerprints and other columns of one key at a time, where it has several nodes."""
+    held_key, nodes, held = None, [], []
 
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            shard, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]]) if len(shard) else [0]
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                if shard[i] != held_key:
-                    found += out()
-                    held_key, nodes, held = shard[i], [], []
-                nodes.append(node[i:j])
-                held += batch.column(2).slice(int(i), int(j - i)).to_pylist()
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
-        if found := out():
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+    def out() -> Iterator[tuple[np.ndarray, np.ndarray, list[list]]]:
+        ids = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
+        if len(ids) > 1:
+            yield ids, np.frombuffer(b"".join(held[0]), np.uint64).reshape(len(ids), WORDS), held[1:]
 
-    return link
+    for batch in batches:
+        key, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]]).tolist() if len(key) else [0]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if key[i] != held_key:
+                yield from out()
+                held_key, nodes, held = key[i], [], [[] for _ in batch.columns[2:]]
+            nodes.append(node[i:j])
+            for to, column in zip(held, batch.columns[2:], strict=True):
+                to += column.slice(i, j - i).to_pylist()
+    yield from out()
+
+
+def _batches(rows: Iterator[tuple[int, int]], names: list[str], most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*part, strict=True)], names=names)
+
+
+def _proposer(radius: int):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
+        for ids, fps, _ in _runs(batches):
+            groups: dict[int, list[int]] = {}
+            for a, b in tree_components(fps, radius):
+                groups.setdefault(b, [b]).append(a)
+            for group in groups.values():
+                nodes = np.unique(ids[group])
+                name = int(np.uint64(xxhash.xxh64_intdigest(nodes.tobytes(), SEED)).view(np.int64))
+                for node in nodes.tolist():
+                    yield name, node
+
+    return lambda batches: _batches(found(batches), ["group", "node"])
+
+
+def _tester(radius: int, similarity: float):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
+        for ids, fps, (sets,) in _runs(batches):
+            for a, b in tree_components(fps, radius, _similar_sets([np.frombuffer(x, np.uint64) for x in sets], similarity)):
+                yield int(ids[a]), int(ids[b])
+
+    return lambda batches: _batches(found(batches), ["a", "b"])
+
+
+def _dealt(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """rows (key, node, ...); those of a key with more than `most` rows are dealt in blocks, and each two blocks have a key of their own."""
+    crowded = stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most), "crowded")
+    if crowded.isEmpty():
+        return rows
+    blocks = crowded.select(key, (F.floor(F.col("n") / most) + 1).cast("int").alias("blocks"))
+    own, other = F.pmod("node", "blocks"), F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("other")
+    met = rows.join(blocks, key, "left").select(*rows.columns, F.coalesce(own, F.lit(0)).alias("own"), "blocks", other)
+    name = F.when(F.col("blocks").isNull(), F.col(key)).otherwise(F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other")))
+    return met.select(name.alias(key), *(c for c in rows.columns if c != key))
 
 
-def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, shard_rows: int = 200_000) -> DataFrame:
-    """One row for each document: doc_id, component_id (smallest doc_id of the texts that links reach). Fingerprints are named by 64-bit hashes in the links."""
+def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, shard_rows: int = 200_000, group_rows: int = 20_000) -> DataFrame:
+    """One row for each document: doc_id, component_id (smallest doc_id of the texts that links reach). Sets of shingles are named by 64-bit hashes in the links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WindowHash(width)
         for table in text_batches(batches):
-            found = [wide_fingerprint(t.as_py(), hasher) for t in table["text"]]
-            yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], names=["doc_id", "fp", "shards"])
-
-    sketched = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp binary, shards array<long>")
-    each = stored(sketched.withColumns({"key": key_of("doc_id"), "node": F.xxhash64("fp")}), "sketches")
-    by_shard = each.select(F.explode("shards").alias("shard"), "node", "fp").distinct()
-    crowded = stored(each.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard_rows), "crowded")
-    if not crowded.isEmpty():
-        blocks = crowded.select("shard", (F.floor(F.col("n") / shard_rows) + 1).cast("int").alias("blocks"))
-        own, other = F.pmod("node", "blocks"), F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("other")
-        met = by_shard.join(blocks, "shard", "left").select("shard", "node", "fp", F.coalesce(own, F.lit(0)).alias("own"), "blocks", other)
-        name = F.when(F.col("blocks").isNull(), F.col("shard")).otherwise(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")))
-        by_shard = met.select(name.alias("shard"), "node", "fp")
-    links = by_shard.repartition("shard").sortWithinPartitions("shard").mapInArrow(_wide_linker(radius_of(similarity)), "a long, b long")
+            fp, shards, sets = zip(*(wide_fingerprint(t.as_py(), hasher) for t in table["text"]), strict=True)
+            yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), pa.array(fp, pa.binary()), pa.array(shards, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["doc_id", "fp", "shards", "shingles"])
+
+    sketched = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp binary, shards array<long>, shingles binary")
+    each = stored(sketched.withColumns({"key": key_of("doc_id"), "node": F.xxhash64("shingles")}), "sketches")
+    radius = radius_of(similarity)
+    by_shard = _dealt(each.select(F.explode("shards").alias("shard"), "node", "fp").distinct(), "shard", shard_rows)
+    proposed = by_shard.repartition("shard").sortWithinPartitions("shard").mapInArrow(_proposer(radius), "group long, node long")
+    groups = _dealt(stored(proposed.distinct(), "groups"), "group", group_rows)
+    wanted = each.join(groups.select("node").distinct(), "node", "left_semi").select("node", "fp", "shingles").dropDuplicates(["node"])
+    by_group = groups.join(wanted, "node").select("group", "node", "fp", "shingles")
+    links = by_group.repartition("group").sortWithinPartitions("group").mapInArrow(_tester(radius, similarity), "a long, b long")
     member = components(links)
     low = each.groupBy("node").agg(F.min("key").alias("low"))
     named = low.join(member, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))

@@ -170,6 +170,34 @@ def test_similar_texts(spark, odd, none):
     assert simhash_dedup.similar_texts(none).count() == 0
 
 
+def test_similar_texts_around_the_threshold(spark, none):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    texts = []
+    for n in (8, 9, 14, 40, 300):
+        for _ in range(30):
+            original = rng.choice(vocabulary, n).tolist()
+            texts.append(original)
+            for own in (n // 12, n // 9, n // 7, n // 5):  # other words at one end: similar at some 0.6 to 0.9
+                texts += [original[own:], original[: n - own] + rng.choice(vocabulary, own).tolist()]
+    texts += [["x"] * 3, ["x"] * 2, []]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} or {tuple(t)} for t in texts]
+    want = list(range(len(texts)))
+    near = {True: 0, False: 0}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if (shared := len(a & b)) and 0.6 < (s := shared / len(a | b)) < 0.9:
+                near[s >= 0.8] += 1
+            if shared and s >= 0.8 and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = [low if x == high else x for x in want]
+    assert min(near.values()) > 200
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for sizes in ({}, {"shard_rows": 2, "group_rows": 2}):
+        got = {r.doc_id: r.component_id for r in simhash_dedup.similar_texts(docs, **sizes).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_token_rollup(spark, tmp_path):
     docs = spark.createDataFrame([(1, "one two", "en", "a"), (2, None, "en", "a"), (3, "drei", None, None)], "doc_id long, text string, lang string, source string")
     roll = token_rollup.Rollup(spark, str(tmp_path / "r"))
