@@ -113,13 +113,23 @@ def clip_sources(s, d):
     return C.clip_choice(src, C.classify(_tiles(s, d).filter("z <= 3"), shape_segments(s)))
 
 
+def clip_mask_all(s, d):
+    m = C.masks(_tiles(s, d), shape_segments(s), 8)
+    return m.select("tile_id", F.posexplode("mask").alias("i", "inside"))
+
+
+def clip_sources_all(s, d):
+    src = s.createDataFrame([(0, None), (1, "island"), (2, "atlantis")], "source_idx int, cutline string")
+    return C.clip_choice(src, C.classify(_tiles(s, d), shape_segments(s)))
+
+
 def tile_boxes(s, d):
     t = _tiles(s, d)
     b = t.select("tile_id", T.tile_box(F.col("z"), F.col("x"), F.col("y")).alias("b"), T.parent(F.col("z"), F.col("x"), F.col("y"), F.least(F.lit(2), F.col("z"))).alias("p"))
     return b.select("tile_id", *(F.round(F.col(f"b.{c}"), 6).alias(c) for c in ("min_x", "min_y")), F.col("p.x").alias("px"), F.col("p.dy").alias("dy"))
 
 
-QUERIES = (elevation_encode, elevation_mask_paint, color_mask, elevation_resample, elevation_parent, elevation_blur, elevation_stitch, elevation_merge, stack_answer, rgba_composite, rgba_bytes, rgba_resample, clip_classify, clip_mask, clip_sources, tile_boxes)
+QUERIES = (elevation_encode, elevation_mask_paint, color_mask, elevation_resample, elevation_parent, elevation_blur, elevation_stitch, elevation_merge, stack_answer, rgba_composite, rgba_bytes, rgba_resample, clip_classify, clip_mask, clip_sources, clip_mask_all, clip_sources_all, tile_boxes)
 
 H = with_views("heights")
 _M = "floor(h * 1000 + 0.5) BETWEEN -5000 AND -4851"
@@ -150,7 +160,7 @@ cls AS (SELECT tile_id, z, CASE WHEN crossed THEN 'partial' WHEN inside THEN 'in
 def oracle() -> dict[str, str]:
     from .tiles import _ZXY
 
-    return {
+    out = {
         "elevation_encode": f"{H}, u AS (SELECT *, CAST(greatest(0, least(16777215, floor((h + 10000.0) / 0.1 + 0.5))) AS BIGINT) AS u FROM heights) SELECT tile_id, source_idx, CAST(i AS INT) AS i, CAST(u >> 16 AS INT) AS r, CAST((u >> 8) & 255 AS INT) AS g, CAST(u & 255 AS INT) AS b, round((u >> 16) * 6553.6 + ((u >> 8) & 255) * 25.6 + (u & 255) * 0.1 - 10000.0, 3) AS height FROM u",
         "elevation_mask_paint": f"""{H}, m AS (SELECT tile_id, source_idx, i, CASE WHEN NOT ({_M}) AND h + 2.5 > source_idx * 40 - 60 THEN h + 2.5 END AS h FROM heights),
 p AS (SELECT tile_id, i, arg_max(h, source_idx) FILTER (WHERE h IS NOT NULL) AS h FROM m GROUP BY 1, 2) SELECT tile_id, CAST(i AS INT) AS i, round(coalesce(h, -10000.0), 6) AS h FROM p WHERE tile_id IN (SELECT tile_id FROM p WHERE h IS NOT NULL)""",
@@ -175,6 +185,10 @@ SELECT tile_id, i, CAST(sum(CASE WHEN (ay > cy) <> (s."by" > cy) AND cx < (bx -
         "clip_sources": f"{_clip_sql()} SELECT tile_id, CAST(k AS INT) AS source_idx, CASE k WHEN 0 THEN 'inside' WHEN 1 THEN place ELSE 'outside' END AS place FROM cls, range(3) q(k) WHERE z <= 3",
         "tile_boxes": f"{_TILES}, {_ZXY} SELECT tile_id, round(x / pow(2, z), 6) AS min_x, round(y / pow(2, z), 6) AS min_y, x >> least(2, z) AS px, y % (1 << least(2, z)) AS dy FROM places",
     }
+    # The same over all tiles.
+    out["clip_mask_all"] = out["clip_mask"].replace(" WHERE z BETWEEN 2 AND 4", "")
+    out["clip_sources_all"] = out["clip_sources"].replace(" WHERE z <= 3", "")
+    return out
 
 
 def _composite_sql() -> str:
