@@ -84,6 +84,11 @@ def stack_impact(s, d):
     return C.removal_impact(c.filter("info_hash % 7 = 0"), recipe_sources(s), c)
 
 
+def stack_impact_all(s, d):
+    c = catalog(s, d)
+    return C.removal_impact(c, recipe_sources(s), c)
+
+
 def stack_coverage(s, d):
     c = table(s, d, "orders").select(
         F.concat(F.lit("s"), (F.col("o_custkey") % 50).cast("string")).alias("stack_id"), F.col("o_orderkey").alias("idx"), (F.col("o_orderkey") % 6).cast("int").alias("min_zoom"), (8 + F.col("o_orderkey") % 7).cast("int").alias("max_zoom"),
@@ -158,6 +163,12 @@ def engine_peers(s, d):
     return C.all_peers({"one": li.filter("k = 1").select("info_hash", "peer"), "two": li.filter("k = 2").select("info_hash", "peer", F.col("k").alias("speed"))})
 
 
+def engine_peers_all(s, d):
+    """Every line is a peer of one engine: odd ones of the first, which tells no speed, even ones of the second."""
+    li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("info_hash"), F.col("l_suppkey").alias("peer"), F.col("l_linenumber").alias("k"))
+    return C.all_peers({"one": li.filter("k % 2 = 1").select("info_hash", "peer"), "two": li.filter("k % 2 = 0").select("info_hash", "peer", F.col("k").alias("speed"))})
+
+
 def name_kinds(s, d):
     docs = table(s, d, "documents").select("doc_id", F.concat(F.lit("dir/F"), F.col("doc_id").cast("string"), F.element_at(F.array(*(F.lit(x) for x in (".pmtiles", ".MBTiles", ".torrent", ".txt"))), (F.col("doc_id") % 4 + 1).cast("int"))).alias("path"))
     ruled = A.matched_rules(docs, [("tens", "F*0.pmtiles"), ("tiles", "*.pmtiles"), ("short", "F?.*")])
@@ -186,7 +197,7 @@ def metadata_flags(s, d):
     return e.select("event_id", P.metadata_flag(flag).alias("flag"), P.metadata_encoding(enc).alias("encoding"), f.isNotNull().alias("custom"))
 
 
-QUERIES = (category_list, category_summary, newest_per_category, retention_plan, retirement_plan, catalog_search, publishing_flags, visible_entries, title_filter, catalog_status, engine_merge, stack_resolution, stack_impact, stack_coverage, stack_revisions, adopt_candidates, held_sources, feed_take_until_seen, catalogue_unseen, prune_plan, expected_builds, url_templates, seeding_verdicts, origin_drift, category_edits, engine_peers, name_kinds, catalog_upsert, catalog_ranks, feed_cap, metadata_flags)
+QUERIES = (category_list, category_summary, newest_per_category, retention_plan, retirement_plan, catalog_search, publishing_flags, visible_entries, title_filter, catalog_status, engine_merge, stack_resolution, stack_impact, stack_impact_all, stack_coverage, stack_revisions, adopt_candidates, held_sources, feed_take_until_seen, catalogue_unseen, prune_plan, expected_builds, url_templates, seeding_verdicts, origin_drift, category_edits, engine_peers, engine_peers_all, name_kinds, catalog_upsert, catalog_ranks, feed_cap, metadata_flags)
 
 CAT, PERCAT, FEED = with_views("catalog"), with_views("catalog", "percat"), with_views("feed_items")
 _ORDER = "coalesce(build_date, created_at) DESC, created_at DESC, info_hash"
@@ -245,3 +256,6 @@ SELECT k AS info_hash, concat_ws('; ', CASE WHEN e THEN 'etag' END, CASE WHEN m
     "metadata_flags": """WITH e AS (SELECT event_id, json_extract_string(props, '$.k') AS k, event_type FROM events), f AS (SELECT *, lower(trim(CASE event_id % 3 WHEN 0 THEN ' TRUE' WHEN 1 THEN '0' ELSE k END)) AS t, lower(trim(CASE WHEN event_id % 2 = 0 THEN ' Terrarium' ELSE event_type END)) AS enc FROM e)
 SELECT event_id, CASE WHEN t IN ('true', '1', 'yes') THEN true WHEN t IN ('false', '0', 'no') THEN false END AS flag, CASE WHEN enc IN ('mapbox', 'terrarium', 'custom') THEN enc END AS encoding, try_cast(k AS DOUBLE) IS NOT NULL AND event_id % 4 <> 0 AS custom FROM f""",
 }
+# The same over all entries and all lines.
+ORACLE["stack_impact_all"] = ORACLE["stack_impact"].replace(" WHERE archive % 7 = 0", "").replace(" WHERE p.info_hash % 7 = 0", "")
+ORACLE["engine_peers_all"] = "SELECT l_orderkey AS info_hash, l_suppkey AS peer, CASE WHEN l_linenumber % 2 = 1 THEN 'one' ELSE 'two' END AS engine, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber END AS speed FROM lineitem"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import tiles as T
@@ -53,6 +55,19 @@ def elevation_blur(s, d):
     return _exploded(R.blur(height_tiles(s, d).filter("source_idx = 2"), 0.8))
 
 
+def elevation_resample_all(s, d):
+    return _exploded(R.resample(height_tiles(s, d), 16, "bilinear"), "h", "source_idx")
+
+
+def elevation_parent_all(s, d):
+    h = height_tiles(s, d).withColumns({"levels": F.lit(1), "sub_x": (F.col("tile_id") % 2).cast("int"), "sub_y": F.lit(1)})
+    return _exploded(R.resample_parent(h, "bilinear"), "h", "source_idx")
+
+
+def elevation_blur_all(s, d):
+    return _exploded(R.blur(height_tiles(s, d), 0.8), "h", "source_idx")
+
+
 def elevation_stitch(s, d):
     h = height_tiles(s, d).select("tile_id", (F.col("source_idx") % 2).alias("dx"), F.floor(F.col("source_idx") / 2).cast("int").alias("dy"), "px")
     return _exploded(R.assemble(h, 2, 8))
@@ -90,6 +105,11 @@ def rgba_resample(s, d):
     return c.select("tile_id", F.posexplode(F.arrays_zip("r", "a")).alias("i", "p")).select("tile_id", "i", F.round("p.r", 6).alias("r"), F.round("p.a", 6).alias("a"))
 
 
+def rgba_resample_all(s, d):
+    c = R.resample_layer(_layers(s, d).select("tile_id", "source_idx", "r", "g", "b", "a"), 4)
+    return c.select("tile_id", "source_idx", F.posexplode(F.arrays_zip("r", "a")).alias("i", "p")).select("tile_id", "source_idx", "i", F.round("p.r", 6).alias("r"), F.round("p.a", 6).alias("a"))
+
+
 def shape_segments(s):
     points = [(n, k, i, x, y) for n, rings in SHAPE.items() for k, ring in enumerate(rings) for i, (x, y) in enumerate(ring)]
     return C.segments(s.createDataFrame(points, "shape string, ring int, i int, lon double, lat double"))
@@ -129,7 +149,7 @@ def tile_boxes(s, d):
     return b.select("tile_id", *(F.round(F.col(f"b.{c}"), 6).alias(c) for c in ("min_x", "min_y")), F.col("p.x").alias("px"), F.col("p.dy").alias("dy"))
 
 
-QUERIES = (elevation_encode, elevation_mask_paint, color_mask, elevation_resample, elevation_parent, elevation_blur, elevation_stitch, elevation_merge, stack_answer, rgba_composite, rgba_bytes, rgba_resample, clip_classify, clip_mask, clip_sources, clip_mask_all, clip_sources_all, tile_boxes)
+QUERIES = (elevation_encode, elevation_mask_paint, color_mask, elevation_resample, elevation_parent, elevation_blur, elevation_stitch, elevation_merge, stack_answer, rgba_composite, rgba_bytes, rgba_resample, clip_classify, clip_mask, clip_sources, clip_mask_all, clip_sources_all, elevation_resample_all, elevation_parent_all, elevation_blur_all, rgba_resample_all, tile_boxes)
 
 H = with_views("heights")
 _M = "floor(h * 1000 + 0.5) BETWEEN -5000 AND -4851"
@@ -188,6 +208,11 @@ SELECT tile_id, i, CAST(sum(CASE WHEN (ay > cy) <> (s."by" > cy) AND cx < (bx -
     # The same over all tiles.
     out["clip_mask_all"] = out["clip_mask"].replace(" WHERE z BETWEEN 2 AND 4", "")
     out["clip_sources_all"] = out["clip_sources"].replace(" WHERE z <= 3", "")
+    # The same over all sources.
+    for name in ("elevation_resample", "elevation_parent", "elevation_blur", "rgba_resample"):
+        sql = re.sub(r" WHERE source_idx = \d", "", out[name])
+        sql = sql.replace("g AS (SELECT tile_id,", "g AS (SELECT tile_id, source_idx,").replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3")
+        out[name + "_all"] = re.sub(r"SELECT tile_id, CAST\(y\.o", "SELECT tile_id, source_idx, CAST(y.o", sql).replace("FROM ax GROUP BY 1, 2, 3", "FROM ax GROUP BY 1, 2").replace("r(k) GROUP BY 1, 2, 3)", "r(k) GROUP BY 1, 2)")
     return out
 
 

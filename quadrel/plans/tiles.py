@@ -167,8 +167,8 @@ def watched_rules(s, d):
     return A.matched_rules(files, [("english", "en-*.pmtiles"), ("early", "??-??.*"), ("boxes", "*.mbtiles")]).select("doc_id", "rule")
 
 
-def _snapshots(s, d):
-    e = table(s, d, "events").filter("user_id % 20 < 12")
+def _snapshots(s, d, users="user_id % 20 < 12"):
+    e = table(s, d, "events").filter(users)
     return e.groupBy((F.col("user_id") % 20).alias("info_hash"), F.hour(F.col("ts").cast("timestamp")).alias("cycle")).agg(F.when(F.first(F.col("user_id") % 20) == 5, F.lit(0)).otherwise(F.max("event_id")).alias("mtime"))
 
 
@@ -180,6 +180,14 @@ def never_saved(s, d):
     return A.save_cycles(_snapshots(s, d))[1]
 
 
+def save_cycles_all(s, d):
+    return A.save_cycles(_snapshots(s, d, "true"))[0]
+
+
+def never_saved_all(s, d):
+    return A.save_cycles(_snapshots(s, d, "true"))[1]
+
+
 def disk_use(s, d):
     k = F.col("doc_id")
     files = table(s, d, "documents").select(F.concat(F.element_at(F.array(F.lit(""), F.lit("arch-"), F.lit("x/")), (k % 3 + 1).cast("int")), F.floor(k / 3).cast("string"), F.lit(".part")).alias("name"), F.col("n_chars").alias("size"))
@@ -227,7 +235,7 @@ def counter_maps(s, d):
     return m.select("info_hash", F.to_json("by_status").alias("by_status"))
 
 
-QUERIES = (coverage_union, coverage_overlap, coverage_by_zoom, tile_places, priority_tiles, parent_fallback, child_assembly, tiles_in_bounds, tile_counts, warm_report, shared_domain, box_sides, tile_dedup, tile_runs, content_counts, tile_offsets, clustered_check, passthrough_split, bake_report, bake_remaining, contributor_report, piece_digests, piece_ranges, piece_verify, piece_buckets, distributed_copies, lru_plan, shared_files, import_paths, log_rules, watched_rules, save_cycles, never_saved, disk_use, orphan_files, listing_links, listing_newest, link_reachability, parsed_feed, counter_maps)
+QUERIES = (coverage_union, coverage_overlap, coverage_by_zoom, tile_places, priority_tiles, parent_fallback, child_assembly, tiles_in_bounds, tile_counts, warm_report, shared_domain, box_sides, tile_dedup, tile_runs, content_counts, tile_offsets, clustered_check, passthrough_split, bake_report, bake_remaining, contributor_report, piece_digests, piece_ranges, piece_verify, piece_buckets, distributed_copies, lru_plan, shared_files, import_paths, log_rules, watched_rules, save_cycles, never_saved, save_cycles_all, never_saved_all, disk_use, orphan_files, listing_links, listing_newest, link_reachability, parsed_feed, counter_maps)
 
 AT, Z = with_views("archive_tiles"), with_views("archive_tiles", "zoomed")
 _BOX = "boxes AS (SELECT n_nationkey AS box, n_nationkey * 12.0 - 150 AS west, n_nationkey * 5.0 - 70 AS south, n_nationkey * 12.0 - 150 + 1 + n_nationkey % 7 * 4 AS east, n_nationkey * 5.0 - 70 + 1 + n_nationkey % 5 * 3 AS north FROM nation)"
@@ -293,3 +301,6 @@ SELECT index_url, root || href AS link, min(pos) AS pos FROM y WHERE href LIKE '
     "counter_maps": f"{with_views('tile_requests')}, c AS (SELECT info_hash, status, count(*) AS n FROM tile_requests GROUP BY 1, 2) SELECT info_hash, '{{' || string_agg('\"' || status || '\":' || n, ',' ORDER BY status) || '}}' AS by_status FROM c GROUP BY info_hash",
 }
 ORACLE["listing_newest"] = r"""WITH links AS (""" + ORACLE["listing_links"] + r"""), k AS (SELECT index_url AS source, link, row_number() OVER (PARTITION BY index_url ORDER BY link DESC) AS rank FROM links WHERE regexp_matches(link, '[a-zñéèêçóíäöüß]$')) SELECT source, link, CAST(rank AS INT) AS rank FROM k WHERE rank <= 3"""
+# The same over all users.
+for _name in ("save_cycles", "never_saved"):
+    ORACLE[_name + "_all"] = ORACLE[_name].replace(" WHERE user_id % 20 < 12", "")
