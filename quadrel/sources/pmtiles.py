@@ -214,7 +214,7 @@ def write_archive(payloads: DataFrame, destination: str, header: dict | None = N
     """Write (tile_id, content) rows as one archive on a shared mount.
 
     Tasks own ranges of tile ids in order and write their distinct contents to part files; a content that several ranges
-    hold is stored by the first. The driver then gets directory entries only (some 20 bytes for each run) and joins the parts.
+    hold is stored by the first. The driver then gets a row for each tile, forms the directory and joins the parts.
     """
     spark = payloads.sparkSession
     scratch = scratch or f"{destination}.parts"
