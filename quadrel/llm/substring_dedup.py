@@ -9,8 +9,10 @@ documents only the earliest occurrence can be the first of all, so the others ar
 sends one entry for each window at most, whatever the number of copies. Entries travel packed by bucket of their hash; the
 number of buckets follows the input, so that one bucket fits in a task.
 
-Null texts have no words. A null doc_id ranks before all others. Rows that share a doc_id count as one document: of equal
-positions none is earlier, and what is removed from one is removed from all. Empty tables give empty results; other columns are ignored.
+Each row is cut by its own windows: rows are named by doc_id and a 128-bit hash of their text, so rows of one name have the
+same text and the same cuts. Where rows share a doc_id, a window is earlier by its start alone, and of equal starts none is
+earlier. A null doc_id ranks before all others; among rows without one the hash of their text decides. Null texts have no
+words. Repeated rows are each cut alike. Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WindowHash, flat, key_of, text_batches
+from .common import BATCH_BYTES, NULL_KEY, WindowHash, flat, key_of, text_batches
 
 #: Rows of the sketch, bits of a shard, windows of which one piece of a sketch is made, and windows of a bucket.
 DEPTH, SHARD_BITS, PIECE, BUCKET = 2, 21, 6_000_000, 1_000_000
@@ -116,9 +118,11 @@ def _merger(bits: int):
     return merge
 
 
-#: A blob holds what a batch sends to a bucket of hashes; a row without one is a run of words to remove for sure.
-FOUND = pa.schema([("bucket", pa.int64()), ("blob", pa.binary()), ("doc", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
-LATE = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+#: A blob holds what a batch sends to a bucket of hashes; a row without one is a run of words to remove for sure. `doc` and the two hashes of the text name a row.
+PLACE = [("doc", pa.int64()), ("row", pa.int64()), ("row2", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]
+FOUND = pa.schema([("bucket", pa.int64()), ("blob", pa.binary()), *PLACE])
+LATE = pa.schema(PLACE)
+LATE_SQL = "doc long, row long, row2 long, start int, stop int"
 
 
 def _digests(words: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
@@ -126,34 +130,57 @@ def _digests(words: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b"".join([digest(words[a:b])[:12] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
 
 
-def _pack(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, start: np.ndarray) -> bytes:
-    """Rows in order of document and start, so that these pack to little beside the hashes."""
-    places = np.diff(doc, prepend=0).tobytes() + np.diff(start, prepend=0).astype(np.int32).tobytes()
-    return len(doc).to_bytes(8, "little") + h1.tobytes() + h2.tobytes() + zstandard.ZstdCompressor(level=3).compress(places)
+class _Windows:
+    """Columns of windows: two hashes of their words, and where they are (doc, row, row2, start)."""
 
+    __slots__ = ("h1", "h2", "doc", "row", "row2", "start")
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    n = int.from_bytes(blob[:8], "little")
-    places = zstandard.ZstdDecompressor().decompress(blob[8 + 12 * n :])
-    return np.frombuffer(blob, np.uint64, n, 8), np.frombuffer(blob, np.uint32, n, 8 + 8 * n), np.cumsum(np.frombuffer(places, np.int64, n)), np.cumsum(np.frombuffer(places, np.int32, n, 8 * n), dtype=np.int64)
+    def __init__(self, *columns: np.ndarray):
+        for name, column in zip(self.__slots__, columns, strict=True):
+            setattr(self, name, column)
 
+    def __len__(self) -> int:
+        return len(self.doc)
 
-def _runs(doc: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """The words that windows cover, as runs per document."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + width)])
-    last = np.concatenate([np.flatnonzero(new)[1:], [len(doc)]]) - 1
-    return doc[new], start[new].astype(np.int32), (start[last] + width).astype(np.int32)
+    def take(self, at: np.ndarray) -> _Windows:
+        return _Windows(*(getattr(self, n)[at] for n in self.__slots__))
 
+    def in_place(self) -> _Windows:
+        return self.take(np.lexsort((self.start, self.row2, self.row, self.doc)))
 
-def _first_of(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by hash and place, which rows in it head a group of equal hashes, and which come later than their head."""
-    order = np.lexsort((start, doc, h2, h1))
-    h1, h2, doc, start = h1[order], h2[order], doc[order], start[order]
-    head = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-    of = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
-    return order, head, (doc != doc[of]) | (start != start[of])
+    def pack(self) -> bytes:
+        """Rows in order of place pack to little beside the hashes."""
+        gaps = [np.diff(x, prepend=np.int64(0)).tobytes() for x in (self.doc, self.row, self.row2)]
+        places = b"".join(gaps) + np.diff(self.start, prepend=0).astype(np.int32).tobytes()
+        return len(self).to_bytes(8, "little") + self.h1.tobytes() + self.h2.tobytes() + zstandard.ZstdCompressor(level=3).compress(places)
+
+    @staticmethod
+    def unpack(blob: bytes) -> _Windows:
+        n = int.from_bytes(blob[:8], "little")
+        places = zstandard.ZstdDecompressor().decompress(blob[8 + 12 * n :])
+        names = (np.cumsum(np.frombuffer(places, np.int64, n, 8 * n * k)) for k in range(3))
+        return _Windows(np.frombuffer(blob, np.uint64, n, 8), np.frombuffer(blob, np.uint32, n, 8 + 8 * n), *names, np.cumsum(np.frombuffer(places, np.int32, n, 24 * n), dtype=np.int64))
+
+    def runs(self, width: int) -> tuple[np.ndarray, ...]:
+        """The words that these windows cover, as runs for each row."""
+        w = self.in_place()
+        same = (w.doc[1:] == w.doc[:-1]) & (w.row[1:] == w.row[:-1]) & (w.row2[1:] == w.row2[:-1])
+        new = np.concatenate([[True], ~same | (w.start[1:] > w.start[:-1] + width)])
+        last = np.concatenate([np.flatnonzero(new)[1:], [len(w)]]) - 1
+        return w.doc[new], w.row[new], w.row2[new], w.start[new].astype(np.int32), (w.start[last] + width).astype(np.int32)
+
+    def split(self) -> tuple[_Windows, _Windows]:
+        """(windows that none of these precedes, once for each place; those that start later than an equal one)."""
+        nameless = self.doc == NULL_KEY
+        rank, rank2 = np.where(nameless, self.row, 0), np.where(nameless, self.row2, 0)
+        order = np.lexsort((self.row2, self.row, self.start, rank2, rank, self.doc, self.h2, self.h1))
+        w, rank, rank2 = self.take(order), rank[order], rank2[order]
+        equal = (w.h1[1:] == w.h1[:-1]) & (w.h2[1:] == w.h2[:-1])
+        head = np.concatenate([[True], ~equal])
+        of = np.maximum.accumulate(np.where(head, np.arange(len(w)), 0))
+        late = (w.doc != w.doc[of]) | (rank != rank[of]) | (rank2 != rank2[of]) | (w.start != w.start[of])
+        again = np.concatenate([[False], equal & (w.doc[1:] == w.doc[:-1]) & (w.start[1:] == w.start[:-1]) & (w.row[1:] == w.row[:-1]) & (w.row2[1:] == w.row2[:-1])])
+        return w.take(~late & ~again), w.take(late)
 
 
 def _finder(width: int, bits: int, bucket_bits: int, sketch):
@@ -163,9 +190,9 @@ def _finder(width: int, bits: int, bucket_bits: int, sketch):
         for row, shard, blob in sketch.value:
             part = np.frombuffer(opener.decompress(blob), np.uint8)
             rows[row][shard * (1 << (shard_bits - 3)) :][: len(part)] = part
-        for table in text_batches(batches):
-            digests, docs, starts = [], [], []
-            for doc, text in zip(table["_key"].to_pylist(), table["text"], strict=True):
+        for table in text_batches(batches, limit=BATCH_BYTES // 2):
+            digests, places, starts = [], [], []
+            for *place, text in zip(*(table[c].to_pylist() for c in ("_key", "row", "row2")), table["text"], strict=True):
                 words = flat(text.as_py())
                 first, ends, h = hasher(words)
                 maybe = np.ones(len(h), bool)
@@ -175,25 +202,25 @@ def _finder(width: int, bits: int, bucket_bits: int, sketch):
                 at = np.flatnonzero(maybe)
                 if len(at):
                     digests.append(_digests(words, first[at], ends[at + width - 1]))
-                    docs.append(np.full(len(at), doc, np.int64))
+                    places.append(place)
                     starts.append(at)
             if not digests:
                 continue
             parts = np.frombuffer(b"".join(digests), np.dtype([("a", "<u8"), ("b", "<u4")]))
-            h1, h2, d, s = parts["a"].copy(), parts["b"].copy(), np.concatenate(docs), np.concatenate(starts)
-            order, head, late = _first_of(h1, h2, d, s)
-            if late.any():
-                runs = _runs(d[order[late]], s[order[late]], width)
+            names = np.repeat(np.array(places, np.int64), [len(x) for x in starts], axis=0)
+            own, late = _Windows(parts["a"].copy(), parts["b"].copy(), *map(np.ascontiguousarray, names.T), np.concatenate(starts)).split()
+            del digests, parts, names
+            if len(late):
+                runs = late.runs(width)
                 n = len(runs[0])
-                yield pa.RecordBatch.from_arrays([pa.array(runs[0] & ((1 << bucket_bits) - 1)), pa.nulls(n, pa.binary()), *map(pa.array, runs)], schema=FOUND)
-            own = order[head]
-            bucket = (h1[own] >> np.uint64(64 - bucket_bits)).astype(np.int64)
-            own = own[np.lexsort((s[own], d[own], bucket))]
-            bucket = (h1[own] >> np.uint64(64 - bucket_bits)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(runs[1] & ((1 << bucket_bits) - 1)), pa.nulls(n, pa.binary()), *map(pa.array, runs)], schema=FOUND)
+            own = own.in_place()
+            bucket = (own.h1 >> np.uint64(64 - bucket_bits)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            own, bucket = own.take(order), bucket[order]
             cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(own)]])
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                x = own[i:j]
-                yield pa.RecordBatch.from_pydict({"bucket": [int(bucket[i])], "blob": [_pack(h1[x], h2[x], d[x], s[x])], "doc": [None], "start": [None], "stop": [None]}, FOUND)
+                yield pa.RecordBatch.from_pydict({"bucket": [int(bucket[i])], "blob": [own.take(slice(i, j)).pack()]} | {n: [None] for n, _ in PLACE}, FOUND)
 
     return find
 
@@ -205,15 +232,15 @@ def _resolver(width: int):
 
         def out() -> Iterator[pa.RecordBatch]:
             if held:
-                h1, h2, d, s = map(np.concatenate, zip(*map(_unpack, held), strict=True))
-                order, _, late = _first_of(h1, h2, d, s)
-                if late.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in _runs(d[order[late]], s[order[late]], width)], schema=LATE)
+                parts = [_Windows.unpack(x) for x in held]
+                late = _Windows(*(np.concatenate([getattr(p, n) for p in parts]) for n in _Windows.__slots__)).split()[1]
+                if len(late):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in late.runs(width)], schema=LATE)
 
         for batch in batches:
             sure = batch.filter(pc.is_null(batch.column(1)))
             if sure.num_rows:
-                yield pa.RecordBatch.from_arrays([sure.column(k).cast(LATE.field(k - 2).type) for k in (2, 3, 4)], schema=LATE)
+                yield pa.RecordBatch.from_arrays([sure.column(k).cast(LATE.field(k - 2).type) for k in range(2, 7)], schema=LATE)
             rest = batch.filter(pc.is_valid(batch.column(1)))
             for bucket, blob in zip(rest.column(0).to_pylist(), rest.column(1).to_pylist(), strict=True):
                 if bucket != at:
@@ -256,7 +283,8 @@ def remove_repeats(docs: DataFrame, width: int = 20, max_log2_cells: int = 29) -
         sketch = spark.sparkContext.broadcast([(x.row, x.shard, bytes(x.twice)) for x in merged.collect()])  # 2**max_log2_cells bits a row at most
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    found = docs.select(key_of("doc_id").alias("_key"), "text").mapInArrow(_finder(width, bits, bucket_bits, sketch), "bucket long, blob binary, doc long, start int, stop int")
-    late = found.repartition(max(n, (1 << bucket_bits) // 8), "bucket").sortWithinPartitions("bucket").mapInArrow(_resolver(width), "doc long, start int, stop int")
-    cuts = late.groupBy(F.col("doc").alias("_key")).agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
-    return docs.withColumn("_key", key_of("doc_id")).join(cuts, "_key", "left").select("doc_id", "text", "cuts").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    named = docs.select("doc_id", key_of("doc_id").alias("_key"), F.xxhash64("text").alias("row"), F.xxhash64("text", "text").alias("row2"), "text")
+    found = named.drop("doc_id").mapInArrow(_finder(width, bits, bucket_bits, sketch), f"bucket long, blob binary, {LATE_SQL}")
+    late = found.repartition(max(n, (1 << bucket_bits) // 8), "bucket").sortWithinPartitions("bucket").mapInArrow(_resolver(width), LATE_SQL)
+    cuts = late.groupBy(F.col("doc").alias("_key"), "row", "row2").agg(F.collect_set(F.struct("start", "stop")).alias("cuts"))
+    return named.join(cuts, ["_key", "row", "row2"], "left").select("doc_id", "text", "cuts").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")

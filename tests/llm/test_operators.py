@@ -35,28 +35,73 @@ def words(text):
 
 
 def brute_repeats(rows, width):
+    """Per row, in the order of rows: words, words removed, what is kept. Rows without an id: their text's hash stands in, as in Spark."""
+
+    def place(doc, text, i):
+        return (1, doc, 0, i) if doc is not None else (0, *signed_hashes(text), i)
+
     first = {}
-    for doc, text in sorted(rows, key=lambda r: r[0]):
+    for doc, text in rows:
         w = words(text)
         for i in range(len(w) - width + 1):
-            first.setdefault(tuple(w[i : i + width]), (doc, i))
-    out = {}
+            key, at = tuple(w[i : i + width]), place(doc, text, i)
+            first[key] = min(first.get(key, at), at)
+    out = []
     for doc, text in rows:
         w = words(text)
-        gone = {i + k for i in range(len(w) - width + 1) if first[tuple(w[i : i + width])] < (doc, i) for k in range(width)}
-        out[doc] = (len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))
-    return out
+        gone = {i + k for i in range(len(w) - width + 1) if first[tuple(w[i : i + width])] < place(doc, text, i) for k in range(width)}
+        out.append((doc, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return sorted(out, key=str)
+
+
+def signed_hashes(text):
+    one = xxhash.xxh64_intdigest(text.encode(), 42)
+    two = xxhash.xxh64_intdigest(text.encode(), one)
+    return tuple(x - (x >> 63 << 64) for x in (one, two))
+
+
+def removed(docs, width, **more):
+    return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(docs, width, **more).collect()), key=str)
 
 
 def test_substring_dedup(odd, none):
-    rows = [(r.doc_id, r.text) for r in odd.filter("doc_id is not null").distinct().collect()]
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(odd, 5).collect() if r.doc_id is not None}
-    assert got == brute_repeats(rows, 5)
-    tiny = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(odd, 5, max_log2_cells=12).collect() if r.doc_id is not None}
-    assert tiny == got  # a full sketch costs work, never a repeat
+    want = brute_repeats([(r.doc_id, r.text) for r in odd.collect()], 5)
+    assert removed(odd, 5) == want
+    assert removed(odd, 5, max_log2_cells=12) == want  # a full sketch costs work, never a repeat
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_substring_dedup_shared_and_null_ids(spark):
+    alone = " ".join(f"u{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, RUN), (5, RUN), (5, alone), (5, f"a {RUN}"), (5, RUN), (None, f"n {RUN}"), (None, f"{RUN} m"), (None, f"{RUN} m"), (None, None), (9, alone)], "doc_id long, text string")
+    got = removed(docs, 20)
+    assert got == brute_repeats([tuple(r) for r in docs.collect()], 20)
+    assert (5, 40, 0, alone) in got and (9, 40, 40, "") in got
+    only = docs.filter("doc_id is null or doc_id = 5")
+    assert removed(only, 20) == brute_repeats([tuple(r) for r in only.collect()], 20)
+
+
+def test_extra_columns_with_clashing_names(spark, sf_dir):
+    """Columns that the operators use themselves change no result."""
+    docs = queries.table(spark, sf_dir, "documents").limit(60)
+    names = "_key row row2 cuts key h n norm salt salts hot front low size members score fp node bucket blob spans component_id copies taken target source_size tokens _row".split()
+    clash = docs.select("*", *(F.lit("x").alias(n) for n in names))
+    bench, labels = queries.table(spark, sf_dir, "benchmark"), queries.table(spark, sf_dir, "labels")
+    model = queries.quality_model(docs, labels)
+    same = {
+        "repeats": substring_dedup.remove_repeats, "copies": exact_dedup.mark_copies, "near": simhash_dedup.near_copies, "leaks": lambda d: decontaminate.contaminated(d, bench.withColumn("doc_id", F.lit(1))),
+        "pii": pii.find_pii, "secrets": secrets.find_secrets, "mix": mixing.mixed, "tokens": lambda d: token_rollup.count_tokens(d, queries.VOCABULARY, "v"), "quality": lambda d: quality.scores(d, model).select("doc_id", "score"),
+    }
+    for what, operator in same.items():
+        assert sorted(map(str, operator(clash).collect())) == sorted(map(str, operator(docs).collect())), what
+    pages = queries.table(spark, sf_dir, "pages").limit(40)
+    assert sorted(map(str, html_text.extract(pages.select("*", *(F.lit("x").alias(n) for n in ("host", "path", "text", "salt"))))  .collect())) == sorted(map(str, html_text.extract(pages).collect()))
+    for name, stage in corpus_pipeline.STAGES:
+        got, want = stage(spark, clash, sf_dir), stage(spark, docs, sf_dir)
+        assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(r.doc_id for r in want.select("doc_id").collect()), name
+        assert name == corpus_pipeline.STAGES[-1][0] or got.columns == clash.columns
+
+
 def test_exact_dedup(odd, none):
     want, norm = {}, lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     rows = [(r.doc_id, norm(r.text)) for r in odd.collect()]
