@@ -5,24 +5,33 @@ small network: a pattern offers its words once for each pass over it, each furth
 each source asks for its target. The cheapest flow (shortest augmenting paths) says how many words of a pattern go to which
 source; the driver sees one row for each pattern and source. Documents are then chosen along a seeded order of each pattern:
 copy e of a document is taken if its middle lies within the words that the flow routes, so a pattern's total is right to
-half a document. The order's running sums are taken within hash buckets of a pattern, then over the buckets' sums, so no
-task orders a whole source.
+half a document. Middles rise along the order, so all that a pattern's copies need is the last place that is taken. It is found
+by sums over hash cells of a pattern (as many as its documents ask for), then by ordering the one cell in which it lies; the
+documents themselves are not sorted, shuffled or joined with anything but these places.
+
+The driver holds a number for each membership pattern and source, and solves each connected part of their network by itself. Places
+are broadcast up to `BROADCAST_ROWS` patterns and joined beyond.
 
 Null texts have size 0 and are never taken. A null source is a source of its own, last in order. Documents with equal ids are ordered by size and
-text; repeated rows are interchangeable. An empty table gives an empty result; other columns of the documents are carried along.
+text; rows equal in all three share a place and are taken together, by the middle of them all. A null doc_id is placed by its text.
+An empty table gives an empty result. Of other columns those named in `keep` are carried along; where a column has the name of a result, the result replaces it.
 """
 
 from __future__ import annotations
 
+import math
 from collections import deque
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
-HASH_BITS, BUCKET_BITS = 60, 12
+HASH_BITS = 60
+#: Documents that a cell of the seeded order holds on average, and patterns up to which their places are broadcast.
+CELL_ROWS, BROADCAST_ROWS = 50_000, 200_000
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
@@ -43,6 +52,25 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
     return out
 
 
+def parts(patterns: Iterable[tuple]) -> list[list[tuple]]:
+    """Patterns that share sources, directly or through others, together."""
+    above: dict = {}
+
+    def top(x):
+        while above.setdefault(x, x) != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for p in (patterns := sorted(patterns, key=str)):
+        for s in p[1:]:
+            above[top(s)] = top(p[0])
+    out: dict = {}
+    for p in patterns:
+        out.setdefault(top(p[0]) if p else (), []).append(p)
+    return list(out.values())
+
+
 def cheapest_flow(offers: dict[tuple, float], asks: dict[str | None, float], passes: int) -> dict[tuple, dict[str | None, float]]:
     """Words from each pattern (a tuple of sources) to each source. Pass e over a pattern costs e a word."""
     nodes = ["from", *((("p", p)) for p in sorted(offers, key=str)), *(("s", s) for s in sorted(asks, key=str)), "to"]
@@ -94,43 +122,76 @@ def cheapest_flow(offers: dict[tuple, float], asks: dict[str | None, float], pas
     return flow
 
 
-def with_sizes(docs: DataFrame, members: str | None = None) -> DataFrame:
-    """docs with size in words and members, the sorted distinct sources: of a column that lists them, or the document's one source."""
+def with_sizes(docs: DataFrame, members: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size in words, members (the sorted distinct sources: of a column that lists them, or the document's one source), its place `at` in the seeded order, and the columns in `keep`."""
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
     own = F.array_sort(F.array_distinct(F.col(members))) if members else F.array(F.col("source").cast("string"))
-    return docs.select("*", size, own.alias("members"))
+    return docs.select(*(F.col(c).alias(f"_{c}") for c in keep), F.col("doc_id").cast("long").alias("doc_id"), size, own.alias("members"), F.xxhash64("text").alias("text"))
 
 
-def mix(sized: DataFrame, asks: dict[str | None, float] | None = None, seed: str = "mix", passes: int = 2) -> DataFrame:
-    """sized (from with_sizes) with copies and taken: how often the mix takes the document, and its words times that. asks: a target for each source, targets() of the sizes if None."""
+def _place(seed: str) -> Column:
+    """The seeded order, total but for equal rows."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.col("text").cast("string")))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), name)), 1, HASH_BITS // 4), 16, 10).cast("long")
+    return F.struct(hashed.alias("h"), F.col("doc_id"), F.col("size"), F.col("text"))
+
+
+def plan(sized: DataFrame, asks: dict[str | None, float] | None = None, seed: str = "mix", passes: int = 2) -> tuple[DataFrame, int]:
+    """(m, last): for each pattern the last places that each pass takes, null where it takes none; and the number of patterns. asks: a target for each source, targets() of the sizes if None."""
     spark = sized.sparkSession
-    sums = {tuple(x.members): int(x.words) for x in sized.groupBy("members").agg(F.sum("size").alias("words")).collect()}
+    sums = {tuple(x.members): (int(x.words), int(x.n)) for x in sized.groupBy("members").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).collect()}
     if asks is None:
         alone: dict[str | None, int] = {}
-        for p, n in sums.items():
+        for p, (n, _) in sums.items():
             for s in p:
                 alone[s] = alone.get(s, 0) + n
         asks = targets(alone)
-    flow = cheapest_flow({p: float(n) for p, n in sums.items()}, asks, passes)
-    routed = spark.createDataFrame([(list(p), sums[p], float(sum(f.values()))) for p, f in flow.items()], "m array<string>, pattern_words long, routed double")
-    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, HASH_BITS // 4), 16, 10).cast("long")
-    placed = sized.withColumns({"_h": key, "_b": F.shiftright(key, HASH_BITS - BUCKET_BITS)})
-    part = Window.partitionBy("members", "_b").orderBy("_h", "doc_id", "size", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
-    buckets = placed.groupBy("members", "_b").agg(F.sum("size").alias("words"))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("members").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = buckets.select("members", "_b", before.alias("_base"))  # 2 ** BUCKET_BITS rows for each pattern at most
-    ordered = placed.withColumn("_own", F.coalesce(F.sum("size").over(part), F.lit(0))).join(bases, ["members", "_b"])
-    middle = F.col("_base") + F.col("_own") + F.col("size") / 2
-    copies = sum(((F.lit(e) * F.col("pattern_words") + middle <= F.col("routed")) & (F.col("size") > 0)).cast("int") for e in range(passes))
-    return ordered.join(F.broadcast(routed), F.col("members") == F.col("m")).withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("_h", "_b", "_own", "_base", "m", "pattern_words", "routed")
+    flow: dict[tuple, dict] = {}
+    for part in parts(sums):
+        flow |= cheapest_flow({p: float(sums[p][0]) for p in part}, {s: asks[s] for s in {s for p in part for s in p}}, passes)
+    bits = max(0, math.ceil(math.log2(max([1, *(n for _, n in sums.values())]) / CELL_ROWS)))
+    asked = [(list(p), e, sum(flow[p].values()) - e * sums[p][0]) for p in sums for e in range(passes)]
+    wanted = spark.createDataFrame(asked, "m array<string>, pass int, upto double").filter("upto > 0")
+    cell = F.shiftright(F.col("at.h"), HASH_BITS - bits) if bits else F.lit(0).cast("long")
+    placed = sized.filter("size > 0").select("members", "size", _place(seed).alias("at")).withColumn("cell", cell)
+    cells = placed.groupBy("members", "cell").agg(F.sum("size").alias("words"))  # 2 ** bits rows for each pattern at most
+    cells = cells.withColumn("base", F.sum("words").over(Window.partitionBy("members").orderBy("cell")) - F.col("words"))
+    # The last place lies in the last cell that begins within the words asked for, or is the last of the cell before it.
+    last = cells.join(F.broadcast(wanted) if len(asked) <= BROADCAST_ROWS else wanted, F.col("members") == F.col("m")).filter("base <= upto").groupBy("m", "pass", "upto").agg(F.max_by(F.struct("cell", "base"), "cell").alias("c"))
+    before = last.filter("c.cell > 0").select("m", "pass", "upto", (F.col("c.cell")).alias("under")).join(cells, (F.col("m") == F.col("members")) & (F.col("cell") < F.col("under"))).groupBy("m", "pass", "upto").agg(F.max_by(F.struct("cell", "base"), "cell").alias("c"))
+    edge = last.unionByName(before).select("m", "pass", "upto", "c.cell", "c.base")
+    edge = F.broadcast(edge) if len(asked) <= BROADCAST_ROWS else edge
+    order = Window.partitionBy("m", "pass", "cell").orderBy("at")
+    inside = placed.join(edge.withColumnRenamed("cell", "_cell"), (F.col("members") == F.col("m")) & (F.col("cell") == F.col("_cell"))).withColumns(
+        {"upto_here": F.sum("size").over(order), "equal": F.sum("size").over(Window.partitionBy("m", "pass", "cell", "at"))}
+    )
+    ends = inside.filter(F.col("base") + F.col("upto_here") - F.col("equal") / 2 <= F.col("upto")).groupBy("m", "pass").agg(F.max("at").alias("at"))
+    per = ends.groupBy("m").agg(F.collect_list("at").alias("last"))
+    return per, len(sums)
+
+
+def mix(sized: DataFrame, asks: dict[str | None, float] | None = None, seed: str = "mix", passes: int = 2) -> DataFrame:
+    """sized (from with_sizes) with copies and taken: how often the mix takes the document, and its words times that."""
+    last, patterns = plan(sized, asks, seed, passes)
+    last = stored(last, "places")
+    joined = sized.join(F.broadcast(last) if patterns <= BROADCAST_ROWS else last, F.col("members") == F.col("m"), "left")
+    taken = F.when(F.col("size") > 0, F.size(F.filter(F.col("last"), lambda x: x >= _place(seed)))).otherwise(0)
+    return joined.withColumn("copies", F.greatest(F.lit(0), F.coalesce(taken, F.lit(0)))).withColumn("taken", F.col("copies") * F.col("size")).drop("m", "last")
 
 
 def mixed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Each document with a single source: doc_id, size, source_size, target, copies, taken and the columns in `keep`."""
+    """Each document with a single source: the columns in `keep`, then doc_id, size, source_size, target, copies, taken."""
     spark = docs.sparkSession
-    sized = stored(with_sizes(docs.select("doc_id", "source", "text")).select("doc_id", "members", "size", F.xxhash64("text").alias("text")), "sizes") if not keep else with_sizes(docs)
-    sizes = {x.members[0]: int(x.n) for x in sized.groupBy("members").agg(F.sum("size").alias("n")).collect()}
+    sized = with_sizes(docs, keep=keep)
+    narrow = stored(sized.select("doc_id", "members", "size", "text"), "sizes")
+    sizes = {x.members[0]: int(x.n) for x in narrow.groupBy("members").agg(F.sum("size").alias("n")).collect()}
     asks = targets(sizes)
-    table = spark.createDataFrame([([s], sizes[s], asks[s]) for s in sizes], "m array<string>, source_size long, target double")
-    out = mix(sized, asks).join(F.broadcast(table), F.col("members") == F.col("m"))
-    return out.select("doc_id", "size", "source_size", "target", "copies", "taken", *keep)
+    table = spark.createDataFrame([([s], sizes[s], asks[s]) for s in sizes], "of array<string>, source_size long, target double")
+    last, patterns = plan(narrow, asks)
+    ends = table.join(last, F.col("of") == F.col("m"), "left").select(F.col("of").alias("m"), "source_size", "target", "last")
+    ends = stored(ends, "places")
+    out = (sized if keep else narrow).join(F.broadcast(ends) if patterns <= BROADCAST_ROWS else ends, F.col("members") == F.col("m"))
+    taken = F.when(F.col("size") > 0, F.size(F.filter(F.col("last"), lambda x: x >= _place("mix")))).otherwise(0)
+    out = out.withColumn("copies", F.greatest(F.lit(0), F.coalesce(taken, F.lit(0)))).withColumn("taken", F.col("copies") * F.col("size"))
+    names = {"doc_id", "size", "source_size", "target", "copies", "taken"}
+    return out.select(*(F.col(f"_{c}").alias(c) for c in keep if c.lower() not in names), "doc_id", "size", "source_size", "target", "copies", "taken")
