@@ -314,6 +314,76 @@ def test_tiling():
     assert sum(t[0] for t in decontaminate.tiles(["a"] * 40, ["a"] * 17, 5)) == 17
 
 
+def brute_tiles(item, text, least):
+    used_i, used_j, out = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(text)):
+                k = 0
+                while i + k < len(item) and j + k < len(text) and item[i + k] == text[j + k] and i + k not in used_i and j + k not in used_j:
+                    k += 1
+                if k > best[0]:
+                    best = (k, i, j)
+        if best[0] < least:
+            return out
+        k, i, j = best
+        used_i |= set(range(i, i + k))
+        used_j |= set(range(j, j + k))
+        out.append(best)
+
+
+def test_tiling_against_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        letters = list("abcdefgh"[: rng.integers(1, 9)])
+        item, text = rng.choice(letters, rng.integers(0, 30)).tolist(), rng.choice([*letters, None], rng.integers(0, 60)).tolist()
+        got = decontaminate.tiles(item, text, 2)
+        want = brute_tiles(item, [object() if x is None else x for x in text], 2)
+        assert got == want, (item, text)
+
+
+def plain_words(text):
+    return re.sub(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]", " ", (text or "").lower()).split(" ")
+
+
+def test_decontamination_against_brute_force(spark, sf_dir):
+    """All documents against all items: every shared run of five words is a candidate, tiled by brute force."""
+    docs, bench = queries.table(spark, sf_dir, "documents"), queries.table(spark, sf_dir, "benchmark")
+    items = {r.item_id: [w for w in plain_words(r.text) if w] for r in bench.collect()}
+    want = {}
+    for r in docs.collect():
+        w = [x for x in plain_words(r.text.replace("\n", " ").replace("\t", " ")) if x]
+        seeds = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        for k, item in items.items():
+            own = {i + d for i in range(len(item) - 4) if tuple(item[i : i + 5]) in seeds for d in range(5)}
+            if len(own) >= 0.6 * len(item):
+                n = sum(t[0] for t in brute_tiles(item, w, 5))
+                if n >= 0.6 * len(item):
+                    want[r.doc_id, k] = round(n / len(item), 9)
+    assert want and {(r.doc_id, r.item_id): round(r.coverage, 9) for r in queries.op5_decontaminate(spark, sf_dir).collect()} == want
+
+
+def test_decontamination_of_repetitive_and_long_texts():
+    import time
+
+    began = time.time()
+    seeds = decontaminate._Seeds([(1, "spam " * 1000), (2, " ".join(f"x{i}" for i in range(1000)))], 5)
+    found = list(seeds.matches("spam " * 20000 + LONG, 0.6))
+    assert [(k, c, n) for k, c, n in found] == [(1, 1.0, 1)] and time.time() - began < 20
+
+
+def test_short_items_and_shared_ids(spark):
+    item = " ".join(f"q{i}" for i in range(24))
+    docs = spark.createDataFrame([(None, f"see {item}", "x"), (1, "clean words only here", "x"), (1, item, "x"), (2, "the rare Quux, Frobnitz", "x"), (2, "quux of frobnitz", "x"), (3, None, "x"), (3, None, "x")], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([(7, item), (8, "Quux Frobnitz!"), (9, "...")], "item_id long, text string")
+    found = sorted((r.doc_id or -1, r.item_id) for r in decontaminate.contaminated(docs, bench).collect())
+    assert found == [(-1, 7), (1, 7), (2, 8)]
+    for chars in (8 << 20, 50):
+        clean = decontaminate.uncontaminated(docs, bench, block_chars=chars)
+        assert clean.columns == docs.columns and sorted(map(str, ((r.doc_id, r.text) for r in clean.collect()))) == sorted(map(str, [(1, "clean words only here"), (2, "quux of frobnitz"), (3, None), (3, None)]))
+
+
 def test_decontamination(spark, odd, none):
     item = " ".join(f"q{i}" for i in range(24))
     parts = item.split()
