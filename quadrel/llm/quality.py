@@ -24,6 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import flat, text_batches
 
@@ -122,7 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, piece: int =
 
 
 def scores(docs: DataFrame, model: Scorer | float) -> DataFrame:
-    """The columns of docs and score (0 to 1; higher: good is likelier)."""
+    """The columns of docs and score (0 to 1; higher: good is likelier), which replaces a column of that name."""
+    docs = docs.drop("score")
     if isinstance(model, float):
         return docs.withColumn("score", F.lit(model))
     held = docs.sparkSession.sparkContext.broadcast((model.dictionaries, model.piece, model.weights))
@@ -133,4 +135,19 @@ def scores(docs: DataFrame, model: Scorer | float) -> DataFrame:
             s = pa.array([scorer.score(t.as_py()) for t in table["text"]], pa.float64())
             yield from table.append_column("score", s).combine_chunks().to_batches()
 
-    return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", score double")
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField("score", DoubleType())]))
+
+
+def accepted(docs: DataFrame, model: Scorer | float, least: float) -> DataFrame:
+    """The rows of docs, with all their columns, that score `least` or more."""
+    if isinstance(model, float):
+        return docs if model >= least else docs.limit(0)
+    held = docs.sparkSession.sparkContext.broadcast((model.dictionaries, model.piece, model.weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*held.value)
+        for table in text_batches(batches):
+            good = pa.array([scorer.score(t.as_py()) >= least for t in table["text"]], pa.bool_())
+            yield from table.filter(good).combine_chunks().to_batches()
+
+    return docs.mapInArrow(run, docs.schema)

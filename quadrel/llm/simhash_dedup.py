@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from .common import NULL_KEY, WindowHash, flat, key_of, stored, text_batches
 from .graph import components
@@ -350,27 +351,50 @@ def _dealt(rows: DataFrame, key: str, most: int) -> DataFrame:
     return met.select(name.alias(key), *(c for c in rows.columns if c != key))
 
 
-def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, shard_rows: int = 200_000, group_rows: int = 20_000) -> DataFrame:
-    """One row for each document: doc_id, component_id (smallest doc_id of the texts that links reach). Sets of shingles are named by 64-bit hashes in the links."""
+def _sketches(docs: DataFrame, width: int, keep: bool) -> DataFrame:
+    """Written rows with own (the columns of docs, if kept), row, key, node, fp, shards and shingles. Row numbers are given once, where the rows are written."""
+    rows = docs.select(F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if keep and c != "text"), F.col("doc_id").cast("long").alias("doc_id")).alias("own"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WindowHash(width)
         for table in text_batches(batches):
             fp, shards, sets = zip(*(wide_fingerprint(t.as_py(), hasher) for t in table["text"]), strict=True)
-            yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), pa.array(fp, pa.binary()), pa.array(shards, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["doc_id", "fp", "shards", "shingles"])
+            for name, column in (("fp", pa.array(fp, pa.binary())), ("shards", pa.array(shards, pa.list_(pa.int64()))), ("shingles", pa.array(sets, pa.binary()))):
+                table = table.append_column(name, column)
+            yield from (table if keep else table.drop_columns(["text"])).combine_chunks().to_batches()
+
+    own = rows.schema if keep else StructType([rows.schema["own"]])
+    sketched = rows.mapInArrow(run, StructType([*own, StructField("fp", BinaryType()), StructField("shards", ArrayType(LongType())), StructField("shingles", BinaryType())]))
+    return stored(sketched.withColumns({"row": F.monotonically_increasing_id(), "key": F.coalesce("own.doc_id", F.lit(NULL_KEY)), "node": F.xxhash64("shingles")}), "sketches")
 
-    sketched = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp binary, shards array<long>, shingles binary")
-    each = stored(sketched.withColumns({"key": key_of("doc_id"), "node": F.xxhash64("shingles")}), "sketches")
+
+def _similar(each: DataFrame, similarity: float, shard_rows: int, group_rows: int) -> DataFrame:
+    """(node, root) of the sets of shingles that links of that similarity join."""
     radius = radius_of(similarity)
     by_shard = _dealt(each.select(F.explode("shards").alias("shard"), "node", "fp").distinct(), "shard", shard_rows)
     proposed = by_shard.repartition("shard").sortWithinPartitions("shard").mapInArrow(_proposer(radius), "group long, node long")
     groups = _dealt(stored(proposed.distinct(), "groups"), "group", group_rows)
     wanted = each.join(groups.select("node").distinct(), "node", "left_semi").select("node", "fp", "shingles").dropDuplicates(["node"])
     by_group = groups.join(wanted, "node").select("group", "node", "fp", "shingles")
-    links = by_group.repartition("group").sortWithinPartitions("group").mapInArrow(_tester(radius, similarity), "a long, b long")
-    member = components(links)
+    return components(by_group.repartition("group").sortWithinPartitions("group").mapInArrow(_tester(radius, similarity), "a long, b long"))
+
+
+def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, shard_rows: int = 200_000, group_rows: int = 20_000) -> DataFrame:
+    """One row for each document: doc_id, component_id (smallest doc_id of the texts that links reach). Sets of shingles are named by 64-bit hashes in the links."""
+    each = _sketches(docs, width, keep=False)
+    member = _similar(each, similarity, shard_rows, group_rows)
     low = each.groupBy("node").agg(F.min("key").alias("low"))
     named = low.join(member, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     ids = stored(named.groupBy("root").agg(F.min("low").alias("component")), "ids")  # written, so that the join below may split a large component
     of = named.select("node", "root").join(ids, "root").select("node", "component")
-    return each.select("doc_id", "node").join(of, "node").select("doc_id", F.when(F.col("component") != F.lit(NULL_KEY), F.col("component")).alias("component_id"))
+    return each.select("own.doc_id", "node").join(of, "node").select("doc_id", F.when(F.col("component") != F.lit(NULL_KEY), F.col("component")).alias("component_id"))
+
+
+def first_of_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, shard_rows: int = 200_000, group_rows: int = 20_000) -> DataFrame:
+    """The rows of docs, with all their columns, that are the first of their similar texts: by doc_id (null first), of equal ids any one. Rows are told apart by numbers of their own, not by ids."""
+    each = _sketches(docs, width, keep=True)
+    member = _similar(each, similarity, shard_rows, group_rows)
+    low = each.groupBy("node").agg(F.min(F.struct("key", "row")).alias("low"))
+    first = low.join(member, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("low").alias("low"))
+    kept = each.join(first.select(F.col("low.row").alias("row")), "row", "left_semi")
+    return kept.select(*(F.col("text") if c == "text" else F.col(f"own.c{k}").alias(c) for k, c in enumerate(docs.columns)))

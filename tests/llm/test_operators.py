@@ -499,6 +499,102 @@ def test_query(name, compare):
     compare(queries.queries()[name], queries.oracle_sql()[name])
 
 
+@pytest.fixture(scope="module")
+def shared(spark, sf_dir):
+    """A leak, a near copy and an exact copy without an id; clean rows that share their ids; empty texts; columns with the stages' own names."""
+    rng = np.random.default_rng(12)
+    base = rng.choice([f"v{i}" for i in range(3000)], 300).tolist()
+    near = [*base[:-4], "other", "end", "of", "it"]
+    item = queries.table(spark, sf_dir, "benchmark").first().text
+    rows = [
+        (None, f"see {item} here"), (7, f"{item} again"), (7, "a clean row that shares the id of a leak and stays"), (3, " ".join(base)), (8, " ".join(near)), (8, "a clean row that shares the id of a near copy"),
+        (None, "twice the same"), (9, "twice  the\nsame"), (9, "another row of nine"), (None, ""), (2, None), (5, "one text"), (5, "one text"),
+    ]
+    return spark.createDataFrame([(*r, "en", "s", "x", "y", 1.0) for r in rows], "doc_id long, text string, lang string, source string, size string, row string, score double")
+
+
+def kept_by(stage, spark, docs, sf_dir):
+    got = stage(spark, docs, sf_dir)
+    assert set(docs.columns) <= set(got.columns)
+    return sorted(((r.doc_id, " ".join(words(r.text))) for r in got.collect()), key=str)
+
+
+def test_stages_on_shared_and_null_ids(spark, shared, sf_dir):
+    stages, every = dict(corpus_pipeline.STAGES), sorted(((r.doc_id, " ".join(words(r.text))) for r in shared.collect()), key=str)
+    without = lambda *gone: [x for x in every if x not in gone]
+    item = " ".join(words(queries.table(spark, sf_dir, "benchmark").first().text))
+    assert kept_by(stages["benchmark decontamination"], spark, shared, sf_dir) == without((None, f"see {item} here"), (7, f"{item} again"))
+    near = next(x for x in every if x[0] == 8 and x[1].endswith("end of it"))
+    want = without(near, (7, f"{item} again"), (9, "twice the same"), (2, ""), (5, "one text"))
+    assert kept_by(stages["simhash near-dedup"], spark, shared, sf_dir) == sorted([*want, (5, "one text")], key=str)
+    want = without((9, "twice the same"), (2, ""), (5, "one text"))
+    assert kept_by(stages["exact dedup"], spark, shared, sf_dir) == sorted([*want, (5, "one text")], key=str)
+    judged = kept_by(stages["quality classifier"], spark, shared, sf_dir)
+    model = queries.quality_model(shared, queries.table(spark, sf_dir, "labels"))
+    score = {r.text: r.score for r in quality.scores(shared, model).collect()}
+    assert judged == sorted(((r.doc_id, " ".join(words(r.text))) for r in shared.collect() if score[r.text] >= queries.LEAST_QUALITY), key=str)
+    mixed = stages["mixing sources"](spark, shared, sf_dir)
+    assert mixed.columns == ["doc_id", "text", "lang", "source", "row", "score", "size", "target", "copies", "taken"]
+    rows = mixed.collect()
+    assert all(r.size == len(words(r.text)) and r.taken == r.copies * r.size <= 2 * r.size for r in rows)
+    assert abs(sum(r.taken for r in rows) - rows[0].target) <= 300
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, shared.limit(0), sf_dir).count() == 0
+
+
+def brute_mix(rows, weights=(5, 2, 1)):
+    """Copies of each (doc_id, source, text) by ordering every source's documents."""
+    size = {r[0]: len(words(r[2])) for r in rows}
+    names = sorted({r[1] for r in rows})
+    total = {s: sum(size[r[0]] for r in rows if r[1] == s) for s in names}
+    target = mixing.targets(total)
+    out = {}
+    for s in names:
+        own = sorted((int(hashlib.md5(f"mix:{r[0]}".encode()).hexdigest()[:15], 16), r[0]) for r in rows if r[1] == s)
+        before = 0
+        for _, d in own:
+            out[d] = sum(size[d] > 0 and e * total[s] + before + size[d] / 2 <= target[s] for e in range(2))
+            before += size[d]
+    return out
+
+
+def test_pipeline_stages_against_brute_force(spark, sf_dir):
+    docs = queries.table(spark, sf_dir, "documents")
+    rows = [(r.doc_id, r.source, r.text) for r in docs.collect()]
+    got = {r.doc_id: r.copies for r in corpus_pipeline.source_mix(spark, docs, sf_dir).collect()}
+    assert got == {d: c for d, c in brute_mix(rows).items() if c}
+    sets = {}
+    for d, _, text in rows:
+        w = words((text or "").encode().lower().decode())
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+    of = {}
+    for d, s in sets.items():
+        for x in s:
+            of.setdefault(x, []).append(d)
+    root = {d: d for d in sets}
+    for a, b in {(a, b) for ds in of.values() for a in ds for b in ds if a < b}:
+        if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            low, high = sorted((root[a], root[b]))
+            root = {d: low if r == high else r for d, r in root.items()}
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, sf_dir).collect()) == sorted(set(root.values()))
+
+
+def test_mixing_cells_and_overlaps(spark, monkeypatch):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 50).cast("int")).alias("text"))
+    whole = sorted(map(tuple, mixing.mixed(docs).collect()))
+    both = docs.withColumn("tags", F.when(F.col("doc_id") % 2 == 0, F.array("source", F.lit("extra"))).otherwise(F.array("source")))
+    asks = {"s0": 9000.0, "s1": 20000.0, "s2": 12000.0, "extra": 15000.0}
+    overlapping = sorted(map(str, mixing.mix(mixing.with_sizes(both, "tags"), asks).collect()))
+    for rows in (100, 1):
+        monkeypatch.setattr(mixing, "CELL_ROWS", rows)
+        assert sorted(map(tuple, mixing.mixed(docs).collect())) == whole
+        assert sorted(map(str, mixing.mix(mixing.with_sizes(both, "tags"), asks).collect())) == overlapping
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, mixing.mixed(docs).collect())) == whole
+    taken = mixing.mix(mixing.with_sizes(both, "tags"), asks).agg(F.sum("taken")).first()[0]
+    assert abs(taken - sum(asks.values())) <= 6 * 50
+
+
 def test_pipeline(spark, sf_dir):
     docs = queries.table(spark, sf_dir, "documents")
     assert [n for n, _ in corpus_pipeline.STAGES][1] == "exact dedup" and len(corpus_pipeline.STAGES) == 5
