@@ -1,10 +1,18 @@
 """Operator 7. Main text of pages by consensus of a host's pages.
 
 Each page's containers are scored: a block of text counts in full for the element that holds it, by half for the next
-outer one and so on; text of links and of furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments)
-counts nothing. The best container's path, generalised to tags and class names without numbers, gets the page's score as a
-vote; Spark sums the votes by host and path, and pages are extracted again at their host's winning path. A page without
-an element at that path uses its own best container.
+outer one and so on; text of links and of furniture counts nothing. The best container's path, generalised to tags and class
+names without numbers, gets the page's score as a vote; Spark sums the votes by host and path, and pages are extracted again at
+their host's winning path. A page without an element at that path uses its own best container.
+
+Furniture is what the elements and roles for it hold (menus, footers, asides, forms and their fields, dialogs, scripts, styles, the head; a
+header outside the article), what is hidden from all readers, and what class names or ids say is menu, advert, notice, reader comment and the
+like. Names are evidence by degree: a name made only of such words and of neutral parts ("comment-list", "ad_box2") decides for a block element; one
+that mixes them with other words ("related-work") counts only if most of the element's text is links. Names of inline elements, of
+anything in preformatted text, and of the containers that hold the article say nothing. All else is kept: formulas,
+captions, fallbacks of objects, text of drawings.
+
+Memory and time are in proportion to the page: elements know their parents by number, paths are folded into hashes and written out for winners only.
 
 The winners (a row for each host) are broadcast up to `broadcast_bytes`. Where they are more, pages meet them by host, and a host
 with more pages than its share of a partition is dealt to several partitions by a salt, with a copy of its winner in each.
@@ -19,133 +27,215 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, text_batches
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[^<>]*>|[^<]++|<""", re.S)
+#: The same without quotes, for pages on which quotes don't end.
+BARE = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>[^<>]*)>|<[^<>]*>|[^<]++|<""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-#: Fixed lists of HTML's elements and of words that name furniture.
+#: Fixed lists of HTML's elements and of words that name furniture. Text of RAW elements is no markup.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math select option datalist canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn del em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-FURNITURE = frozenset("nav footer aside form button menu dialog head".split()) | RAW
-CLOSES = {"p": frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
-SCOPES = frozenset("article aside body div main section table ul ol nav header footer form blockquote td html".split())
+RAW = frozenset("script style template textarea title iframe noembed noframes".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i ins kbd label map mark math noscript object picture q rp rt ruby s samp small span strike strong sub sup svg time tt u var video".split())
+INLINE |= frozenset("mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mspace mstyle mpadded mphantom menclose merror semantics annotation g text tspan path circle rect line use defs".split())
+FURNITURE = frozenset("nav footer aside form button menu dialog head select datalist".split()) | RAW
+#: Which open element a start tag ends.
+CLOSED = {t: ("p",) for t in "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()} | {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+SCOPES = frozenset("article aside body div main section table ul ol dl nav header footer form blockquote td th html".split())
+HOLDERS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li ul ol dl dt dd tr td th tbody thead table figure figcaption".split())
 WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification outbrain pager pagination popup promo promoted recommended related replies reply respond share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe taboola toolbar widget".split()
+    "ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices outbrain pager pagination popup promo promoted recommended related replies respond share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe taboola toolbar".split()
 )
+NEUTRAL = frozenset("a all area bar block bottom box button buttons center column container content footer form global header inner item items left link links list main middle mini mobile outer panel primary right row secondary section side site slot space text the thread top unit widget wrap wrapper zone".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 
 
 class _Element:
-    __slots__ = ("tag", "path", "out", "link", "score", "kept")
+    __slots__ = ("above", "tag", "name", "path", "out", "link", "block", "weak", "held", "score", "text", "linked")
+
+    def __init__(self, above: int, tag: str, name: str, path: int, out: bool, link: bool, block: int, weak: bool, held: bool):
+        self.above, self.tag, self.name, self.path, self.out, self.link, self.block, self.weak, self.held = above, tag, name, path, out, link, block, weak, held
+        self.score = self.text = self.linked = 0
+
 
-    def __init__(self, tag: str, path: str, out: bool, link: bool):
-        self.tag, self.path, self.out, self.link, self.score, self.kept = tag, path, out, link, 0, None
+@cache
+def _named(names: str) -> int:
+    """What class names or an id say: 2 furniture, 1 perhaps, 0 nothing."""
+    degree = 0
+    for name in names.split():
+        parts = [x for x in re.split(r"[^a-z]+", re.sub(r"([a-z0-9])([A-Z])", r"\1-\2", name).lower()) if x]
+        if WORDS & set(parts):
+            degree = max(degree, 2 if all(p in WORDS or p in NEUTRAL for p in parts) else 1)
+    return degree
 
 
-def _furniture(tag: str, attributes: dict[str, str], inside: bool) -> bool:
-    if tag in FURNITURE or tag == "header" and not inside or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
-    if attributes.get("role", "") in ROLES or re.search(r"display\s*:\s*none", attributes.get("style", "")):
-        return True
-    if tag in ("html", "body", "main", "article"):
-        return tag == "article" and bool(WORDS & set(re.split(r"[^a-z]+", attributes.get("class", "").lower())))
-    return bool(WORDS & set(re.split(r"[^a-z]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())))
+def _furniture(tag: str, attributes: dict[str, str], article: bool) -> int:
+    """2: yes, 1: only if it is mostly links, 0: no."""
+    if tag in FURNITURE or tag == "header" and not article or "hidden" in attributes or attributes.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", attributes.get("style", "")):
+        return 2
+    if tag in INLINE or tag in ("html", "body", "main"):
+        return 0
+    return _named(attributes.get("class", "")) if tag == "article" else max(_named(attributes.get("class", "")), _named(attributes.get("id", "")))
 
 
-def read(html: str) -> tuple[list[tuple[tuple[_Element, ...], str]], list[_Element]]:
-    """Blocks of text outside furniture, each with the elements around it, and all elements."""
-    root = _Element("", "", False, False)
-    stack, elements, blocks, held, at = [root], [root], [], [], 0
+def _step(path: int, name: str) -> int:
+    return xxhash.xxh3_64_intdigest(name.encode("utf-8", "surrogatepass"), path)
+
+
+def read(html: str) -> tuple[list[tuple[int, str, int]], list[_Element]]:
+    """Blocks of text outside sure furniture (the element around it, the text, how much of it is links), and all elements, each after its parent."""
+    elements, stack, blocks, held = [_Element(0, "", "", 0, False, False, 0, False, False)], [0], [], []
+    open_: Counter = Counter()
+    at, pattern, broken = 0, TOKEN, 0
 
     def flush() -> None:
-        text = " ".join(unescape("".join(held)).split())
-        held.clear()
+        text = " ".join("".join(piece for piece, _ in held).split())
         if text:
-            around = tuple(e for e in stack if e.tag not in INLINE)
-            blocks.append((around, text))
-            if not any(e.link for e in stack):
-                n = len(text)
-                for e in [e for e in around if e.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "li", "ul", "ol", "dl", "dt", "dd", "tr", "td", "th", "tbody", "thead", "table", "figure", "figcaption")][::-1]:
-                    e.score += n
-                    n //= 2
+            linked = sum(len(" ".join(piece.split())) for piece, link in held if link)
+            blocks.append((elements[stack[-1]].block, text, min(linked, len(text))))
+        held.clear()
 
     def close(n: int) -> None:
         while len(stack) > n:
-            stack.pop()
+            open_[elements[stack.pop()].tag] -= 1
 
     while at < len(html):
-        m = TOKEN.match(html, at)
-        at = m.end()
+        m = pattern.match(html, at)
         tag = m["tag"]
         if tag is None:
-            if m[0][0] != "<" or m[0] == "<":
-                if not stack[-1].out:
-                    held.append(m[0])
+            top = elements[stack[-1]]
+            if (m[0][0] != "<" or m[0] == "<") and not top.out:
+                held.append((unescape(m[0]), top.link))
+            if m[0][0] == "<" and html[at + 1 : at + 2].isalpha():
+                broken += 1
+                pattern = BARE if broken > 16 else TOKEN
+            at = m.end()
             continue
+        at = m.end()
         tag = tag.lower()
         if m["end"]:
             if tag not in INLINE:
                 flush()
-            for n in range(len(stack) - 1, 0, -1):
-                if stack[n].tag == tag:
-                    close(n)
-                    break
-                if tag in INLINE and stack[n].tag not in INLINE:
-                    break
+            if open_[tag] > 0:
+                for n in range(len(stack) - 1, 0, -1):
+                    now = elements[stack[n]].tag
+                    if now == tag:
+                        close(n)
+                        break
+                    if tag in INLINE and now not in INLINE:
+                        break
             continue
-        if tag not in INLINE:
-            flush()
         if tag in VOID:
+            if tag in ("br", "hr"):
+                flush()
             continue
-        for n in range(len(stack) - 1, 0, -1):
-            if tag in CLOSES.get(stack[n].tag, ()):
-                close(n)
-                break
-            if stack[n].tag in SCOPES:
-                break
-        attributes = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m["rest"] or "")}
-        up = stack[-1]
-        names = ".".join(sorted({x for c in attributes.get("class", "").lower().split() if (x := re.sub(r"[-_]?\d+", "", c))}))
-        path = up.path if tag in INLINE else f"{up.path}>{tag}{'.' + names if names else ''}"
-        element = _Element(tag, path, up.out or _furniture(tag, attributes, any(e.tag in ("article", "main") for e in stack)), up.link or tag == "a")
+        if tag not in INLINE:
+            flush()
+        ended = CLOSED.get(tag, ())
+        if any(open_[t] > 0 for t in ended):
+            outermost = None  # a row ends its last cell too
+            for n in range(len(stack) - 1, 0, -1):
+                now = elements[stack[n]].tag
+                if now in ended:
+                    outermost = n
+                elif now in SCOPES or outermost is not None:
+                    break
+            if outermost is not None:
+                close(outermost)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
-        if m[0].endswith("/>") and tag not in INLINE and tag not in SCOPES and tag != "p":
+        up = elements[stack[-1]]
+        out, weak, name, path = up.out, False, "", up.path
+        if not out:
+            attributes = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m["rest"] or "")}
+            article = open_["article"] > 0 or open_["main"] > 0
+            degree = 0 if open_["pre"] > 0 else _furniture(tag, attributes, article)
+            out, weak = degree == 2, degree == 1
+            if tag not in INLINE:
+                names = ".".join(sorted({x for c in attributes.get("class", "").lower().split() if (x := re.sub(r"[-_]?\d+", "", c))}))
+                name = f"{tag}{'.' + names if names else ''}"
+                path = _step(up.path, name)
+        if m[0].endswith("/>") and (tag in ("svg", "math") or open_["svg"] > 0 or open_["math"] > 0):
             continue
-        stack.append(element)
-        elements.append(element)
+        own = len(elements)
+        elements.append(_Element(stack[-1], tag, name, path, out, up.link or tag == "a", own if tag not in INLINE else up.block, weak, tag in HOLDERS))
+        stack.append(own)
+        open_[tag] += 1
     flush()
     return blocks, elements
 
 
-def best(elements: list[_Element]) -> _Element:
-    return max(elements, key=lambda e: e.score)  # of equals the outermost
+def judged(html: str) -> tuple[list[tuple[int, str]], list[_Element]]:
+    """Blocks outside furniture, each with the element around it, and the elements with their scores."""
+    blocks, elements = read(html)
+    if any(e.weak for e in elements):
+        for k, text, link in blocks:
+            elements[k].text += len(text)
+            elements[k].linked += link
+        for e in elements[:0:-1]:
+            up = elements[e.above]
+            up.text += e.text
+            up.linked += e.linked
+        for e in elements[1:]:
+            e.out = elements[e.above].out or e.weak and 2 * e.linked > e.text
+    for k, text, link in blocks:
+        n = 0 if elements[k].out else len(text) - link
+        while n:
+            if not elements[k].held:
+                elements[k].score += n
+                n //= 2
+            if not k:
+                break
+            k = elements[elements[k].above].block
+    return [(k, text) for k, text, _ in blocks if not elements[k].out], elements
+
+
+def best(elements: list[_Element]) -> int:
+    return max(range(len(elements)), key=lambda k: elements[k].score)  # of equals the outermost
+
+
+def path_of(elements: list[_Element], k: int) -> str:
+    names = []
+    while k:
+        names.append(elements[k].name)
+        k = elements[k].above
+    return "".join(f">{n}" for n in reversed(names) if n)
 
 
 def main_text(html: str, path: str | None) -> str:
-    blocks, elements = read(html)
-    if path is not None and any(e.path == path and e.score for e in elements):
-        return " ".join(t for around, t in blocks if any(e.path == path for e in around))
-    top = best(elements)
-    return " ".join(t for around, t in blocks if top in around)
+    blocks, elements = judged(html)
+    inside = [False] * len(elements)
+    if path is not None:
+        wanted = 0
+        for name in path.split(">")[1:]:
+            wanted = _step(wanted, name)
+        inside = [e.path == wanted and e.score > 0 and e.block == k for k, e in enumerate(elements)]
+    if not any(inside):
+        inside[best(elements)] = True
+    for k, e in enumerate(elements):
+        inside[k] = inside[k] or bool(k) and inside[e.above]
+    return " ".join(text for k, text in blocks if inside[k])
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     score, pages = Counter(), Counter()
     for table in text_batches(batches, "html"):
         for host, html in zip(table["host"].to_pylist(), table["html"], strict=True):
-            top = best(read(html.as_py() or "")[1])
-            score[host, top.path] += top.score
-            pages[host, top.path] += 1
+            elements = judged(html.as_py() or "")[1]
+            top = best(elements)
+            path = path_of(elements, top)
+            score[host, path] += elements[top].score
+            pages[host, path] += 1
     if pages:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in ([k[0] for k in pages], [k[1] for k in pages], [score[k] for k in pages], list(pages.values()))], names=["host", "path", "score", "pages"])
 

@@ -1,6 +1,7 @@
 """Corpus operators against brute force, on edge cases, and on held-out labels."""
 
 import hashlib
+import html
 import re
 import zlib
 
@@ -453,8 +454,11 @@ def test_extraction(spark, sf_dir, none):
     assert html_text.main_text(page, None) == "Tést One two three. Four < five & six"
     pages = queries.table(spark, sf_dir, "pages")
     docs = {" ".join(r.text.split()) for r in queries.table(spark, sf_dir, "documents").collect()}
-    for r in html_text.extract(pages).collect():
-        assert any(d and r.text.endswith(d) for d in docs)
+    heads = {r.page_id: " ".join(html.unescape(re.search("<h1>(.*?)</h1>", r.html, re.S)[1]).split()) for r in pages.collect()}
+    got = queries.op7_html_text(spark, sf_dir).collect()
+    assert len(got) == len(heads)
+    for r in got:  # the whole article: its heading, then a whole document
+        assert r.text.startswith(heads[r.page_id]) and r.text[len(heads[r.page_id]) :].strip() in docs and r.n_chars == len(r.text)
     odd = spark.createDataFrame([(1, None, None), (2, "x", ""), (3, "http://h/", "<p>only<p>this"), (3, "http://h/", "<p>only<p>this"), (4, None, "plain < text")], "page_id long, url string, html string")
     got = sorted((r.page_id, r.text) for r in html_text.extract(odd).collect())
     assert got == [(1, ""), (2, ""), (3, "only this"), (3, "only this"), (4, "plain < text")]
@@ -464,6 +468,34 @@ def test_extraction(spark, sf_dir, none):
         assert sorted(map(str, salted.collect())) == sorted(map(str, html_text.extract(frame).collect()))
 
 
+def test_extraction_keeps_what_is_no_furniture():
+    text = lambda x: html_text.main_text(x, None)
+    assert text("<p>Let <math><mi>x</mi></math> be") == "Let x be"
+    assert text("foo<img>bar<wbr>baz<br>end") == "foobarbaz end"
+    assert text("<p>a<noscript>b</noscript><object>c</object><svg><text>d</text><path d=''/></svg>e") == "abcde"
+    assert text("<p>1 &am<b>p;2</b> &amp;lt; &#233;") == "1 &amp;2 &lt; é"
+    article = "<body><div class='top-menu'>menu</div><article><p>The long first paragraph of the article.</p>{}<p>And the second one.</p></article></body>"
+    whole = "The long first paragraph of the article. {}And the second one."
+    for own in ("<div class='related-work'><p>Earlier results.</p></div>", "<pre><code><span class='comment'>Earlier results.</span></code></pre>", "<p aria-hidden='true'>Earlier results.</p>", "<header>Earlier results.</header>", "<section id='notices-of-death'>Earlier results.</section>"):
+        assert text(article.format(own)) == whole.format("Earlier results. ")
+    for no in ("<div class='comment-list'><p>I disagree with all of this.</p></div>", "<ul class='related-work'><li><a href=x>Earlier results.</a></li></ul>", "<div id='adBox2'>Buy!</div>", "<div role=search>find</div>", "<footer>f</footer><form>x<select><option>y</select></form><script>'</p>'</script>", "<div style='display: none'>hidden</div>"):
+        assert text(article.format(no)) == whole.format("")
+
+
+def test_extraction_is_linear():
+    import time
+
+    began, n = time.time(), 100_000
+    assert html_text.main_text("<div>" * n + "x" + "</div>" * n, None) == "x"
+    assert html_text.main_text("<b>" * n + "<p>x" * n, None) == " ".join("x" * n)
+    assert html_text.main_text("<div><span>" * n + "</p></section>" * n, None) == ""
+    assert len(html_text.main_text("<a '" * n, None)) == 4 * n
+    blocks, elements = html_text.judged("<div class=c>" * 3000 + "<p>deep</p>")
+    path = html_text.path_of(elements, html_text.best(elements))
+    assert html_text.main_text("<div class=c>" * 3000 + "<p>deep</p>", path) == "deep" and path.count(">div.c") == 3000
+    assert time.time() - began < 60
+
+
 def test_quality_on_held_out_labels(spark, odd, none):
     d = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in queries.table(spark, d, "labels").collect()}
