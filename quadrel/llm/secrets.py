@@ -5,7 +5,9 @@ expression "lead and the first body characters" is turned into a nondeterministi
 bytes", made deterministic by subset construction over byte classes, and minimised by partition refinement. The result is an
 array of 256 successors for each state. A scan follows it once, byte by byte, for all rules; where a state accepts, the lead is
 measured by a reversed automaton of the rule's lead, and the run's end by its body set. A match covers its run even if it is
-too short to count, so matches of a rule never overlap, leftmost first.
+too short to count, so matches of a rule never overlap, leftmost first. A rule with a tail ends at the first tail after its lead that
+only body characters lead to, so a private key is found from its first line to its last. A key that has no last line is taken
+with the unbroken characters after its first line.
 
 Null texts are empty. Offsets are code points, end exclusive. A null doc_id stays null, repeated rows give equal rows, an empty
 table an empty result; other columns are ignored.
@@ -32,14 +34,21 @@ class Rule:
     least_body: int = 1
     least_all: int = 1
     base: bool = False
+    tail: str = ""
 
+    def whole(self) -> str:
+        """The rule as one expression, where a tail ends it."""
+        return f"{self.lead}{self.body}*{self.tail}"
 
-#: Fixed formats of secrets. The first three are the base.
+
+#: Fixed formats of secrets. The first three are the base. Keys that are not ended (OPEN) count only outside whole ones.
+OPEN, ENDED = "private_key_open", "private_key"
 RULES = (
     Rule("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']? *[:=] *["']?""", r"[A-Za-z0-9+/_.=-]", least_body=6, base=True),
     Rule("access", r"AKIA", r"[A-Z0-9]", least_all=20, base=True),
     Rule("hex", r"", r"[0-9a-f]", least_body=24, base=True),
-    Rule("private_key", r"-----BEGIN( [A-Z]+)* PRIVATE KEY----", r"-"),
+    Rule("private_key", r"-----BEGIN( [A-Z]+)* PRIVATE KEY-----", "[A-Za-z0-9+/=:,. \t\r\n-]", tail=r"-----END( [A-Z]+)* PRIVATE KEY-----"),
+    Rule("private_key_open", r"-----BEGIN( [A-Z]+)* PRIVATE KEY-----", "[A-Za-z0-9+/=\r\n]"),
     Rule("github", r"gh[pousr]_", r"[A-Za-z0-9]", least_body=36),
     Rule("slack", r"xox[abprs]-", r"[A-Za-z0-9-]", least_body=24),
     Rule("jwt", r"eyJ", r"[A-Za-z0-9_.-]", least_body=60),
@@ -185,12 +194,12 @@ class Scanner:
         self.rules = rules
         #: A rule without a lead fires when its run is long enough, others at the run's first byte, for a short run is consumed too.
         self.need = [1 if r.lead else max(r.least_body, r.least_all) for r in rules]
-        table, accepted = compile_rules([r.lead + r.body * n for r, n in zip(rules, self.need, strict=True)], anywhere=True)
+        table, accepted = compile_rules([r.whole() if r.tail else r.lead + r.body * n for r, n in zip(rules, self.need, strict=True)], anywhere=True)
         self.states: list[list] = [[] for _ in table]
         for state, row, bits in zip(self.states, table.tolist(), accepted, strict=True):
             state += [self.states[t] for t in row]
             state.append([k for k in range(len(rules)) if bits >> k & 1])
-        self.leads = [compile_rules([r.lead], anywhere=False, backwards=True) if r.lead else None for r in rules]
+        self.leads = [compile_rules([r.whole() if r.tail else r.lead], anywhere=False, backwards=True) if r.lead else None for r in rules]
         self.bodies = [frozenset(np.flatnonzero(compile_rules([r.body], anywhere=False)[0][0] != self._dead(r.body)).tolist()) for r in rules]
 
     @staticmethod
@@ -198,11 +207,11 @@ class Scanner:
         table, accepted = compile_rules([body], anywhere=False)
         return next(i for i, row in enumerate(table.tolist()) if not accepted[i] and set(row) == {i})
 
-    def _begin(self, data: bytes, k: int, at: int) -> int:
-        """Where the lead of rule k that ends before `at` begins."""
+    def _begin(self, data: bytes, k: int, at: int, low: int) -> int | None:
+        """Where the lead of rule k that ends before `at` begins, not before `low`; None if there is none."""
         table, accepted = self.leads[k]
-        state, best = 0, at
-        for i in range(at - 1, -1, -1):
+        state, best = 0, None
+        for i in range(at - 1, low - 1, -1):
             state = int(table[state, data[i]])
             if accepted[state]:
                 best = i
@@ -219,17 +228,29 @@ class Scanner:
                 for k in state[256]:
                     if at < last[k]:
                         continue
-                    body = at - self.need[k] + 1
-                    start = self._begin(data, k, body) if self.leads[k] else body
-                    if start < last[k]:
+                    rule = self.rules[k]
+                    body = at + 1 if rule.tail else at - self.need[k] + 1
+                    start = self._begin(data, k, body, last[k]) if self.leads[k] else body
+                    if start is None or start < last[k]:
+                        if rule.tail:
+                            last[k] = at + 1  # what doesn't begin before this end doesn't for a later one
                         continue
                     end, members = at + 1, self.bodies[k]
-                    while end < len(data) and data[end] in members:
+                    while not rule.tail and end < len(data) and data[end] in members:
                         end += 1
                     last[k] = end
-                    if end - body >= self.rules[k].least_body and end - start >= self.rules[k].least_all:
+                    if end - body >= rule.least_body * (not rule.tail) and end - start >= rule.least_all:
                         out.append((k, start, end))
-        return sorted(out, key=lambda x: (x[1], x[0]))
+        out = sorted(out, key=lambda x: (x[1], x[0]))
+        if not any(self.rules[k].kind == OPEN for k, _, _ in out):
+            return out
+        kept, within = [], -1
+        for k, a, b in out:
+            if self.rules[k].kind == ENDED:
+                within = b
+            if self.rules[k].kind != OPEN or a >= within:
+                kept.append((k, a, b))
+        return kept
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -242,9 +263,10 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             out = []
             for t in table["text"]:
                 data, found = (t.as_py() or "").encode("utf-8", "surrogatepass"), []
-                plain = data.isascii()
+                plain, byte, point = data.isascii(), 0, 0
                 for k, a, b in scanner.spans(data):
-                    start = a if plain else len(data[:a].decode("utf-8", "surrogatepass"))
+                    point += a - byte if plain else len(data[byte:a].decode("utf-8", "surrogatepass"))
+                    byte, start = a, point
                     found.append({"kind": rules[k].kind, "start": start, "stop": start + b - a, "base": rules[k].base})  # spans are ASCII
                 out.append(found)
             yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), pa.array(out, span)], names=["doc_id", "spans"])

@@ -430,6 +430,48 @@ def test_spans_against_regular_expressions():
         assert got == brute_secrets(t), t
 
 
+#: The added rules once more, as Python's regular expressions.
+ADDED = {
+    "private_key": r"-----BEGIN(?: [A-Z]+)* PRIVATE KEY-----[A-Za-z0-9+/=:,. \t\r\n-]*?-----END(?: [A-Z]+)* PRIVATE KEY-----",
+    "github": r"gh[pousr]_[A-Za-z0-9]{36,}", "slack": r"xox[abprs]-[A-Za-z0-9-]{24,}", "jwt": r"eyJ[A-Za-z0-9_.-]{60,}", "google": r"AIza[A-Za-z0-9_-]{35,}",
+}
+KEY_PARTS = ["-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "-----END PRIVATE KEY-----", "\n", "MIIEow+/", "Proc-Type: 4,ENCRYPTED", "ghp_", "ghs_", "xoxb-", "eyJ", "AIza", "a1B2c3D4" * 5, "0-9" * 9, "é", "!", " ", "_x."]
+
+
+def test_added_secrets_against_regular_expressions(spark):
+    rng = np.random.default_rng(13)
+    scanner = secrets.Scanner()
+    texts = ["".join(rng.choice(KEY_PARTS, rng.integers(1, 14))) for _ in range(1500)]
+    seen = set()
+    for t in texts:
+        data = t.encode()
+        got = [(scanner.rules[k].kind, len(data[:a].decode()), len(data[:b].decode())) for k, a, b in scanner.spans(data)]
+        for kind, rule in ADDED.items():
+            # A run that is too short is consumed too, so the runs are found first.
+            runs = re.finditer(rule, t) if kind == "private_key" else (m for m in re.finditer(re.sub(r"\{\d+,\}$", "+", rule), t) if re.fullmatch(rule, m[0]))
+            want = [m.span() for m in runs]
+            assert [(a, b) for k, a, b in got if k == kind] == want, (kind, t)
+            seen |= {kind} if want else set()
+        whole = [(a, b) for k, a, b in got if k == "private_key"]
+        cut = [m.span() for m in re.finditer(r"-----BEGIN(?: [A-Z]+)* PRIVATE KEY-----[A-Za-z0-9+/=\r\n]*", t) if not any(a <= m.start() < b for a, b in whole)]
+        assert [(a, b) for k, a, b in got if k == "private_key_open"] == [x for x in cut if t[x[1] - 1] != "-"], t
+    assert seen == set(ADDED)
+    found = secrets.find_secrets(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    for r in found[:300]:
+        data = texts[r.doc_id].encode()
+        assert [(s.kind, s.start, s.stop) for s in r.spans] == [(scanner.rules[k].kind, len(data[:a].decode()), len(data[:b].decode())) for k, a, b in scanner.spans(data)]
+
+
+def test_secret_scan_is_linear():
+    import time
+
+    began, scanner = time.time(), secrets.Scanner()
+    end = b"-----END PRIVATE KEY-----\n"
+    assert len(scanner.spans(b"-----BEGIN PRIVATE KEY-----\n" + end * 4000)) == 1
+    assert len(scanner.spans((b"-----BEGIN PRIVATE KEY-----\nMII\n" + end) * 1000)) == 1000
+    assert time.time() - began < 20
+
+
 def test_pii_and_secret_queries(spark, sf_dir, odd, none):
     texts = {r.doc_id: r.text for r in queries.table(spark, sf_dir, "documents").collect()}
     for query, brute, order in ((queries.op6_pii, brute_pii, lambda x: (("email", "ip", "card", "phone").index(x[0]), x[1])), (queries.op10_secrets, brute_secrets, lambda x: x[1])):
