@@ -482,6 +482,64 @@ def test_pii_and_secret_queries(spark, sf_dir, odd, none):
     assert pii.find_pii(odd).count() == odd.count() == secrets.find_secrets(odd).count()
 
 
+NATIONAL = {
+    "phone": ["030 1234567", "01 23 45 67 89", "0044 20 7946 0958", "(212) 555-7788", "020 7946 0958", "089/123456-78"],
+    "email": ["john dot doe at example dot com", "joe [at] example [dot] com", "ann (at) example.org"],
+    "card": ["4111 1111 1111 1112", "4111.1111.1111.1111", "5500/0000/0000/0004"],
+    "ip": ["2001:db8::8a2e:370:7334", "fe80::1", "10[.]0[.]0[.]1"],
+}
+NOT_PERSONAL = ["on 01.02.2024", "at 12:34:56 sharp", "std::vector", "look at this dot", "isbn 0306406152", "aa:bb:cc:dd:ee:ff", "item 9807915762804490", "version 0012 3456"]
+
+
+def test_candidates_of_every_kind(spark):
+    cues = {"phone": "call", "email": "mail", "card": "card", "ip": "host"}
+    rows = [f"{cues[k]} {t} today" for k, ts in NATIONAL.items() for t in ts] * 3 + NOT_PERSONAL * 4 + ["call +1 212 555 7788 or mail a.b@example.com from 10.1.2.3 with card 4111 1111 1111 1111"] * 9
+    plain = [(k, t) for k, ts in NATIONAL.items() for t in ts]
+    docs = spark.createDataFrame(list(enumerate([*rows, *(t for _, t in plain)])), "doc_id long, text string")
+    found = {r.doc_id: [(s.kind, s.start, s.stop, s.base) for s in r.spans] for r in pii.find_pii(docs).collect()}
+    for k, (kind, t) in enumerate(plain):
+        assert found[len(rows) + k] == [(kind, 0, len(t), False)], t
+    for k, t in enumerate(rows):
+        if t in NOT_PERSONAL:
+            assert not found[k], t
+    for spans in found.values():
+        ordered = sorted(spans, key=lambda s: s[1])
+        assert all(a[2] <= b[1] for a, b in zip(ordered, ordered[1:]) if not (a[3] and b[3]))
+
+
+def slow_em(rows, rounds=50):
+    """Expectation-maximisation over single rows (votes, known), each with its weight."""
+    good, prior = [0.7] * 3, 0.5
+    for _ in range(rounds):
+        p = []
+        for v, known, _ in rows:
+            yes, no = prior, 1 - prior
+            for x, g in zip(v, good):
+                yes *= {1: g, -1: 1 - g, 0: 1}[x]
+                no *= {-1: g, 1: 1 - g, 0: 1}[x]
+            p.append(0.98 if known else yes / (yes + no))
+        loose = [(q, w) for q, (_, known, w) in zip(p, rows) if not known]
+        prior = min(0.95, max(0.05, (sum(q * w for q, w in loose) + 2) / (sum(w for _, w in loose) + 4)))
+        good = [min(0.99, max(0.05, (sum(w * (q if v[k] == 1 else 1 - q) for q, (v, _, w) in zip(p, rows) if v[k]) + 7) / (sum(w for v, _, w in rows if v[k]) + 10))) for k in range(3)]
+    return good, prior
+
+
+def test_em_finds_the_wrong_labeler():
+    rng = np.random.default_rng(14)
+    rows = []
+    for _ in range(600):  # two labelers are right at 0.9, the third at 0.15; each abstains now and then
+        y = 1 if rng.random() < 0.4 else -1
+        rows.append(tuple(0 if rng.random() < 0.1 else y if rng.random() < right else -y for right in (0.9, 0.9, 0.15)))
+    base = [(1, 1, -1)] * 200
+    counts = [("phone", v, (0,) * 6, known, n) for known, vs in ((False, rows), (True, base)) for v, n in __import__("collections").Counter(vs).items()]
+    model = pii.learn(counts)["phone"]
+    good, prior = slow_em([(v, False, 1.0) for v in rows] + [(v, True, 1.0) for v in base])
+    assert model["reliability"] == pytest.approx(good, abs=1e-3) and model["prior"] == pytest.approx(prior, abs=1e-6)
+    assert good[0] > 0.8 and good[1] > 0.8 and good[2] < 0.3 and abs(prior - 0.4) < 0.06
+    score = lambda *v: 1 / (1 + np.exp(-np.dot(model["weights"], pii._row(v, (0,) * 6))))
+    assert score(1, 1, 1) > 0.5 > score(-1, -1, 1)
+
+
 def test_weak_supervision_adds_spans(spark):
     rows = [(i, f"please call +1 (212) 555-{1000 + i} today") for i in range(40)] + [(100, "phone (212) 555-7788 or mail joe [at] example [dot] com"), (101, "version (102) 155-7788")]
     found = {r.doc_id: [(s.kind, s.base) for s in r.spans] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
