@@ -32,7 +32,7 @@ def mark_copies(docs: DataFrame, keep: tuple[str, ...] = (), partitions: int | N
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), f"{SPACE}+", " ").alias("norm"), *(F.col(c).alias(f"_{c}") for c in keep))
     rows = rows.withColumns({"key": key_of("doc_id"), "h": F.xxhash64("norm")})
     per = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    even = max(1000.0, share * docs.count() / n)
+    even = max(1.0, share * docs.count() / n)
     found = [(x.h, int(x.n // even) + 1) for x in per.filter(F.col("n") > even).collect()]  # n / share rows at most
     hot = spark.createDataFrame(found, "h long, salts long")
     salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("key", F.lit(1)), "salts")).otherwise(F.lit(0)).alias("salt")
