@@ -38,7 +38,7 @@ def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_rollup.count_tokens(docs, VOCABULARY, "byte_bpe_50k/1")
     roll.commit("load", load, counts)
     edits = labels.filter("toxic = 1 or quality = 0").select(F.when(F.col("toxic") == 1, "delete").otherwise("revise").alias("op"), "doc_id")
-    cleaned = docs.withColumn("text", F.regexp_replace("text", r"[!$%&*#|]+", ""))  # commit() picks the revised ones by their counts, so no text is shuffled
+    cleaned = token_rollup.changed(docs, edits).withColumn("text", F.regexp_replace("text", r"[!$%&*#|]+", ""))
     roll.commit("edits", edits, token_rollup.count_tokens(cleaned, VOCABULARY, "byte_bpe_50k/1"))
     roll.commit("load", load, counts)
     return roll.totals()

@@ -22,7 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, text_batches
+from .common import WORD, key_of, text_batches
 
 #: The split of a text into pieces that the public byte-level vocabularies assume; a fixed value.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -52,6 +52,13 @@ def count_tokens(docs: DataFrame, vocabulary: str, version: str) -> DataFrame:
     return counted.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer"), "tokens", F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long").alias("words"), F.length(text).cast("long").alias("characters"), F.xxhash64("text").alias("text_hash"))
 
 
+def changed(docs: DataFrame, changes: DataFrame, broadcast_rows: int = 4_000_000) -> DataFrame:
+    """The documents that a batch (op, doc_id) inserts or revises, so that no other is tokenised. The batch's ids are broadcast up to `broadcast_rows` (some 100 MB); beyond, both sides are shuffled by id."""
+    ids = changes.filter("op in ('insert', 'revise')").select(key_of("doc_id").alias("_of")).distinct()
+    few = changes.count() <= broadcast_rows
+    return docs.join(F.broadcast(ids) if few else ids, key_of("doc_id") == F.col("_of"), "left_semi")
+
+
 class Rollup:
     """Totals by source, language and tokenizer version, under one folder of a shared store."""
 
