@@ -6,8 +6,10 @@ length says which kind it is nearer to. This is done in two views: the text itse
 as one sign each, marks kept, a word equal to the one before it as "="), which shows repetition and layout that any
 dictionary would compress away. A logistic fit on rows that trained no dictionary turns both differences into a probability.
 
-Fit on a bounded sample: at most `per_class` labelled rows of each class, the first by a hash of doc_id, each of whose pieces
-a dictionary may take up to `sample_bytes` in all. Everything is scored, over whole texts. Only texts are inputs of a score.
+Fit on a bounded sample: at most `per_class` labelled rows of each class, the first by a hash of doc_id. Half of them train the
+dictionaries, in Spark: each gives pieces from all over its text, in the order of a hash, up to its share of `sample_bytes`, short
+ones joined; the driver gets those pieces (some `sample_bytes` for each class and view, whatever the texts' lengths). The other
+half calibrates: tasks give two numbers for each of its texts. Everything is scored, over whole texts. Only texts are inputs of a score.
 
 Null texts count as empty; empty texts get the score of no size difference. Null labels and rows that are null in doc_id are not
 learned from; where labels of a doc_id differ, each counts. With labels of fewer than two classes every score is the known share
@@ -21,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import flat, text_batches
+from .common import flat, stored, text_batches
 
 SHAPE = bytes.maketrans(bytes(range(256)), bytes(ord("a") if 97 <= b <= 122 or b > 127 else ord("A") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else b for b in range(256)))
 RUNS = re.compile(rb"(a)a+|(A)A+|(0)0+")
@@ -42,15 +45,30 @@ def _pieces(view: bytes, piece: int) -> list[bytes]:
     return [view[i : i + piece] for i in range(0, len(view), piece)]
 
 
-def _dictionary(views: list[bytes], piece: int, size: int, sample_bytes: int) -> bytes:
-    sample, used = [], 0
-    for x in (x for v in views for x in _pieces(v, piece) if len(x) > 40):
-        if used > sample_bytes:
+def _hash(piece: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(piece, 8)
+
+
+def _share(view: bytes, piece: int, most: int) -> list[bytes]:
+    """Pieces of one text up to `most` bytes (one at least), by a hash of their content, so that no part of a text is preferred."""
+    out, used = [], 0
+    for x in sorted(_pieces(view, piece), key=_hash):
+        if out and used + len(x) > most:
             break
-        sample.append(x)
+        out.append(x)
         used += len(x)
+    return out
+
+
+def _dictionary(pieces: list[bytes], piece: int, size: int) -> bytes:
+    sample: list[bytes] = []
+    for x in sorted(pieces, key=_hash):  # short texts are joined, for the trainer takes no samples of a few bytes
+        if sample and len(sample[-1]) + len(x) < piece:
+            sample[-1] += b" " + x
+        else:
+            sample.append(x)
     try:
-        return zstandard.train_dictionary(min(size, max(1024, used // 8)), sample, level=3).as_bytes()
+        return zstandard.train_dictionary(min(size, max(1024, sum(map(len, sample)) // 8)), sample, level=3).as_bytes()
     except zstandard.ZstdError:  # too few samples: the text itself serves
         return b"\n".join(sample)[-size:] or b"."
 
@@ -94,30 +112,50 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return np.concatenate([[w[0] - (w[1:] * mean / scale).sum()], w[1:] / scale])
 
 
+VIEWS = (lambda words: words, shape)
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, piece: int = 2048, size: int = 32 << 10, sample_bytes: int = 4 << 20) -> Scorer | float:
     """docs: doc_id, text; labels: doc_id, quality. A float is the score of all texts where nothing can be told apart.
 
-    The sample is drawn from the labels alone; only its documents' texts are looked up and reach the driver.
+    The sample is drawn from the labels alone; only its documents' texts are looked up.
     """
-    known = labels.filter("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").distinct()
+    known = labels.filter("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
     order = F.xxhash64(F.col("doc_id"), F.lit("fit"))
     drawn = known.filter("quality = 0").orderBy(order, "doc_id").limit(per_class).unionByName(known.filter("quality = 1").orderBy(order, "doc_id").limit(per_class))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")  # 2 * per_class rows at most
-    sample = sorted(rows.collect(), key=lambda x: (x.quality, x.doc_id, x.text or ""))
-    classes = {x.quality for x in sample}
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")  # 2 * per_class rows at most, or as often as an id repeats
+    sample = stored(rows.select("quality", "text", (F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0).alias("trains")), "labelled")
+    sizes = {(x.quality, x.trains): x.n for x in sample.groupBy("quality", "trains").agg(F.count(F.lit(1)).alias("n")).collect()}
+    classes = {q for q, _ in sizes}
     if len(classes) < 2:
         return float(next(iter(classes), 1))
-    words = [(x.quality, flat(x.text)) for x in sample]
-    train, rest = words[::2], words[1::2]
-    if any({q for q, _ in part} != classes for part in (train, rest)):
-        return sum(q for q, _ in words) / len(words)
-    dictionaries = []
-    for view in (lambda w: w, shape):
-        dictionaries.append(tuple(_dictionary([view(w) for q, w in train if q == kind], piece, size, sample_bytes) for kind in (0, 1)))
+    if len(sizes) < 4:
+        return sum(n for (q, _), n in sizes.items() if q) / sum(sizes.values())
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in text_batches(batches):
+            found = []
+            for quality, text in zip(table["quality"].to_pylist(), table["text"], strict=True):
+                words, most = flat(text.as_py()), sample_bytes // sizes[quality, True]
+                found += [(quality, k, x) for k, view in enumerate(VIEWS) for x in _share(view(words), piece, most)]
+            if found:
+                yield pa.RecordBatch.from_pydict(dict(zip(("quality", "view", "piece"), zip(*found, strict=True), strict=True)), pa.schema([("quality", pa.int32()), ("view", pa.int32()), ("piece", pa.binary())]))
+
+    taken: dict[tuple[int, int], list[bytes]] = {}
+    for x in sample.filter("trains").mapInArrow(pieces, "quality int, view int, piece binary").collect():
+        taken.setdefault((x.quality, x.view), []).append(bytes(x.piece))
+    dictionaries = [tuple(_dictionary(taken.get((kind, k), []), piece, size) for kind in (0, 1)) for k in range(len(VIEWS))]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(dictionaries, piece)
+        for table in text_batches(batches):
+            x = [scorer.features(t.as_py()) for t in table["text"]]
+            yield pa.RecordBatch.from_arrays([table["quality"].combine_chunks(), pa.array(x, pa.list_(pa.float64()))], names=["quality", "x"])
+
+    rest = sample.filter("not trains").mapInArrow(measure, "quality int, x array<double>").collect()
+    rest.sort(key=lambda r: (r.quality, r.x))
     scorer = Scorer(dictionaries, piece)
-    x = np.array([scorer.features(w.decode("utf-8", "surrogatepass")) for _, w in rest])
-    y = np.array([q for q, _ in rest], float)
-    scorer.weights = _logistic(x, y).tolist()
+    scorer.weights = _logistic(np.array([r.x for r in rest]), np.array([r.quality for r in rest], float)).tolist()
     scorer.dictionaries = dictionaries
     return scorer
 
