@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,9 +23,11 @@ BATCH_BYTES = 24 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. The session names it; only where it names none (tests on one machine) a temporary one is set."""
+    """The folder that driver and executors share. The session names it; only where it names none on a single machine (tests) a temporary one is set."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="quadrel-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")

@@ -286,6 +286,28 @@ def test_token_rollup_shared_ids(spark, tmp_path):
     assert [(r.documents, r.words) for r in roll.totals().collect()] == [(3, 5)]
 
 
+def test_token_rollup_query_against_brute_force(spark, sf_dir):
+    import tiktoken
+
+    own = tiktoken.Encoding("x", pat_str=token_rollup.PIECES, mergeable_ranks=token_rollup.ranks(queries.VOCABULARY), special_tokens={})
+    labels = queries.table(spark, sf_dir, "labels").collect()
+    gone, low = {r.doc_id for r in labels if r.toxic == 1}, {r.doc_id for r in labels if r.quality == 0}
+    want = {}
+    for r in queries.table(spark, sf_dir, "documents").collect():
+        if r.doc_id not in gone:
+            text = re.sub(r"[!$%&*#|]+", "", r.text or "") if r.doc_id in low else r.text or ""
+            n = want.get((r.source, r.lang), (0, 0, 0, 0))
+            want[r.source, r.lang] = tuple(a + b for a, b in zip(n, (1, len(own.encode_ordinary(text)), len(words(text)), len(text))))
+    assert gone and low and {(r.source, r.lang): (r.documents, r.tokens, r.words, r.characters) for r in queries.op3_token_rollup(spark, sf_dir).collect()} == want
+
+
+def test_changed_documents_by_either_join(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (3, "d")], "doc_id long, text string")
+    edits = spark.createDataFrame([("revise", 1), ("delete", 2), ("insert", None)], "op string, doc_id long")
+    for most in (4_000_000, 0):
+        assert sorted(r.text for r in token_rollup.changed(docs, edits, most).collect()) == ["a", "c"]
+
+
 def test_bit_counts():
     rng = np.random.default_rng(9)
     for n in (1, 254, 255, 256, 4080, 4081, 9000):
@@ -609,6 +631,23 @@ def test_quality_on_held_out_labels(spark, odd, none):
     assert quality.fit(odd, spark.createDataFrame([(3, 1), (None, 0)], "doc_id long, quality int")) == 1.0
 
 
+def test_dictionary_pieces_are_bounded_and_from_all_over():
+    view = b" ".join(f"w{i}".encode() for i in range(20000))
+    some = quality._share(view, 2048, 10_000)
+    assert sum(map(len, some)) <= 10_000 and len(some) == 4 and max(view.index(x) for x in some) > len(view) // 4
+    assert quality._share(b"short", 2048, 10_000) == [b"short"] and quality._share(b"", 2048, 10) == []
+
+
+def test_quality_of_odd_rows(spark, odd, none, sf_dir):
+    labels = queries.table(spark, sf_dir, "labels")
+    model = queries.quality_model(queries.table(spark, sf_dir, "documents"), labels)
+    rows = quality.scores(odd, model).collect()
+    scorer = quality.Scorer(model.dictionaries, model.piece, model.weights)
+    assert len(rows) == odd.count() and all(r.score == pytest.approx(scorer.score(r.text)) for r in rows)
+    assert quality.accepted(odd, model, 0.3).count() == sum(r.score >= 0.3 for r in rows)
+    assert quality.scores(none, model).count() == 0 == quality.accepted(none, model, 0.3).count()
+
+
 def test_mixing(spark, odd, none):
     assert mixing.targets({"a": 100, "b": 100, None: 100}) == {"a": 200.0, "b": pytest.approx(500 / 3), None: pytest.approx(250 / 3)}
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 50).cast("int")).alias("text"))
