@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, NULL_KEY, WindowHash, flat, key_of, text_batches
+from .common import NULL_KEY, WindowHash, flat, key_of, text_batches
 
 #: Rows of the sketch, bits of a shard, windows of which one piece of a sketch is made, and windows of a bucket.
 DEPTH, SHARD_BITS, PIECE, BUCKET = 2, 21, 6_000_000, 1_000_000
@@ -130,56 +130,65 @@ def _digests(words: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b"".join([digest(words[a:b])[:12] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
 
 
+def _numbered(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names (doc, row, row2) sorted and once each, the number of each given name among them, and their ranks: names of one doc are equal, those without a doc are not."""
+    names, number = np.unique(names, axis=0, return_inverse=True)
+    new = np.concatenate([[True], (names[1:, 0] != names[:-1, 0]) | (names[1:, 0] == NULL_KEY)])[: len(names)]
+    return names, number.reshape(-1).astype(np.int32), np.cumsum(new, dtype=np.int32)
+
+
 class _Windows:
-    """Columns of windows: two hashes of their words, and where they are (doc, row, row2, start)."""
+    """Columns of windows: two hashes of their words, the number of their row in `names`, and their start."""
 
-    __slots__ = ("h1", "h2", "doc", "row", "row2", "start")
+    __slots__ = ("h1", "h2", "row", "start", "names", "ranks")
 
-    def __init__(self, *columns: np.ndarray):
-        for name, column in zip(self.__slots__, columns, strict=True):
-            setattr(self, name, column)
+    def __init__(self, h1: np.ndarray, h2: np.ndarray, row: np.ndarray, start: np.ndarray, names: np.ndarray, ranks: np.ndarray):
+        self.h1, self.h2, self.row, self.start, self.names, self.ranks = h1, h2, row, start, names, ranks
 
     def __len__(self) -> int:
-        return len(self.doc)
+        return len(self.row)
 
-    def take(self, at: np.ndarray) -> _Windows:
-        return _Windows(*(getattr(self, n)[at] for n in self.__slots__))
-
-    def in_place(self) -> _Windows:
-        return self.take(np.lexsort((self.start, self.row2, self.row, self.doc)))
+    def take(self, at) -> _Windows:
+        return _Windows(self.h1[at], self.h2[at], self.row[at], self.start[at], self.names, self.ranks)
 
     def pack(self) -> bytes:
-        """Rows in order of place pack to little beside the hashes."""
-        gaps = [np.diff(x, prepend=np.int64(0)).tobytes() for x in (self.doc, self.row, self.row2)]
-        places = b"".join(gaps) + np.diff(self.start, prepend=0).astype(np.int32).tobytes()
-        return len(self).to_bytes(8, "little") + self.h1.tobytes() + self.h2.tobytes() + zstandard.ZstdCompressor(level=3).compress(places)
+        """Windows in order of place, so that their rows and starts pack to little beside the hashes."""
+        new = np.flatnonzero(np.concatenate([[True], self.row[1:] != self.row[:-1]]))
+        counts = np.diff(new, append=len(self)).astype(np.int32)
+        places = self.names[self.row[new]].tobytes() + counts.tobytes() + np.diff(self.start, prepend=np.int32(0)).tobytes()
+        return len(self).to_bytes(8, "little") + len(new).to_bytes(8, "little") + self.h1.tobytes() + self.h2.tobytes() + zstandard.ZstdCompressor(level=3).compress(places)
 
     @staticmethod
-    def unpack(blob: bytes) -> _Windows:
-        n = int.from_bytes(blob[:8], "little")
-        places = zstandard.ZstdDecompressor().decompress(blob[8 + 12 * n :])
-        names = (np.cumsum(np.frombuffer(places, np.int64, n, 8 * n * k)) for k in range(3))
-        return _Windows(np.frombuffer(blob, np.uint64, n, 8), np.frombuffer(blob, np.uint32, n, 8 + 8 * n), *names, np.cumsum(np.frombuffer(places, np.int32, n, 24 * n), dtype=np.int64))
+    def unpack(blobs: list[bytes]) -> _Windows:
+        h1, h2, names, counts, starts = [], [], [], [], []
+        for blob in blobs:
+            n, k = (int.from_bytes(blob[i : i + 8], "little") for i in (0, 8))
+            places = zstandard.ZstdDecompressor().decompress(blob[16 + 12 * n :])
+            h1.append(np.frombuffer(blob, np.uint64, n, 16))
+            h2.append(np.frombuffer(blob, np.uint32, n, 16 + 8 * n))
+            names.append(np.frombuffer(places, np.int64, 3 * k).reshape(k, 3))
+            counts.append(np.frombuffer(places, np.int32, k, 24 * k))
+            starts.append(np.cumsum(np.frombuffer(places, np.int32, n, 28 * k), dtype=np.int32))
+        own, number, ranks = _numbered(np.concatenate(names))
+        return _Windows(np.concatenate(h1), np.concatenate(h2), np.repeat(number, np.concatenate(counts)), np.concatenate(starts), own, ranks)
 
     def runs(self, width: int) -> tuple[np.ndarray, ...]:
-        """The words that these windows cover, as runs for each row."""
-        w = self.in_place()
-        same = (w.doc[1:] == w.doc[:-1]) & (w.row[1:] == w.row[:-1]) & (w.row2[1:] == w.row2[:-1])
-        new = np.concatenate([[True], ~same | (w.start[1:] > w.start[:-1] + width)])
-        last = np.concatenate([np.flatnonzero(new)[1:], [len(w)]]) - 1
-        return w.doc[new], w.row[new], w.row2[new], w.start[new].astype(np.int32), (w.start[last] + width).astype(np.int32)
+        """The words that these windows cover, as runs for each row: doc, row, row2, start, stop."""
+        order = np.lexsort((self.start, self.row))
+        row, start = self.row[order], self.start[order]
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] > start[:-1] + width)])
+        last = np.concatenate([np.flatnonzero(new)[1:], [len(row)]]) - 1
+        return *map(np.ascontiguousarray, self.names[row[new]].T), start[new], (start[last] + width).astype(np.int32)
 
     def split(self) -> tuple[_Windows, _Windows]:
         """(windows that none of these precedes, once for each place; those that start later than an equal one)."""
-        nameless = self.doc == NULL_KEY
-        rank, rank2 = np.where(nameless, self.row, 0), np.where(nameless, self.row2, 0)
-        order = np.lexsort((self.row2, self.row, self.start, rank2, rank, self.doc, self.h2, self.h1))
-        w, rank, rank2 = self.take(order), rank[order], rank2[order]
+        order = np.lexsort((self.row, self.start, self.ranks[self.row], self.h2, self.h1))
+        w = self.take(order)
+        rank = self.ranks[w.row]
         equal = (w.h1[1:] == w.h1[:-1]) & (w.h2[1:] == w.h2[:-1])
-        head = np.concatenate([[True], ~equal])
-        of = np.maximum.accumulate(np.where(head, np.arange(len(w)), 0))
-        late = (w.doc != w.doc[of]) | (rank != rank[of]) | (rank2 != rank2[of]) | (w.start != w.start[of])
-        again = np.concatenate([[False], equal & (w.doc[1:] == w.doc[:-1]) & (w.start[1:] == w.start[:-1]) & (w.row[1:] == w.row[:-1]) & (w.row2[1:] == w.row2[:-1])])
+        of = np.maximum.accumulate(np.where(np.concatenate([[True], ~equal]), np.arange(len(w)), 0))
+        late = (rank != rank[of]) | (w.start != w.start[of])
+        again = np.concatenate([[False], equal & (w.row[1:] == w.row[:-1]) & (w.start[1:] == w.start[:-1])])
         return w.take(~late & ~again), w.take(late)
 
 
@@ -190,7 +199,7 @@ def _finder(width: int, bits: int, bucket_bits: int, sketch):
         for row, shard, blob in sketch.value:
             part = np.frombuffer(opener.decompress(blob), np.uint8)
             rows[row][shard * (1 << (shard_bits - 3)) :][: len(part)] = part
-        for table in text_batches(batches, limit=BATCH_BYTES // 2):
+        for table in text_batches(batches):
             digests, places, starts = [], [], []
             for *place, text in zip(*(table[c].to_pylist() for c in ("_key", "row", "row2")), table["text"], strict=True):
                 words = flat(text.as_py())
@@ -207,17 +216,17 @@ def _finder(width: int, bits: int, bucket_bits: int, sketch):
             if not digests:
                 continue
             parts = np.frombuffer(b"".join(digests), np.dtype([("a", "<u8"), ("b", "<u4")]))
-            names = np.repeat(np.array(places, np.int64), [len(x) for x in starts], axis=0)
-            own, late = _Windows(parts["a"].copy(), parts["b"].copy(), *map(np.ascontiguousarray, names.T), np.concatenate(starts)).split()
-            del digests, parts, names
+            names, number, ranks = _numbered(np.array(places, np.int64))
+            rows_of = np.repeat(number, [len(x) for x in starts])
+            own, late = _Windows(parts["a"].copy(), parts["b"].copy(), rows_of, np.concatenate(starts).astype(np.int32), names, ranks).split()
+            del digests, parts, starts, rows_of
             if len(late):
                 runs = late.runs(width)
                 n = len(runs[0])
                 yield pa.RecordBatch.from_arrays([pa.array(runs[1] & ((1 << bucket_bits) - 1)), pa.nulls(n, pa.binary()), *map(pa.array, runs)], schema=FOUND)
-            own = own.in_place()
+            del late
+            own = own.take(np.lexsort((own.start, own.row, own.h1 >> np.uint64(64 - bucket_bits))))
             bucket = (own.h1 >> np.uint64(64 - bucket_bits)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            own, bucket = own.take(order), bucket[order]
             cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(own)]])
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 yield pa.RecordBatch.from_pydict({"bucket": [int(bucket[i])], "blob": [own.take(slice(i, j)).pack()]} | {n: [None] for n, _ in PLACE}, FOUND)
@@ -232,8 +241,7 @@ def _resolver(width: int):
 
         def out() -> Iterator[pa.RecordBatch]:
             if held:
-                parts = [_Windows.unpack(x) for x in held]
-                late = _Windows(*(np.concatenate([getattr(p, n) for p in parts]) for n in _Windows.__slots__)).split()[1]
+                late = _Windows.unpack(held).split()[1]
                 if len(late):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in late.runs(width)], schema=LATE)
 
