@@ -9,8 +9,8 @@ documents only the earliest occurrence can be the first of all, so the others ar
 sends one entry for each window at most, whatever the number of copies. Entries travel packed by bucket of their hash; the
 number of buckets follows the input, so that one bucket fits in a task.
 
-Each row is cut by its own windows: rows are named by doc_id and a 128-bit hash of their text, so rows of one name have the
-same text and the same cuts. Where rows share a doc_id, a window is earlier by its start alone, and of equal starts none is
+Each row is cut by its own windows: rows that share a doc_id are told apart by a 128-bit hash of their text, so rows of one
+name have the same text and the same cuts. Where rows share a doc_id, a window is earlier by its start alone, and of equal starts none is
 earlier. A null doc_id ranks before all others; among rows without one the hash of their text decides. Null texts have no
 words. Repeated rows are each cut alike. Empty tables give empty results; other columns are ignored.
 """
@@ -28,10 +28,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, WindowHash, flat, key_of, text_batches
+from .common import NULL_KEY, WindowHash, flat, key_of, stored, text_batches
 
 #: Rows of the sketch, bits of a shard, windows of which one piece of a sketch is made, and windows of a bucket.
 DEPTH, SHARD_BITS, PIECE, BUCKET = 2, 21, 6_000_000, 1_000_000
+#: Shared ids up to which they are broadcast.
+BROADCAST_IDS = 4_000_000
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
@@ -291,7 +293,13 @@ def remove_repeats(docs: DataFrame, width: int = 20, max_log2_cells: int = 29) -
         sketch = spark.sparkContext.broadcast([(x.row, x.shard, bytes(x.twice)) for x in merged.collect()])  # 2**max_log2_cells bits a row at most
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    named = docs.select("doc_id", key_of("doc_id").alias("_key"), F.xxhash64("text").alias("row"), F.xxhash64("text", "text").alias("row2"), "text")
+    keyed = docs.select("doc_id", key_of("doc_id").alias("_key"), "text")
+    shared = stored(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_key"), "shared-ids")
+    # Where an id names one row, no more is sent. With very many shared ids all rows are named by their texts, which costs bytes only.
+    few = shared.count() <= BROADCAST_IDS
+    twice = F.col("_twice").isNotNull() if few else F.lit(True)
+    keyed = keyed.join(F.broadcast(shared.withColumn("_twice", F.lit(True))), "_key", "left") if few else keyed
+    named = keyed.select("doc_id", "_key", F.when(twice, F.xxhash64("text")).otherwise(0).alias("row"), F.when(twice, F.xxhash64("text", "text")).otherwise(0).alias("row2"), "text")
     found = named.drop("doc_id").mapInArrow(_finder(width, bits, bucket_bits, sketch), f"bucket long, blob binary, {LATE_SQL}")
     late = found.repartition(max(n, (1 << bucket_bits) // 8), "bucket").sortWithinPartitions("bucket").mapInArrow(_resolver(width), LATE_SQL)
     cuts = late.groupBy(F.col("doc").alias("_key"), "row", "row2").agg(F.collect_set(F.struct("start", "stop")).alias("cuts"))

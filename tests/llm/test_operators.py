@@ -72,12 +72,14 @@ def test_substring_dedup(odd, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
-def test_substring_dedup_shared_and_null_ids(spark):
+def test_substring_dedup_shared_and_null_ids(spark, monkeypatch):
     alone = " ".join(f"u{i}" for i in range(40))
     docs = spark.createDataFrame([(1, RUN), (5, RUN), (5, alone), (5, f"a {RUN}"), (5, RUN), (None, f"n {RUN}"), (None, f"{RUN} m"), (None, f"{RUN} m"), (None, None), (9, alone)], "doc_id long, text string")
     got = removed(docs, 20)
     assert got == brute_repeats([tuple(r) for r in docs.collect()], 20)
     assert (5, 40, 0, alone) in got and (9, 40, 40, "") in got
+    monkeypatch.setattr(substring_dedup, "BROADCAST_IDS", -1)  # all rows named by their texts
+    assert removed(docs, 20) == got
     only = docs.filter("doc_id is null or doc_id = 5")
     assert removed(only, 20) == brute_repeats([tuple(r) for r in only.collect()], 20)
 
