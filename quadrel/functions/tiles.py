@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Zooms that a 64-bit id serves here, and the latitude where the square world ends.
 MAX_ZOOM = 26
 MAX_LATITUDE = 85.0511287798066
+#: Every second bit, and the masks that bring those bits together in five steps.
+EVEN = 0x5555555555555555
+GATHER = ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF))
 
 
 def _long(c) -> Column:
@@ -17,20 +21,13 @@ def _long(c) -> Column:
 
 
 def first_id(z: Column) -> Column:
-    """Number of tiles in all lower zooms: (4^z - 1) / 3."""
-    out = None  # a CASE over fixed bounds; whole numbers throughout, for doubles lose ids beyond 2^53
-    for k in range(MAX_ZOOM + 1):
-        bound = F.lit((4**k - 1) // 3).cast("long")
-        out = F.when(z == k, bound) if out is None else out.when(z == k, bound)
-    return out
+    """Number of tiles in all lower zooms: (4^z - 1) / 3, looked up in whole numbers, for doubles lose ids beyond 2^53."""
+    return F.get(F.lit([(4**k - 1) // 3 for k in range(MAX_ZOOM + 1)]).cast("array<long>"), z)
 
 
 def zoom_of(tile_id: Column) -> Column:
-    """The zoom of a tile id; null for ids below 0 or beyond MAX_ZOOM."""
-    out = F.when(tile_id < 0, F.lit(None).cast("int"))
-    for k in range(MAX_ZOOM + 1):
-        out = out.when(tile_id < (4 ** (k + 1) - 1) // 3, F.lit(k))
-    return out
+    """The zoom of a tile id, by the length of 3 * id + 1 in bits; null for ids below 0 or beyond MAX_ZOOM."""
+    return F.when(tile_id.between(0, (4 ** (MAX_ZOOM + 1) - 1) // 3 - 1), F.shiftright(F.length(F.bin(tile_id * 3 + 1)) - 1, 1))
 
 
 def tile_id(z: Column, x: Column, y: Column) -> Column:
@@ -39,34 +36,67 @@ def tile_id(z: Column, x: Column, y: Column) -> Column:
     start = F.struct(_long(x).alias("x"), _long(y).alias("y"), _long(0).alias("d"))
 
     def level(acc: Column, k: Column) -> Column:
-        # k counts from 0; the side of this level's quadrant is 2^(z-1-k).
-        s = F.pow(F.lit(2.0), (z - 1 - k).cast("double")).cast("long")
+        # k counts down to the lowest bit; the side of this level's quadrant is 2^k.
+        s = F.get(F.lit([1 << i for i in range(MAX_ZOOM)]).cast("array<long>"), k)
         rx, ry = (acc["x"].bitwiseAND(s) > 0).cast("long"), (acc["y"].bitwiseAND(s) > 0).cast("long")
         d = acc["d"] + s * s * (F.lit(3) * rx).bitwiseXOR(ry)
         flip = (ry == 0) & (rx == 1)
         x1, y1 = F.when(flip, s - 1 - acc["x"]).otherwise(acc["x"]), F.when(flip, s - 1 - acc["y"]).otherwise(acc["y"])
         return F.struct(F.when(ry == 0, y1).otherwise(x1).alias("x"), F.when(ry == 0, x1).otherwise(y1).alias("y"), d.alias("d"))
 
-    levels = F.when(z > 0, F.sequence(F.lit(0), z - 1)).otherwise(F.array().cast("array<int>"))
+    levels = F.when(z > 0, F.sequence(z - 1, F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>"))
     return first_id(z) + F.aggregate(levels, start, level, lambda acc: acc["d"])
 
 
+#: Columns by name, in steps: each step's columns are made of those before it.
+Step = dict[str, Callable[[dict[str, Column]], Column]]
+
+
+def _place_steps() -> list[Step]:
+    """Steps from a tile id to z, x and y. The turns of all levels are composed at once by a prefix scan over the id's bit pairs (exclusive or, with doubling distance)."""
+    even = F.lit(EVEN)
+    by_zoom = lambda z, f: F.get(F.lit([f(k) for k in range(MAX_ZOOM + 1)]).cast("array<long>"), z)
+    steps: list[Step] = [
+        {"z": lambda c: zoom_of(c["id"])},
+        # Levels above the tile hold the pair that turns nothing.
+        {"t": lambda c: (c["id"] - first_id(c["z"])).bitwiseOR(by_zoom(c["z"], lambda k: (EVEN << 2 * k) % (1 << 64)))},
+        {"high": lambda c: F.shiftrightunsigned(c["t"], 1).bitwiseAND(even)},
+        {"turn": lambda c: (c["t"].bitwiseAND(even) + c["high"]).bitwiseXOR(even)},
+    ]
+    for by in (2, 4, 8, 16, 32):
+        steps.append({"turn": lambda c, by=by: c["turn"].bitwiseXOR(F.shiftrightunsigned(c["turn"], by))})
+    steps += [
+        {"flip": lambda c: c["t"].bitwiseAND(c["turn"].bitwiseAND(even)).bitwiseXOR(F.shiftrightunsigned(c["turn"], 1).bitwiseAND(even))},
+        {"t": lambda c: c["t"].bitwiseXOR(c["high"]).bitwiseXOR(c["flip"]).bitwiseXOR(F.shiftleft(c["flip"], 1)).bitwiseAND(by_zoom(c["z"], lambda k: 4**k - 1))},
+        {"x": lambda c: F.shiftrightunsigned(c["t"], 1).bitwiseAND(even), "y": lambda c: c["t"].bitwiseAND(even)},
+    ]
+    for by, mask in GATHER:
+        steps.append({k: lambda c, k=k, by=by, mask=mask: c[k].bitwiseXOR(F.shiftrightunsigned(c[k], by)).bitwiseAND(F.lit(mask)) for k in ("x", "y")})
+    return steps
+
+
+def with_places(tiles: DataFrame, column: str = "tile_id") -> DataFrame:
+    """tiles with z, x, y of their ids (null for ids that are none). Every step is a projection of its own, which Spark compiles into one loop and does not merge, for each refers to the one before it twice; a generator of one row holds back filters and join keys, which would otherwise be rewritten into copies of all steps."""
+    name = lambda n: f"_tile_{n}"
+    out, have = tiles.withColumn(name("id"), F.col(column).cast("long")), {"id"}
+    for step in _place_steps():
+        columns = {n: F.col(name(n)) for n in have}
+        out = out.withColumns({name(n): f(columns) for n, f in step.items()})
+        have |= set(step)
+    place = F.inline(F.array(F.struct(F.col(name("z")).alias("z"), F.col(name("x")).alias("x"), F.col(name("y")).alias("y"))))
+    return out.select(*(F.col(f"`{c}`") for c in tiles.columns), place)
+
+
 def zxy(tile: Column) -> Column:
-    """struct(z int, x long, y long) of a tile id: the quadrants from the lowest level up."""
-    z = zoom_of(tile)
-    start = F.struct(_long(0).alias("x"), _long(0).alias("y"), (tile - first_id(z)).cast("long").alias("t"))
+    """struct(z int, x long, y long) of a tile id as one expression; null for ids that are none. Steps are bound as lambda variables, so each stands once in the plan. with_places() is compiled and faster."""
+    values, have = F.array(F.struct(tile.cast("long").alias("id"))), frozenset(["id"])
 
-    def level(acc: Column, k: Column) -> Column:
-        s = F.pow(F.lit(2.0), k.cast("double")).cast("long")
-        rx = F.shiftright(acc["t"], 1).bitwiseAND(_long(1))
-        ry = acc["t"].bitwiseXOR(rx).bitwiseAND(_long(1))
-        flip = (ry == 0) & (rx == 1)
-        x1, y1 = F.when(flip, s - 1 - acc["x"]).otherwise(acc["x"]), F.when(flip, s - 1 - acc["y"]).otherwise(acc["y"])
-        x2, y2 = F.when(ry == 0, y1).otherwise(x1), F.when(ry == 0, x1).otherwise(y1)
-        return F.struct((x2 + s * rx).alias("x"), (y2 + s * ry).alias("y"), F.shiftright(acc["t"], 2).alias("t"))
+    def bound(step: Step, before: frozenset[str]) -> Callable[[Column], Column]:
+        return lambda v: F.struct(*((step[n]({m: v[m] for m in before}) if n in step else v[n]).alias(n) for n in sorted(before | set(step))))
 
-    levels = F.when(z > 0, F.sequence(F.lit(0), z - 1)).otherwise(F.array().cast("array<int>"))
-    return F.when(z.isNotNull(), F.aggregate(levels, start, level, lambda acc: F.struct(z.alias("z"), acc["x"].alias("x"), acc["y"].alias("y"))))
+    for step in _place_steps():
+        values, have = F.transform(values, bound(step, have)), have | set(step)
+    return F.get(F.transform(values, lambda v: F.when(v["z"].isNotNull(), F.struct(v["z"].alias("z"), v["x"].alias("x"), v["y"].alias("y")))), F.lit(0))
 
 
 def world_x(lon: Column) -> Column:

@@ -24,53 +24,79 @@ def crosses_ray(x: Column, y: Column) -> Column:
     return ((ay > y) != (by > y)) & (x < (F.col("bx") - F.col("ax")) * (y - ay) / F.when(by != ay, by - ay) + F.col("ax"))
 
 
-def contains(points: DataFrame, segs: DataFrame, keys: list[str], bins: int = 256) -> DataFrame:
-    """Even-odd test: points (keys, px, py) with `inside` for each shape. Points and segments meet in bands of rows; a band holds every segment that can cross its rays, so parity is whole."""
+def bands_for(segs: DataFrame, most: int = 1 << 14, rows: int = 8) -> int:
+    """Into how many bands of rows to cut the world so that a band holds about `rows` segments: as many as the segments' own heights allow, 16 at least."""
+    tall = segs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs(F.col("by") - F.col("ay"))).alias("height")).first()
+    return 1 << max(4, min(most, int(tall.n / max(rows * 1.0, 1e-9)) + 1, int(tall.n / max(tall.height or 0.0, 1e-9)) + 1).bit_length() - 1)
+
+
+def odd_crossings(points: DataFrame, segs: DataFrame, keys: list[str], bins: int | None = None) -> DataFrame:
+    """Even-odd test: (keys, shape) of the points (keys, px, py) inside each shape. Points and segments meet in bands of rows; a band holds every segment that can cross its rays, so parity is whole."""
+    bins = bins or bands_for(segs)
     band = lambda y: F.floor(y * bins)
     s = segs.withColumn("_band", F.explode(F.sequence(band(F.least("ay", "by")), band(F.greatest("ay", "by")))))
-    shapes = segs.select("shape").distinct()
     hit = points.withColumn("_band", band(F.col("py"))).join(s, "_band").filter(crosses_ray(F.col("px"), F.col("py")))
-    odd = hit.groupBy(*keys, "shape").agg((F.count(F.lit(1)) % 2 == 1).alias("inside")).filter("inside")
-    return points.select(*keys).crossJoin(F.broadcast(shapes)).join(odd, [*keys, "shape"], "left").select(*keys, "shape", F.coalesce("inside", F.lit(False)).alias("inside"))  # a stated set of shapes against all points
+    return hit.groupBy(*keys, "shape").agg((F.count(F.lit(1)) % 2 == 1).alias("_odd")).filter("_odd").drop("_odd")
+
+
+def of_all_shapes(rows: DataFrame, states: DataFrame, segs: DataFrame, keys: list[str], rest: Column) -> DataFrame:
+    """rows (keys) for every shape with its state from states (keys, shape, state), `rest` where there is none. Only keys with a state are joined; the shapes' names, a recipe's few, come as one row."""
+    names = segs.agg(F.array_sort(F.collect_set("shape")).alias("_shapes"))
+    own = states.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("shape", "state"))).alias("_own"))
+    each = rows.join(own, keys, "left").crossJoin(F.broadcast(names)).withColumn("shape", F.explode("_shapes"))  # one row on the right
+    return each.select(*keys, "shape", F.coalesce(F.try_element_at(F.col("_own"), F.col("shape")), rest).alias("state"))
+
+
+def contains(points: DataFrame, segs: DataFrame, keys: list[str], bins: int | None = None) -> DataFrame:
+    """Points (keys, px, py) with `inside` for each shape."""
+    odd = odd_crossings(points, segs, keys, bins).withColumn("state", F.lit(True))
+    return of_all_shapes(points.select(*keys), odd, segs, keys, F.lit(False)).withColumnRenamed("state", "inside")
+
 
+def crossed_tiles(tiles: DataFrame, segs: DataFrame, step: int = 4) -> DataFrame:
+    """(shape, tile_id) where a segment's box meets the tile's box; touching is not meeting.
 
-def crossed_tiles(tiles: DataFrame, segs: DataFrame, level: int = 5) -> DataFrame:
-    """(shape, tile_id) where a segment's box meets the tile's box; touching is not meeting. Both sides are binned to grid cells of one zoom and joined on equal cells."""
-    n = 1 << level
-    cell = lambda v: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(v * n)))
-    cells = lambda df, x0, x1, y0, y1: df.withColumn("_cx", F.explode(F.sequence(cell(x0), cell(x1)))).withColumn("_cy", F.explode(F.sequence(cell(y0), cell(y1))))
-    t = tiles.withColumn("_b", T.tile_box(F.col("z"), F.col("x"), F.col("y")))
-    t = cells(t.select("tile_id", "_b.*"), F.col("min_x"), F.col("max_x"), F.col("min_y"), F.col("max_y"))
+    Tiles of a zoom descend with the segments: both go to grid cells of a level near the tile's own zoom (a multiple of `step`), which a tile fills or
+    shares with few, so a cell holds the tiles and segments of one place, however many edges a shape has. A long segment goes to the cells of its box at each level that tiles have.
+    """
+    level = lambda z: (F.floor(z / step) * step).cast("int")
+    cell = lambda v, n: F.greatest(F.lit(0).cast("long"), F.least(n - 1, F.floor(v * n)))
+    t = tiles.select("tile_id", "z", "x", "y", level(F.col("z")).alias("_level"), T.tile_box(F.col("z"), F.col("x"), F.col("y")).alias("_b"))
+    up = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("z") - F.col("_level"))
+    t = t.select("tile_id", "_level", F.floor(F.col("x") / up).alias("_cx"), F.floor(F.col("y") / up).alias("_cy"), "_b.*")  # a tile lies in one cell of its level
+    levels = tiles.select(level(F.col("z")).alias("_level")).distinct()  # as many as zooms over step
     s = segs.select("shape", F.least("ax", "bx").alias("sx0"), F.greatest("ax", "bx").alias("sx1"), F.least("ay", "by").alias("sy0"), F.greatest("ay", "by").alias("sy1"))
-    s = cells(s, F.col("sx0"), F.col("sx1"), F.col("sy0"), F.col("sy1"))
+    n = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_level"))
+    s = s.crossJoin(F.broadcast(levels)).withColumn("_cx", F.explode(F.sequence(cell(F.col("sx0"), n), cell(F.col("sx1"), n)))).withColumn("_cy", F.explode(F.sequence(cell(F.col("sy0"), n), cell(F.col("sy1"), n))))
     meets = (F.col("sx1") > F.col("min_x")) & (F.col("sx0") < F.col("max_x")) & (F.col("sy1") > F.col("min_y")) & (F.col("sy0") < F.col("max_y"))
-    return t.join(s, ["_cx", "_cy"]).filter(meets).select("shape", "tile_id").distinct()
+    return t.join(s, ["_level", "_cx", "_cy"]).filter(meets).select("shape", "tile_id").distinct()
 
 
-def classify(tiles: DataFrame, segs: DataFrame, level: int = 5) -> DataFrame:
+def classify(tiles: DataFrame, segs: DataFrame) -> DataFrame:
     """inside, outside or partial for each tile and shape: partial where an edge meets the tile, else as its centre."""
     t = tiles.select("tile_id", "z", "x", "y")
     n = F.pow(F.lit(2.0), F.col("z").cast("double"))
     centres = t.select("tile_id", ((F.col("x") + 0.5) / n).alias("px"), ((F.col("y") + 0.5) / n).alias("py"))
-    inside = contains(centres, segs, ["tile_id"])
-    crossed = crossed_tiles(t, segs, level).withColumn("_crossed", F.lit(True))
-    return inside.join(crossed, ["tile_id", "shape"], "left").select("tile_id", "shape", F.when(F.col("_crossed"), "partial").when(F.col("inside"), "inside").otherwise("outside").alias("place"))
+    states = odd_crossings(centres, segs, ["tile_id"]).withColumn("state", F.lit("inside")).unionByName(crossed_tiles(t, segs).withColumn("state", F.lit("partial")))
+    states = states.groupBy("tile_id", "shape").agg(F.max("state").alias("state"))  # "partial" is the greater word
+    return of_all_shapes(t.select("tile_id"), states, segs, ["tile_id"], F.lit("outside")).withColumnRenamed("state", "place")
 
 
 def masks(tiles: DataFrame, segs: DataFrame, size: int) -> DataFrame:
-    """A coverage mask of size x size at pixel centres for each tile and shape: 1 inside, 0 outside, in rows. Scanlines: a row's crossings are sorted once, and a pixel is inside if an odd number lies to its right; parity is over all of the row's segments."""
+    """A coverage mask of size x size at pixel centres for each tile and shape: 1 inside, 0 outside, in rows. Scanlines: a row's crossings are sorted once, and a pixel is inside if an odd number lies to its right; parity is over all of the row's segments. Rows without crossings are never made."""
     n = F.pow(F.lit(2.0), F.col("z").cast("double"))
-    rows = tiles.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("py", (F.col("y") + (F.col("row") + 0.5) / size) / n)
-    bins = 256
+    rows = tiles.select("tile_id", "z", "x", "y").withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("py", (F.col("y") + (F.col("row") + 0.5) / size) / n)
+    bins = bands_for(segs)
     s = segs.withColumn("_band", F.explode(F.sequence(F.floor(F.least("ay", "by") * bins), F.floor(F.greatest("ay", "by") * bins))))
     at = F.col("ax") + (F.col("bx") - F.col("ax")) * (F.col("py") - F.col("ay")) / F.when(F.col("by") != F.col("ay"), F.col("by") - F.col("ay"))
     hit = rows.withColumn("_band", F.floor(F.col("py") * bins)).join(s, "_band").filter((F.col("ay") > F.col("py")) != (F.col("by") > F.col("py")))
-    crossings = hit.groupBy("tile_id", "shape", "row").agg(F.array_sort(F.collect_list(at)).alias("c"))  # as many as the shape has edges on a row
-    full = rows.select("tile_id", "z", "x", "row").crossJoin(F.broadcast(segs.select("shape").distinct())).join(crossings, ["tile_id", "shape", "row"], "left")
+    crossings = hit.groupBy("tile_id", "shape", "row").agg(F.first("x").alias("x"), F.first("z").alias("z"), F.array_sort(F.collect_list(at)).alias("c"))  # as many as the shape has edges on a row
     px = lambda i: (F.col("x") + (i + 0.5) / size) / n
-    line = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(F.size(F.filter(F.coalesce("c", F.array().cast("array<double>")), lambda v: v > px(i))) % 2 == 1, 1).otherwise(0))
-    out = full.withColumn("line", line).groupBy("tile_id", "shape").agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("l"))
-    return out.select("tile_id", "shape", F.flatten(F.transform("l", lambda r: r["line"])).alias("mask"))
+    line = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(F.size(F.filter("c", lambda v: v > px(i))) % 2 == 1, 1).otherwise(0))
+    lines = crossings.select("tile_id", "shape", "row", line.alias("line")).groupBy("tile_id", "shape").agg(F.map_from_entries(F.collect_list(F.struct("row", "line"))).alias("state"))
+    clear = F.array_repeat(F.lit(0), size)
+    full = of_all_shapes(tiles.select("tile_id"), lines, segs, ["tile_id"], F.create_map().cast("map<int,array<int>>"))
+    return full.select("tile_id", "shape", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda r: F.coalesce(F.try_element_at(F.col("state"), r), clear))).alias("mask"))
 
 
 def clip_choice(sources: DataFrame, places: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ def sample_domain(domain: DataFrame, n: int, seed: int = 1) -> DataFrame:
 
 def with_zxy(tiles: DataFrame, column: str = "tile_id") -> DataFrame:
     """tiles with z, x, y of their ids."""
-    return tiles.withColumn("_t", T.zxy(F.col(column))).select("*", "_t.z", "_t.x", "_t.y").drop("_t")
+    return T.with_places(tiles, column)
 
 
 def passthrough(contributions: DataFrame, needs_pixels: Column) -> DataFrame:
