@@ -53,23 +53,25 @@ def contains(points: DataFrame, segs: DataFrame, keys: list[str], bins: int | No
     return of_all_shapes(points.select(*keys), odd, segs, keys, F.lit(False)).withColumnRenamed("state", "inside")
 
 
-def crossed_tiles(tiles: DataFrame, segs: DataFrame, step: int = 4) -> DataFrame:
+def crossed_tiles(tiles: DataFrame, segs: DataFrame, step: int = 3, top: int = 24) -> DataFrame:
     """(shape, tile_id) where a segment's box meets the tile's box; touching is not meeting.
 
-    Tiles of a zoom descend with the segments: both go to grid cells of a level near the tile's own zoom (a multiple of `step`), which a tile fills or
-    shares with few, so a cell holds the tiles and segments of one place, however many edges a shape has. A long segment goes to the cells of its box at each level that tiles have.
+    Both sides meet in cells of grid levels. A segment's own level has cells no smaller than its box, so it lies in four of them at most, and
+    in four at most of every coarser level; a tile lies in one cell of each level up to its own. A tile meets segments as fine as itself or
+    finer at its own level, and coarser ones at theirs, so long edges aren't spread over small cells nor short ones over all tiles.
     """
-    level = lambda z: (F.floor(z / step) * step).cast("int")
-    cell = lambda v, n: F.greatest(F.lit(0).cast("long"), F.least(n - 1, F.floor(v * n)))
-    t = tiles.select("tile_id", "z", "x", "y", level(F.col("z")).alias("_level"), T.tile_box(F.col("z"), F.col("x"), F.col("y")).alias("_b"))
+    t = tiles.select("tile_id", "z", "x", "y", (F.floor(F.least(F.col("z"), F.lit(top)) / step) * step).cast("int").alias("_own"), T.tile_box(F.col("z"), F.col("x"), F.col("y")).alias("_b"))
+    t = t.withColumn("_level", F.explode(F.sequence(F.lit(0), F.col("_own"), F.lit(step))))
     up = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("z") - F.col("_level"))
-    t = t.select("tile_id", "_level", F.floor(F.col("x") / up).alias("_cx"), F.floor(F.col("y") / up).alias("_cy"), "_b.*")  # a tile lies in one cell of its level
-    levels = tiles.select(level(F.col("z")).alias("_level")).distinct()  # as many as zooms over step
+    t = t.select("tile_id", "_level", F.floor(F.col("x") / up).alias("_cx"), F.floor(F.col("y") / up).alias("_cy"), (F.col("_level") == F.col("_own")).alias("_mine"), "_b.*")
     s = segs.select("shape", F.least("ax", "bx").alias("sx0"), F.greatest("ax", "bx").alias("sx1"), F.least("ay", "by").alias("sy0"), F.greatest("ay", "by").alias("sy1"))
+    wide = F.greatest(F.col("sx1") - F.col("sx0"), F.col("sy1") - F.col("sy0"), F.lit(2.0**-top))
+    s = s.withColumn("_fits", (F.floor(F.greatest(F.lit(0.0), F.floor(-F.log2(wide))) / step) * step).cast("int")).withColumn("_level", F.explode(F.sequence(F.lit(0), F.col("_fits"), F.lit(step))))
     n = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_level"))
-    s = s.crossJoin(F.broadcast(levels)).withColumn("_cx", F.explode(F.sequence(cell(F.col("sx0"), n), cell(F.col("sx1"), n)))).withColumn("_cy", F.explode(F.sequence(cell(F.col("sy0"), n), cell(F.col("sy1"), n))))
+    cells = lambda a, b: F.explode(F.sequence(*(F.greatest(F.lit(0).cast("long"), F.least(n - 1, F.floor(F.col(v) * n))) for v in (a, b))))
+    s = s.withColumn("_cx", cells("sx0", "sx1")).withColumn("_cy", cells("sy0", "sy1"))
     meets = (F.col("sx1") > F.col("min_x")) & (F.col("sx0") < F.col("max_x")) & (F.col("sy1") > F.col("min_y")) & (F.col("sy0") < F.col("max_y"))
-    return t.join(s, ["_level", "_cx", "_cy"]).filter(meets).select("shape", "tile_id").distinct()
+    return t.join(s, ["_level", "_cx", "_cy"]).filter((F.col("_mine") | (F.col("_level") == F.col("_fits"))) & meets).select("shape", "tile_id").distinct()
 
 
 def classify(tiles: DataFrame, segs: DataFrame) -> DataFrame:
@@ -77,9 +79,10 @@ def classify(tiles: DataFrame, segs: DataFrame) -> DataFrame:
     t = tiles.select("tile_id", "z", "x", "y")
     n = F.pow(F.lit(2.0), F.col("z").cast("double"))
     centres = t.select("tile_id", ((F.col("x") + 0.5) / n).alias("px"), ((F.col("y") + 0.5) / n).alias("py"))
-    states = odd_crossings(centres, segs, ["tile_id"]).withColumn("state", F.lit("inside")).unionByName(crossed_tiles(t, segs).withColumn("state", F.lit("partial")))
-    states = states.groupBy("tile_id", "shape").agg(F.max("state").alias("state"))  # "partial" is the greater word
-    return of_all_shapes(t.select("tile_id"), states, segs, ["tile_id"], F.lit("outside")).withColumnRenamed("state", "place")
+    states = odd_crossings(centres, segs, ["tile_id"]).withColumn("state", F.lit(1)).unionByName(crossed_tiles(t, segs).withColumn("state", F.lit(2)))
+    states = states.groupBy("tile_id", "shape").agg(F.max("state").alias("state"))
+    placed = of_all_shapes(t.select("tile_id"), states, segs, ["tile_id"], F.lit(0))
+    return placed.select("tile_id", "shape", F.when(F.col("state") == 2, "partial").when(F.col("state") == 1, "inside").otherwise("outside").alias("place"))
 
 
 def masks(tiles: DataFrame, segs: DataFrame, size: int) -> DataFrame:
