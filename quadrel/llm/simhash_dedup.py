@@ -30,11 +30,12 @@ from itertools import combinations, islice
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from .common import NULL_KEY, WindowHash, flat, key_of, stored, text_batches
+from .common import BATCH_BYTES, NULL_KEY, WindowHash, flat, key_of, stored, text_batches
 from .graph import components
 
 BLOCKS = 4
@@ -189,21 +190,25 @@ def _mixed(h: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def wide_fingerprint(text: str | None, hasher: WindowHash) -> tuple[bytes, list[int], bytes]:
-    """512 bits of SimHash over the set of a text's shingles, the text's shards (signed 64-bit), and the set as sorted 64-bit hashes."""
+def shingle_set(text: str | None, hasher: WindowHash) -> np.ndarray:
+    """The set of a text's shingles as sorted 64-bit hashes; of fewer words than a shingle has, the whole sequence; of none, nothing."""
     words = flat(text).lower()
-    if not words:
-        return bytes(8 * WORDS), [0], b""
     h = np.unique(hasher(words)[2])
+    return h if len(h) or not words else np.array([xxhash.xxh64_intdigest(words, SEED)], np.uint64)
+
+
+def wide_fingerprint(h: np.ndarray) -> tuple[bytes, list[int], int]:
+    """512 bits of SimHash over a set of shingles, the set's shards and its name (signed 64-bit)."""
+    name = int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).view(np.int64))
     if not len(h):
-        h = np.array([xxhash.xxh64_intdigest(words, SEED)], np.uint64)
+        return bytes(8 * WORDS), [0], name
     counts, least = np.zeros((WORDS, 64), np.int64), np.full(2 * PAIRS, 2**64 - 1, np.uint64)
     for at in range(0, len(h), 1 << 13):
         u = _mixed(h[at : at + (1 << 13)], np.arange(2 * PAIRS)[:, None])
         counts += bit_counts(u[:WORDS])
         least = np.minimum(least, u.min(axis=1))
     shards = _mixed(_mixed(least[::2], 0) ^ least[1::2], 1) + np.arange(PAIRS, dtype=np.uint64)
-    return np.packbits(counts * 2 > len(h), axis=1, bitorder="little").tobytes(), shards.view(np.int64).tolist(), h.tobytes()
+    return np.packbits(counts * 2 > len(h), axis=1, bitorder="little").tobytes(), shards.view(np.int64).tolist(), name
 
 
 def bit_differs(common: int, a: int, b: int) -> float:
@@ -330,10 +335,12 @@ def _proposer(radius: int):
     return lambda batches: _batches(found(batches), ["group", "node"])
 
 
-def _tester(radius: int, similarity: float):
+def _tester(radius: int, similarity: float, width: int):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
-        for ids, fps, (sets,) in _runs(batches):
-            for a, b in tree_components(fps, radius, _similar_sets([np.frombuffer(x, np.uint64) for x in sets], similarity)):
+        hasher, opener = WindowHash(width), zstandard.ZstdDecompressor()
+        for ids, fps, (texts,) in _runs(batches):
+            sets = [shingle_set(_unpacked(x, opener), hasher) for x in texts]
+            for a, b in tree_components(fps, radius, _similar_sets(sets, similarity)):
                 yield int(ids[a]), int(ids[b])
 
     return lambda batches: _batches(found(batches), ["a", "b"])
@@ -351,38 +358,44 @@ def _dealt(rows: DataFrame, key: str, most: int) -> DataFrame:
     return met.select(name.alias(key), *(c for c in rows.columns if c != key))
 
 
+def _unpacked(packed: bytes | None, opener: zstandard.ZstdDecompressor) -> str | None:
+    return None if packed is None else opener.decompress(packed).decode("utf-8", "surrogatepass")
+
+
 def _sketches(docs: DataFrame, width: int, keep: bool) -> DataFrame:
-    """Written rows with own (the columns of docs, if kept), row, key, node, fp, shards and shingles. Row numbers are given once, where the rows are written."""
+    """Written rows with own (the columns of docs but text, if kept), row, key, node, fp, shards and the text, compressed. Row numbers are given once, where the rows are written."""
     rows = docs.select(F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if keep and c != "text"), F.col("doc_id").cast("long").alias("doc_id")).alias("own"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WindowHash(width)
+        hasher, packer = WindowHash(width), zstandard.ZstdCompressor(level=3)
         for table in text_batches(batches):
-            fp, shards, sets = zip(*(wide_fingerprint(t.as_py(), hasher) for t in table["text"]), strict=True)
-            for name, column in (("fp", pa.array(fp, pa.binary())), ("shards", pa.array(shards, pa.list_(pa.int64()))), ("shingles", pa.array(sets, pa.binary()))):
+            texts = [t.as_py() for t in table["text"]]
+            fp, shards, node = zip(*(wide_fingerprint(shingle_set(t, hasher)) for t in texts), strict=True)
+            packed = [None if t is None else packer.compress(t.encode("utf-8", "surrogatepass")) for t in texts]
+            table = table.drop_columns(["text"])
+            for name, column in (("fp", pa.array(fp, pa.binary())), ("shards", pa.array(shards, pa.list_(pa.int64()))), ("node", pa.array(node, pa.int64())), ("packed", pa.array(packed, pa.binary()))):
                 table = table.append_column(name, column)
-            yield from (table if keep else table.drop_columns(["text"])).combine_chunks().to_batches()
+            yield from table.combine_chunks().to_batches()
 
-    own = rows.schema if keep else StructType([rows.schema["own"]])
-    sketched = rows.mapInArrow(run, StructType([*own, StructField("fp", BinaryType()), StructField("shards", ArrayType(LongType())), StructField("shingles", BinaryType())]))
-    return stored(sketched.withColumns({"row": F.monotonically_increasing_id(), "key": F.coalesce("own.doc_id", F.lit(NULL_KEY)), "node": F.xxhash64("shingles")}), "sketches")
+    sketched = rows.mapInArrow(run, StructType([rows.schema["own"], StructField("fp", BinaryType()), StructField("shards", ArrayType(LongType())), StructField("node", LongType()), StructField("packed", BinaryType())]))
+    return stored(sketched.withColumns({"row": F.monotonically_increasing_id(), "key": F.coalesce("own.doc_id", F.lit(NULL_KEY))}), "sketches")
 
 
-def _similar(each: DataFrame, similarity: float, shard_rows: int, group_rows: int) -> DataFrame:
-    """(node, root) of the sets of shingles that links of that similarity join."""
+def _similar(each: DataFrame, width: int, similarity: float, shard_rows: int, group_rows: int) -> DataFrame:
+    """(node, root) of the sets of shingles that links of that similarity join. Texts travel compressed and are shingled anew where they are compared: hashes of shingles would be several times their size."""
     radius = radius_of(similarity)
     by_shard = _dealt(each.select(F.explode("shards").alias("shard"), "node", "fp").distinct(), "shard", shard_rows)
     proposed = by_shard.repartition("shard").sortWithinPartitions("shard").mapInArrow(_proposer(radius), "group long, node long")
     groups = _dealt(stored(proposed.distinct(), "groups"), "group", group_rows)
-    wanted = each.join(groups.select("node").distinct(), "node", "left_semi").select("node", "fp", "shingles").dropDuplicates(["node"])
-    by_group = groups.join(wanted, "node").select("group", "node", "fp", "shingles")
-    return components(by_group.repartition("group").sortWithinPartitions("group").mapInArrow(_tester(radius, similarity), "a long, b long"))
+    wanted = each.join(groups.select("node").distinct(), "node", "left_semi").select("node", "fp", "packed").dropDuplicates(["node"])
+    by_group = groups.join(wanted, "node").select("group", "node", "fp", "packed")
+    return components(by_group.repartition("group").sortWithinPartitions("group").mapInArrow(_tester(radius, similarity, width), "a long, b long"))
 
 
 def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, shard_rows: int = 200_000, group_rows: int = 20_000) -> DataFrame:
     """One row for each document: doc_id, component_id (smallest doc_id of the texts that links reach). Sets of shingles are named by 64-bit hashes in the links."""
     each = _sketches(docs, width, keep=False)
-    member = _similar(each, similarity, shard_rows, group_rows)
+    member = _similar(each, width, similarity, shard_rows, group_rows)
     low = each.groupBy("node").agg(F.min("key").alias("low"))
     named = low.join(member, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     ids = stored(named.groupBy("root").agg(F.min("low").alias("component")), "ids")  # written, so that the join below may split a large component
@@ -393,8 +406,17 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, shar
 def first_of_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, shard_rows: int = 200_000, group_rows: int = 20_000) -> DataFrame:
     """The rows of docs, with all their columns, that are the first of their similar texts: by doc_id (null first), of equal ids any one. Rows are told apart by numbers of their own, not by ids."""
     each = _sketches(docs, width, keep=True)
-    member = _similar(each, similarity, shard_rows, group_rows)
+    member = _similar(each, width, similarity, shard_rows, group_rows)
     low = each.groupBy("node").agg(F.min(F.struct("key", "row")).alias("low"))
     first = low.join(member, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("low").alias("low"))
-    kept = each.join(first.select(F.col("low.row").alias("row")), "row", "left_semi")
-    return kept.select(*(F.col("text") if c == "text" else F.col(f"own.c{k}").alias(c) for k, c in enumerate(docs.columns)))
+    kept = each.join(first.select(F.col("low.row").alias("row")), "row", "left_semi").select("own", "packed")
+    text = docs.schema["text"]
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opener = zstandard.ZstdDecompressor()
+        for table in text_batches(batches, "packed", BATCH_BYTES // 4):
+            texts = pa.array([_unpacked(x.as_py(), opener) for x in table["packed"]], pa.string())
+            yield from table.drop_columns(["packed"]).append_column("text", texts).combine_chunks().to_batches()
+
+    whole = kept.mapInArrow(opened, StructType([kept.schema["own"], StructField("text", StringType())]))
+    return whole.select(*(F.col("text").cast(text.dataType).alias(c) if c == "text" else F.col(f"own.c{k}").alias(c) for k, c in enumerate(docs.columns)))
