@@ -31,7 +31,7 @@ from .common import WORD, stored
 WEIGHTS = (5.0, 2.0, 1.0)
 HASH_BITS = 60
 #: Documents that a cell of the seeded order holds on average, and patterns up to which their places are broadcast.
-CELL_ROWS, BROADCAST_ROWS = 50_000, 200_000
+CELL_ROWS, BROADCAST_ROWS = 2_000, 200_000
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
