@@ -106,11 +106,20 @@ def limit(value: Column) -> Column:
 
 
 def expand_template(template: Column, at: Column) -> Column:
-    """Dates in a link template."""
-    out = template
-    for token, form in (("{YYYYMMDD}", "yyyyMMdd"), ("{YYYY}", "yyyy"), ("{MM}", "MM"), ("{DD}", "dd"), ("{YY}", "yy")):
-        out = F.replace(out, F.lit(token), F.date_format(at, form))
-    return out
+    """Dates in a link template: braces that hold runs of Y, M and D, with single separators between, stand for parts of the date; two Ys are the last two digits, a single M or D has no zero before it. Other braces stay as they are."""
+    parts = {"y": F.date_format(at, "yyyy"), "m": F.date_format(at, "M"), "d": F.date_format(at, "d")}
+
+    def run(x: Column) -> Column:
+        letter, n = F.lower(F.substring(x, 1, 1)), F.length(x)
+        year = F.when(n == 2, F.substring(parts["y"], 3, 2)).otherwise(parts["y"])
+        two = lambda p: F.when((n > 1) & (F.length(p) < 2), F.concat(F.lit("0"), p)).otherwise(p)
+        return F.when(letter == "y", year).when(letter == "m", two(parts["m"])).when(letter == "d", two(parts["d"])).otherwise(x)
+
+    def piece(x: Column) -> Column:
+        runs = F.regexp_extract_all(F.substring(x, F.lit(2), F.length(x) - 2), F.lit(r"([YMDymd])\1*|[-_./ ]"), F.lit(0))
+        return F.when(x.rlike(r"^\{[YMDymd]+([-_./ ]?[YMDymd]+)*\}$"), F.array_join(F.transform(runs, run), "")).otherwise(x)
+
+    return F.array_join(F.transform(F.regexp_extract_all(template, F.lit(r"\{[^{}]*\}|[^{]+|\{"), F.lit(0)), piece), "")
 
 
 def client_key(address: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +21,13 @@ def import_paths(entries: DataFrame, base: str, ratio: float = 2.0) -> DataFrame
 
 
 def classified_log(lines: DataFrame, rules: dict[str, str], last: int = 3) -> DataFrame:
-    """Hits of each rule (name: regular expression) over (seq, line) rows, and the last samples. Rules are matched in the scan; samples are kept by a bounded top-n, not by gathering a rule's lines."""
+    """Hits of each rule (name: regular expression) over (seq, line) rows, and its last lines in order. Rules are matched in the scan; Spark cuts each partition to its last lines (a window group limit) before they are shuffled."""
     hit = F.explode(F.filter(F.array(*(F.when(F.col("line").rlike(p), F.lit(n)) for n, p in rules.items())), lambda x: x.isNotNull())).alias("rule")
     hits = lines.select("seq", "line", hit)
     counts = hits.groupBy("rule").agg(F.count(F.lit(1)).alias("hits"))
-    lasts = reduce(DataFrame.unionByName, (hits.filter(F.col("rule") == n).orderBy(F.desc("seq")).limit(last) for n in rules))
-    samples = lasts.groupBy("rule").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda s: s["seq"].cast("string")), ",").alias("last_seqs"))
-    return counts.join(samples, "rule")
+    newest = hits.withColumn("_n", F.row_number().over(Window.partitionBy("rule").orderBy(F.desc("seq")))).filter(F.col("_n") <= last)
+    samples = newest.groupBy("rule").agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("l"))
+    return counts.join(samples, "rule").select("rule", "hits", F.array_join(F.transform("l", lambda x: x["seq"].cast("string")), ",").alias("last_seqs"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("last_lines"))
 
 
 def save_cycles(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -42,10 +40,20 @@ def save_cycles(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cycles, never
 
 
-def disk_use(files: DataFrame, keys: DataFrame) -> DataFrame:
-    """Bytes of files that carry an archive's key: as their name, its start, or the part before a separator within. The key is cut from the name, so this is an equi-join."""
-    key = F.regexp_extract("name", r"([0-9]+)(?:[.\-_/]|$)", 1)
-    return keys.join(files.select(key.alias("_key"), "size"), F.col("_key") == F.col("info_hash").cast("string"), "left").groupBy("info_hash").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("_key").alias("files"))
+def disk_use(files: DataFrame, entries: DataFrame) -> DataFrame:
+    """Bytes and number of the files (folder, name, size) that belong to each entry (info_hash, name, folder): their name begins with the entry's or holds its key.
+
+    Names and keys have few lengths, so a file's name is cut into its beginnings and its runs of those lengths, and the rest is an equi-join.
+    """
+    lengths = entries.agg(F.array_sort(F.collect_set(F.length("name"))).alias("_n"), F.array_sort(F.collect_set(F.length("info_hash"))).alias("_k"))  # a name's length is 255 at most
+    numbered = files.select("folder", "name", "size", F.xxhash64("folder", "name").alias("_file"))
+    cut = numbered.crossJoin(F.broadcast(lengths))  # one row on the right
+    begins = F.transform(F.filter("_n", lambda n: n <= F.length("name")), lambda n: F.struct(F.lit("name").alias("of"), F.substring(F.col("name"), F.lit(1), n).alias("text")))
+    runs = F.flatten(F.transform(F.filter("_k", lambda k: k <= F.length("name")), lambda k: F.transform(F.sequence(F.lit(1), F.length("name") - k + 1), lambda i: F.struct(F.lit("key").alias("of"), F.substring(F.col("name"), i, k).alias("text")))))
+    parts = cut.select("folder", "_file", "size", F.explode(F.array_distinct(F.concat(begins, runs))).alias("p")).select("folder", "_file", "size", "p.of", "p.text")
+    wanted = entries.select("info_hash", "folder", F.explode(F.array(*(F.struct(F.lit(of).alias("of"), F.col(c).alias("text")) for of, c in (("name", "name"), ("key", "info_hash"))))).alias("p")).select("info_hash", "folder", "p.of", "p.text")
+    found = parts.join(wanted, ["folder", "of", "text"]).select("info_hash", "_file", "size").distinct()
+    return entries.select("info_hash").join(found, "info_hash", "left").groupBy("info_hash").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("_file").alias("files"))
 
 
 def orphans(files: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -137,9 +137,10 @@ def listing_selection(links: DataFrame, pattern: str, most: int) -> DataFrame:
     return links.filter(F.col("link").rlike(pattern)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
-def seeding_limit(own: Column, node: Column) -> Column:
-    """An entry's own limit (struct of ratio, minutes), else the node's; a limit of nothing means for ever."""
-    return F.coalesce(own, node)
+def seeding_limit(own: Column, node: Column, forever: Column) -> Column:
+    """The limit (struct of ratio, minutes) in force: none where the entry is set to seed for ever, its own if it names a number above 0, else the node's."""
+    names = lambda x: x.isNotNull() & (F.coalesce(x["ratio"] > 0, F.lit(False)) | F.coalesce(x["minutes"] > 0, F.lit(False)))
+    return F.when(F.coalesce(forever, F.lit(False)), F.lit(None)).when(names(own), own).when(names(node), node)
 
 
 def seeding_verdict(entries: DataFrame, now: Column) -> DataFrame:
@@ -148,16 +149,36 @@ def seeding_verdict(entries: DataFrame, now: Column) -> DataFrame:
     live = (F.col("mode") != "cache") & F.col("complete")
     by_ratio = live & F.col("limit_ratio").isNotNull() & (F.col("ratio") >= F.col("limit_ratio"))
     by_time = live & F.col("limit_minutes").isNotNull() & F.col("seeding_since").isNotNull() & (minutes >= F.col("limit_minutes"))
-    left = F.when(F.col("limit_minutes").isNotNull() & F.col("seeding_since").isNotNull(), F.greatest(F.lit(0.0), (F.col("limit_minutes") - minutes) * 60))
+    left = F.when((F.col("mode") != "cache") & F.col("limit_minutes").isNotNull() & F.col("seeding_since").isNotNull(), F.greatest(F.lit(0.0), (F.col("limit_minutes") - minutes) * 60))
     return entries.withColumns({"verdict": F.when(F.coalesce(by_ratio, F.lit(False)), "ratio").when(F.coalesce(by_time, F.lit(False)), "time").otherwise("keep"), "seconds_left": F.floor(left).cast("long"), "pending": F.col("limit_minutes").isNotNull() & F.col("seeding_since").isNull()})
 
 
+def seeding_remaining(entries: DataFrame, now: Column) -> DataFrame:
+    """What is left before a limit ends seeding, for entries like seeding_verdict's: for ever (cached archives, and those whose limits are none above 0), the progress towards a ratio, the end of the time and its seconds left, or pending where the clock has not begun."""
+    ratio, minutes = (F.when(F.col(c) > 0, F.col(c)) for c in ("limit_ratio", "limit_minutes"))
+    forever = F.coalesce(F.col("mode") == "cache", F.lit(False)) | ratio.isNull() & minutes.isNull()
+    ends = F.timestamp_seconds(F.unix_timestamp("seeding_since") + minutes * 60)
+    of = lambda c: F.when(~forever, c)
+    return entries.withColumns({
+        "forever": forever, "ratio": of(F.when(ratio.isNotNull(), F.coalesce("ratio", F.lit(0.0)))), "ratio_target": of(ratio), "expires_at": of(ends),
+        "seconds_left": of(F.when(ends.isNotNull(), F.greatest(F.lit(0), F.unix_timestamp(ends) - F.unix_timestamp(now)).cast("long"))), "pending": ~forever & minutes.isNotNull() & F.col("seeding_since").isNull(),
+    })
+
+
 def origin_drift(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Entries whose origin changed between two snapshots (info_hash, etag, modified, length, summary), and what differs. A changed date alone is nothing if the summaries agree."""
-    a, b = before.select("info_hash", *(F.col(c).alias(f"_{c}") for c in ("etag", "modified", "length", "summary"))), after
+    """Status of each entry of `before` by two snapshots of its origin (info_hash, etag, modified, length, summary), and what differs.
+
+    unknown: nothing was recorded; missing: the origin is gone; changed: a validator that both snapshots have differs; else unchanged. A
+    date that alone differs is no change if both summaries are known and agree.
+    """
+    names = ("etag", "modified", "length")
+    b = before.select("info_hash", *(F.col(c).alias(f"_{c}") for c in (*names, "summary")), F.coalesce(*(F.col(c).cast("string") for c in names)).isNotNull().alias("_known"))
+    a = after.select("info_hash", *names, "summary", F.lit(True).alias("_there"))
     differs = lambda c: F.col(c).isNotNull() & F.col(f"_{c}").isNotNull() & (F.col(c) != F.col(f"_{c}"))
-    rows = b.join(a, "info_hash").withColumn("changes", F.concat_ws("; ", *(F.when(differs(c), c) for c in ("etag", "modified", "length"))))
-    return rows.filter((F.col("changes") != "") & ~((F.col("changes") == "modified") & F.col("summary").eqNullSafe(F.col("_summary")))).select("info_hash", "changes")
+    rows = b.join(a, "info_hash", "left").withColumn("changes", F.concat_ws("; ", *(F.when(differs(c), c) for c in names)))
+    agree = (F.col("changes") == "modified") & F.coalesce(F.col("summary") == F.col("_summary"), F.lit(False))
+    status = F.when(~F.col("_known"), "unknown").when(F.col("_there").isNull(), "missing").when((F.col("changes") == "") | agree, "unchanged").otherwise("changed")
+    return rows.select("info_hash", status.alias("status"), F.when(status == "changed", F.col("changes")).otherwise("").alias("changes"))
 
 
 def edited_categories(cats: Column, add: Column, remove: Column, replace: Column | None = None) -> Column:

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 def piece_digests(files: DataFrame, piece: int = 4 << 20) -> DataFrame:
     """SHA-1 of each piece of (key, content) rows, and of the whole file the MD5."""
     data = files.select("key", F.col("content").cast("binary").alias("content")).withColumn("_n", F.greatest(F.lit(1), F.ceil(F.octet_length("content") / piece)).cast("int"))
-    return data.select("key", F.md5("content").alias("file_md5"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("piece"), "content").select(
-        "key", "file_md5", "piece", F.sha1(F.substring(F.col("content"), F.col("piece") * piece + 1, F.lit(piece))).alias("sha1")
-    )
+    digests = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.sha1(F.substring(F.col("content"), i * piece + 1, F.lit(piece))))  # of the content no copy is made
+    return data.select("key", F.md5("content").alias("file_md5"), F.posexplode(digests).alias("piece", "sha1"))
 
 
 def piece_ranges(ranges: DataFrame, piece: int) -> DataFrame:

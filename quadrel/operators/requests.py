@@ -49,19 +49,40 @@ def recent(requests: DataFrame, n: int = 200) -> DataFrame:
     return requests.orderBy(F.desc("at"), F.desc("seq")).limit(n)
 
 
-def rank_at(ordered: Column, n: Column, fraction: float) -> Column:
-    """The other percentile rule: index min(n - 1, floor(n * fraction)) of a sorted array."""
-    return F.get(ordered, F.least(n - 1, F.floor(n * F.lit(fraction))).cast("int"))
+#: Cells that a doubling of a value is cut into, to find ranks without sorting a side in one task.
+CELLS = 256
+
+
+def _cell() -> Column:
+    return F.floor(F.log2(F.abs("ms") + 1) * CELLS * F.signum("ms")).cast("long")
+
+
+def value_counts(requests: DataFrame, side: str) -> DataFrame:
+    """(side, ms, n, before, total, cell, next): each value of a side with how often it occurs, how many values are smaller, and the next larger one. Sums run within cells of values, then over a side's cells (some thousands), so no task sorts a side."""
+    values = requests.filter("ms is not null").groupBy(side, "ms").agg(F.count(F.lit(1)).alias("n")).withColumn("cell", _cell())
+    cells = values.groupBy(side, "cell").agg(F.sum("n").alias("_n"), F.min("ms").alias("_low"))
+    w = Window.partitionBy(side).orderBy("cell")
+    cells = cells.select(side, "cell", (F.sum("_n").over(w) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(side)).alias("total"), F.lead("_low").over(w).alias("_next"))
+    own = Window.partitionBy(side, "cell").orderBy("ms")
+    placed = values.withColumns({"_own": F.sum("n").over(own) - F.col("n"), "_after": F.lead("ms").over(own)}).join(cells, [side, "cell"])
+    return placed.select(side, "ms", "n", (F.col("_before") + F.col("_own")).alias("before"), "total", "cell", F.coalesce("_after", "_next").alias("next"))
+
+
+def at_index(value: str, index: Column) -> Column:
+    """An aggregate over value_counts(): the value at an index of the side's sorted values."""
+    return F.max(F.when((F.col("before") <= index) & (index < F.col("before") + F.col("n")), F.col(value)))
+
+
+def rank_index(n: Column, fraction: float) -> Column:
+    """The other percentile rule: index min(n - 1, floor(n * fraction)) of n sorted values."""
+    return F.least(n - 1, F.floor(n * F.lit(fraction)))
 
 
 def latency_summary(requests: DataFrame, side: str) -> DataFrame:
-    """Percentiles by the index rule, worst value, errors and bytes of each side; ranks by a window, so no side is gathered in one row."""
-    w = Window.partitionBy(side)
-    ranked = requests.withColumns({"_i": F.row_number().over(w.orderBy("ms", "seq")) - 1, "_n": F.count(F.lit(1)).over(w)})
-    at = lambda f: F.max(F.when(F.col("_i") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(f))), F.col("ms")))
-    return ranked.groupBy(side).agg(
-        F.count(F.lit(1)).alias("requests"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"), F.max("ms").alias("worst"), F.count_if(F.col("status") >= 400).alias("errors"), F.sum("bytes").alias("bytes")
-    )
+    """Percentiles by the index rule, worst value, errors and bytes of each side."""
+    ranks = value_counts(requests, side).groupBy(side).agg(*(at_index("ms", rank_index(F.col("total"), f)).alias(k) for k, f in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))))
+    rest = requests.groupBy(side).agg(F.count(F.lit(1)).alias("requests"), F.max("ms").alias("worst"), F.count_if(F.col("status") >= 400).alias("errors"), F.sum("bytes").alias("bytes"))
+    return rest.join(ranks, side, "left").select(side, "requests", "p50", "p90", "p99", "worst", "errors", "bytes")
 
 
 def histogram(requests: DataFrame, side: str, bins: int = 8) -> DataFrame:
@@ -80,12 +101,23 @@ def side_ratio(summary: DataFrame, side: str, one, two) -> DataFrame:
     )
 
 
-def two_modes(requests: DataFrame, side: str, least: int = 20, share: float = 0.1, ratio: float = 1.5) -> DataFrame:
-    """Where each side's durations split: the widest gap between neighbours from the 10th to the 90th percentile, and whether both halves hold a share of the values and the upper begins well above the lower's end."""
-    w = Window.partitionBy(side)
-    ranked = requests.withColumns({"_i": F.row_number().over(w.orderBy("ms", "seq")) - 1, "_n": F.count(F.lit(1)).over(w), "_next": F.lead("ms").over(w.orderBy("ms", "seq"))})
-    inner = (F.col("_i") >= F.floor(F.col("_n") * 0.1)) & (F.col("_i") < F.floor(F.col("_n") * 0.9)) & F.col("_next").isNotNull()
-    gap = ranked.filter(inner).groupBy(side).agg(F.max_by(F.struct("ms", "_next", "_i", "_n"), F.struct(F.col("_next") - F.col("ms"), -F.col("_i"))).alias("g"))
-    low, high, below, n = F.col("g.ms"), F.col("g._next"), F.col("g._i") + 1, F.col("g._n")
-    split = (n >= least) & (below / n >= share) & ((n - below) / n >= share) & (high >= low * ratio)
-    return gap.select(side, low.alias("low_end"), high.alias("high_start"), below.cast("long").alias("below"), (n - below).cast("long").alias("above"), split.alias("split"))
+def two_modes(requests: DataFrame, side: str, least: int = 20, share: float = 0.25, ratio: float = 1.8, spreads: float = 3.0) -> DataFrame:
+    """Where each side's durations split, and whether that makes two populations.
+
+    The split is the widest gap between neighbours of the middle (from index floor(0.1 n) up to ceil(0.9 n)). There are two if the smaller half holds
+    `share` of the values, the upper median is `ratio` times the lower, and the gap is `spreads` times the lower half's spread (10th to 90th percentile, 1 at least).
+    """
+    v = value_counts(requests, side)
+    index = F.col("before") + F.col("n") - 1  # of a value's last occurrence
+    gap = F.col("next") - F.col("ms")
+    inner = (index >= F.floor(F.col("total") * 0.1)) & (index < F.ceil(F.col("total") * 0.9) - 1) & (gap > 0)
+    at = v.filter(inner).groupBy(side).agg(F.max_by(F.struct(F.col("ms").alias("low"), F.col("next").alias("high"), (index + 1).alias("below")), F.struct(gap, -index)).alias("g"))
+    halves = v.join(at, side)  # a row for each side on the right
+    below, above = F.col("g.below"), F.col("total") - F.col("g.below")
+    stats = halves.groupBy(side).agg(
+        F.first("g.low").alias("low_end"), F.first("g.high").alias("high_start"), F.first(below).cast("long").alias("below"), F.first(above).cast("long").alias("above"), F.first("total").alias("_n"),
+        at_index("ms", rank_index(below, 0.5)).alias("fast_median"), at_index("ms", below + rank_index(above, 0.5)).alias("slow_median"),
+        (at_index("ms", rank_index(below, 0.9)) - at_index("ms", rank_index(below, 0.1))).alias("_spread"),
+    )
+    split = (F.col("_n") >= least) & (F.least("below", "above") / F.col("_n") >= share) & (F.col("slow_median") >= F.col("fast_median") * ratio) & (F.col("high_start") - F.col("low_end") >= F.greatest(F.lit(1.0), F.col("_spread")) * spreads)
+    return stats.select(side, "low_end", "high_start", "below", "above", "fast_median", "slow_median", split.alias("split"))

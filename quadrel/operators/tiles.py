@@ -98,10 +98,14 @@ def tile_offsets(contents: DataFrame, cell_bits: int = 12) -> DataFrame:
     return placed.withColumn("_own", own).join(bases, "_cell").withColumn("offset", F.col("_base") + F.col("_own")).drop("_cell", "_own", "_base")
 
 
-def clustered(entries: DataFrame, archive: str, order: str) -> DataFrame:
-    """Whether an archive's tile ids strictly ascend in order of arrival."""
-    w = Window.partitionBy(archive).orderBy(order)
-    return entries.withColumn("_bad", F.col("tile_id") <= F.lag("tile_id").over(w)).groupBy(archive).agg((F.count_if("_bad") == 0).alias("clustered"), F.count(F.lit(1)).alias("entries"))
+def clustered(entries: DataFrame, archive: str, order: str, cell_bits: int = 16) -> DataFrame:
+    """Whether an archive's tile ids strictly ascend in order of arrival. Neighbours are compared within cells of arrival, then the cells' ends among themselves, so an archive takes many tasks."""
+    cell = F.shiftright(F.col(order), cell_bits)
+    w = Window.partitionBy(archive, "_cell").orderBy(order)
+    marked = entries.withColumn("_cell", cell).withColumn("_bad", F.coalesce(F.col("tile_id") <= F.lag("tile_id").over(w), F.lit(False)))
+    cells = marked.groupBy(archive, "_cell").agg(F.bool_or("_bad").alias("_bad"), F.count(F.lit(1)).alias("_n"), F.min_by("tile_id", order).alias("_first"), F.max_by("tile_id", order).alias("_last"))
+    ends = cells.withColumn("_back", F.coalesce(F.col("_first") <= F.lag("_last").over(Window.partitionBy(archive).orderBy("_cell")), F.lit(False)))
+    return ends.groupBy(archive).agg((~F.bool_or(F.col("_bad") | F.col("_back"))).alias("clustered"), F.sum("_n").alias("entries"))
 
 
 def shared_domain(sources: DataFrame) -> DataFrame:

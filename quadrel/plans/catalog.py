@@ -81,7 +81,7 @@ def stack_resolution(s, d):
 
 def stack_impact(s, d):
     c = catalog(s, d)
-    return C.removal_impact(c.filter("info_hash % 7 = 0"), recipe_sources(s), c)
+    return C.removal_impact(c, recipe_sources(s), c)
 
 
 def stack_impact_all(s, d):
@@ -133,8 +133,13 @@ def expected_builds(s, d):
     return C.expected_builds(src.crossJoin(today).withColumn("today", F.col("_t")), held, F.col("today"), 5, 3).select("source", F.date_format("date", "yyyy-MM-dd").alias("date"))  # one row on the right
 
 
+#: Forms of dated links; braces that are no date stay.
+TEMPLATES = ("https://h/{YYYY}/{MM}/b-{YYYYMMDD}.pmtiles", "h/{YYYY-MM-DD}/{yy}_{M}.{D}", "h/{name}/{yyyy/mm}/{D-}{}", "h/{Y.M.D}/{YY")
+
+
 def url_templates(s, d):
-    return catalog(s, d).select("info_hash", P.expand_template(F.lit("https://h/{YYYY}/{MM}/b-{YYYYMMDD}.pmtiles"), F.col("created_at")).alias("url"))
+    forms = F.array(*(F.lit(t) for t in TEMPLATES))
+    return catalog(s, d).select("info_hash", P.expand_template(F.get(forms, (F.col("info_hash") % 4).cast("int")), F.col("created_at")).alias("url"))
 
 
 def seeding_verdicts(s, d):
@@ -146,10 +151,19 @@ def seeding_verdicts(s, d):
     return C.seeding_verdict(e, now).select("info_hash", "verdict", "seconds_left", "pending")
 
 
-def origin_drift(s, d):
-    a = table(s, d, "orders").select(F.col("o_orderkey").alias("info_hash"), F.col("o_orderstatus").alias("etag"), F.col("o_orderpriority").alias("modified"), F.floor("o_totalprice").cast("long").alias("length"), F.col("o_orderstatus").alias("summary"))
+def seeding_remaining(s, d):
+    c = catalog(s, d)
     k = F.col("info_hash")
-    b = a.select("info_hash", F.when(k % 7 == 0, F.lit("x")).otherwise(F.col("etag")).alias("etag"), F.when(k % 3 == 0, F.lit("x")).otherwise(F.col("modified")).alias("modified"), F.when(k % 11 == 0, F.col("length") + 1).otherwise(F.col("length")).alias("length"), F.when(k % 6 == 0, F.lit("x")).otherwise(F.col("summary")).alias("summary"))
+    e = c.select("info_hash", F.when(k % 4 == 0, "cache").otherwise("full").alias("mode"), F.when(k % 5 != 0, F.col("created_at")).alias("seeding_since"), F.when(k % 7 != 0, F.col("size") % 40 / 10).alias("ratio"), F.when(k % 3 == 0, 2.0).when(k % 3 == 1, 0.0).alias("limit_ratio"), F.when(k % 2 == 0, 1000000).when(k % 11 == 0, -5).alias("limit_minutes"))
+    now = F.lit("1997-01-01 00:00:00").cast("timestamp")
+    return C.seeding_remaining(e, now).select("info_hash", "forever", "ratio", "ratio_target", F.unix_timestamp("expires_at").alias("expires_at"), "seconds_left", "pending")
+
+
+def origin_drift(s, d):
+    o, k = table(s, d, "orders"), F.col("o_orderkey")
+    known = k % 13 != 0
+    a = o.select(k.alias("info_hash"), F.when(known & (k % 2 == 0), F.lit("e")).alias("etag"), F.when(known, F.lit(10)).alias("modified"), F.when(known, F.lit(5)).alias("length"), F.when(k % 4 < 2, F.lit("s")).alias("summary"))
+    b = o.filter(k % 17 != 0).select(k.alias("info_hash"), F.when(k % 7 == 0, "f").otherwise("e").alias("etag"), F.when(k % 3 == 0, 11).otherwise(10).alias("modified"), F.when(k % 11 == 0, 6).otherwise(5).alias("length"), F.when(k % 5 < 3, F.when(k % 6 == 0, "t").otherwise("s")).alias("summary"))
     return C.origin_drift(a, b)
 
 
@@ -159,8 +173,7 @@ def category_edits(s, d):
 
 
 def engine_peers(s, d):
-    li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("info_hash"), F.col("l_suppkey").alias("peer"), F.col("l_linenumber").alias("k"))
-    return C.all_peers({"one": li.filter("k = 1").select("info_hash", "peer"), "two": li.filter("k = 2").select("info_hash", "peer", F.col("k").alias("speed"))})
+    return engine_peers_all(s, d)
 
 
 def engine_peers_all(s, d):
@@ -181,8 +194,26 @@ def catalog_upsert(s, d):
     return C.upsert(c, new, F.lit(NOW).cast("timestamp")).select("info_hash", "name", "size", *_seconds("created_at", "updated_at"))
 
 
+def _placed(s, d, by):
+    """The sorted entries with their place in the order that the frame has: its partitions are ranges in order, so a place is a partition's first place and the row's within."""
+    rows = C.sorted_catalog(catalog(s, d).select("info_hash", F.when(F.col("info_hash") % 9 != 0, F.upper("name")).alias("name"), F.when(F.col("info_hash") % 8 != 0, F.col("size") % 100).alias("size"), "created_at", "build_date"), by)
+    numbered = rows.select("info_hash", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_id"))
+    from pyspark.sql import Window
+
+    parts = numbered.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_base"))  # a row for each partition
+    return numbered.join(F.broadcast(parts), "_p").select("info_hash", (F.col("_base") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"))
+
+
 def catalog_ranks(s, d):
-    return C.sorted_catalog(catalog(s, d), "newest").select("info_hash", "name", "size")
+    return _placed(s, d, "newest")
+
+
+def catalog_by_name(s, d):
+    return _placed(s, d, "name")
+
+
+def catalog_by_size(s, d):
+    return _placed(s, d, "largest")
 
 
 def feed_cap(s, d):
@@ -197,7 +228,7 @@ def metadata_flags(s, d):
     return e.select("event_id", P.metadata_flag(flag).alias("flag"), P.metadata_encoding(enc).alias("encoding"), f.isNotNull().alias("custom"))
 
 
-QUERIES = (category_list, category_summary, newest_per_category, retention_plan, retirement_plan, catalog_search, publishing_flags, visible_entries, title_filter, catalog_status, engine_merge, stack_resolution, stack_impact, stack_impact_all, stack_coverage, stack_revisions, adopt_candidates, held_sources, feed_take_until_seen, catalogue_unseen, prune_plan, expected_builds, url_templates, seeding_verdicts, origin_drift, category_edits, engine_peers, engine_peers_all, name_kinds, catalog_upsert, catalog_ranks, feed_cap, metadata_flags)
+QUERIES = (category_list, category_summary, newest_per_category, retention_plan, retirement_plan, catalog_search, publishing_flags, visible_entries, title_filter, catalog_status, engine_merge, stack_resolution, stack_impact, stack_impact_all, stack_coverage, stack_revisions, adopt_candidates, held_sources, feed_take_until_seen, catalogue_unseen, prune_plan, expected_builds, url_templates, seeding_verdicts, seeding_remaining, origin_drift, category_edits, engine_peers, engine_peers_all, name_kinds, catalog_upsert, catalog_ranks, catalog_by_name, catalog_by_size, feed_cap, metadata_flags)
 
 CAT, PERCAT, FEED = with_views("catalog"), with_views("catalog", "percat"), with_views("feed_items")
 _ORDER = "coalesce(build_date, created_at) DESC, created_at DESC, info_hash"
@@ -241,21 +272,30 @@ SELECT stack_id, min(min_zoom) AS min_zoom, max(max_zoom) AS max_zoom, CAST(min(
     "expected_builds": """WITH held AS (SELECT DISTINCT c_nationkey AS source, CAST(o_orderdate AS DATE) AS date FROM orders JOIN customer ON o_custkey = c_custkey), t AS (SELECT max(date) AS today FROM held),
 dates AS (SELECT n_nationkey AS source, CAST(today - CAST(k AS INT) AS DATE) AS date FROM nation, t, range(5) r(k)), stop AS (SELECT source, max(date) AS s FROM dates JOIN held USING (source, date) GROUP BY 1)
 SELECT source, strftime(date, '%Y-%m-%d') AS date FROM (SELECT source, date, row_number() OVER (PARTITION BY source ORDER BY date DESC) AS k FROM dates LEFT JOIN stop USING (source) WHERE s IS NULL OR date > s) WHERE k <= 3""",
-    "url_templates": f"{CAT} SELECT info_hash, strftime(created_at, 'https://h/%Y/%m/b-%Y%m%d.pmtiles') AS url FROM catalog",
+    "url_templates": f"""{CAT} SELECT info_hash, CASE info_hash % 4 WHEN 0 THEN strftime(created_at, 'https://h/%Y/%m/b-%Y%m%d.pmtiles') WHEN 1 THEN strftime(created_at, 'h/%Y-%m-%d/%y_%-m.%-d')
+  WHEN 2 THEN 'h/{{name}}/' || strftime(created_at, '%Y/%m') || '/{{D-}}{{}}' ELSE strftime(created_at, 'h/%Y.%-m.%-d') || '/{{YY' END AS url FROM catalog""",
     "seeding_verdicts": f"""{CAT}, e AS (SELECT info_hash, info_hash % 4 <> 0 AND complete AS live, CASE WHEN info_hash % 5 <> 0 THEN created_at END AS since, size % 40 / 10 AS ratio, CASE WHEN info_hash % 3 = 0 THEN 2.0 ELSE 3.5 END AS lr, CASE WHEN info_hash % 2 = 0 THEN 1000000 END AS lm FROM catalog),
 m AS (SELECT *, (epoch(TIMESTAMP '1998-06-01') - floor(epoch(since))) / 60 AS minutes FROM e)
-SELECT info_hash, CASE WHEN live AND ratio >= lr THEN 'ratio' WHEN live AND coalesce(minutes >= lm, false) THEN 'time' ELSE 'keep' END AS verdict, CASE WHEN lm IS NOT NULL AND since IS NOT NULL THEN CAST(floor(greatest(0, (lm - minutes) * 60)) AS BIGINT) END AS seconds_left, lm IS NOT NULL AND since IS NULL AS pending FROM m""",
-    "origin_drift": """WITH x AS (SELECT o_orderkey AS k, o_orderkey % 7 = 0 AND o_orderstatus <> 'x' AS e, o_orderkey % 3 = 0 AS m, o_orderkey % 11 = 0 AS l, o_orderkey % 6 = 0 AS s FROM orders)
-SELECT k AS info_hash, concat_ws('; ', CASE WHEN e THEN 'etag' END, CASE WHEN m THEN 'modified' END, CASE WHEN l THEN 'length' END) AS changes FROM x WHERE (e OR m OR l) AND NOT (m AND NOT e AND NOT l AND NOT s)""",
+SELECT info_hash, CASE WHEN live AND ratio >= lr THEN 'ratio' WHEN live AND coalesce(minutes >= lm, false) THEN 'time' ELSE 'keep' END AS verdict, CASE WHEN info_hash % 4 <> 0 AND lm IS NOT NULL AND since IS NOT NULL THEN CAST(floor(greatest(0, (lm - minutes) * 60)) AS BIGINT) END AS seconds_left, lm IS NOT NULL AND since IS NULL AS pending FROM m""",
+    "seeding_remaining": f"""{CAT}, e AS (SELECT info_hash, info_hash % 4 = 0 AS cache, CASE WHEN info_hash % 5 <> 0 THEN epoch(created_at) END AS since, CASE WHEN info_hash % 7 <> 0 THEN size % 40 / 10 ELSE 0.0 END AS r, CASE WHEN info_hash % 3 = 0 THEN 2.0 END AS lr, CASE WHEN info_hash % 2 = 0 THEN 1000000 END AS lm FROM catalog),
+f AS (SELECT *, cache OR lr IS NULL AND lm IS NULL AS forever FROM e)
+SELECT info_hash, forever, CASE WHEN NOT forever AND lr IS NOT NULL THEN r END AS ratio, CASE WHEN NOT forever THEN lr END AS ratio_target, CASE WHEN NOT forever THEN CAST(since + lm * 60 AS BIGINT) END AS expires_at,
+  CASE WHEN NOT forever THEN CAST(greatest(0, since + lm * 60 - 852076800) + since * 0 + lm * 0 AS BIGINT) END AS seconds_left, NOT forever AND lm IS NOT NULL AND since IS NULL AS pending FROM f""",
+    "origin_drift": """WITH x AS (SELECT o_orderkey AS k FROM orders), y AS (SELECT k, k % 13 = 0 AS unknown, k % 17 = 0 AS missing, k % 2 = 0 AND k % 7 = 0 AS e, k % 3 = 0 AS m, k % 11 = 0 AS l, k % 4 < 2 AND k % 5 < 3 AND k % 6 <> 0 AS same FROM x),
+z AS (SELECT *, CASE WHEN unknown THEN 'unknown' WHEN missing THEN 'missing' WHEN NOT e AND NOT l AND (NOT m OR same) THEN 'unchanged' ELSE 'changed' END AS status FROM y)
+SELECT k AS info_hash, status, CASE WHEN status = 'changed' THEN concat_ws('; ', CASE WHEN e THEN 'etag' END, CASE WHEN m THEN 'modified' END, CASE WHEN l THEN 'length' END) ELSE '' END AS changes FROM z""",
     "category_edits": f"""{CAT} SELECT info_hash, array_to_string(list_sort(list_distinct(list_filter(list_concat(categories, [family, 'new']), lambda c: c NOT IN ('BUILDING', '1-URGENT')))), '|') AS categories, 'z|' || family || '|a' AS attributions FROM catalog""",
-    "engine_peers": "SELECT l_orderkey AS info_hash, l_suppkey AS peer, CASE WHEN l_linenumber = 1 THEN 'one' ELSE 'two' END AS engine, CASE WHEN l_linenumber = 2 THEN l_linenumber END AS speed FROM lineitem WHERE l_linenumber IN (1, 2)",
     "name_kinds": """SELECT doc_id, ['pmtiles', 'mbtiles', 'torrent', 'other'][doc_id % 4 + 1] AS kind, CASE WHEN doc_id % 4 = 0 AND doc_id % 10 = 0 THEN 'tens' WHEN doc_id % 4 = 0 THEN 'tiles' WHEN doc_id < 10 THEN 'short' END AS rule, doc_id % 4 IN (2, 3) AND CAST(doc_id AS VARCHAR) LIKE '1%' AS globbed FROM documents""",
     "catalog_upsert": f"""{CAT} SELECT coalesce(c.info_hash, doc_id) AS info_hash, coalesce('doc-' || doc_id, name) AS name, size, {_TS(f"coalesce(created_at, TIMESTAMP '{NOW}')")} AS created_at, {_TS(f"CASE WHEN doc_id IS NOT NULL THEN TIMESTAMP '{NOW}' ELSE created_at END")} AS updated_at FROM catalog c FULL JOIN documents ON doc_id = c.info_hash""",
-    "catalog_ranks": f"{CAT} SELECT info_hash, name, size FROM catalog",
+    "catalog_ranks": f"{CAT} SELECT info_hash, row_number() OVER (ORDER BY coalesce(build_date, created_at) DESC NULLS LAST, created_at DESC NULLS LAST, info_hash) - 1 AS place FROM catalog",
+    "catalog_by_name": f"{CAT} SELECT info_hash, row_number() OVER (ORDER BY CASE WHEN info_hash % 9 <> 0 THEN lower(name) END NULLS LAST, info_hash) - 1 AS place FROM catalog",
+    "catalog_by_size": f"{CAT} SELECT info_hash, row_number() OVER (ORDER BY CASE WHEN info_hash % 8 <> 0 THEN size % 100 END DESC NULLS LAST, info_hash) - 1 AS place FROM catalog",
     "feed_cap": f"{CAT} SELECT info_hash, name FROM catalog ORDER BY {_ORDER} LIMIT 25",
     "metadata_flags": """WITH e AS (SELECT event_id, json_extract_string(props, '$.k') AS k, event_type FROM events), f AS (SELECT *, lower(trim(CASE event_id % 3 WHEN 0 THEN ' TRUE' WHEN 1 THEN '0' ELSE k END)) AS t, lower(trim(CASE WHEN event_id % 2 = 0 THEN ' Terrarium' ELSE event_type END)) AS enc FROM e)
 SELECT event_id, CASE WHEN t IN ('true', '1', 'yes') THEN true WHEN t IN ('false', '0', 'no') THEN false END AS flag, CASE WHEN enc IN ('mapbox', 'terrarium', 'custom') THEN enc END AS encoding, try_cast(k AS DOUBLE) IS NOT NULL AND event_id % 4 <> 0 AS custom FROM f""",
 }
 # The same over all entries and all lines.
-ORACLE["stack_impact_all"] = ORACLE["stack_impact"].replace(" WHERE archive % 7 = 0", "").replace(" WHERE p.info_hash % 7 = 0", "")
+ORACLE["stack_impact"] = ORACLE["stack_impact"].replace(" WHERE archive % 7 = 0", "").replace(" WHERE p.info_hash % 7 = 0", "")
+ORACLE["stack_impact_all"] = ORACLE["stack_impact"]
 ORACLE["engine_peers_all"] = "SELECT l_orderkey AS info_hash, l_suppkey AS peer, CASE WHEN l_linenumber % 2 = 1 THEN 'one' ELSE 'two' END AS engine, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber END AS speed FROM lineitem"
+ORACLE["engine_peers"] = ORACLE["engine_peers_all"]

@@ -43,16 +43,15 @@ def color_mask(s, d):
 
 
 def elevation_resample(s, d):
-    return _exploded(R.resample(height_tiles(s, d).filter("source_idx = 0"), 16, "bilinear"))
+    return elevation_resample_all(s, d)
 
 
 def elevation_parent(s, d):
-    h = height_tiles(s, d).filter("source_idx = 1").withColumns({"levels": F.lit(1), "sub_x": (F.col("tile_id") % 2).cast("int"), "sub_y": F.lit(1)})
-    return _exploded(R.resample_parent(h, "bilinear"))
+    return elevation_parent_all(s, d)
 
 
 def elevation_blur(s, d):
-    return _exploded(R.blur(height_tiles(s, d).filter("source_idx = 2"), 0.8))
+    return elevation_blur_all(s, d)
 
 
 def elevation_resample_all(s, d):
@@ -101,8 +100,7 @@ def rgba_bytes(s, d):
 
 
 def rgba_resample(s, d):
-    c = R.resample_layer(_layers(s, d).filter("source_idx = 3").select("tile_id", "r", "g", "b", "a"), 4)
-    return c.select("tile_id", F.posexplode(F.arrays_zip("r", "a")).alias("i", "p")).select("tile_id", "i", F.round("p.r", 6).alias("r"), F.round("p.a", 6).alias("a"))
+    return rgba_resample_all(s, d)
 
 
 def rgba_resample_all(s, d):
@@ -124,13 +122,11 @@ def clip_classify(s, d):
 
 
 def clip_mask(s, d):
-    m = C.masks(_tiles(s, d).filter("z between 2 and 4"), shape_segments(s), 8)
-    return m.select("tile_id", F.posexplode("mask").alias("i", "inside"))
+    return clip_mask_all(s, d)
 
 
 def clip_sources(s, d):
-    src = s.createDataFrame([(0, None), (1, "island"), (2, "atlantis")], "source_idx int, cutline string")
-    return C.clip_choice(src, C.classify(_tiles(s, d).filter("z <= 3"), shape_segments(s)))
+    return clip_sources_all(s, d)
 
 
 def clip_mask_all(s, d):
@@ -213,6 +209,8 @@ SELECT tile_id, i, CAST(sum(CASE WHEN (ay > cy) <> (s."by" > cy) AND cx < (bx -
         sql = re.sub(r" WHERE source_idx = \d", "", out[name])
         sql = sql.replace("g AS (SELECT tile_id,", "g AS (SELECT tile_id, source_idx,").replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3")
         out[name + "_all"] = re.sub(r"SELECT tile_id, CAST\(y\.o", "SELECT tile_id, source_idx, CAST(y.o", sql).replace("FROM ax GROUP BY 1, 2, 3", "FROM ax GROUP BY 1, 2").replace("r(k) GROUP BY 1, 2, 3)", "r(k) GROUP BY 1, 2)")
+    for name in ("elevation_resample", "elevation_parent", "elevation_blur", "rgba_resample", "clip_mask", "clip_sources"):
+        out[name] = out[name + "_all"]
     return out
 
 

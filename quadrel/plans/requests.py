@@ -63,7 +63,10 @@ def latency_histogram(s, d):
 
 
 def latency_modes(s, d):
-    return R.two_modes(_sided(s, d), "side")
+    """Two sides as they are, and two made of them that a slow half or a slow tenth joins."""
+    r = _sided(s, d)
+    slow = lambda name, every: r.withColumns({"side": F.concat(F.lit(name), "side"), "ms": F.when(F.col("seq") % every == 0, F.col("ms") / 50 + 900).otherwise(F.col("ms") / 50)})
+    return R.two_modes(r.unionByName(slow("half-", 2)).unionByName(slow("tail-", 10)), "side")
 
 
 def tumbling_requests(s, d):
@@ -113,6 +116,8 @@ _AB = """sided AS (SELECT *, CASE WHEN ip % 2 = 0 THEN 'a' ELSE 'b' END AS side
 ranked AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY ms, seq) - 1 AS i, count(*) OVER (PARTITION BY side) AS n FROM sided),
 ab AS (SELECT side, count(*) AS requests, max(CASE WHEN i = least(n - 1, floor(n * 0.5)) THEN ms END) AS p50, max(CASE WHEN i = least(n - 1, floor(n * 0.9)) THEN ms END) AS p90,
   max(CASE WHEN i = least(n - 1, floor(n * 0.99)) THEN ms END) AS p99, max(ms) AS worst, count(*) FILTER (WHERE status >= 400) AS errors, CAST(sum(bytes) AS BIGINT) AS bytes FROM ranked GROUP BY side)"""
+_MODES = _AB.split("ranked AS")[0].replace("sided AS", "plain AS") + """sided AS (SELECT * FROM plain UNION ALL SELECT * REPLACE ('half-' || side AS side, CASE WHEN seq % 2 = 0 THEN ms / 50 + 900 ELSE ms / 50 END AS ms) FROM plain UNION ALL SELECT * REPLACE ('tail-' || side AS side, CASE WHEN seq % 10 = 0 THEN ms / 50 + 900 ELSE ms / 50 END AS ms) FROM plain),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY ms, seq) - 1 AS i, count(*) OVER (PARTITION BY side) AS n FROM sided)"""
 _NIGHT = "((dayofweek(\"at\") BETWEEN 1 AND 5 AND hour(\"at\") * 60 + minute(\"at\") >= 1320) OR (dayofweek(\"at\") BETWEEN 2 AND 6 AND hour(\"at\") * 60 + minute(\"at\") < 360))"
 T_R, T_S = with_views("tile_requests"), with_views("traffic_samples")
 
@@ -129,9 +134,13 @@ FROM tile_requests r LEFT JOIN pct USING (info_hash) GROUP BY r.info_hash""",
     "latency_ab": f"{T_R}, {_AB} SELECT * FROM ab",
     "latency_ratio": f"{T_R}, {_AB} SELECT round(b.p50 / a.p50, 6) AS p50_ratio, round(b.p90 / a.p90, 6) AS p90_ratio, round(b.p99 / a.p99, 6) AS p99_ratio FROM ab a, ab b WHERE a.side = 'a' AND b.side = 'b'",
     "latency_histogram": f"{T_R}, {_AB} SELECT side, CAST(CASE WHEN worst <= 0 THEN 0 ELSE least(7, floor(ms / (worst / 8))) END AS BIGINT) AS bin, count(*) AS requests FROM sided JOIN ab USING (side) GROUP BY ALL",
-    "latency_modes": f"""{T_R}, {_AB}, gaps AS (SELECT side, i, n, ms, lead(ms) OVER (PARTITION BY side ORDER BY ms, seq) AS nxt FROM ranked),
-g AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY nxt - ms DESC, i) AS k FROM gaps WHERE i >= floor(n * 0.1) AND i < floor(n * 0.9) AND nxt IS NOT NULL)
-SELECT side, ms AS low_end, nxt AS high_start, CAST(i + 1 AS BIGINT) AS below, CAST(n - i - 1 AS BIGINT) AS above, n >= 20 AND (i + 1) / n >= 0.1 AND (n - i - 1) / n >= 0.1 AND nxt >= ms * 1.5 AS split FROM g WHERE k = 1""",
+    "latency_modes": f"""{T_R}, {_MODES}, gaps AS (SELECT side, i, n, ms, lead(ms) OVER (PARTITION BY side ORDER BY ms, seq) AS nxt FROM ranked),
+g AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY nxt - ms DESC, i) AS k FROM gaps WHERE i >= floor(n * 0.1) AND i < ceil(n * 0.9) - 1 AND nxt > ms),
+cut AS (SELECT side, ms AS low_end, nxt AS high_start, n, i + 1 AS below, n - i - 1 AS above FROM g WHERE k = 1),
+q AS (SELECT cut.*, max(CASE WHEN r.i = least(below - 1, floor(below * 0.5)) THEN r.ms END) OVER w AS fast, max(CASE WHEN r.i = below + least(above - 1, floor(above * 0.5)) THEN r.ms END) OVER w AS slow,
+  max(CASE WHEN r.i = least(below - 1, floor(below * 0.9)) THEN r.ms END) OVER w - max(CASE WHEN r.i = least(below - 1, floor(below * 0.1)) THEN r.ms END) OVER w AS spread FROM cut JOIN ranked r ON r.side = cut.side WINDOW w AS (PARTITION BY cut.side))
+SELECT DISTINCT side, low_end, high_start, CAST(below AS BIGINT) AS below, CAST(above AS BIGINT) AS above, fast AS fast_median, slow AS slow_median,
+  n >= 20 AND least(below, above) / n >= 0.25 AND slow >= fast * 1.8 AND high_start - low_end >= greatest(1, spread) * 3 AS split FROM q""",
     "tumbling_requests": f"{T_R} SELECT CAST(epoch(date_trunc('hour', \"at\")) AS BIGINT) AS window_start, info_hash, count(*) AS requests, CAST(sum(bytes) AS BIGINT) AS bytes FROM tile_requests GROUP BY ALL",
     "client_sessions": f"""{T_R}, marked AS (SELECT *, CASE WHEN "at" < lag("at") OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM tile_requests WINDOW w AS (PARTITION BY ip ORDER BY "at", seq)),
 numbered AS (SELECT *, sum(new) OVER (PARTITION BY ip ORDER BY "at", seq) AS k FROM marked)

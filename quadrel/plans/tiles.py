@@ -51,12 +51,12 @@ def child_assembly(s, d):
 
 
 def _boxes(s, d):
-    k = F.col("n_nationkey")
-    return table(s, d, "nation").select(k.alias("box"), (k * 12.0 - 150).alias("west"), (k * 5.0 - 70).alias("south"), (k * 12.0 - 150 + 1 + k % 7 * 4).alias("east"), (k * 5.0 - 70 + 1 + k % 5 * 3).alias("north"))
+    k = F.col("o_orderkey") % 1009
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("box"), (k * 0.3 - 170).alias("west"), (k * 0.13 - 70).alias("south"), (k * 0.3 - 170 + 1 + k % 7 * 4).alias("east"), (k * 0.13 - 70 + 1 + k % 5 * 3).alias("north"))
 
 
 def tiles_in_bounds(s, d):
-    return O.tiles_in_bounds(_boxes(s, d), 0, 6).select("box", "z", "x", "y")
+    return O.tiles_in_bounds(_boxes(s, d), 0, 4).select("box", "z", "x", "y")
 
 
 def tile_counts(s, d):
@@ -69,8 +69,9 @@ def warm_report(s, d):
 
 
 def shared_domain(s, d):
-    b = _boxes(s, d).filter("box in (3, 4)").select((F.col("box") % 4).alias("min_zoom"), (F.col("box") + 5).alias("max_zoom"), "west", (F.col("south") - 5).alias("south"), (F.col("east") + 10).alias("east"), (F.col("north") + 5).alias("north"))
-    return O.shared_domain(b)
+    """Every order's archive has some zooms and a box; what all of them share."""
+    b = _boxes(s, d).select((F.col("box") % 4).alias("min_zoom"), (F.col("box") % 3 + 5).alias("max_zoom"), (F.col("west") / 100 - 5).alias("west"), (F.col("south") / 100 - 5).alias("south"), (F.col("east") / 100 + 10).alias("east"), (F.col("north") / 100 + 5).alias("north"))
+    return O.shared_domain(b).select("min_zoom", "max_zoom", *(F.round(c, 6).alias(c) for c in ("west", "south", "east", "north")))
 
 
 def box_sides(s, d):
@@ -93,10 +94,13 @@ def tile_offsets(s, d):
     return O.tile_offsets(O.content_dedup(tile_payloads(s, d))).select("tile_id", "length", "offset")
 
 
-def clustered_check(s, d):
+def _arrivals(s, d):
     e = table(s, d, "lineitem").select((F.col("l_suppkey") % 4).alias("archive"), F.col("l_orderkey").alias("tile_id"), (F.col("l_orderkey") * 8 + F.when(F.col("l_suppkey") % 4 == 1, 0).otherwise(F.col("l_linenumber"))).alias("seq")).groupBy("archive", "tile_id").agg(F.min("seq").alias("seq"))
-    back = e.filter("archive = 2").select("archive", "tile_id", (-F.col("seq")).alias("seq"))
-    return O.clustered(e.filter("archive <> 2").unionByName(back), "archive", "seq")
+    return e.withColumn("seq", F.when(F.col("archive") == 2, -F.col("seq")).when((F.col("archive") == 3) & (F.col("tile_id") % 1000 == 7), F.col("seq") + 64).otherwise(F.col("seq")))
+
+
+def clustered_check(s, d):
+    return O.clustered(_arrivals(s, d), "archive", "seq", 8)
 
 
 def passthrough_split(s, d):
@@ -167,7 +171,7 @@ def watched_rules(s, d):
     return A.matched_rules(files, [("english", "en-*.pmtiles"), ("early", "??-??.*"), ("boxes", "*.mbtiles")]).select("doc_id", "rule")
 
 
-def _snapshots(s, d, users="user_id % 20 < 12"):
+def _snapshots(s, d, users="true"):
     e = table(s, d, "events").filter(users)
     return e.groupBy((F.col("user_id") % 20).alias("info_hash"), F.hour(F.col("ts").cast("timestamp")).alias("cycle")).agg(F.when(F.first(F.col("user_id") % 20) == 5, F.lit(0)).otherwise(F.max("event_id")).alias("mtime"))
 
@@ -189,21 +193,31 @@ def never_saved_all(s, d):
 
 
 def disk_use(s, d):
-    k = F.col("doc_id")
-    files = table(s, d, "documents").select(F.concat(F.element_at(F.array(F.lit(""), F.lit("arch-"), F.lit("x/")), (k % 3 + 1).cast("int")), F.floor(k / 3).cast("string"), F.lit(".part")).alias("name"), F.col("n_chars").alias("size"))
-    return A.disk_use(files, catalog(s, d).select("info_hash"))
+    """Files named like their archive, like its beginning, or by its key within; keys are digests, and names may begin alike."""
+    k, n = F.col("doc_id"), F.floor(F.col("doc_id") / 4).cast("string")
+    key = F.sha1(F.concat(F.lit("k"), n))
+    name = F.get(F.array(F.concat(F.lit("order-"), n), F.concat(F.lit("order-"), n, F.lit(".part")), F.concat(F.lit("x-"), key, F.lit("-y.bin")), F.concat(F.lit("other-"), n)), (k % 4).cast("int"))
+    files = table(s, d, "documents").select(F.concat(F.lit("/"), (k % 3 % 2).cast("string")).alias("folder"), name.alias("name"), F.col("n_chars").alias("size"))
+    c = catalog(s, d)
+    entries = c.select(F.sha1(F.concat(F.lit("k"), F.col("info_hash").cast("string"))).alias("info_hash"), "name", F.concat(F.lit("/"), (F.col("info_hash") % 2).cast("string")).alias("folder"))
+    return A.disk_use(files, entries)
 
 
 def orphan_files(s, d):
     return A.orphans(table(s, d, "documents").select(F.col("doc_id").alias("info_hash")), catalog(s, d))
 
 
+#: Links that listings hold besides their own: signed, of a foreign host, above the listing, folded, of another scheme, and a bucket's key.
+LINKS = "<a href='sub/x.pmtiles?sig=a%2Bb&amp;e=1#f'>x</a><a class=k href=\"//foreign.example/x\">f</a><a href='../../up'>u</a><a href='./a/../b.pmtiles'>b</a><a href='mailto:x@example.org'>m</a><Key>bucket/y.mbtiles</Key><a href='p"
+
+
 def listing_links(s, d):
     return X.parse_listing(_listing(s, d)).select("index_url", "link", "pos")
 
 
 def _listing(s, d):
-    return table(s, d, "pages").select("page_id", F.col("url").alias("index_url"), F.col("html").alias("body")).withColumn("index_url", F.regexp_replace("index_url", r"/(fr|en|de|es)/[^/?#]*.*$", "/"))
+    links = F.concat(F.lit(LINKS.replace("{n}", "0")), F.col("page_id").cast("string"), F.lit("'>z</a>"))
+    return table(s, d, "pages").select("page_id", F.col("url").alias("index_url"), F.concat("html", links).alias("body")).withColumn("index_url", F.regexp_replace("index_url", r"/(fr|en|de|es)/[^/?#]*.*$", "/"))
 
 
 def listing_newest(s, d):
@@ -221,10 +235,19 @@ def link_reachability(s, d):
 
 
 def parsed_feed(s, d):
+    """Items with a torrent by its type, by its ending or as the link, with a magnet of its own or as the link, and with an image alone, which are left out."""
     docs = table(s, d, "documents").select("source", "doc_id", "lang")
-    item = F.concat(F.lit("<item><title>A &amp; B "), F.col("doc_id").cast("string"), F.lit("</title><enclosure url=\"http://h/t?a=1&amp;b="), F.col("doc_id").cast("string"), F.lit("\"/><guid>magnet:?xt=urn:btih:"), F.sha1(F.col("doc_id").cast("string")), F.lit("</guid><category>"), "lang", F.lit("</category><category> </category></item>"))
+    k = F.col("doc_id").cast("string")
+    link = F.get(F.array(
+        F.concat(F.lit('<enclosure type="application/x-bittorrent" url="http://h/t?a=1&amp;b='), k, F.lit('"/>')), F.concat(F.lit('<enclosure url="http://h/'), k, F.lit('.torrent?s=1" type="x"/><link>http://h/page</link>')),
+        F.concat(F.lit('<enclosure url="http://h/i.png" type="image/png"/><link>http://h/'), k, F.lit("/file</link>")), F.concat(F.lit('<enclosure url="http://h/i.png" type="image/png"/><pmtiles:magnet>magnet:?xt=urn:btih:'), F.sha1(k), F.lit("</pmtiles:magnet>")),
+        F.concat(F.lit("<link>magnet:?xt=urn:btih:"), F.sha1(k), F.lit("&amp;dn=x</link>")), F.lit('<enclosure url="http://h/i.png" type="image/png"/><link>http://h/page</link>'),
+    ), (F.col("doc_id") % 6).cast("int"))
+    more = F.concat(F.lit("<pmtiles:infohash>"), F.upper(F.sha1(k)), F.lit("</pmtiles:infohash><pmtiles:mtime>2024-03-05T06:07:08Z</pmtiles:mtime><pmtiles:format>mvt</pmtiles:format><pmtiles:bounds>-1, 2,3,4.5</pmtiles:bounds><pmtiles:maxzoom>9</pmtiles:maxzoom>"))
+    item = F.concat(F.lit("<item><title>A &amp; B "), k, F.lit("</title>"), link, more, F.lit("<category>"), "lang", F.lit("</category><category> </category><category>x</category></item>"))
     feeds = docs.withColumn("item", item).withColumn("feed", F.concat_ws("-", "source", F.floor(F.col("doc_id") / 100).cast("string"))).groupBy("feed").agg(F.array_join(F.array_sort(F.collect_list("item")), "\n").alias("body"))
-    return X.parse_feed(feeds).select("feed", "title", "torrent_url", "info_hash", F.array_join("categories", "|").alias("categories"))
+    parsed = X.parse_feed(feeds)
+    return parsed.select("feed", "title", "torrent_url", "magnet", "info_hash", F.unix_timestamp("mtime").alias("mtime"), F.col("summary.max_zoom").alias("max_zoom"), F.element_at("summary.bounds", 4).alias("north"), F.array_join("categories", "|").alias("categories"))
 
 
 def counter_maps(s, d):
@@ -238,7 +261,7 @@ def counter_maps(s, d):
 QUERIES = (coverage_union, coverage_overlap, coverage_by_zoom, tile_places, priority_tiles, parent_fallback, child_assembly, tiles_in_bounds, tile_counts, warm_report, shared_domain, box_sides, tile_dedup, tile_runs, content_counts, tile_offsets, clustered_check, passthrough_split, bake_report, bake_remaining, contributor_report, piece_digests, piece_ranges, piece_verify, piece_buckets, distributed_copies, lru_plan, shared_files, import_paths, log_rules, watched_rules, save_cycles, never_saved, save_cycles_all, never_saved_all, disk_use, orphan_files, listing_links, listing_newest, link_reachability, parsed_feed, counter_maps)
 
 AT, Z = with_views("archive_tiles"), with_views("archive_tiles", "zoomed")
-_BOX = "boxes AS (SELECT n_nationkey AS box, n_nationkey * 12.0 - 150 AS west, n_nationkey * 5.0 - 70 AS south, n_nationkey * 12.0 - 150 + 1 + n_nationkey % 7 * 4 AS east, n_nationkey * 5.0 - 70 + 1 + n_nationkey % 5 * 3 AS north FROM nation)"
+_BOX = "boxes AS (SELECT o_orderkey AS box, (o_orderkey % 1009) * 0.3::DOUBLE - 170 AS west, (o_orderkey % 1009) * 0.13::DOUBLE - 70 AS south, (o_orderkey % 1009) * 0.3::DOUBLE - 170 + 1 + o_orderkey % 1009 % 7 * 4 AS east, (o_orderkey % 1009) * 0.13::DOUBLE - 70 + 1 + o_orderkey % 1009 % 5 * 3 AS north FROM orders)"
 _WX, _WY = lambda c: f"(({c}) + 180) / 360", lambda c: f"(1 - ln(tan(radians(greatest(-85.0511287798066, least(85.0511287798066, {c})))) + 1 / cos(radians(greatest(-85.0511287798066, least(85.0511287798066, {c}))))) / pi()) / 2"
 _TILE = lambda f: f"CAST(greatest(0, least(pow(2, z) - 1, floor(({f}) * pow(2, z)))) AS BIGINT)"
 _RANGE = lambda top: f"{_BOX}, r AS (SELECT box, z, {_TILE(_WX('west'))} AS x0, {_TILE(_WX('east'))} AS x1, {_TILE(_WY('north'))} AS y0, {_TILE(_WY('south'))} AS y1 FROM boxes, range({top}) q(z))"
@@ -250,7 +273,7 @@ places AS (SELECT tile_id, z, x, y FROM walk WHERE k = z)"""
 _ZR = Z.replace("WITH", "WITH RECURSIVE", 1)
 _CELLS = "p AS (SELECT l_suppkey AS archive, CAST(l_linenumber - 1 AS BIGINT) AS piece, count(*) AS copies FROM lineitem GROUP BY 1, 2)"
 _PIECES = "pieces AS (SELECT doc_id AS key, unnest(range(greatest(1, CAST(ceil(octet_length(encode(text)) / 1024) AS BIGINT)))) AS piece, encode(text) AS b FROM documents)"
-_SNAP = "snap AS (SELECT user_id % 20 AS info_hash, hour(ts) AS cycle, CASE WHEN user_id % 20 = 5 THEN 0 ELSE max(event_id) END AS mtime FROM events WHERE user_id % 20 < 12 GROUP BY 1, 2), marked AS (SELECT *, coalesce(mtime <> lag(mtime) OVER (PARTITION BY info_hash ORDER BY cycle), false) AS new FROM snap)"
+_SNAP = "snap AS (SELECT user_id % 20 AS info_hash, hour(ts) AS cycle, CASE WHEN user_id % 20 = 5 THEN 0 ELSE max(event_id) END AS mtime FROM events GROUP BY 1, 2), marked AS (SELECT *, coalesce(mtime <> lag(mtime) OVER (PARTITION BY info_hash ORDER BY cycle), false) AS new FROM snap)"
 
 ORACLE = {
     "coverage_union": f"{AT} SELECT DISTINCT tile_id FROM archive_tiles",
@@ -261,18 +284,20 @@ ORACLE = {
     "parent_fallback": f"""{_ZR}, {_ZXY}, up AS (SELECT w.z, w.x, w.y, d, z - d AS pz, x >> d AS px, y >> d AS py FROM places w, range(7) r(d) WHERE w.tile_id % 3 = 0 AND d <= z)
 SELECT u.z, u.x, u.y, arg_max(h.tile_id, pz) AS from_id, max(pz) AS from_z, arg_max(u.x % (1 << d), pz) AS sub_x, arg_max(u.y % (1 << d), pz) AS sub_y FROM up u JOIN places h ON h.z = pz AND h.x = px AND h.y = py AND h.tile_id % 3 <> 0 GROUP BY u.z, u.x, u.y""",
     "child_assembly": f"{_ZR}, {_ZXY} SELECT w.tile_id AS parent, count(*) AS children FROM places w JOIN places c ON c.z = w.z + 1 AND c.x >> 1 = w.x AND c.y >> 1 = w.y GROUP BY 1 HAVING count(*) = 4",
-    "tiles_in_bounds": f"WITH {_RANGE(7)} SELECT box, CAST(z AS INT) AS z, unnest(xs) AS x, y FROM (SELECT box, z, range(x0, x1 + 1) AS xs, unnest(range(y0, y1 + 1)) AS y FROM r)",
+    "tiles_in_bounds": f"WITH {_RANGE(5)} SELECT box, CAST(z AS INT) AS z, unnest(xs) AS x, y FROM (SELECT box, z, range(x0, x1 + 1) AS xs, unnest(range(y0, y1 + 1)) AS y FROM r)",
     "tile_counts": f"WITH {_RANGE(11)} SELECT box, CAST(least(500, sum(greatest(0, x1 - x0 + 1) * greatest(0, y1 - y0 + 1))) AS BIGINT) AS tiles FROM r GROUP BY box",
     "warm_report": f"""{_ZR}, {_ZXY}, {_RANGE(7)}, w AS (SELECT DISTINCT z, unnest(xs) AS x, y FROM (SELECT z, range(x0, x1 + 1) AS xs, unnest(range(y0, y1 + 1)) AS y FROM r))
 SELECT CAST(w.z AS INT) AS z, count(*) AS total, count(p.tile_id) AS hits, count(*) - count(p.tile_id) AS misses FROM w LEFT JOIN places p ON p.z = w.z AND p.x = w.x AND p.y = w.y GROUP BY w.z""",
-    "shared_domain": f"WITH {_BOX} SELECT CAST(max(box % 4) AS INT) AS min_zoom, CAST(min(box + 5) AS INT) AS max_zoom, CAST(max(west) AS DOUBLE) AS west, CAST(max(south - 5) AS DOUBLE) AS south, CAST(min(east + 10) AS DOUBLE) AS east, CAST(min(north + 5) AS DOUBLE) AS north FROM boxes WHERE box IN (3, 4)",
+    "shared_domain": f"WITH {_BOX} SELECT max(box % 4) AS min_zoom, min(box % 3 + 5) AS max_zoom, round(max(west / 100 - 5), 6) AS west, round(max(south / 100 - 5), 6) AS south, round(min(east / 100 + 10), 6) AS east, round(min(north / 100 + 5), 6) AS north FROM boxes",
     "box_sides": f"""WITH {_BOX}, c AS (SELECT box, seg, CASE WHEN seg IN (0, 3) THEN west ELSE east END AS a, CASE WHEN seg IN (0, 1) THEN north ELSE south END AS b, CASE WHEN seg IN (2, 3) THEN west ELSE east END AS e, CASE WHEN seg IN (0, 3) THEN north ELSE south END AS f FROM boxes, range(4) r(seg))
 SELECT box, CAST(seg AS INT) AS seg, CAST(round({_WX('a')}, 6) AS DOUBLE) AS ax, round({_WY('b')}, 6) AS ay, CAST(round({_WX('e')}, 6) AS DOUBLE) AS bx, round({_WY('f')}, 6) AS by FROM c""",
     "tile_dedup": "SELECT sha256(text) AS digest, min(doc_id) AS tile_id, CAST(max(octet_length(encode(text))) AS BIGINT) AS length, count(*) AS tiles FROM documents GROUP BY text",
     "tile_runs": "SELECT sha256(lang) AS digest, min(doc_id) AS tile_id, count(*) AS run_length FROM (SELECT lang, doc_id, doc_id - row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS g FROM documents) GROUP BY lang, g",
     "content_counts": "WITH r AS (SELECT lang, count(*) AS n FROM (SELECT lang, doc_id, doc_id - row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS g FROM documents) GROUP BY lang, g) SELECT CAST(sum(n) AS BIGINT) AS addressed, count(*) AS entries, count(DISTINCT lang) AS contents FROM r",
     "tile_offsets": "WITH c AS (SELECT min(doc_id) AS tile_id, CAST(max(octet_length(encode(text))) AS BIGINT) AS length FROM documents GROUP BY text) SELECT tile_id, length, CAST(coalesce(sum(length) OVER (ORDER BY tile_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM c",
-    "clustered_check": f"{AT} SELECT source_idx AS archive, source_idx <> 2 OR count(*) < 2 AS clustered, count(*) AS entries FROM archive_tiles GROUP BY source_idx",
+    "clustered_check": """WITH e AS (SELECT l_suppkey % 4 AS archive, l_orderkey AS tile_id, min(l_orderkey * 8 + CASE WHEN l_suppkey % 4 = 1 THEN 0 ELSE l_linenumber END) AS seq FROM lineitem GROUP BY 1, 2),
+a AS (SELECT archive, tile_id, CASE WHEN archive = 2 THEN -seq WHEN archive = 3 AND tile_id % 1000 = 7 THEN seq + 64 ELSE seq END AS seq FROM e), b AS (SELECT *, lag(tile_id) OVER (PARTITION BY archive ORDER BY seq) AS p FROM a)
+SELECT archive, count(*) FILTER (WHERE tile_id <= p) = 0 AS clustered, count(*) AS entries FROM b GROUP BY archive""",
     "passthrough_split": f"{AT} SELECT tile_id, count(*) AS sources, max(source_idx) AS source_idx, count(*) = 1 AND tile_id % 5 <> 0 AS copied FROM archive_tiles GROUP BY tile_id",
     "bake_report": f"{AT} SELECT count(DISTINCT tile_id) FILTER (WHERE source_idx = 0) AS written, count(DISTINCT tile_id) - count(DISTINCT tile_id) FILTER (WHERE source_idx = 0) AS skipped, count(*) FILTER (WHERE source_idx = 0) = 0 AS failed FROM archive_tiles",
     "bake_remaining": f"{AT} SELECT DISTINCT tile_id FROM archive_tiles WHERE NOT (tile_id // 1000 < 25 AND tile_id // 1000 % 2 = 0 AND tile_id % 1000 <= 700)",
@@ -287,17 +312,25 @@ x AS (SELECT s.archive, bucket, coalesce(copies, 0) AS c FROM s JOIN range(100)
     "shared_files": "SELECT md5(text) AS path, count(*) AS entries, CAST((count(*) - 1) * max(n_chars) AS BIGINT) AS bytes_again, min(doc_id) AS first_entry FROM documents GROUP BY text HAVING count(*) > 1",
     "import_paths": "WITH r AS (SELECT source, count(*) AS entries, count(*) FILTER (WHERE n_chars % 4 = 0) AS troubled, count(*) FILTER (WHERE n_chars % 4 = 0) / count(*) AS rate FROM documents GROUP BY source) SELECT source, entries, troubled, round(rate, 6) AS rate, rate > 1.1 * (SELECT rate FROM r WHERE source = 'src0') AS suspect FROM r",
     "log_rules": """WITH l AS (SELECT event_id AS seq, event_type || ' ' || user_id AS line FROM events), h AS (SELECT seq, 'errors' AS rule FROM l WHERE line LIKE 'error%' UNION ALL SELECT seq, 'bought' FROM l WHERE line LIKE '%purchase%' UNION ALL SELECT seq, 'sevens' FROM l WHERE line LIKE '%7'),
-k AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY seq DESC) AS n FROM h) SELECT rule, count(*) AS hits, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) FILTER (WHERE n <= 3) AS last_seqs FROM k GROUP BY rule""",
+k AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY seq DESC) AS n FROM h) SELECT rule, count(*) AS hits, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) FILTER (WHERE n <= 3) AS last_seqs, string_agg(line, chr(10) ORDER BY seq) FILTER (WHERE n <= 3) AS last_lines FROM k JOIN l USING (seq) GROUP BY rule""",
     "watched_rules": "WITH f AS (SELECT doc_id, lang || '-' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.mbtiles' ELSE '.pmtiles' END AS base FROM documents WHERE source IS NOT NULL) SELECT doc_id, CASE WHEN base GLOB 'en-*.pmtiles' THEN 'english' WHEN base GLOB '??-??.*' THEN 'early' WHEN base GLOB '*.mbtiles' THEN 'boxes' END AS rule FROM f WHERE rule IS NOT NULL",
     "save_cycles": f"WITH {_SNAP} SELECT CAST(cycle AS INT) AS cycle, count(DISTINCT info_hash) AS written, count(DISTINCT info_hash) = (SELECT count(DISTINCT info_hash) FROM snap) AS full FROM marked WHERE new GROUP BY cycle",
     "never_saved": f"WITH {_SNAP} SELECT DISTINCT info_hash FROM snap WHERE info_hash NOT IN (SELECT info_hash FROM marked WHERE new)",
-    "disk_use": f"{with_views('catalog')} SELECT info_hash, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS bytes, count(doc_id) AS files FROM catalog LEFT JOIN documents ON doc_id // 3 = info_hash GROUP BY info_hash",
+    "disk_use": f"""{with_views('catalog')}, e AS (SELECT sha1('k' || info_hash) AS info_hash, name, '/' || (info_hash % 2) AS folder FROM catalog),
+f AS (SELECT doc_id, '/' || (doc_id % 3 % 2) AS folder, n_chars AS size, CASE doc_id % 4 WHEN 0 THEN 'order-' || (doc_id // 4) WHEN 1 THEN 'order-' || (doc_id // 4) || '.part' WHEN 2 THEN 'x-' || sha1('k' || (doc_id // 4)) || '-y.bin' ELSE 'other-' || (doc_id // 4) END AS name FROM documents),
+hit AS (SELECT e.info_hash, doc_id, size FROM f JOIN e ON f.folder = e.folder AND f.name[1:length(e.name)] = e.name UNION SELECT e.info_hash, doc_id, size FROM f JOIN e ON f.folder = e.folder AND f.name[3:42] = e.info_hash)
+SELECT e.info_hash, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes, count(doc_id) AS files FROM e LEFT JOIN hit USING (info_hash) GROUP BY e.info_hash""",
     "orphan_files": f"{with_views('catalog')} SELECT coalesce(info_hash, doc_id) AS info_hash, CASE WHEN info_hash IS NULL THEN 'orphan' ELSE 'missing' END AS state FROM catalog FULL JOIN documents ON doc_id = info_hash WHERE info_hash IS NULL OR doc_id IS NULL",
     "link_reachability": """WITH p AS (SELECT page_id, page_id % 2 = 1 AS odd, page_id % 6 AS k FROM pages) SELECT page_id, CASE WHEN NOT odd THEN 'ok' WHEN k IN (0) THEN 'bad' WHEN k = 1 THEN 'warn' WHEN k = 3 THEN 'ok' WHEN k = 5 THEN 'warn' END AS reach, odd AS credentials FROM p""",
-    "parsed_feed": "SELECT source || '-' || (doc_id // 100) AS feed, 'A & B ' || doc_id AS title, 'http://h/t?a=1&b=' || doc_id AS torrent_url, sha1(CAST(doc_id AS VARCHAR)) AS info_hash, lang AS categories FROM documents",
-    "listing_links": r"""WITH l AS (SELECT DISTINCT regexp_replace(url, '/(fr|en|de|es)/[^/?#]*.*$', '/') AS index_url, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1) AS a, page_id FROM pages),
-x AS (SELECT index_url, unnest(a) AS href, generate_subscripts(a, 1) - 1 AS pos FROM l), y AS (SELECT index_url, CAST(pos AS INT) AS pos, regexp_extract(regexp_replace(index_url, '[?#].*$', ''), '^([a-zA-Z][a-zA-Z0-9+.-]*://.*/)', 1) AS base, regexp_extract(index_url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*)', 1) AS root, regexp_replace(replace(href, '&amp;', '&'), '[?#].*$', '') AS href FROM x)
-SELECT index_url, root || href AS link, min(pos) AS pos FROM y WHERE href LIKE '/%' AND starts_with(root || href, base) AND root || href <> base GROUP BY 1, 2""",
+    "parsed_feed": """SELECT source || '-' || (doc_id // 100) AS feed, 'A & B ' || doc_id AS title, CASE doc_id % 6 WHEN 0 THEN 'http://h/t?a=1&b=' || doc_id WHEN 1 THEN 'http://h/' || doc_id || '.torrent?s=1' WHEN 2 THEN 'http://h/' || doc_id || '/file' END AS torrent_url,
+CASE doc_id % 6 WHEN 3 THEN 'magnet:?xt=urn:btih:' || sha1(CAST(doc_id AS VARCHAR)) WHEN 4 THEN 'magnet:?xt=urn:btih:' || sha1(CAST(doc_id AS VARCHAR)) || '&dn=x' END AS magnet, sha1(CAST(doc_id AS VARCHAR)) AS info_hash,
+CAST(epoch(TIMESTAMP '2024-03-05 06:07:08') AS BIGINT) AS mtime, 9.0::DOUBLE AS max_zoom, 4.5::DOUBLE AS north, lang || '|x' AS categories FROM documents WHERE doc_id % 6 <> 5""",
+    "listing_links": r"""WITH l AS (SELECT DISTINCT regexp_replace(url, '/(fr|en|de|es)/[^/?#]*.*$', '/') AS index_url, html || ' """ + LINKS.replace("'", "''") + r"""' || page_id || '''>z</a>' AS body FROM pages),
+x AS (SELECT index_url, regexp_extract_all(body, '(?is)<a\s[^>]*href\s*=\s*["'']([^"'']+)["'']', 1) || regexp_extract_all(body, '<Key>([^<]+)</Key>', 1) AS a FROM l),
+y AS (SELECT index_url, unnest(a) AS href, CAST(generate_subscripts(a, 1) - 1 AS INT) AS pos, regexp_extract(index_url, '^([a-z]+:)', 1) AS scheme, regexp_extract(index_url, '^([a-z]+://[^/]*)', 1) AS root FROM x),
+z AS (SELECT index_url, pos, CASE WHEN regexp_matches(href, '^[a-z]+:') THEN href WHEN starts_with(href, '//') THEN scheme || href WHEN starts_with(href, '/') THEN root || href ELSE index_url || href END AS raw FROM y),
+f AS (SELECT index_url, pos, regexp_replace(regexp_replace(replace(raw, '/./', '/'), '/[^/.]+/\.\./', '/'), '/\.\./\.\./', '/') AS link FROM z WHERE starts_with(raw, 'http'))
+SELECT index_url, link, min(pos) AS pos FROM f WHERE starts_with(link, index_url) AND link <> index_url GROUP BY 1, 2""",
     "counter_maps": f"{with_views('tile_requests')}, c AS (SELECT info_hash, status, count(*) AS n FROM tile_requests GROUP BY 1, 2) SELECT info_hash, '{{' || string_agg('\"' || status || '\":' || n, ',' ORDER BY status) || '}}' AS by_status FROM c GROUP BY info_hash",
 }
 ORACLE["listing_newest"] = r"""WITH links AS (""" + ORACLE["listing_links"] + r"""), k AS (SELECT index_url AS source, link, row_number() OVER (PARTITION BY index_url ORDER BY link DESC) AS rank FROM links WHERE regexp_matches(link, '[a-zñéèêçóíäöüß]$')) SELECT source, link, CAST(rank AS INT) AS rank FROM k WHERE rank <= 3"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.clip import segments
@@ -12,6 +12,8 @@ RECIPE = (
     "sources array<struct<category:string,archive:string,encoding:string,maskValues:array<double>,maskColors:array<string>,heightAdjustment:double,opacity:double,blend:string,cutline:string,bounds:array<double>,required:boolean>>, _corrupt_record string"
 )
 CATALOGUE = "format string, archives array<struct<infoHash:string,name:string,size:long,categories:array<string>,magnet:string,createdAt:string>>"
+#: Geometries within collections, and collections within collections, that are looked into.
+DEPTH = 3
 
 
 def load_recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -27,24 +29,57 @@ def recipe_sources(recipes: DataFrame) -> DataFrame:
 
 
 def load_shapes(spark: SparkSession, path: str) -> DataFrame:
-    """Segments of a folder of GeoJSON files; a shape's name is its file's stem. Features, collections, polygons and multipolygons are all found as arrays of rings."""
+    """Segments of a folder of GeoJSON files; a shape's name is its file's stem."""
     text = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("shape"), "value")
     return shape_segments(text)
 
 
+def _geometry(depth: int) -> str:
+    inner = f",geometries:array<{_geometry(depth - 1)}>" if depth else ""
+    return f"struct<type:string,coordinates:string{inner}>"
+
+
+def _node(depth: int) -> str:
+    """A geometry, feature or collection of features, as a type for from_json; coordinates stay text until their depth is known."""
+    inner = f",features:array<{_node(depth - 1)}>" if depth else ""
+    return f"struct<type:string,coordinates:string,geometries:array<{_geometry(DEPTH - 1)}>,geometry:{_geometry(DEPTH)}{inner}>"
+
+
+def _none() -> Column:
+    return F.array().cast("array<array<array<double>>>")
+
+
+def _rings(g: Column, depth: int) -> Column:
+    """Rings of polygons and of collections of them; other geometries have none."""
+    own = F.when(g["type"] == "Polygon", F.from_json(g["coordinates"], "array<array<array<double>>>")).when(g["type"] == "MultiPolygon", F.flatten(F.from_json(g["coordinates"], "array<array<array<array<double>>>>")))
+    if depth:
+        own = own.when(g["type"] == "GeometryCollection", F.flatten(F.transform(g["geometries"], lambda x: _rings(x, depth - 1))))
+    return F.coalesce(own, _none())
+
+
+def _rings_of(node: Column, depth: int) -> Column:
+    own = F.when(node["type"] == "Feature", _rings(node["geometry"], DEPTH)).otherwise(_rings(node, DEPTH))
+    if depth:
+        own = F.when(node["features"].isNotNull(), F.flatten(F.transform(node["features"], lambda x: _rings_of(x, depth - 1)))).otherwise(own)
+    return own
+
+
+def shape_rings(shapes: DataFrame) -> DataFrame:
+    """(shape, rings) of (shape, value) rows of GeoJSON text: rings of four points or more of all polygons, in order. A shape without any is an error."""
+    rings = F.filter(_rings_of(F.from_json("value", _node(DEPTH)), DEPTH), lambda r: F.size(r) >= 4)
+    found = shapes.select("shape", rings.alias("rings"))
+    return found.select("shape", F.when(F.coalesce(F.size("rings"), F.lit(0)) > 0, F.col("rings")).otherwise(F.raise_error(F.concat(F.lit("no polygons in shape "), F.coalesce("shape", F.lit("null"))))).alias("rings"))
+
+
 def shape_segments(shapes: DataFrame) -> DataFrame:
     """(shape, value) rows of GeoJSON text as segments."""
-    number = r"-?[0-9.]+(?:[eE][+-]?[0-9]+)?"
-    point = rf"\[\s*{number}\s*,\s*{number}(?:\s*,\s*{number})*\s*\]"
-    rings = F.regexp_extract_all("value", F.lit(rf"\[\s*{point}(?:\s*,\s*{point})*\s*\]"), F.lit(0))
-    ring = shapes.select("shape", F.posexplode(rings).alias("ring", "r"))
-    points = ring.select("shape", "ring", F.posexplode(F.from_json("r", "array<array<double>>")).alias("i", "p"))
-    return segments(points.select("shape", "ring", "i", F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat")))
+    ring = shape_rings(shapes).select("shape", F.posexplode("rings").alias("ring", "r"))
+    return segments(ring.select("shape", "ring", F.posexplode("r").alias("i", "p")).select("shape", "ring", "i", F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat")))
 
 
-def catalogue_entries(bodies: DataFrame) -> DataFrame:
-    """Archives of peers' catalogues (peer, body); bodies of an unknown format are refused."""
-    parsed = bodies.select("peer", F.from_json("body", CATALOGUE).alias("c")).filter(F.col("c.format").like("pmtiles-swarm-catalog/%"))
+def catalogue_entries(bodies: DataFrame, format_prefix: str) -> DataFrame:
+    """Archives of peers' catalogues (peer, body); bodies whose format doesn't begin with the prefix that the caller knows are refused."""
+    parsed = bodies.select("peer", F.from_json("body", CATALOGUE).alias("c")).filter(F.col("c.format").startswith(format_prefix))
     return parsed.select("peer", F.explode("c.archives").alias("a")).select("peer", "a.*")
 
 

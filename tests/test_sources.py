@@ -3,12 +3,15 @@
 import json
 import sqlite3
 
+import pytest
 from pyspark.sql import functions as F
 
 from quadrel.functions import tiles as T
 from quadrel.functions.register import register_functions
+from quadrel.functions.rules import expand_template, kind_of_bytes
 from quadrel.operators import raster as R
-from quadrel.sources import mbtiles, pmtiles, records
+from quadrel.operators.catalog import seeding_limit
+from quadrel.sources import mbtiles, pmtiles, records, text
 
 
 def test_directory_round_trip():
@@ -75,10 +78,47 @@ def test_shapes(spark, tmp_path):
     assert segs.count() == 4
 
 
+def test_shapes_by_type(spark):
+    """Only polygons have rings; lines don't become any, and a shape without polygons is an error."""
+    ring, hole, far = [[0, 0], [10, 0], [10, 10], [0, 0]], [[1, 1], [2, 1], [2, 2], [1, 1]], [[20, 20, 5], [30, 20, 5], [30, 30.5, 5], [21, 22, 5]]
+    line = {"type": "LineString", "coordinates": far}
+    many = {"type": "GeometryCollection", "geometries": [line, {"type": "Polygon", "coordinates": [ring, hole]}, {"type": "GeometryCollection", "geometries": [{"type": "MultiPolygon", "coordinates": [[far], [ring[:3]]]}]}]}
+    nodes = {"bare": {"type": "Polygon", "coordinates": [ring]}, "feature": {"type": "Feature", "properties": {"coordinates": [ring]}, "geometry": many}, "nested": {"type": "FeatureCollection", "features": [{"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": many}]}, {"type": "Feature", "geometry": line}]}}
+    shapes = spark.createDataFrame([(k, json.dumps(v)) for k, v in nodes.items()], "shape string, value string")
+    assert {r.shape: len(r.rings) for r in records.shape_rings(shapes).collect()} == {"bare": 1, "feature": 3, "nested": 3}
+    assert {(r.shape, r["count"]) for r in records.shape_segments(shapes).groupBy("shape").count().collect()} == {("bare", 3), ("feature", 10), ("nested", 10)}
+    with pytest.raises(Exception, match="no polygons in shape road"):
+        records.shape_rings(spark.createDataFrame([("road", json.dumps(line))], "shape string, value string")).collect()
+
+
+def test_links_resolve(spark):
+    rows = [("x?a=1#f", "http://h/d/x?a=1#f"), ("?b", "http://h/d/i.html?b"), ("#f", "http://h/d/i.html?q#f"), ("//O.example/y", "http://o.example/y"), ("/z/./q/../r/", "http://h/z/r/"), ("..", "http://h/"), ("../../../up", "http://h/up"), ("HTTPS://A/b", "https://a/b"), ("ftp://a/b", None), ("http://a", "http://a/")]
+    got = spark.createDataFrame(rows, "raw string, want string").select("want", text.resolved(F.col("raw"), F.lit("http://h/d/i.html?q#g")).alias("got")).collect()
+    assert [(r.got or "").replace("HTTPS:", "https:") for r in got] == [r.want or "" for r in got]
+
+
+def test_dated_templates(spark):
+    at = F.lit("2024-03-05").cast("date")
+    for form, want in {"{YYYY}-{MM}-{DD}": "2024-03-05", "{YYYY-MM-DD}": "2024-03-05", "{yy.m.d}": "24.3.5", "{Y}{YYY}": "20242024", "{key}/{}/{YYYY": "{key}/{}/{YYYY", "{YYYY--MM}": "{YYYY--MM}", "{DDMMYY}": "050324", "{YYYY MM}": "2024 03"}.items():
+        assert spark.range(1).select(expand_template(F.lit(form), at)).first()[0] == want
+
+
+def test_kinds_of_bytes(spark):
+    rows = spark.createDataFrame([(b"PMTiles\x03rest",), (b"SQLite format 3\x00more",), (b"P",), (b"",), (None,)], "content binary")
+    assert [r[0] for r in rows.select(kind_of_bytes(F.col("content"))).collect()] == ["pmtiles", "mbtiles", "other", "other", "other"]
+
+
+def test_limits(spark):
+    own, node = F.struct(F.lit(2.0).alias("ratio"), F.lit(0).alias("minutes")), F.struct(F.lit(0.0).alias("ratio"), F.lit(60).alias("minutes"))
+    none = F.struct(F.lit(0.0).alias("ratio"), F.lit(-1).alias("minutes"))
+    got = spark.range(1).select(*(seeding_limit(a, b, F.lit(f)).alias(k) for k, a, b, f in (("own", own, node, False), ("node", none, node, None), ("none", none, none, False), ("ever", own, node, True)))).first()
+    assert (got.own.ratio, got.node.minutes, got.none, got.ever) == (2.0, 60, None, None)
+
+
 def test_catalogues(spark):
-    good = json.dumps({"format": "pmtiles-swarm-catalog/1", "archives": [{"infoHash": "aa", "name": "n", "size": 4}]})
+    good = json.dumps({"format": "tile-catalog/1", "archives": [{"infoHash": "aa", "name": "n", "size": 4}]})
     bodies = spark.createDataFrame([("p", good), ("q", json.dumps({"format": "other", "archives": [{"infoHash": "bb"}]})), ("r", None)], "peer string, body string")
-    assert [x.infoHash for x in records.catalogue_entries(bodies).collect()] == ["aa"]
+    assert [x.infoHash for x in records.catalogue_entries(bodies, "tile-catalog/").collect()] == ["aa"]
 
 
 def test_registered_functions(spark):
