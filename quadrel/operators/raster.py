@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +108,7 @@ def _weight(kernel: str, x: np.ndarray) -> np.ndarray:
     return np.where(x < 3, np.sinc(x) * np.sinc(x / 3), 0)
 
 
+@cache
 def weights(kernel: str, source: int, target: int, origin: float = 0.0, extent: float | None = None) -> np.ndarray:
     """Matrix [target, source] of a kernel's weights for resampling `extent` source pixels from `origin`; samples beyond the edge repeat it."""
     extent = source if extent is None else extent
@@ -239,24 +241,67 @@ def composite(layers: DataFrame) -> DataFrame:
     return done.select("tile_id", *(F.transform("p", lambda p: p.getField(c)).alias(c) for c in "rgba"))  # noqa: B023
 
 
-def resample_layer(df: DataFrame, size: int, kernel: str = "bilinear") -> DataFrame:
-    """r, g, b, a grids at another size; colours are weighed by their alpha, so clear pixels lend none."""
+def resample_layer(df: DataFrame, size: int, kernel: str = "bilinear", square: bool = False) -> DataFrame:
+    """r, g, b, a grids at another size; colours are weighed by their alpha, so clear pixels lend none. With `square` of a parent's grid that square only which columns sub_x, sub_y and levels name."""
 
     def run(row: dict) -> list:
         a = _square(row["a"])
-        w = weights(kernel, len(a), size)
-        alpha = w @ a @ w.T / np.outer(w.sum(1), w.sum(1))
+        part = len(a) / (1 << (row["levels"] or 0)) if square else len(a)
+        rows, columns = (weights(kernel, len(a), size, (row[c] or 0) * part if square else 0.0, part) for c in ("sub_y", "sub_x"))
+        whole = np.outer(rows.sum(1), columns.sum(1))
+        alpha = rows @ a @ columns.T / whole
         out = []
         for c in "rgb":
-            value = w @ (_square(row[c]) * a) @ w.T / np.outer(w.sum(1), w.sum(1))
+            value = rows @ (_square(row[c]) * a) @ columns.T / whole
             out.append(np.clip(np.divide(value, alpha, out=np.zeros_like(value), where=alpha > 1e-6), 0, 1))
         return [*out, np.clip(alpha, 0, 1)]
 
     return _on_grids(df, list("rgba"), run)
 
 
-def merge_elevation(layers: DataFrame, size: int, mask: list[float], kernel: str = "bilinear", sigma: float = 0.0) -> DataFrame:
-    """Height layers (tile_id, source_idx, adjustment, px) in the fixed order: mask, adjust, resize, blur, paint."""
-    masked = layers.withColumn("px", F.zip_with(mask_heights(F.col("px"), mask), F.array_repeat("adjustment", F.size("px")), lambda h, a: h + a))
-    sized = resample(masked, size, kernel)
-    return paint(blur(sized, sigma) if sigma > 0 else sized)
+def sized_layers(layers: DataFrame, size: int, kernel: str = "bilinear") -> DataFrame:
+    """Colour layers at one size: those of another width, and squares of parents (columns levels, sub_x, sub_y), are resampled; the rest pass untouched."""
+    off = (F.size("a") != size * size) | (F.col("levels") > 0)
+    return layers.filter(~off).unionByName(resample_layer(layers.filter(off), size, kernel, square=True))
+
+
+def sized_heights(layers: DataFrame, size: int, kernel: str = "bilinear", column: str = "px") -> DataFrame:
+    """Height layers at one size: squares of parents (columns levels, sub_x, sub_y) first, at the size wanted, then other widths; the rest pass untouched."""
+
+    def run(row: dict) -> list:
+        g = _square(row[column])
+        if g is None:
+            return [None]
+        part = len(g) / (1 << row["levels"])
+        return [_weighted(g, weights(kernel, len(g), size, row["sub_y"] * part, part), weights(kernel, len(g), size, row["sub_x"] * part, part))]
+
+    off = (F.size(column) != size * size) | (F.col("levels") > 0)
+    return layers.filter(~off).unionByName(_on_grids(layers.filter(off), [column], run))
+
+
+def clipped(layers: DataFrame, column: str, nothing) -> DataFrame:
+    """layers with a value of `nothing` where their coverage mask (column `mask`, null: all inside) is 0."""
+    inside = F.when(F.col("mask").isNull(), F.col(column)).otherwise(F.zip_with(F.col(column), F.col("mask"), lambda v, m: F.when(m == 1, v).otherwise(F.lit(nothing))))
+    return layers.withColumn(column, inside)
+
+
+def merge_elevation(layers: DataFrame, size: int, mask: list[float], kernel: str = "bilinear", sigma: float = 0.0, distance: str | None = None) -> DataFrame:
+    """Height layers (tile_id, source_idx, adjustment, px) in the fixed order: mask, adjust, resample (squares of parents, other widths), blur, clip, paint.
+
+    Of the columns levels, sub_x, sub_y (squares of parents), mask (coverage) and the distance that the blur grows with those may be missing that nothing needs.
+    """
+    have = set(layers.columns)
+    rows = layers.withColumns({c: F.lit(0) for c in ("levels", "sub_x", "sub_y") if c not in have})
+    masked = rows.withColumn("px", F.zip_with(mask_heights(F.col("px"), mask), F.array_repeat("adjustment", F.size("px")), lambda h, a: h + a))
+    sized = sized_heights(masked, size, kernel)
+    soft = blur(sized, sigma, distance=distance) if sigma > 0 else sized
+    return paint(clipped(soft, "px", None) if "mask" in have else soft)
+
+
+def merge_rgba(layers: DataFrame, size: int, colors: list[str], kernel: str = "bilinear") -> DataFrame:
+    """Colour layers (tile_id, source_idx, r, g, b, a of 0 to 1, opacity, blend) in the fixed order: mask colours, resample, clip, compose. Columns that are missing as in merge_elevation."""
+    have = set(layers.columns)
+    rows = layers.withColumns({c: F.lit(0) for c in ("levels", "sub_x", "sub_y") if c not in have})
+    masked = rows.withColumn("a", mask_layer(F.col("r"), F.col("g"), F.col("b"), F.col("a"), colors)) if colors else rows
+    sized = sized_layers(masked, size, kernel)
+    return composite(clipped(sized, "a", 0.0) if "mask" in have else sized)

@@ -1,11 +1,11 @@
-"""Combined archives: the answer of a recipe for a set of tiles, and its bake into one archive."""
+"""Combined archives: the answer of a recipe for a set of tiles in height or colour, and its bake into one archive."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tiles import revision
+from ..functions.tiles import parent, revision
 from . import raster
 from .tiles import passthrough
 
@@ -23,6 +23,24 @@ def checked(reads: DataFrame) -> DataFrame:
     return reads.filter(F.assert_true((F.col("outcome") != "error") | ~F.col("required"), "a required source can't be read").isNull())
 
 
+def reads_of(wanted: DataFrame, held: DataFrame, most: int = 6) -> DataFrame:
+    """(tile_id, source_idx, from_id, levels, sub_x, sub_y): for each wanted tile (tile_id, z, x, y) the tile that each source (source_idx, tile_id, z, x, y) answers it with, itself or its nearest ancestor up to `most` zooms above."""
+    up = wanted.withColumn("levels", F.explode(F.sequence(F.lit(0), F.least(F.lit(most), F.col("z")).cast("int"))))
+    p = parent(F.col("z"), F.col("x"), F.col("y"), F.col("levels"))
+    asked = up.select("tile_id", "levels", p.alias("p")).select("tile_id", "levels", F.col("p.z").alias("z"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("p.dx").alias("sub_x"), F.col("p.dy").alias("sub_y"))
+    found = asked.join(held.select("source_idx", "z", "x", "y", F.col("tile_id").alias("from_id")), ["z", "x", "y"])
+    near = found.groupBy("tile_id", "source_idx").agg(F.min_by(F.struct("from_id", "levels", "sub_x", "sub_y"), "levels").alias("f"))
+    return near.select("tile_id", "source_idx", "f.*")
+
+
+def routed(reads: DataFrame, needs_pixels: Column) -> DataFrame:
+    """Reads with `copied`: the tile has one source, which answers at the tile's own zoom, inside its shape, and needs nothing of the pixels. Decided on ids alone, before any grid is touched."""
+    changes = needs_pixels | (F.col("levels") > 0) | (F.col("place") == "partial")
+    own = reads.filter("place <> 'outside'")
+    split = passthrough(own.select("tile_id", "source_idx", changes.alias("_needs")), F.col("_needs")).select("tile_id", "copied")
+    return own.join(split, "tile_id")
+
+
 def answer(layers: DataFrame, needs_pixels: Column, size: int, mask: list[float], kernel: str = "bilinear", sigma: float = 0.0) -> DataFrame:
     """(tile_id, px, copied): tiles that one source answers unchanged are copied, the rest are merged. The split is decided on ids alone, before any grid is touched."""
     split = passthrough(layers.select("tile_id", "source_idx", needs_pixels.alias("_needs")), F.col("_needs")).select("tile_id", "copied")
@@ -32,6 +50,48 @@ def answer(layers: DataFrame, needs_pixels: Column, size: int, mask: list[float]
     return copied.unionByName(merged.select("tile_id", "px", F.lit(False).alias("copied")))
 
 
+def _placed(reads: DataFrame, recipe: DataFrame, places: DataFrame | None) -> DataFrame:
+    """Reads with their source's settings and where their tile lies to its shape; sources are a recipe's few."""
+    rows = reads.join(F.broadcast(recipe), "source_idx")
+    if places is None:
+        return rows.withColumn("place", F.lit("inside"))
+    known = places.select("shape").distinct().withColumn("_known", F.lit(True))
+    rows = rows.join(places.withColumnRenamed("shape", "cutline"), ["tile_id", "cutline"], "left").join(F.broadcast(known), F.col("cutline") == F.col("shape"), "left").drop("shape")
+    return rows.withColumn("place", F.when(F.col("cutline").isNull(), "inside").otherwise(F.coalesce("place", F.lit("outside")))).drop("_known")
+
+
+def stack_answer(wanted: DataFrame, held: DataFrame, grids: DataFrame, recipe: DataFrame, size: int, space: str, shapes: DataFrame | None = None, values: list[float] = (), colors: list[str] = (), kernel: str = "bilinear", sigma: float = 0.0, most: int = 6) -> DataFrame:
+    """What a recipe answers for wanted tiles (tile_id, z, x, y): (tile_id, copied, and px or r, g, b, a).
+
+    held: coverage (source_idx, tile_id, z, x, y). grids: (source_idx, tile_id and px, or r, g, b, a of 0 to 1). recipe: a row for each source
+    (source_idx, cutline, changes: whether it always alters pixels, and adjustment, or opacity and blend). shapes: segments of the cutlines.
+    Each source answers with the tile or its nearest ancestor's square, clipped by its shape; single unchanged answers are copied.
+    """
+    from . import clip
+
+    places = clip.classify(wanted, shapes) if shapes is not None else None
+    reads = routed(_placed(reads_of(wanted, held, most), recipe, places), F.col("changes"))
+    rows = reads.join(grids.withColumnRenamed("tile_id", "from_id"), ["source_idx", "from_id"])
+    names = ["px"] if space == "elevation" else list("rgba")
+    copied = rows.filter("copied").select("tile_id", F.lit(True).alias("copied"), *names)
+    rest = rows.filter(~F.col("copied"))
+    if shapes is not None:
+        cut = reads.filter("place = 'partial' and not copied").select("tile_id").distinct().join(wanted, "tile_id")
+        rest = rest.join(clip.masks(cut, shapes, size).withColumnRenamed("shape", "cutline"), ["tile_id", "cutline"], "left").withColumn("mask", F.when(F.col("place") == "partial", F.col("mask")))
+    merged = raster.merge_elevation(rest, size, list(values), kernel, sigma) if space == "elevation" else raster.merge_rgba(rest, size, list(colors), kernel)
+    return copied.unionByName(merged.select("tile_id", F.lit(False).alias("copied"), *names))
+
+
+def bake(answers: DataFrame, encoded: Column, destination: str, header: dict | None = None, metadata: dict | None = None) -> dict:
+    """Write a recipe's answers (tile_id, ...) as one archive; encoded makes a tile's bytes of an answer's columns. Without any tile it is an error. Reports what the archive holds."""
+    from ..sources.pmtiles import write_archive
+
+    report = write_archive(answers.select("tile_id", encoded.alias("content")), destination, header, metadata)
+    if not report["addressed"]:
+        raise ValueError("the recipe answers no tile")
+    return report
+
+
 def to_bake(wanted: DataFrame, done: DataFrame, rev: str) -> DataFrame:
     """Wanted tiles without those that an earlier run of the same revision has written; done holds (revision, first_id, last_id) ranges cut to the same cells of 4096 ids."""
     cell = lambda c: F.shiftright(c, 12)

@@ -4,7 +4,7 @@ Reading: `spark.read.format("pmtiles").load(folder or file)` gives directory ent
 each archive. Each leaf directory is a partition of its own, and filters on tile_id skip leaves. Files are read where the task
 runs, so the path must be one that all executors see (a shared mount). `read_tiles` adds payloads by ranged reads.
 
-Writing: `write_archive` sorts payloads by tile id, stores each distinct content once, and lays out header, directories and data.
+Writing: `write_archive` stores each distinct content once, in order of its first tile, and lays out header, directories and data.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import hashlib
 import json
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
+from ..operators.tiles import content_dedup, tile_offsets, tile_runs
+
 #: Fixed values of the format: header size, largest header and root directory together, entries in a leaf.
 HEADER, ROOT_LIMIT, LEAF = 127, 16384, 4096
 LAYOUT = struct.Struct("<7sB11Q6BiiiiBii")
@@ -193,80 +196,77 @@ def read_tiles(entries: DataFrame, folder: str) -> DataFrame:
     return ordered.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in entries.dtypes) + ", content binary")
 
 
-def directory_layout(entries: list[tuple[int, int, int, int]]) -> tuple[bytes, bytes]:
-    """(root, leaves): one flat root where it fits behind the header, else leaves, doubled in size until the root fits."""
-    root = encode_directory(entries)
-    size = LEAF
-    leaves = b""
-    while len(root) > ROOT_LIMIT - HEADER:
-        parts, top = [], []
-        at = 0
-        for i in range(0, len(entries), size):
-            part = encode_directory(entries[i : i + size])
-            top.append((entries[i][0], at, len(part), 0))
-            parts.append(part)
-            at += len(part)
-        root, leaves, size = encode_directory(top), b"".join(parts), size * 2
-    return root, leaves
+def _leaves(entries: DataFrame, size: int, partitions: int) -> DataFrame:
+    """(first, entries, blob): leaf directories of up to `size` entries within ranges of tile ids, each encoded in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, int, int]] = []
+
+        def out(part: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"first": [part[0][0]], "entries": [len(part)], "blob": [encode_directory(part)]}, pa.schema([("first", pa.int64()), ("entries", pa.int64()), ("blob", pa.binary())]))
+
+        for batch in batches:
+            held += zip(*(batch.column(n).to_pylist() for n in ("tile_id", "offset", "length", "run_length")), strict=True)
+            while len(held) >= size:
+                yield out(held[:size])
+                held = held[size:]
+        if held:
+            yield out(held)
+
+    return entries.select("tile_id", "offset", "length", "run_length").repartitionByRange(partitions, "tile_id").sortWithinPartitions("tile_id").mapInArrow(run, "first long, entries long, blob binary")
+
+
+def _append(blobs: DataFrame, order: str, path: str) -> None:
+    """The blobs in order at the end of a file, streamed partition by partition, so the driver holds one at a time."""
+    with open(path, "ab") as f:
+        for row in blobs.orderBy(order).select("blob").toLocalIterator(prefetchPartitions=False):
+            f.write(row.blob)
 
 
 def write_archive(payloads: DataFrame, destination: str, header: dict | None = None, metadata: dict | None = None, scratch: str | None = None, partitions: int | None = None) -> dict:
     """Write (tile_id, content) rows as one archive on a shared mount.
 
-    Tasks own ranges of tile ids in order and write their distinct contents to part files; a content that several ranges
-    hold is stored by the first. The driver then gets a row for each tile, forms the directory and joins the parts.
+    Spark finds the distinct contents, their offsets (tile_offsets) and the runs of tiles (tile_runs), and encodes leaf directories in tasks.
+    Leaves and contents are written as rows of the scratch folder; the driver gets one row for each leaf (its first id and size) for the root directory, and
+    streams leaves and contents in order into the one file that the format asks for. What it holds at a time is a partition, whatever the archive's size.
     """
     spark = payloads.sparkSession
-    scratch = scratch or f"{destination}.parts"
-    os.makedirs(scratch, exist_ok=True)
-    rows = payloads.select(F.col("tile_id").cast("long").alias("tile_id"), F.col("content").cast("binary").alias("content")).withColumn("digest", F.sha2("content", 256))
-    owners = rows.groupBy("digest").agg(F.min("tile_id").alias("owner"))
-    owned = rows.join(owners, "digest").select("tile_id", "digest", F.when(F.col("tile_id") == F.col("owner"), F.col("content")).alias("content"), F.octet_length("content").cast("long").alias("length"))
-    ordered = owned.repartitionByRange(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), "tile_id").sortWithinPartitions("tile_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, part, at = None, None, 0
-        for batch in batches:
-            out = {"part": [], "tile_id": [], "digest": [], "at": [], "length": []}
-            for row in batch.to_pylist():
-                if f is None:
-                    part = row["tile_id"]
-                    f = open(f"{scratch}/{part:020d}.{os.getpid()}", "wb")  # noqa: SIM115
-                own = None
-                if row["content"] is not None:
-                    own, at = at, at + f.write(row["content"])
-                for k, v in zip(out, (part, row["tile_id"], row["digest"], own, row["length"]), strict=True):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("part", pa.int64()), ("tile_id", pa.int64()), ("digest", pa.string()), ("at", pa.int64()), ("length", pa.int64())]))
-        if f:
-            f.close()
-            os.replace(f.name, f"{scratch}/{part:020d}")  # a retried task replaces what it had written
-
-    index = ordered.mapInArrow(run, "part long, tile_id long, digest string, at long, length long").collect()
-    index.sort(key=lambda r: r.tile_id)
-    bases, base = {}, 0
-    for part in sorted({r.part for r in index}):
-        bases[part] = base
-        base += os.path.getsize(f"{scratch}/{part:020d}")
-    place = {r.digest: bases[r.part] + r.at for r in index if r.at is not None}
-    entries: list[tuple[int, int, int, int]] = []
-    for r in index:
-        last = entries[-1] if entries else None
-        if last and last[1] == place[r.digest] and last[2] == r.length and last[0] + last[3] == r.tile_id:
-            entries[-1] = (*last[:3], last[3] + 1)
-        else:
-            entries.append((r.tile_id, place[r.digest], r.length, 1))
-    root, leaves = directory_layout(entries)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scratch = f"{scratch or destination + '.parts'}/{uuid.uuid4().hex}"
+    rows = payloads.select(F.col("tile_id").cast("long").alias("tile_id"), F.col("content").cast("binary").alias("content"))
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{scratch}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{scratch}/{name}")
+
+    contents = kept(tile_offsets(content_dedup(rows)).select("digest", "tile_id", "length", "offset"), "contents")
+    entries = kept(tile_runs(rows).join(contents.select("digest", "length", "offset"), "digest").select("tile_id", "offset", "length", "run_length"), "entries")
+    totals = entries.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum("run_length"), F.lit(0)).alias("addressed")).first()
+    held = contents.agg(F.count(F.lit(1)).alias("contents"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    leaves, leaf_bytes, size = None, 0, LEAF
+    root = encode_directory([tuple(r) for r in entries.orderBy("tile_id").collect()]) if totals.entries <= LEAF else b""
+    if not root or len(root) > ROOT_LIMIT - HEADER:
+        while True:
+            leaves = kept(_leaves(entries, size, n), f"leaves-{size}")
+            top, at = [], 0
+            for r in leaves.select("first", F.octet_length("blob").alias("n")).orderBy("first").collect():  # a row for each leaf of thousands of entries
+                top.append((r.first, at, r.n, 0))
+                at += r.n
+            root, leaf_bytes = encode_directory(top), at
+            if len(root) <= ROOT_LIMIT - HEADER:
+                break
+            size, n = size * 2, max(1, n // 2)
     meta = gzip.compress(json.dumps(metadata or {}).encode(), mtime=0)
     h = dict.fromkeys(FIELDS, 0) | {"internal_compression": 2, "tile_compression": 1} | (header or {})
     h |= {"root_offset": HEADER, "root_length": len(root), "metadata_offset": HEADER + len(root), "metadata_length": len(meta)}
-    h |= {"leaf_offset": h["metadata_offset"] + len(meta), "leaf_length": len(leaves)}
-    h |= {"data_offset": h["leaf_offset"] + len(leaves), "data_length": base, "addressed": len(index), "entries": len(entries), "contents": len(place), "clustered": 1}
-    with open(f"{destination}.new", "wb") as out:
-        out.write(LAYOUT.pack(b"PMTiles", 3, *(h[k] for k in FIELDS)) + root + meta + leaves)
-        for part in sorted(bases):
-            with open(f"{scratch}/{part:020d}", "rb") as f:
-                while block := f.read(1 << 20):
-                    out.write(block)
-    os.replace(f"{destination}.new", destination)
-    return {"addressed": len(index), "entries": len(entries), "contents": len(place), "bytes": base, "sha1": hashlib.sha1(root).hexdigest()}
+    h |= {"leaf_offset": h["metadata_offset"] + len(meta), "leaf_length": leaf_bytes}
+    h |= {"data_offset": h["leaf_offset"] + leaf_bytes, "data_length": held.bytes, "addressed": totals.addressed, "entries": totals.entries, "contents": held.contents, "clustered": 1}
+    path = f"{destination}.{uuid.uuid4().hex}"
+    with open(path, "wb") as out:
+        out.write(LAYOUT.pack(b"PMTiles", 3, *(h[k] for k in FIELDS)) + root + meta)
+    if leaves is not None:
+        _append(leaves, "first", path)
+    owners = contents.select("tile_id", "offset")  # each content where its first tile has it
+    _append(rows.join(owners, "tile_id").select("offset", F.col("content").alias("blob")), "offset", path)
+    os.replace(path, destination)
+    return {"addressed": totals.addressed, "entries": totals.entries, "contents": held.contents, "bytes": held.bytes, "sha1": hashlib.sha1(root).hexdigest()}

@@ -20,13 +20,6 @@ def test_directory_round_trip():
     assert pmtiles.decode_directory(pmtiles.encode_directory([])) == []
 
 
-def test_root_stays_small():
-    entries = [(i * 7919 + i % 13, i * 1000 + i % 17, 500 + i % 311, 1) for i in range(30000)]
-    root, leaves = pmtiles.directory_layout(entries)
-    assert len(root) <= pmtiles.ROOT_LIMIT - pmtiles.HEADER
-    assert leaves
-
-
 def test_archive_round_trip(spark, tmp_path):
     n = 9000
     rows = spark.range(n).select((F.col("id") * 3 - F.col("id") % 2).alias("tile_id"), F.when(F.col("id") % 10 < 4, F.lit("sea")).otherwise(F.concat(F.lit("tile-"), F.col("id").cast("string"))).alias("content"))
@@ -41,6 +34,13 @@ def test_archive_round_trip(spark, tmp_path):
     assert tiles.exceptAll(rows).count() == 0 and rows.exceptAll(tiles).count() == 0
     assert entries.filter("tile_id >= 100000").agg(F.sum("run_length")).first()[0] == 50
     head = pmtiles.scan(spark, str(tmp_path), "headers").first()
+    with open(tmp_path / "a.pmtiles", "rb") as f:
+        raw = pmtiles.read_header(f)
+    assert raw["root_length"] <= pmtiles.ROOT_LIMIT - pmtiles.HEADER and raw["leaf_length"] > 0
+    few = rows.filter("tile_id < 300")
+    assert pmtiles.write_archive(few, str(tmp_path / "flat/b.pmtiles") if (tmp_path / "flat").mkdir() is None else "", scratch=str(tmp_path / "parts"))["addressed"] == few.count()
+    flat = pmtiles.read_tiles(pmtiles.scan(spark, str(tmp_path / "flat")), str(tmp_path / "flat")).select(F.explode(F.sequence("tile_id", F.col("tile_id") + F.col("run_length") - 1)).alias("tile_id"), F.col("content").cast("string").alias("content"))
+    assert flat.exceptAll(few).count() == 0 and few.exceptAll(flat).count() == 0
     assert (head.format, head.max_zoom, head.west, head.addressed, json.loads(head.metadata)["name"]) == ("mvt", 9, -180.0, n + 50, "test")
 
 
