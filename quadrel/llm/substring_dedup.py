@@ -225,7 +225,7 @@ def _finder(width: int, bits: int, bucket_bits: int, sketch):
             if len(late):
                 runs = late.runs(width)
                 n = len(runs[0])
-                yield pa.RecordBatch.from_arrays([pa.array(runs[1] & ((1 << bucket_bits) - 1)), pa.nulls(n, pa.binary()), *map(pa.array, runs)], schema=FOUND)
+                yield pa.RecordBatch.from_arrays([pa.array((runs[0] ^ runs[1]) & ((1 << bucket_bits) - 1)), pa.nulls(n, pa.binary()), *map(pa.array, runs)], schema=FOUND)
             del late
             own = own.take(np.lexsort((own.start, own.row, own.h1 >> np.uint64(64 - bucket_bits))))
             bucket = (own.h1 >> np.uint64(64 - bucket_bits)).astype(np.int64)
