@@ -108,6 +108,25 @@ def rgba_resample_all(s, d):
     return c.select("tile_id", "source_idx", F.posexplode(F.arrays_zip("r", "a")).alias("i", "p")).select("tile_id", "source_idx", "i", F.round("p.r", 6).alias("r"), F.round("p.a", 6).alias("a"))
 
 
+def _stack(s, d, grids, space, **more):
+    """A recipe of four sources over all tiles: the second clipped by the island, the third by a shape that is missing, the fourth always altered. Each source lacks a third of the tiles, which its ancestors then answer."""
+    tiles = grids.select("tile_id").distinct()
+    held = O.with_zxy(grids.filter((F.col("tile_id") + F.col("source_idx")) % 3 != 0).select("source_idx", "tile_id"))
+    mode = ("normal", "multiply", "overlay", "screen")
+    recipe = s.createDataFrame([(k, c, k == 3, float(k), 1.0 if k == 0 else 0.75, mode[k]) for k, c in enumerate((None, "island", "atlantis", None))], "source_idx int, cutline string, changes boolean, adjustment double, opacity double, blend string")
+    return ST.stack_answer(O.with_zxy(tiles), held, grids, recipe, 8, space, shape_segments(s), kernel="nearest", **more)
+
+
+def elevation_full(s, d):
+    return _exploded(_stack(s, d, height_tiles(s, d), "elevation", values=MASK), "h", "copied")
+
+
+def stack_answer_rgba(s, d):
+    grids = rgba_tiles(s, d).select("tile_id", "source_idx", *(R.to_channels(F.col(c)).alias(c) for c in "rgba"))
+    out = _stack(s, d, grids, "rgba", colors=["#000000"])
+    return out.select("tile_id", "copied", F.posexplode(F.arrays_zip("r", "g", "b", "a")).alias("i", "p")).select("tile_id", "copied", "i", *(F.round(f"p.{c}", 6).alias(c) for c in "rgba"))
+
+
 def shape_segments(s):
     points = [(n, k, i, x, y) for n, rings in SHAPE.items() for k, ring in enumerate(rings) for i, (x, y) in enumerate(ring)]
     return C.segments(s.createDataFrame(points, "shape string, ring int, i int, lon double, lat double"))
@@ -145,7 +164,7 @@ def tile_boxes(s, d):
     return b.select("tile_id", *(F.round(F.col(f"b.{c}"), 6).alias(c) for c in ("min_x", "min_y")), F.col("p.x").alias("px"), F.col("p.dy").alias("dy"))
 
 
-QUERIES = (elevation_encode, elevation_mask_paint, color_mask, elevation_resample, elevation_parent, elevation_blur, elevation_stitch, elevation_merge, stack_answer, rgba_composite, rgba_bytes, rgba_resample, clip_classify, clip_mask, clip_sources, clip_mask_all, clip_sources_all, elevation_resample_all, elevation_parent_all, elevation_blur_all, rgba_resample_all, tile_boxes)
+QUERIES = (elevation_encode, elevation_mask_paint, color_mask, elevation_resample, elevation_parent, elevation_blur, elevation_stitch, elevation_merge, stack_answer, elevation_full, stack_answer_rgba, rgba_composite, rgba_bytes, rgba_resample, clip_classify, clip_mask, clip_sources, clip_mask_all, clip_sources_all, elevation_resample_all, elevation_parent_all, elevation_blur_all, rgba_resample_all, tile_boxes)
 
 H = with_views("heights")
 _M = "floor(h * 1000 + 0.5) BETWEEN -5000 AND -4851"
@@ -201,6 +220,7 @@ SELECT tile_id, i, CAST(sum(CASE WHEN (ay > cy) <> (s."by" > cy) AND cx < (bx -
         "clip_sources": f"{_clip_sql()} SELECT tile_id, CAST(k AS INT) AS source_idx, CASE k WHEN 0 THEN 'inside' WHEN 1 THEN place ELSE 'outside' END AS place FROM cls, range(3) q(k) WHERE z <= 3",
         "tile_boxes": f"{_TILES}, {_ZXY} SELECT tile_id, round(x / pow(2, z), 6) AS min_x, round(y / pow(2, z), 6) AS min_y, x >> least(2, z) AS px, y % (1 << least(2, z)) AS dy FROM places",
     }
+    out |= _full_sql()
     # The same over all tiles.
     out["clip_mask_all"] = out["clip_mask"].replace(" WHERE z BETWEEN 2 AND 4", "")
     out["clip_sources_all"] = out["clip_sources"].replace(" WHERE z <= 3", "")
@@ -214,6 +234,45 @@ SELECT tile_id, i, CAST(sum(CASE WHEN (ay > cy) <> (s."by" > cy) AND cx < (bx -
     return out
 
 
+def _picked_sql() -> str:
+    """picked: for each wanted tile, source and pixel the source's tile and pixel that answers, whether it lies inside the source's shape, and whether the tile is copied."""
+    from .fixtures import CTE
+    from .tiles import _ZXY
+
+    archive = "archive_tiles AS (SELECT CAST(vec_id % 4 AS INT) AS source_idx, vec_id // 4 AS tile_id FROM embeddings)"
+    body = _clip_sql().split("hit AS", 1)[1]
+    return f"""WITH RECURSIVE {archive}, {CTE["zoomed"]}, {_ZXY}, {_segments_sql()}, c AS (SELECT *, (x + 0.5) / pow(2, z) AS cx, (y + 0.5) / pow(2, z) AS cy FROM places), hit AS{body},
+held AS (SELECT a.source_idx, p.* FROM archive_tiles a JOIN places p USING (tile_id) WHERE (a.tile_id + a.source_idx) % 3 <> 0),
+up AS (SELECT tile_id, z - l AS z, x >> l AS x, y >> l AS y, l, x % (1 << l) AS sx, y % (1 << l) AS sy FROM places, range(7) r(l) WHERE l <= z),
+near AS (SELECT u.tile_id, h.source_idx, min(l) AS l, arg_min(h.tile_id, l) AS from_id, arg_min(sx, l) AS sx, arg_min(sy, l) AS sy FROM up u JOIN held h ON h.z = u.z AND h.x = u.x AND h.y = u.y GROUP BY 1, 2),
+own AS (SELECT n.*, CASE n.source_idx WHEN 1 THEN k.place ELSE 'inside' END AS place FROM near n JOIN cls k USING (tile_id) WHERE n.source_idx <> 2 AND NOT (n.source_idx = 1 AND k.place = 'outside')),
+cp AS (SELECT tile_id, count(*) = 1 AND NOT bool_or(source_idx = 3 OR l > 0 OR place = 'partial') AS copied FROM own GROUP BY 1),
+inm AS (SELECT tile_id, i, sum(CASE WHEN (ay > cy) <> (s."by" > cy) AND cx < (bx - ax) * (cy - ay) / CASE WHEN s."by" <> ay THEN s."by" - ay END + ax THEN 1 ELSE 0 END) % 2 = 1 AS inside
+  FROM (SELECT p.tile_id, i, (x + (i % 8 + 0.5) / 8) / pow(2, p.z) AS cx, (y + (i // 8 + 0.5) / 8) / pow(2, p.z) AS cy FROM places p JOIN cls USING (tile_id), range(64) q(i) WHERE cls.place = 'partial'), segs s GROUP BY 1, 2),
+picked AS (SELECT o.tile_id, o.source_idx, CAST(q.i AS INT) AS i, copied, from_id, o.place <> 'partial' OR coalesce(inside, false) AS inside,
+    CAST(least(7, floor(sy * 8 / pow(2, l) + (q.i // 8 + 0.5) / pow(2, l))) * 8 + least(7, floor(sx * 8 / pow(2, l) + (q.i % 8 + 0.5) / pow(2, l))) AS INT) AS k
+  FROM own o JOIN cp USING (tile_id) CROSS JOIN range(64) q(i) LEFT JOIN inm ON inm.tile_id = o.tile_id AND inm.i = q.i)"""
+
+
+def _full_sql() -> dict[str, str]:
+    from .fixtures import CTE
+
+    heights = f"""{_picked_sql()}, {CTE["heights"]}, v AS (SELECT p.*, h.h FROM picked p JOIN heights h ON h.tile_id = p.from_id AND h.source_idx = p.source_idx AND h.i = p.k),
+m AS (SELECT tile_id, copied, i, CASE WHEN copied THEN max(h) ELSE arg_max(h + source_idx, source_idx) FILTER (WHERE inside AND NOT ({_M})) END AS h FROM v GROUP BY 1, 2, 3)
+SELECT tile_id, copied, i, round(h, 6) AS h FROM m WHERE tile_id IN (SELECT tile_id FROM m WHERE h IS NOT NULL)"""
+    layers = f"""{_picked_sql()}, {_RGBA}, l AS (SELECT p.tile_id, p.source_idx, p.i, p.copied, x.r / 255.0::DOUBLE AS r, x.g / 255.0::DOUBLE AS g, x.b / 255.0::DOUBLE AS b, x.a / 255.0::DOUBLE AS raw,
+  CASE WHEN NOT inside OR x.r = 0 AND x.g = 0 AND x.b = 0 THEN 0.0 ELSE x.a / 255.0::DOUBLE * CASE WHEN p.source_idx = 0 THEN 1.0 ELSE 0.75 END::DOUBLE END AS sa FROM picked p JOIN px x ON x.tile_id = p.from_id AND x.source_idx = p.source_idx AND x.i = p.k)"""
+    merged = _composite_sql().split("FROM px),\n", 1)[1].replace("FROM l)", "FROM l WHERE NOT copied)", 1)
+    steps, final = merged.rsplit("\nSELECT tile_id, i, round(r, 6)", 1)
+    return {
+        "elevation_full": heights,
+        "stack_answer_rgba": f"""{layers},
+{steps}
+SELECT tile_id, copied, i, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b, round(raw, 6) AS a FROM l WHERE copied
+UNION ALL SELECT tile_id, false AS copied, i, round(r, 6){final}""",
+    }
+
+
 def _composite_sql() -> str:
     """Four layers, composed step by step from clear."""
     out = f"WITH {_RGBA}, l AS (SELECT tile_id, source_idx, i, r / 255.0::DOUBLE AS r, g / 255.0::DOUBLE AS g, b / 255.0::DOUBLE AS b, a / 255.0::DOUBLE * CASE WHEN source_idx = 0 THEN 1.0 ELSE 0.75 END::DOUBLE AS sa FROM px),\n"

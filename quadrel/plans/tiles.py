@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import rules as P
@@ -10,7 +13,9 @@ from ..operators import audit as A
 from ..operators import pieces as K
 from ..operators import stack as ST
 from ..operators import tiles as O
+from ..sources import pmtiles as Z
 from ..sources import text as X
+from ..streaming.streams import shared_dir
 from .fixtures import archive_tiles, catalog, piece_availability, table, tile_payloads, tile_requests, with_views
 
 
@@ -112,6 +117,27 @@ def bake_report(s, d):
     return ST.bake_report(O.coverage_union(t), t.filter("source_idx = 0"))
 
 
+def bake_archive(s, d):
+    """The topmost source's tiles, baked into one archive in the shared folder and read back from it."""
+    folder = f"{shared_dir(s).removeprefix('file://').removeprefix('file:')}/baked-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    layers = table(s, d, "documents").select(F.floor(F.col("doc_id") / 2).cast("long").alias("tile_id"), (F.col("doc_id") % 2).cast("int").alias("source_idx"), "lang", "text")
+    content = F.when(F.col("tile_id") % 3 == 0, F.col("text")).otherwise(F.col("lang"))
+    answers = O.priority_tiles(layers.withColumn("content", content), "content")
+    ST.bake(answers, F.col("content").cast("binary"), f"{folder}/all.pmtiles", {"max_zoom": 12}, {"name": "all"})
+    entries = Z.scan(s, folder)
+    tiles = Z.read_tiles(entries, folder).select(F.explode(F.sequence("tile_id", F.col("tile_id") + F.col("run_length") - 1)).alias("tile_id"), F.sha2("content", 256).alias("digest"), F.col("run_length").cast("long").alias("run_length"))
+    return tiles
+
+
+def archive_headers(s, d):
+    """Header and metadata of an archive of all documents, as the sink writes and the source reads them."""
+    folder = f"{shared_dir(s).removeprefix('file://').removeprefix('file:')}/headers-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    Z.write_archive(tile_payloads(s, d), f"{folder}/docs.pmtiles", {"tile_type": 1, "max_zoom": 11, "west": -1234000000}, {"name": "docs"})
+    return Z.scan(s, folder, "headers").select("archive", "format", "max_zoom", "west", "addressed", "contents", "clustered", F.get_json_object("metadata", "$.name").alias("name"))
+
+
 def bake_remaining(s, d):
     t = O.coverage_union(archive_tiles(s, d))
     done = table(s, d, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, "r1").otherwise("r0").alias("revision"), (F.col("n_nationkey") * 1000).cast("long").alias("first_id"), (F.col("n_nationkey") * 1000 + 700).cast("long").alias("last_id"))
@@ -258,9 +284,9 @@ def counter_maps(s, d):
     return m.select("info_hash", F.to_json("by_status").alias("by_status"))
 
 
-QUERIES = (coverage_union, coverage_overlap, coverage_by_zoom, tile_places, priority_tiles, parent_fallback, child_assembly, tiles_in_bounds, tile_counts, warm_report, shared_domain, box_sides, tile_dedup, tile_runs, content_counts, tile_offsets, clustered_check, passthrough_split, bake_report, bake_remaining, contributor_report, piece_digests, piece_ranges, piece_verify, piece_buckets, distributed_copies, lru_plan, shared_files, import_paths, log_rules, watched_rules, save_cycles, never_saved, save_cycles_all, never_saved_all, disk_use, orphan_files, listing_links, listing_newest, link_reachability, parsed_feed, counter_maps)
+QUERIES = (coverage_union, coverage_overlap, coverage_by_zoom, tile_places, priority_tiles, parent_fallback, child_assembly, tiles_in_bounds, tile_counts, warm_report, shared_domain, box_sides, tile_dedup, tile_runs, content_counts, tile_offsets, clustered_check, passthrough_split, bake_report, bake_archive, archive_headers, bake_remaining, contributor_report, piece_digests, piece_ranges, piece_verify, piece_buckets, distributed_copies, lru_plan, shared_files, import_paths, log_rules, watched_rules, save_cycles, never_saved, save_cycles_all, never_saved_all, disk_use, orphan_files, listing_links, listing_newest, link_reachability, parsed_feed, counter_maps)
 
-AT, Z = with_views("archive_tiles"), with_views("archive_tiles", "zoomed")
+AT, ZOOMED = with_views("archive_tiles"), with_views("archive_tiles", "zoomed")
 _BOX = "boxes AS (SELECT o_orderkey AS box, (o_orderkey % 1009) * 0.3::DOUBLE - 170 AS west, (o_orderkey % 1009) * 0.13::DOUBLE - 70 AS south, (o_orderkey % 1009) * 0.3::DOUBLE - 170 + 1 + o_orderkey % 1009 % 7 * 4 AS east, (o_orderkey % 1009) * 0.13::DOUBLE - 70 + 1 + o_orderkey % 1009 % 5 * 3 AS north FROM orders)"
 _WX, _WY = lambda c: f"(({c}) + 180) / 360", lambda c: f"(1 - ln(tan(radians(greatest(-85.0511287798066, least(85.0511287798066, {c})))) + 1 / cos(radians(greatest(-85.0511287798066, least(85.0511287798066, {c}))))) / pi()) / 2"
 _TILE = lambda f: f"CAST(greatest(0, least(pow(2, z) - 1, floor(({f}) * pow(2, z)))) AS BIGINT)"
@@ -270,7 +296,7 @@ _ZXY = """walk AS (SELECT tile_id, z, 0 AS k, CAST(0 AS BIGINT) AS x, CAST(0 AS
   UNION ALL SELECT tile_id, z, k + 1, CASE WHEN ry = 0 THEN (CASE WHEN rx = 1 THEN s - 1 - y ELSE y END) ELSE x END + s * rx, CASE WHEN ry = 0 THEN (CASE WHEN rx = 1 THEN s - 1 - x ELSE x END) ELSE y END + s * ry, t >> 2
   FROM (SELECT *, CAST(pow(2, k) AS BIGINT) AS s, (t >> 1) & 1 AS rx, xor(t, (t >> 1) & 1) & 1 AS ry FROM walk WHERE k < z)),
 places AS (SELECT tile_id, z, x, y FROM walk WHERE k = z)"""
-_ZR = Z.replace("WITH", "WITH RECURSIVE", 1)
+_ZR = ZOOMED.replace("WITH", "WITH RECURSIVE", 1)
 _CELLS = "p AS (SELECT l_suppkey AS archive, CAST(l_linenumber - 1 AS BIGINT) AS piece, count(*) AS copies FROM lineitem GROUP BY 1, 2)"
 _PIECES = "pieces AS (SELECT doc_id AS key, unnest(range(greatest(1, CAST(ceil(octet_length(encode(text)) / 1024) AS BIGINT)))) AS piece, encode(text) AS b FROM documents)"
 _SNAP = "snap AS (SELECT user_id % 20 AS info_hash, hour(ts) AS cycle, CASE WHEN user_id % 20 = 5 THEN 0 ELSE max(event_id) END AS mtime FROM events GROUP BY 1, 2), marked AS (SELECT *, coalesce(mtime <> lag(mtime) OVER (PARTITION BY info_hash ORDER BY cycle), false) AS new FROM snap)"
@@ -278,7 +304,7 @@ _SNAP = "snap AS (SELECT user_id % 20 AS info_hash, hour(ts) AS cycle, CASE WHEN
 ORACLE = {
     "coverage_union": f"{AT} SELECT DISTINCT tile_id FROM archive_tiles",
     "coverage_overlap": f"{AT} SELECT tile_id, CASE WHEN tile_id IN (SELECT tile_id FROM archive_tiles WHERE source_idx = 1) THEN 'both' ELSE 'first' END AS held_by FROM archive_tiles WHERE source_idx = 0",
-    "coverage_by_zoom": f"{Z} SELECT source_idx, z, count(*) AS tiles FROM zoomed GROUP BY ALL",
+    "coverage_by_zoom": f"{ZOOMED} SELECT source_idx, z, count(*) AS tiles FROM zoomed GROUP BY ALL",
     "tile_places": f"{_ZR}, {_ZXY} SELECT tile_id, z, x, y, tile_id AS back FROM places",
     "priority_tiles": "WITH t AS (SELECT l_suppkey % 4 AS source_idx, l_orderkey AS tile_id, max(l_extendedprice) AS payload FROM lineitem GROUP BY 1, 2) SELECT tile_id, max(source_idx) AS source_idx, arg_max(payload, source_idx) AS payload, count(*) AS held FROM t GROUP BY tile_id",
     "parent_fallback": f"""{_ZR}, {_ZXY}, up AS (SELECT w.z, w.x, w.y, d, z - d AS pz, x >> d AS px, y >> d AS py FROM places w, range(7) r(d) WHERE w.tile_id % 3 = 0 AND d <= z)
@@ -300,6 +326,9 @@ a AS (SELECT archive, tile_id, CASE WHEN archive = 2 THEN -seq WHEN archive = 3
 SELECT archive, count(*) FILTER (WHERE tile_id <= p) = 0 AS clustered, count(*) AS entries FROM b GROUP BY archive""",
     "passthrough_split": f"{AT} SELECT tile_id, count(*) AS sources, max(source_idx) AS source_idx, count(*) = 1 AND tile_id % 5 <> 0 AS copied FROM archive_tiles GROUP BY tile_id",
     "bake_report": f"{AT} SELECT count(DISTINCT tile_id) FILTER (WHERE source_idx = 0) AS written, count(DISTINCT tile_id) - count(DISTINCT tile_id) FILTER (WHERE source_idx = 0) AS skipped, count(*) FILTER (WHERE source_idx = 0) = 0 AS failed FROM archive_tiles",
+    "bake_archive": """WITH l AS (SELECT doc_id // 2 AS tile_id, arg_max(CASE WHEN doc_id // 2 % 3 = 0 THEN text ELSE lang END, doc_id % 2) AS content FROM documents GROUP BY 1), g AS (SELECT *, tile_id - row_number() OVER (PARTITION BY content ORDER BY tile_id) AS g FROM l)
+SELECT tile_id, sha256(content) AS digest, count(*) OVER (PARTITION BY content, g) AS run_length FROM g""",
+    "archive_headers": "SELECT 'docs.pmtiles' AS archive, 'mvt' AS format, 11 AS max_zoom, -123.4::DOUBLE AS west, count(*) AS addressed, count(DISTINCT text) AS contents, true AS clustered, 'docs' AS name FROM documents",
     "bake_remaining": f"{AT} SELECT DISTINCT tile_id FROM archive_tiles WHERE NOT (tile_id // 1000 < 25 AND tile_id // 1000 % 2 = 0 AND tile_id % 1000 <= 700)",
     "contributor_report": f"{AT}, r AS (SELECT *, CASE WHEN (tile_id + source_idx) % 11 = 0 THEN 'error' ELSE 'ok' END AS o FROM archive_tiles) SELECT tile_id, bool_or(o = 'error' AND source_idx = 0) AS failed, count(*) FILTER (WHERE o = 'ok') AS sources, string_agg('s' || source_idx || '=' || o, ',' ORDER BY source_idx) AS contributors FROM r GROUP BY tile_id",
     "piece_digests": f"WITH {_PIECES} SELECT key, md5(b) AS file_md5, CAST(piece AS INT) AS piece, sha1(b[piece * 1024 + 1:piece * 1024 + 1024]) AS sha1 FROM pieces",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -136,14 +137,21 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; where the session names none, a temporary one, on a single machine only."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (shared or tempfile.mkdtemp(prefix="quadrel-")).rstrip("/")
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What the stream gives for all that is there, with the number of its trigger.
 
     Each trigger's rows are written under their number in the shared folder, so that a trigger that is run again replaces its own rows.
     """
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quadrel-")  # the last in tests on one machine only
-    folder, before = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}", spark.conf.get(STORE)
+    folder, before = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", spark.conf.get(STORE)
 
     def keep(rows: DataFrame, trigger: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/out/trigger={trigger}")

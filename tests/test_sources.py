@@ -129,6 +129,12 @@ def test_registered_functions(spark):
     b = tiles_in_bounds(spark.createDataFrame([(-10.0, -10.0, 10.0, 10.0)], "west double, south double, east double, north double"), 0, 3).select("z", "x", "y")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert spark.sql("SELECT world_x(0D) AS x, world_y(0D) AS y").first() == (0.5, 0.5)
+    places = T.with_places(spark.range(0, 6000, 7).withColumnRenamed("id", "tile_id"))
+    places.createOrReplaceTempView("places")
+    assert spark.sql("SELECT * FROM places WHERE tile_id(z, x, y) <> tile_id OR tile_zoom(tile_id) <> z OR first_tile_id(z) > tile_id OR tile_parent(z, x, y, 0).x <> x OR tile_column((tile_box(z, x, y).min_x + 1e-9) * 360 - 180, z) <> x").count() == 0
+    row = spark.sql("SELECT tile_zoom(-1) AS none, bounds_ok(1, 2, 3, 4) AS ok, bounds_ok(3, 2, 1, 4) AS bad, bucket_seconds(0, 100, 30) AS b, tile_parent(3, 5, 6, 2) AS p, revision(array('a', NULL)) AS r").first()
+    assert (row.none, row.ok, row.bad, row.b, tuple(row.p)) == (None, True, False, 3, (1, 1, 1))
+    assert row.r == spark.range(1).select(T.revision(F.lit("a"), F.lit(None).cast("string"))).first()[0]
 
 
 def test_first_ids(spark):
@@ -153,3 +159,33 @@ def test_encoding_is_held_within_24_bits(spark):
     e = df.select(R.encode(F.col("px"), R.FACTORS["mapbox"]).alias("e")).first().e
     assert (e.r[3], e.g[3], e.b[3]) == (255, 255, 255)
     assert (e.r[0], e.r[1], (e.r[2] << 16) + (e.g[2] << 8) + e.b[2]) == (0, 0, 100000)
+
+
+def test_layers_of_other_widths_and_parents(spark):
+    """A 4 x 4 layer and a parent's square meet an 8 x 8 one; nearest pixels are copies of their source's."""
+    wide, small = [float(i) for i in range(64)], [float(i) for i in range(16)]
+    rows = [(1, 0, wide, 0, 0, 0), (1, 1, small, 0, 0, 0), (2, 0, wide, 1, 1, 0)]
+    layers = spark.createDataFrame([(t, k, *(([v / 64 for v in px],) * 3), [1.0] * len(px), 1.0, "normal", *m) for t, k, px, *m in rows], "tile_id long, source_idx int, r array<double>, g array<double>, b array<double>, a array<double>, opacity double, blend string, levels int, sub_x int, sub_y int")
+    got = {x.tile_id: [round(v * 64) for v in x.r] for x in R.merge_rgba(layers, 8, [], "nearest").collect()}
+    assert got[1] == [i // 8 // 2 * 4 + i % 8 // 2 for i in range(64)]
+    assert got[2] == [i // 8 // 2 * 8 + 4 + i % 8 // 2 for i in range(64)]
+    heights = spark.createDataFrame([(t, k, px, 0.0, *m) for t, k, px, *m in rows], "tile_id long, source_idx int, px array<double>, adjustment double, levels int, sub_x int, sub_y int")
+    assert {x.tile_id: [round(v) for v in x.px] for x in R.merge_elevation(heights, 8, [], "nearest").collect()} == got
+
+
+def test_modes_and_encodings(spark):
+    for mode, want in {"darken": 0.25, "lighten": 0.75, "multiply": 0.1875, "screen": 0.8125, "overlay": 0.375, "normal": 0.75}.items():
+        assert spark.range(1).select(R.blended(F.lit(mode), F.lit(0.25), F.lit(0.75))).first()[0] == pytest.approx(want)
+    assert R.factors("terrarium") == (256.0, 1.0, 1 / 256, 32768.0) and R.factors("custom", custom=(1, 2, 3, 4)) == (1, 2, 3, 4)
+    assert R.factors("mapbox", interval=0.5, base=-100.0) == pytest.approx((32768, 128, 0.5, 100))
+    df = spark.createDataFrame([([100.0, None, -50.5],)], "px array<double>")
+    for f in (R.factors("terrarium"), R.factors("mapbox", interval=0.5, base=-100.0)):
+        e = df.select(R.encode(F.col("px"), f).alias("e")).select("e.*").select(R.decode(F.col("r"), F.col("g"), F.col("b"), f).alias("px")).first().px
+        assert e[0] == pytest.approx(100.0) and e[2] == pytest.approx(-50.5)
+
+
+def test_bake_of_nothing_is_an_error(spark, tmp_path):
+    from quadrel.operators import stack
+
+    with pytest.raises(ValueError, match="no tile"):
+        stack.bake(spark.createDataFrame([], "tile_id long, content binary"), F.col("content"), str(tmp_path / "none.pmtiles"))
