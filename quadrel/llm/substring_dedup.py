@@ -218,10 +218,13 @@ def _finder(width: int, bits: int, bucket_bits: int, sketch):
             if not digests:
                 continue
             parts = np.frombuffer(b"".join(digests), np.dtype([("a", "<u8"), ("b", "<u4")]))
+            digests.clear()
             names, number, ranks = _numbered(np.array(places, np.int64))
-            rows_of = np.repeat(number, [len(x) for x in starts])
-            own, late = _Windows(parts["a"].copy(), parts["b"].copy(), rows_of, np.concatenate(starts).astype(np.int32), names, ranks).split()
-            del digests, parts, starts, rows_of
+            found = _Windows(parts["a"].copy(), parts["b"].copy(), np.repeat(number, [len(x) for x in starts]), np.concatenate(starts).astype(np.int32), names, ranks)
+            del parts
+            starts.clear()
+            own, late = found.split()
+            del found
             if len(late):
                 runs = late.runs(width)
                 n = len(runs[0])
