@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, WindowHash, flat, key_of, stored, text_batches
+from .common import BATCH_BYTES, NULL_KEY, WindowHash, flat, key_of, stored, text_batches
 
 #: Rows of the sketch, bits of a shard, windows of which one piece of a sketch is made, and windows of a bucket.
 DEPTH, SHARD_BITS, PIECE, BUCKET = 2, 21, 6_000_000, 1_000_000
@@ -201,7 +201,7 @@ def _finder(width: int, bits: int, bucket_bits: int, sketch):
         for row, shard, blob in sketch.value:
             part = np.frombuffer(opener.decompress(blob), np.uint8)
             rows[row][shard * (1 << (shard_bits - 3)) :][: len(part)] = part
-        for table in text_batches(batches):
+        for table in text_batches(batches, limit=BATCH_BYTES * 3 // 4):
             digests, places, starts = [], [], []
             for *place, text in zip(*(table[c].to_pylist() for c in ("_key", "row", "row2")), table["text"], strict=True):
                 words = flat(text.as_py())
