@@ -27,8 +27,12 @@ def as_requests(events: DataFrame) -> DataFrame:
 
 
 def traffic_samples(spark: SparkSession, d: str) -> DataFrame:
+    return as_samples(table(spark, d, "events"))
+
+
+def as_samples(events: DataFrame) -> DataFrame:
     t = F.unix_timestamp(_at("ts"))
-    return table(spark, d, "events").select((F.col("user_id") % 20).alias("info_hash"), (t - t % 15).alias("at"), F.floor(F.col("value") * 1000 + 0.5).alias("down"), F.floor(F.col("value") * 500 + 0.5).alias("up"))
+    return events.select((F.col("user_id") % 20).alias("info_hash"), (t - t % 15).alias("at"), F.floor(F.col("value") * 1000 + 0.5).alias("down"), F.floor(F.col("value") * 500 + 0.5).alias("up"))
 
 
 def catalog(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import streams as S
-from .fixtures import as_requests, with_views
+from .fixtures import as_requests, as_samples, with_views
 
 
 def _requests(s, d):
@@ -34,14 +34,29 @@ def stream_recent_percentiles(s, d):
     return out.groupBy("info_hash").agg(F.max_by(F.struct("samples", "p50", "p95"), "trigger").alias("x")).select("info_hash", "x.samples", "x.p50", "x.p95")
 
 
+def _samples(s, d):
+    return as_samples(S.read_stream(s, d, "events")).withColumn("at", F.timestamp_seconds("at"))
+
+
+def stream_traffic_archives(s, d):
+    """Mean rates by archive in windows that the watermark has closed."""
+    return S.drained(S.traffic_windows(_samples(s, d), late="1 day")).select(F.unix_timestamp("window_start").alias("bucket"), "info_hash", "down", "up", "samples")
+
+
+def stream_traffic_node(s, d):
+    """Mean rates of all archives together, an hour every half hour, in windows that the watermark has closed."""
+    return S.drained(S.throughput_windows(_samples(s, d), slide="30 minutes", late="1 day")).select(F.unix_timestamp("window_start").alias("bucket"), "down", "up", "samples")
+
+
 def stream_seeding_ends(s, d):
-    """Clients' requests stand for status rows: complete from the first of more than 20 ms on, done at 300 ms or after 10 days."""
+    """Clients' requests stand for status rows: complete from the first of more than 20 ms on, done at 300 ms or after 10 days, at a row or when the watermark passes them."""
     status = _requests(s, d).select(F.col("ip").alias("info_hash"), "at", (F.col("ms") > 20).cast("double").alias("progress"), F.col("ms").alias("ratio"))
-    return S.drained(S.seeding_ends(status, 10 * 24 * 60, 300.0)).select("info_hash", "reason")
+    return S.drained(S.seeding_ends(status, 10 * 24 * 60, 300.0, late="1 day")).select("info_hash", "reason")
 
 
-QUERIES = (stream_hourly_requests, stream_sessions, stream_items_once, stream_recent_percentiles, stream_seeding_ends)
+QUERIES = (stream_hourly_requests, stream_sessions, stream_items_once, stream_recent_percentiles, stream_traffic_archives, stream_traffic_node, stream_seeding_ends)
 
+_T = with_views("traffic_samples")
 _R = with_views("tile_requests")
 
 
@@ -52,6 +67,11 @@ def oracle(batch: dict[str, str]) -> dict[str, str]:
         "stream_sessions": f"""SELECT * FROM ({batch["client_sessions"]}) WHERE session_end <= (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM events) - 86400000000""",
         "stream_items_once": f"{_R} SELECT DISTINCT ip AS info_hash FROM tile_requests",
         "stream_recent_percentiles": batch["latency_recent512"],
-        "stream_seeding_ends": f"""{_R}, s AS (SELECT *, min("at") FILTER (WHERE ms > 20) OVER (PARTITION BY ip) AS since FROM tile_requests)
-SELECT ip AS info_hash, arg_min(CASE WHEN ms >= 300 THEN 'ratio' ELSE 'time' END, "at") AS reason FROM s WHERE "at" >= since AND (ms >= 300 OR "at" >= since + INTERVAL 10 DAY) GROUP BY ip""",
+        "stream_traffic_archives": f"""{_T} SELECT "at" - "at" % 3600 AS bucket, info_hash, CAST(floor(avg(down) + 0.5) AS BIGINT) AS down, CAST(floor(avg(up) + 0.5) AS BIGINT) AS up, count(*) AS samples
+FROM traffic_samples GROUP BY 1, 2 HAVING bucket + 3600 <= (SELECT max("at") FROM traffic_samples) - 86400""",
+        "stream_traffic_node": f"""{_T}, i AS (SELECT "at", sum(down) AS down, sum(up) AS up FROM traffic_samples GROUP BY "at"), w AS (SELECT *, unnest(["at" - "at" % 1800, "at" - "at" % 1800 - 1800]) AS bucket FROM i)
+SELECT bucket, CAST(floor(avg(down) + 0.5) AS BIGINT) AS down, CAST(floor(avg(up) + 0.5) AS BIGINT) AS up, count(*) AS samples FROM w GROUP BY bucket HAVING bucket + 3600 <= (SELECT max("at") FROM traffic_samples) - 86400""",
+        "stream_seeding_ends": f"""{_R}, s AS (SELECT *, min("at") FILTER (WHERE ms > 20) OVER (PARTITION BY ip) AS since FROM tile_requests),
+e AS (SELECT ip, since, arg_min(CASE WHEN ms >= 300 THEN 'ratio' ELSE 'time' END, "at") FILTER (WHERE "at" >= since AND (ms >= 300 OR "at" >= since + INTERVAL 10 DAY)) AS reason FROM s WHERE since IS NOT NULL GROUP BY ip, since)
+SELECT ip AS info_hash, coalesce(reason, 'time') AS reason FROM e WHERE reason IS NOT NULL OR since + INTERVAL 10 DAY < (SELECT max("at") FROM tile_requests) - INTERVAL 1 DAY""",
     }

@@ -8,10 +8,12 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.rules import round_half_up
+
 
 def request_windows(requests: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Requests and bytes by archive in tumbling windows."""
@@ -20,11 +22,26 @@ def request_windows(requests: DataFrame, width: str = "1 hour", late: str = "10
 
 
 def traffic_windows(samples: DataFrame, width: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
-    """Rates summed by archive in tumbling or sliding windows."""
-    w = samples.withWatermark("at", late).groupBy(F.window("at", width, slide) if slide else F.window("at", width), "info_hash").agg(F.sum("down").alias("down"), F.sum("up").alias("up"), F.count(F.lit(1)).alias("samples"))
+    """Mean rates of each archive in tumbling or sliding windows."""
+    w = samples.withWatermark("at", late).groupBy(_window("at", width, slide), "info_hash").agg(*_means())
     return w.select(F.col("window.start").alias("window_start"), "info_hash", "down", "up", "samples")
 
 
+def throughput_windows(samples: DataFrame, width: str = "1 hour", late: str = "10 minutes", slide: str | None = None, interval: str = "15 seconds") -> DataFrame:
+    """Mean rates of the whole node in tumbling or sliding windows: rates are summed over all archives at each instant, a multiple of the interval, before they are averaged."""
+    instants = samples.withWatermark("at", late).groupBy(F.window("at", interval).alias("instant")).agg(F.sum("down").alias("down"), F.sum("up").alias("up"))
+    w = instants.groupBy(_window("instant", width, slide)).agg(*_means())
+    return w.select(F.col("window.start").alias("window_start"), "down", "up", "samples")
+
+
+def _window(at: str, width: str, slide: str | None) -> Column:
+    return (F.window(at, width, slide) if slide else F.window(at, width)).alias("window")
+
+
+def _means() -> list[Column]:
+    return [*(round_half_up(F.avg(c)).cast("long").alias(c) for c in ("down", "up")), F.count(F.lit(1)).alias("samples")]
+
+
 def client_sessions(requests: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions of a client: requests with less than a gap between them."""
     base = requests.withWatermark("at", late) if requests.isStreaming else requests
@@ -98,35 +115,47 @@ def settled_files(files: DataFrame, seconds: int = 5) -> DataFrame:
 
 
 class SeedingClock(StatefulProcessor):
-    """Starts when progress first reaches 1; fires once when the minutes or the ratio are reached."""
+    """Starts when progress first reaches 1; fires once, at the first row that reaches the ratio or the minutes, or when the watermark has passed the minutes without one."""
 
     def __init__(self, minutes: float, ratio: float):
         self.minutes, self.ratio = minutes, ratio
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.since = handle.getValueState("since", "at timestamp, done boolean")
+        self.handle, self.since = handle, handle.getValueState("since", "us long, done boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         since, done = self.since.get() if self.since.exists() else (None, False)
-        frames = list(rows) if not done else []  # one archive's status rows of one trigger
-        for row in pd.concat(frames).sort_values("at").itertuples() if frames else ():
+        frames, began = list(rows) if not done else [], since  # one archive's status rows of one trigger
+        for row in pd.concat(frames).sort_values("us").itertuples() if frames else ():
             if since is None and row.progress >= 1:
-                since = row.at.to_pydatetime()
+                since = int(row.us)
             if since is not None and not done:
-                by_ratio, by_time = row.ratio >= self.ratio, (row.at.to_pydatetime() - since).total_seconds() >= self.minutes * 60
+                by_ratio, by_time = row.ratio >= self.ratio, row.us - since >= self.minutes * 60_000_000
                 if by_ratio or by_time:
                     done = True
                     yield pd.DataFrame({"info_hash": [key[0]], "reason": ["ratio" if by_ratio else "time"]})
         if since is not None:
             self.since.update((since, done))
+            if done and began is not None:
+                for t in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(t)
+            elif not done and began is None:
+                self.handle.registerTimer(int(since / 1000 + self.minutes * 60_000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        since, done = self.since.get()
+        if not done:
+            self.since.update((since, True))
+            yield pd.DataFrame({"info_hash": [key[0]], "reason": ["time"]})
 
     def close(self) -> None:
         pass
 
 
-def seeding_ends(status: DataFrame, minutes: float, ratio: float) -> DataFrame:
+def seeding_ends(status: DataFrame, minutes: float, ratio: float, late: str = "10 minutes") -> DataFrame:
     """status: (info_hash, at, progress, ratio) rows."""
-    return status.groupBy("info_hash").transformWithStateInPandas(SeedingClock(minutes, ratio), "info_hash long, reason string", "append", "none")
+    timed = status.withWatermark("at", late).select("info_hash", "at", F.unix_micros("at").alias("us"), "progress", "ratio")
+    return timed.groupBy("info_hash").transformWithStateInPandas(SeedingClock(minutes, ratio), "info_hash long, reason string", "append", "eventTime")
 
 
 STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
