@@ -67,6 +67,19 @@ def test_seeding_clock(spark, tmp_path):
     assert {(x.info_hash, x.reason) for x in out.collect()} == {(1, "time"), (2, "ratio"), (3, "time")}  # 3 by the timer, for the watermark is at 60 minutes; 4 has five minutes left
 
 
+
+def test_seeding_clock_over_triggers(spark, tmp_path):
+    """An end by a later trigger's row takes the timer back; another entry's timer waits for the watermark."""
+    t, folder = datetime(2024, 1, 1), str(tmp_path / "in")
+    schema = "info_hash long, at timestamp, progress double, ratio double"
+    for rows in ([(1, t, 1.0, 0.0), (2, t, 1.0, 0.0)], [(1, t + timedelta(minutes=5), 1.0, 3.0)], [(9, t + timedelta(hours=3), 0.0, 0.0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)
+    for k, v in ROCKS.items():
+        spark.conf.set(k, v)
+    out = drain(S.seeding_ends(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder), 30, 2.0), "append", tmp_path / "c")
+    assert sorted((x.info_hash, x.reason) for x in out.collect()) == [(1, "ratio"), (2, "time")]
+
 def test_settled_files(spark, tmp_path):
     """A file that changes within the time is passed on once, at its last size."""
     t = datetime(2024, 1, 1)
