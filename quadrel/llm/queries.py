@@ -9,12 +9,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, mixing, pii, quality, secrets, simhash_dedup, substring_dedup, token_rollup
+from . import decontaminate, exact_dedup, hard_negatives, html_text, mixing, pii, quality, secrets, simhash_dedup, substring_dedup, token_alignment, token_rollup, toxicity
 from .common import shared_dir
 
 #: A public vocabulary file on the driver.
 VOCABULARY = os.environ.get("QUADREL_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+#: Vocabulary files at one path on all machines.
+TOKENIZERS = os.environ.get("QUADREL_TOKENIZERS", "/opt/tokenizers")
 LEAST_QUALITY = 0.3
+LEAST_TOXICITY = 0.3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,8 +95,24 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(secrets.find_secrets(table(spark, sf_dir, "documents")), tuple(r.kind for r in secrets.RULES if r.base))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apart = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    scored = toxicity.scores(docs, toxicity.fit(docs.filter(~apart), labels.filter(~apart)))
+    return scored.select("doc_id", F.coalesce(apart, F.lit(False)).alias("held_out"), "score", (F.col("score") >= LEAST_TOXICITY).cast("int").alias("predicted"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_token_rollup, op4_simhash_dedup, op5_decontaminate, op6_pii, op7_html_text, op8_quality, op9_mixing, op10_secrets)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_token_rollup, op4_simhash_dedup, op5_decontaminate, op6_pii, op7_html_text, op8_quality, op9_mixing, op10_secrets, op11_hard_negatives, op12_toxicity, op13_token_alignment)}
 
 
 #: Words of every document in order, from 0; a document without words has no row.
@@ -118,6 +137,14 @@ FROM documents d LEFT JOIN per USING (doc_id)""",
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY norm)""",
         "op9_mixing": _MIX,
+        "op11_hard_negatives": """WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+pos AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+neg AS (SELECT pos.*, other AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS nth
+        FROM pos JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, nth::INTEGER AS rank, negative_id, positive_score, negative_score FROM neg WHERE nth <= 3""",
     }
 
 
