@@ -8,7 +8,7 @@ stop, colon, semicolon or line end) is scored by the path that its words take: t
 count, so the same word weighs differently when aimed at someone, denied or reported. A text's score comes from the
 heaviest clause and the sum over clauses by a logistic fit.
 
-The lexicon has fixed words of four languages, and stems learnt from labels: beginnings of four to eight letters, or whole words,
+The lexicon has fixed words of four languages, and stems learnt from labels: beginnings of four to ten letters, or whole words,
 that are `LEAST_WEIGHT` more likely (log-odds) in toxic rows and too often so for chance among all beginnings counted.
 Learning takes a bounded sample: at most `per_class` labelled rows of each class, the first by a hash of doc_id, near copies (of one least
 hash of five-word windows) once. One half gives stems, counted in Spark; the other half calibrates, and the shares of the classes among all
@@ -47,7 +47,7 @@ OTHER = "."
 COUNTED = frozenset("idq")
 WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 ENDS = re.compile(r"[.!?;:\n]")
-LENGTHS = range(4, 9)
+LENGTHS = range(4, 11)
 LEAST_WEIGHT = 3.0
 #: Intercept, heaviest clause, sum of clauses: used until labels say better.
 STATED = [-2.5, 0.9, 0.0]
@@ -218,15 +218,16 @@ class Grammar:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many texts of each class hold a beginning."""
+    """How many texts of each half and class hold a beginning."""
     for table in text_batches(batches, limit=1 << 20):
         n: Counter = Counter()
-        for toxic, text in zip(table["toxic"].to_pylist(), table["text"], strict=True):
+        for half, toxic, text in zip(table["half"].to_pylist(), table["toxic"].to_pylist(), table["text"], strict=True):
             words = set(WORDS.findall((text.as_py() or "").lower()))
             entries = {w[:k] for w in words for k in LENGTHS if len(w) >= k} | {f"{w}$" for w in words if len(w) >= 3}
-            n.update((e, toxic) for e in entries)
+            n.update((e, half, toxic) for e in entries)
         if n:
-            yield pa.RecordBatch.from_pydict({"entry": [e for e, _ in n], "toxic": [t for _, t in n], "n": list(n.values())}, pa.schema([("entry", pa.string()), ("toxic", pa.int32()), ("n", pa.int64())]))
+            entry, half, toxic = zip(*n, strict=True)
+            yield pa.RecordBatch.from_pydict({"entry": entry, "half": half, "toxic": toxic, "n": list(n.values())}, pa.schema([("entry", pa.string()), ("half", pa.int32()), ("toxic", pa.int32()), ("n", pa.int64())]))
 
 
 def stems_of(counts: dict[str, tuple[int, int]], toxic: int, clean: int, entries: int) -> dict[str, float]:
@@ -274,36 +275,41 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, stems: int =
 
     named = stored(rows.mapInArrow(least, "doc_id long, text string, toxic int, least long").withColumn("least", F.coalesce("least", F.xxhash64("text"))), "labelled")
     one = named.groupBy("toxic", "least").agg(F.min("doc_id").alias("doc_id"))
-    sample = stored(named.join(F.broadcast(one), ["toxic", "least", "doc_id"]).select("toxic", "text", (F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0).alias("trains")), "sample")
-    sizes = {(x.toxic, x.trains): x.n for x in sample.groupBy("toxic", "trains").agg(F.count(F.lit(1)).alias("n")).collect()}
-    toxic, clean = sizes.get((1, True), 0), sizes.get((0, True), 0)
-    found, entries = {}, 0
-    if toxic and clean:
-        counts = sample.filter("trains").select("toxic", "text").mapInArrow(_counted, "entry string, toxic int, n long")
-        counts = stored(counts.groupBy("entry").agg(F.sum(F.col("n") * F.col("toxic")).alias("t"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("c")), "entries")
-        entries = counts.count()
-        fixed = F.col("entry").isin([f"{w}$" for w in INSULTS])
-        # Entries of fewer toxic texts than any sure one has needn't come.
-        few = (math.log(max(2, entries)) + 5) / math.log((toxic + clean) / toxic)
-        wanted = counts.filter(fixed | ((F.col("t") >= few) & (F.col("t") * (clean + 2) >= 10 * F.col("c") * (toxic + 2))))
-        found = {x.entry: (x.t, x.c) for x in wanted.orderBy(~fixed, F.desc("t"), "entry").limit(stems).collect()}
-    model = Grammar(stems_of(found, toxic, clean, entries))
-    rest = sample.filter("not trains")
-    if min(sizes.get((k, False), 0) for k in (0, 1)) < 8:
-        return model
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")
+    sample = stored(named.join(F.broadcast(one), ["toxic", "least", "doc_id"]).select("toxic", "text", half.alias("half")), "sample")
+    sizes = {(x.half, x.toxic): x.n for x in sample.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    toxic, clean = (sum(sizes.get((h, k), 0) for h in (0, 1)) for k in (1, 0))
+    if not toxic or not clean:
+        return Grammar(stems_of({}, toxic, clean, 0))
+    cells = [((F.col("half") == h) & (F.col("toxic") == k)) for h in (0, 1) for k in (1, 0)]
+    counts = sample.mapInArrow(_counted, "entry string, half int, toxic int, n long")
+    counts = stored(counts.groupBy("entry").agg(*(F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(n) for c, n in zip(cells, ("t0", "c0", "t1", "c1"), strict=True))), "entries")
+    entries = counts.count()
+    t, c, fixed = F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1"), F.col("entry").isin([f"{w}$" for w in INSULTS])
+    # Entries of fewer toxic texts than any sure one has, or of too many clean ones in both halves, needn't come.
+    few = (math.log(max(2, entries)) + 5) / math.log((toxic + clean) / toxic)
+    wanted = counts.filter(fixed | ((t >= few / 2) & (t * (clean + 2) >= 5 * c * (toxic + 2))))
+    got = wanted.orderBy(~fixed, F.desc(t), "entry").limit(stems).collect()
+
+    def learnt(halves: tuple[int, ...]) -> dict[str, float]:
+        found = {x.entry: tuple(sum(x[f"{k}{h}"] for h in halves) for k in "tc") for x in got}
+        return stems_of(found, *(sum(sizes.get((h, k), 0) for h in halves) for k in (1, 0)), entries)
+
+    by_half, both = [learnt((h,)) for h in (0, 1)], learnt((0, 1))
+    if toxic < 16 or clean < 16:
+        return Grammar(both)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Grammar(model.stems)
+        own = [Grammar(by_half[1 - h]) for h in (0, 1)]
         for table in text_batches(batches):
-            x = [own.features(t.as_py()) for t in table["text"]]
+            x = [own[h].features(t.as_py()) for h, t in zip(table["half"].to_pylist(), table["text"], strict=True)]
             yield pa.RecordBatch.from_arrays([table["toxic"].combine_chunks(), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    got = sorted(rest.select("toxic", "text").mapInArrow(measure, "toxic int, x array<double>").collect(), key=lambda r: (r.toxic, r.x))
-    w = _logistic(np.array([r.x for r in got]), np.array([r.toxic for r in got], float))
+    rest = sorted(sample.mapInArrow(measure, "toxic int, x array<double>").collect(), key=lambda r: (r.toxic, r.x))
+    w = _logistic(np.array([r.x for r in rest]), np.array([r.toxic for r in rest], float), ridge=1e-5)
     of = {x.toxic: x.n for x in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1 = sum(r.toxic for r in got)
-    w[0] += math.log(of[1] / of[0]) - math.log(n1 / (len(got) - n1))
-    return Grammar(model.stems, w.tolist())
+    w[0] += math.log(of[1] / of[0]) - math.log(toxic / clean)
+    return Grammar(both, w.tolist())
 
 
 def scores(docs: DataFrame, model: Grammar) -> DataFrame:
