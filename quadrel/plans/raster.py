@@ -121,6 +121,56 @@ def elevation_full(s, d):
     return _exploded(_stack(s, d, height_tiles(s, d), "elevation", values=MASK), "h", "copied")
 
 
+#: Bounds of the second source of stack_blurred, in degrees.
+BOX = {"west": -100.0, "south": -50.0, "east": 95.0, "north": 70.0}
+
+
+def _whole_metres(s, d):
+    return height_tiles(s, d).withColumn("px", F.transform("px", lambda h: F.round(h)))
+
+
+def stack_blurred(s, d):
+    """Each source has masks of its own, the second is clipped by its bounds, the first is required; squares of parents are weighed and blurred by their distance; some tiles can't be read."""
+    grids = _whole_metres(s, d)
+    broken = (F.col("tile_id") * 7 + F.col("source_idx")) % 11 == 0
+    held = O.with_zxy(grids.filter((F.col("tile_id") + F.col("source_idx")) % 3 != 0).select("source_idx", "tile_id", broken.alias("broken")))
+    rows = [(k, None, BOX if k == 1 else None, k == 0, [float(v) for v in range(40 * k, 40 * k + 40 if k < 3 else 0)], float(k)) for k in range(4)]
+    recipe = s.createDataFrame(rows, "source_idx int, cutline string, bounds struct<west:double,south:double,east:double,north:double>, required boolean, values array<double>, adjustment double")
+    out = ST.stack_answer(O.with_zxy(grids.select("tile_id").distinct()), held, grids, recipe, 8, "elevation", kernel="bilinear", sigma=0.6)
+    return out.select("tile_id", F.posexplode("px").alias("i", "h")).withColumn("h", F.round("h", 5))
+
+
+def _sized(s, d):
+    """Sources of half the width that is asked for; the first lacks some tiles and so some whole sets of children."""
+    grids = _whole_metres(s, d)
+    width = F.sqrt(F.size("px")).cast("int")
+    held = O.with_zxy(grids.filter((F.col("source_idx") < 2) & ((F.col("source_idx") == 1) | (F.col("tile_id") % 5 != 1))).select("source_idx", "tile_id", width.alias("width")))
+    recipe = s.createDataFrame([(k, None, float(k) / 4) for k in range(2)], "source_idx int, cutline string, adjustment double")
+    return O.with_zxy(grids.select("tile_id").distinct()), held, grids, recipe
+
+
+def stack_answer_children(s, d):
+    wanted, held, grids, recipe = _sized(s, d)
+    only = held.filter((F.col("source_idx") == 0) | (F.col("tile_id") % 2 == 0))  # where the second has none, the first shows
+    out = ST.stack_answer(wanted, only, grids, recipe, 16, "elevation", kernel="nearest", sized=True, most=0)
+    return out.select("tile_id", F.posexplode("px").alias("i", "h"))
+
+
+def stack_contributors(s, d):
+    wanted, held, _, recipe = _sized(s, d)
+    reads, _ = ST.stack_reads(wanted, held, recipe, sized=True)
+    return ST.contributors(reads, ST.child_reads(reads, wanted, held, 16))
+
+
+def stack_failures(s, d):
+    """Required sources whose tiles, or whose ancestors that would answer, can't be read."""
+    grids = height_tiles(s, d)
+    held = O.with_zxy(grids.filter("(tile_id + source_idx) % 3 <> 0").select("source_idx", "tile_id", ((F.col("tile_id") * 7 + F.col("source_idx")) % 11 == 0).alias("broken")))
+    recipe = s.createDataFrame([(k, None, k % 2 == 0) for k in range(4)], "source_idx int, cutline string, required boolean")
+    reads, _ = ST.stack_reads(O.with_zxy(grids.select("tile_id").distinct()), held, recipe)
+    return ST.failures(reads)
+
+
 def stack_answer_rgba(s, d):
     grids = rgba_tiles(s, d).select("tile_id", "source_idx", *(R.to_channels(F.col(c)).alias(c) for c in "rgba"))
     out = _stack(s, d, grids, "rgba", colors=["#000000"])
@@ -164,7 +214,7 @@ def tile_boxes(s, d):
     return b.select("tile_id", *(F.round(F.col(f"b.{c}"), 6).alias(c) for c in ("min_x", "min_y")), F.col("p.x").alias("px"), F.col("p.dy").alias("dy"))
 
 
-QUERIES = (elevation_encode, elevation_mask_paint, color_mask, elevation_resample, elevation_parent, elevation_blur, elevation_stitch, elevation_merge, stack_answer, elevation_full, stack_answer_rgba, rgba_composite, rgba_bytes, rgba_resample, clip_classify, clip_mask, clip_sources, clip_mask_all, clip_sources_all, elevation_resample_all, elevation_parent_all, elevation_blur_all, rgba_resample_all, tile_boxes)
+QUERIES = (elevation_encode, elevation_mask_paint, color_mask, elevation_resample, elevation_parent, elevation_blur, elevation_stitch, elevation_merge, stack_answer, elevation_full, stack_blurred, stack_answer_children, stack_contributors, stack_failures, stack_answer_rgba, rgba_composite, rgba_bytes, rgba_resample, clip_classify, clip_mask, clip_sources, clip_mask_all, clip_sources_all, elevation_resample_all, elevation_parent_all, elevation_blur_all, rgba_resample_all, tile_boxes)
 
 H = with_views("heights")
 _M = "floor(h * 1000 + 0.5) BETWEEN -5000 AND -4851"
@@ -176,17 +226,17 @@ wx AS (SELECT o, s, sum(w) AS w FROM ax GROUP BY 1, 2)"""
 _TILES = with_views("archive_tiles", "zoomed").replace("WITH", "WITH RECURSIVE", 1)
 
 
-def _segments_sql() -> str:
+def _segments_sql(shapes: dict | None = None) -> str:
     from .tiles import _WX, _WY
 
-    rows = [f"('{n}', {x1}, {y1}, {x2}, {y2})" for n, rings in SHAPE.items() for ring in rings for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True)]
+    rows = [f"('{n}', {x1}, {y1}, {x2}, {y2})" for n, rings in (shapes or SHAPE).items() for ring in rings for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True)]
     return f"lonlat(shape, x1, y1, x2, y2) AS (VALUES {', '.join(rows)}), segs AS (SELECT shape, {_WX('x1')} AS ax, {_WY('y1')} AS ay, {_WX('x2')} AS bx, {_WY('y2')} AS \"by\" FROM lonlat)"
 
 
-def _clip_sql() -> str:
+def _clip_sql(shapes: dict | None = None) -> str:
     from .tiles import _ZXY
 
-    return f"""{_TILES}, {_ZXY}, {_segments_sql()}, c AS (SELECT *, (x + 0.5) / pow(2, z) AS cx, (y + 0.5) / pow(2, z) AS cy FROM places),
+    return f"""{_TILES}, {_ZXY}, {_segments_sql(shapes)}, c AS (SELECT *, (x + 0.5) / pow(2, z) AS cx, (y + 0.5) / pow(2, z) AS cy FROM places),
 hit AS (SELECT tile_id, sum(CASE WHEN (ay > cy) <> (s."by" > cy) AND cx < (bx - ax) * (cy - ay) / CASE WHEN s."by" <> ay THEN s."by" - ay END + ax THEN 1 ELSE 0 END) % 2 = 1 AS inside,
   bool_or(greatest(ax, bx) > x / pow(2, z) AND least(ax, bx) < (x + 1) / pow(2, z) AND greatest(ay, s."by") > y / pow(2, z) AND least(ay, s."by") < (y + 1) / pow(2, z)) AS crossed FROM c, segs s GROUP BY tile_id),
 cls AS (SELECT tile_id, z, CASE WHEN crossed THEN 'partial' WHEN inside THEN 'inside' ELSE 'outside' END AS place FROM hit JOIN places USING (tile_id))"""
@@ -220,7 +270,7 @@ SELECT tile_id, i, CAST(sum(CASE WHEN (ay > cy) <> (s."by" > cy) AND cx < (bx -
         "clip_sources": f"{_clip_sql()} SELECT tile_id, CAST(k AS INT) AS source_idx, CASE k WHEN 0 THEN 'inside' WHEN 1 THEN place ELSE 'outside' END AS place FROM cls, range(3) q(k) WHERE z <= 3",
         "tile_boxes": f"{_TILES}, {_ZXY} SELECT tile_id, round(x / pow(2, z), 6) AS min_x, round(y / pow(2, z), 6) AS min_y, x >> least(2, z) AS px, y % (1 << least(2, z)) AS dy FROM places",
     }
-    out |= _full_sql()
+    out |= _full_sql() | _read_sql()
     # The same over all tiles.
     out["clip_mask_all"] = out["clip_mask"].replace(" WHERE z BETWEEN 2 AND 4", "")
     out["clip_sources_all"] = out["clip_sources"].replace(" WHERE z <= 3", "")
@@ -254,6 +304,57 @@ picked AS (SELECT o.tile_id, o.source_idx, CAST(q.i AS INT) AS i, copied, from_i
   FROM own o JOIN cp USING (tile_id) CROSS JOIN range(64) q(i) LEFT JOIN inm ON inm.tile_id = o.tile_id AND inm.i = q.i)"""
 
 
+def _reads_sql(shapes: dict | None = None) -> str:
+    """held (every source's tiles as stack_blurred has them), near (which of them answers a wanted tile) and the clip's cls."""
+    from .fixtures import CTE
+    from .tiles import _ZXY
+
+    archive = "archive_tiles AS (SELECT CAST(vec_id % 4 AS INT) AS source_idx, vec_id // 4 AS tile_id FROM embeddings)"
+    body = _clip_sql(shapes).split("hit AS", 1)[1]
+    return f"""WITH RECURSIVE {archive}, {CTE["zoomed"]}, {_ZXY}, {_segments_sql(shapes)}, c AS (SELECT *, (x + 0.5) / pow(2, z) AS cx, (y + 0.5) / pow(2, z) AS cy FROM places), hit AS{body},
+held AS (SELECT a.source_idx, p.*, (a.tile_id * 7 + a.source_idx) % 11 = 0 AS broken FROM archive_tiles a JOIN places p USING (tile_id) WHERE (a.tile_id + a.source_idx) % 3 <> 0),
+up AS (SELECT tile_id, z - l AS z, x >> l AS x, y >> l AS y, l, x % (1 << l) AS sx, y % (1 << l) AS sy FROM places, range(7) r(l) WHERE l <= z),
+near AS (SELECT u.tile_id, h.source_idx, min(l) AS l, arg_min(h.tile_id, l) AS from_id, arg_min(sx, l) AS sx, arg_min(sy, l) AS sy, arg_min(h.broken, l) AS broken FROM up u JOIN held h ON h.z = u.z AND h.x = u.x AND h.y = u.y GROUP BY 1, 2)"""
+
+
+def _read_sql() -> dict[str, str]:
+    from .fixtures import CTE
+    from .tiles import _ZXY
+
+    w, e, b, t = (BOX[k] for k in ("west", "east", "south", "north"))
+    reads = _reads_sql({"box": [[(w, t), (e, t), (e, b), (w, b)]]})
+    archive = "archive_tiles AS (SELECT CAST(vec_id % 4 AS INT) AS source_idx, vec_id // 4 AS tile_id FROM embeddings)"
+    metres = CTE["heights"].replace("heights AS", "metres AS") + ", heights AS (SELECT tile_id, source_idx, i, CASE WHEN h < 0 THEN -floor(-h + 0.5) ELSE floor(h + 0.5) END AS h FROM metres)"
+    sized = f"""WITH RECURSIVE {archive}, {CTE["zoomed"]}, {_ZXY}, {metres}, held AS (SELECT a.source_idx, p.* FROM archive_tiles a JOIN places p USING (tile_id) WHERE a.source_idx < 2 AND (a.source_idx = 1 OR a.tile_id % 5 <> 1)),
+near AS (SELECT p.tile_id, h.source_idx, min(l) AS l FROM places p, range(7) r(l) JOIN held h ON h.z = p.z - l AND h.x = p.x >> l AND h.y = p.y >> l WHERE l <= p.z GROUP BY 1, 2)"""
+    sets = lambda extra: f"""sets AS (SELECT p.tile_id, h.source_idx FROM places p JOIN held h ON h.z = p.z + 1 AND h.x >> 1 = p.x AND h.y >> 1 = p.y {extra} GROUP BY 1, 2 HAVING count(*) = 4)"""
+    pick = "(h.source_idx = 0 OR h.tile_id % 2 = 0)"
+    return {
+        "stack_blurred": f"""{reads}, {metres},
+own AS (SELECT n.*, CASE n.source_idx WHEN 1 THEN k.place ELSE 'inside' END AS place FROM near n JOIN cls k USING (tile_id) WHERE n.source_idx <> 1 OR k.place <> 'outside'),
+good AS (SELECT * FROM own WHERE NOT broken AND tile_id NOT IN (SELECT tile_id FROM own WHERE broken AND source_idx = 0)),
+g AS (SELECT tile_id, source_idx, i % 8 AS x, i // 8 AS y, h + source_idx AS h FROM heights WHERE source_idx = 3 OR NOT h BETWEEN 40 * source_idx AND 40 * source_idx + 39),
+cw AS (SELECT l, sub, o, s, sum(w) AS w FROM (SELECT l, sub, o, greatest(0, least(7, CAST(floor(p) AS INT) + k)) AS s, 1 - abs(p - floor(p) - k) AS w
+  FROM (SELECT l, sub, o, sub * 8 / pow(2, l) + (o + 0.5) / pow(2, l) - 0.5 AS p FROM range(7) a(l), range(64) b(sub), range(8) c(o) WHERE sub < 1 << l), range(2) r(k)) WHERE w > 0 GROUP BY 1, 2, 3, 4),
+bw AS (SELECT l, o, s, sum(w) AS w FROM (SELECT l, o, greatest(0, least(7, o + k)) AS s, exp(-(k * k) / (2 * pow(0.6 * l, 2))) AS w FROM range(1, 7) a(l), range(8) c(o), range(-12, 13) r(k) WHERE abs(k) <= greatest(1, ceil(1.8 * l))) GROUP BY 1, 2, 3),
+cut AS (SELECT o.tile_id, o.source_idx, o.l, o.place, x.o AS x, y.o AS y, sum(x.w * y.w * h) / sum(x.w * y.w) AS h FROM good o JOIN g ON g.tile_id = o.from_id AND g.source_idx = o.source_idx
+  JOIN cw x ON x.l = o.l AND x.sub = o.sx AND x.s = g.x JOIN cw y ON y.l = o.l AND y.sub = o.sy AND y.s = g.y GROUP BY ALL),
+across AS (SELECT tile_id, source_idx, c.l, place, w.o AS x, y, sum(w.w * h) / sum(w.w) AS h FROM cut c JOIN bw w ON w.l = c.l AND w.s = c.x GROUP BY ALL),
+down AS (SELECT tile_id, source_idx, place, x, w.o AS y, sum(w.w * h) / sum(w.w) AS h FROM across c JOIN bw w ON w.l = c.l AND w.s = c.y GROUP BY ALL),
+soft AS (SELECT tile_id, source_idx, place, y * 8 + x AS i, h FROM (SELECT tile_id, source_idx, place, x, y, h FROM cut WHERE l = 0 UNION ALL SELECT tile_id, source_idx, place, x, y, h FROM down)),
+inm AS (SELECT tile_id, i, sum(CASE WHEN (ay > cy) <> (s."by" > cy) AND cx < (bx - ax) * (cy - ay) / CASE WHEN s."by" <> ay THEN s."by" - ay END + ax THEN 1 ELSE 0 END) % 2 = 1 AS inside
+  FROM (SELECT p.tile_id, i, (x + (i % 8 + 0.5) / 8) / pow(2, p.z) AS cx, (y + (i // 8 + 0.5) / 8) / pow(2, p.z) AS cy FROM places p JOIN cls USING (tile_id), range(64) q(i) WHERE cls.place = 'partial'), segs s GROUP BY 1, 2),
+top AS (SELECT f.tile_id, f.i, arg_max(h, f.source_idx) AS h FROM soft f LEFT JOIN inm ON inm.tile_id = f.tile_id AND inm.i = f.i WHERE f.place <> 'partial' OR inm.inside GROUP BY 1, 2)
+SELECT t.tile_id, CAST(q.i AS INT) AS i, round(h, 5) AS h FROM (SELECT DISTINCT tile_id FROM top) t CROSS JOIN range(64) q(i) LEFT JOIN top ON top.tile_id = t.tile_id AND top.i = q.i""",
+        "stack_answer_children": f"""{sized}, {sets("WHERE " + pick)},
+px AS (SELECT h.tile_id, h.source_idx, u, v, CASE WHEN s.tile_id IS NULL THEN h.tile_id ELSE k.tile_id END AS from_id, CASE WHEN s.tile_id IS NULL THEN v // 2 * 8 + u // 2 ELSE v % 8 * 8 + u % 8 END AS k
+  FROM held h CROSS JOIN range(16) a(u) CROSS JOIN range(16) b(v) LEFT JOIN sets s ON s.tile_id = h.tile_id AND s.source_idx = h.source_idx LEFT JOIN held k ON k.source_idx = h.source_idx AND k.z = h.z + 1 AND k.x = h.x * 2 + u // 8 AND k.y = h.y * 2 + v // 8 WHERE {pick})
+SELECT p.tile_id, CAST(v * 16 + u AS INT) AS i, arg_max(g.h + p.source_idx / 4, p.source_idx) AS h FROM px p JOIN heights g ON g.tile_id = p.from_id AND g.source_idx = p.source_idx AND g.i = p.k GROUP BY 1, 2""",
+        "stack_contributors": f"{sized}, {sets('')} SELECT n.tile_id, n.source_idx, CASE WHEN l > 0 THEN 'up' || l WHEN s.tile_id IS NULL THEN 'own' ELSE 'down1' END AS gave FROM near n LEFT JOIN sets s ON s.tile_id = n.tile_id AND s.source_idx = n.source_idx",
+        "stack_failures": f"{_reads_sql()} SELECT tile_id, source_idx FROM near WHERE broken AND source_idx % 2 = 0",
+    }
+
+
 def _full_sql() -> dict[str, str]:
     from .fixtures import CTE
 
