@@ -49,7 +49,8 @@ LOOSE = {
     "card": re.compile(r"(?<![\w.+-])(?:[0-9]{4}([\x20\xa0./_-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{1,3})?|3[0-9]{3}([\x20\xa0./_-]?)[0-9]{6}\2[0-9]{5})(?![\w-])"),
     "phone": re.compile(
         r"(?<![\w+.,:/-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![\w-])"
-        r"|(?<![\w+.,:/-])(?:00[1-9][0-9]{0,2}|\(?0[1-9][0-9]{0,4}\)?)(?:[\x20./-]{0,2}\(?[0-9]{1,5}\)?){2,6}(?![\w-])"
+        # Digits are taken whole and never given back, and a number has few parts: no digit is read more than some ten times.
+        r"|(?<![\w+.,:/-])\(?0(?:0[1-9]|[1-9])[0-9]*+\)?(?:[\x20./-]{1,2}+\(?[0-9]++\)?|\([0-9]++\)){0,7}+(?![\w-])"
     ),
 }
 #: What a text must hold to have a candidate at all: tests that are much cheaper than the rules.

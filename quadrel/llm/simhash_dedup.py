@@ -177,6 +177,8 @@ def near_copies(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     )
 
 
+#: Bytes of shingle sets and packed texts of a block of a group; two blocks meet in a task.
+GROUP_BYTES = 128 << 20
 #: Hash words of a wide fingerprint, and how many pairs of least hashes name a text's shards.
 WORDS = 8
 PAIRS = 12
@@ -346,12 +348,15 @@ def _tester(radius: int, similarity: float, width: int):
     return lambda batches: _batches(found(batches), ["a", "b"])
 
 
-def _dealt(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """rows (key, node, ...); those of a key with more than `most` rows are dealt in blocks, and each two blocks have a key of their own."""
-    crowded = stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most), "crowded")
+def _dealt(rows: DataFrame, key: str, most: int, most_bytes: int | None = None) -> DataFrame:
+    """rows (key, node, ...); those of a key with more than `most` rows, or of more than `most_bytes` by their column `bytes`, are dealt in blocks, and each two blocks have a key of their own."""
+    share = F.count(F.lit(1)) / most
+    if most_bytes:
+        share = F.greatest(share, F.sum("bytes") / most_bytes)
+    crowded = stored(rows.groupBy(key).agg(share.alias("share")).filter("share > 1"), "crowded")
     if crowded.isEmpty():
         return rows
-    blocks = crowded.select(key, (F.floor(F.col("n") / most) + 1).cast("int").alias("blocks"))
+    blocks = crowded.select(key, (F.floor("share") + 1).cast("int").alias("blocks"))
     own, other = F.pmod("node", "blocks"), F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("other")
     met = rows.join(blocks, key, "left").select(*rows.columns, F.coalesce(own, F.lit(0)).alias("own"), "blocks", other)
     name = F.when(F.col("blocks").isNull(), F.col(key)).otherwise(F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other")))
@@ -363,39 +368,41 @@ def _unpacked(packed: bytes | None, opener: zstandard.ZstdDecompressor) -> str |
 
 
 def _sketches(docs: DataFrame, width: int, keep: bool) -> DataFrame:
-    """Written rows with own (the columns of docs but text, if kept), row, key, node, fp, shards and the text, compressed. Row numbers are given once, where the rows are written."""
+    """Written rows with own (the columns of docs but text, if kept), row, key, node, fp, shards, the number of shingles and the text, compressed. Row numbers are given once, where the rows are written."""
     rows = docs.select(F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if keep and c != "text"), F.col("doc_id").cast("long").alias("doc_id")).alias("own"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, packer = WindowHash(width), zstandard.ZstdCompressor(level=3)
         for table in text_batches(batches):
             texts = [t.as_py() for t in table["text"]]
-            fp, shards, node = zip(*(wide_fingerprint(shingle_set(t, hasher)) for t in texts), strict=True)
+            fp, shards, node, size = zip(*((*wide_fingerprint(h), len(h)) for h in (shingle_set(t, hasher) for t in texts)), strict=True)
             packed = [None if t is None else packer.compress(t.encode("utf-8", "surrogatepass")) for t in texts]
             table = table.drop_columns(["text"])
-            for name, column in (("fp", pa.array(fp, pa.binary())), ("shards", pa.array(shards, pa.list_(pa.int64()))), ("node", pa.array(node, pa.int64())), ("packed", pa.array(packed, pa.binary()))):
+            for name, column in (("fp", pa.array(fp, pa.binary())), ("shards", pa.array(shards, pa.list_(pa.int64()))), ("node", pa.array(node, pa.int64())), ("size", pa.array(size, pa.int64())), ("packed", pa.array(packed, pa.binary()))):
                 table = table.append_column(name, column)
             yield from table.combine_chunks().to_batches()
 
-    sketched = rows.mapInArrow(run, StructType([rows.schema["own"], StructField("fp", BinaryType()), StructField("shards", ArrayType(LongType())), StructField("node", LongType()), StructField("packed", BinaryType())]))
+    sketched = rows.mapInArrow(run, StructType([rows.schema["own"], StructField("fp", BinaryType()), StructField("shards", ArrayType(LongType())), StructField("node", LongType()), StructField("size", LongType()), StructField("packed", BinaryType())]))
     return stored(sketched.withColumns({"row": F.monotonically_increasing_id(), "key": F.coalesce("own.doc_id", F.lit(NULL_KEY))}), "sketches")
 
 
-def _similar(each: DataFrame, width: int, similarity: float, shard_rows: int, group_rows: int) -> DataFrame:
-    """(node, root) of the sets of shingles that links of that similarity join. Texts travel compressed and are shingled anew where they are compared: hashes of shingles would be several times their size."""
+def _similar(each: DataFrame, width: int, similarity: float, shard_rows: int, group_rows: int, group_bytes: int) -> DataFrame:
+    """(node, root) of the sets of shingles that links of that similarity join. Texts travel compressed and are shingled anew where they are compared: hashes of shingles would be several times their size. A group's sets and texts are held together, so it is bounded in rows and in bytes."""
     radius = radius_of(similarity)
     by_shard = _dealt(each.select(F.explode("shards").alias("shard"), "node", "fp").distinct(), "shard", shard_rows)
     proposed = by_shard.repartition("shard").sortWithinPartitions("shard").mapInArrow(_proposer(radius), "group long, node long")
-    groups = _dealt(stored(proposed.distinct(), "groups"), "group", group_rows)
-    wanted = each.join(groups.select("node").distinct(), "node", "left_semi").select("node", "fp", "packed").dropDuplicates(["node"])
-    by_group = groups.join(wanted, "node").select("group", "node", "fp", "packed")
+    found = stored(proposed.distinct(), "groups")
+    wanted = each.join(found.select("node").distinct(), "node", "left_semi")
+    held = wanted.groupBy("node").agg(F.max(8 * F.col("size") + F.octet_length("packed")).alias("bytes"))
+    groups = _dealt(stored(found.join(held, "node"), "sized-groups"), "group", group_rows, group_bytes)
+    by_group = groups.select("group", "node").join(wanted.select("node", "fp", "packed").dropDuplicates(["node"]), "node").select("group", "node", "fp", "packed")
     return components(by_group.repartition("group").sortWithinPartitions("group").mapInArrow(_tester(radius, similarity, width), "a long, b long"))
 
 
-def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, shard_rows: int = 200_000, group_rows: int = 20_000) -> DataFrame:
+def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, shard_rows: int = 200_000, group_rows: int = 20_000, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One row for each document: doc_id, component_id (smallest doc_id of the texts that links reach). Sets of shingles are named by 64-bit hashes in the links."""
     each = _sketches(docs, width, keep=False)
-    member = _similar(each, width, similarity, shard_rows, group_rows)
+    member = _similar(each, width, similarity, shard_rows, group_rows, group_bytes)
     low = each.groupBy("node").agg(F.min("key").alias("low"))
     named = low.join(member, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     ids = stored(named.groupBy("root").agg(F.min("low").alias("component")), "ids")  # written, so that the join below may split a large component
@@ -403,10 +410,10 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, shar
     return each.select("own.doc_id", "node").join(of, "node").select("doc_id", F.when(F.col("component") != F.lit(NULL_KEY), F.col("component")).alias("component_id"))
 
 
-def first_of_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, shard_rows: int = 200_000, group_rows: int = 20_000) -> DataFrame:
+def first_of_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, shard_rows: int = 200_000, group_rows: int = 20_000, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """The rows of docs, with all their columns, that are the first of their similar texts: by doc_id (null first), of equal ids any one. Rows are told apart by numbers of their own, not by ids."""
     each = _sketches(docs, width, keep=True)
-    member = _similar(each, width, similarity, shard_rows, group_rows)
+    member = _similar(each, width, similarity, shard_rows, group_rows, group_bytes)
     low = each.groupBy("node").agg(F.min(F.struct("key", "row")).alias("low"))
     first = low.join(member, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("low").alias("low"))
     kept = each.join(first.select(F.col("low.row").alias("row")), "row", "left_semi").select("own", "packed")
