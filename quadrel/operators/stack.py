@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tiles import parent, revision
+from ..sources.tables import Parts
 from . import raster
 from .tiles import passthrough
 
@@ -193,6 +196,45 @@ def bake(answers: DataFrame, encoded: Column, destination: str, header: dict | N
     return report
 
 
+BAKED = "tile_id long, content binary"
+
+
+def ranges_of(wanted: DataFrame, tiles: int, bits: int = 12) -> list[tuple[int, int]]:
+    """Ranges of ids (first, last) that hold about so many wanted tiles each, by counts of cells of ids; the driver sees a row for each cell that is as full as a range, and fewer."""
+    size = max(1, tiles)
+    cells = wanted.groupBy(F.shiftright("tile_id", bits).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("tile_id").alias("low"), F.max("tile_id").alias("high"))
+    out: list[list[int]] = []
+    for r in cells.orderBy("cell").toLocalIterator():
+        if out and out[-1][2] + r.n <= size:
+            out[-1][1:] = [r.high, out[-1][2] + r.n]
+        else:
+            out.append([r.low, r.high, r.n])
+    return [(low, high) for low, high, _ in out]
+
+
+def bake_on(wanted: DataFrame, answers: Callable[[DataFrame], DataFrame], encoded: Column, work: str, rev: str, tiles: int = 1_000_000, most: int | None = None) -> tuple[Parts, int]:
+    """Go on with a bake: the answers of wanted tiles, range by range of ids, each committed under its range by a rename.
+
+    Ranges that an earlier run of the same revision has finished are neither answered nor read again; a bake of another revision has
+    a folder of its own. `most` ends it after so many ranges. The parts, and how many ranges are left.
+    """
+    spark = wanted.sparkSession
+    parts = Parts(spark, f"{work}/{rev}", BAKED)
+    done = spark.createDataFrame([(rev, *map(int, n.split("-"))) for n in parts.names()], "revision string, first_id long, last_id long")
+    left = ranges_of(to_bake(wanted, done, rev), tiles)
+    for first, last in left[:most]:
+        part = to_bake(wanted.filter(F.col("tile_id").between(first, last)), done, rev)
+        parts.put(f"{first:020d}-{last:020d}", answers(part).select(F.col("tile_id").cast("long").alias("tile_id"), encoded.cast("binary").alias("content")))
+    return parts, max(0, len(left) - (len(left) if most is None else most))
+
+
+def bake_parts(parts: Parts, destination: str, header: dict | None = None, metadata: dict | None = None) -> dict:
+    """Write a finished bake's parts as one archive and clear them."""
+    report = bake(parts.rows(), F.col("content"), destination, header, metadata)
+    parts.clear()
+    return report
+
+
 def to_bake(wanted: DataFrame, done: DataFrame, rev: str) -> DataFrame:
     """Wanted tiles without those that an earlier run of the same revision has written; done holds (revision, first_id, last_id) ranges cut to the same cells of 4096 ids."""
     cell = lambda c: F.shiftright(c, 12)

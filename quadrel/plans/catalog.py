@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import rules as P
 from ..operators import audit as A
 from ..operators import catalog as C
 from ..operators.stack import stack_revision
+from ..sources import tables as H
+from ..streaming.streams import shared_dir
 from .fixtures import catalog, feed_items, table, with_views
 
 NOW = "1999-01-01 00:00:00"
@@ -194,6 +198,17 @@ def catalog_upsert(s, d):
     return C.upsert(c, new, F.lit(NOW).cast("timestamp")).select("info_hash", "name", "size", *_seconds("created_at", "updated_at"))
 
 
+def catalog_upsert_stored(s, d):
+    """The same through a stored catalogue: all entries as a first batch, the documents as a second one that comes twice."""
+    c = catalog(s, d).select("info_hash", "name", "size", "created_at").withColumn("updated_at", F.col("created_at"))
+    new = table(s, d, "documents").select(F.col("doc_id").alias("info_hash"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), F.lit(None).cast("long").alias("size"))
+    store = H.Buckets(s, f"{shared_dir(s)}/catalog-{uuid.uuid4().hex}", "info_hash long, name string, size long, created_at timestamp, updated_at timestamp", "info_hash")
+    store.merge("load", c, lambda old, rows: rows)
+    for _ in range(2):
+        store.merge("documents", new, lambda old, rows: C.upsert(old, rows, F.lit(NOW).cast("timestamp")))
+    return store.rows().select("info_hash", "name", "size", *_seconds("created_at", "updated_at"))
+
+
 def _placed(s, d, by):
     """The sorted entries with their place in the order that the frame has: its partitions are ranges in order, so a place is a partition's first place and the row's within."""
     rows = C.sorted_catalog(catalog(s, d).select("info_hash", F.when(F.col("info_hash") % 9 != 0, F.upper("name")).alias("name"), F.when(F.col("info_hash") % 8 != 0, F.col("size") % 100).alias("size"), "created_at", "build_date"), by)
@@ -228,7 +243,7 @@ def metadata_flags(s, d):
     return e.select("event_id", P.metadata_flag(flag).alias("flag"), P.metadata_encoding(enc).alias("encoding"), f.isNotNull().alias("custom"))
 
 
-QUERIES = (category_list, category_summary, newest_per_category, retention_plan, retirement_plan, catalog_search, publishing_flags, visible_entries, title_filter, catalog_status, engine_merge, stack_resolution, stack_impact, stack_impact_all, stack_coverage, stack_revisions, adopt_candidates, held_sources, feed_take_until_seen, catalogue_unseen, prune_plan, expected_builds, url_templates, seeding_verdicts, seeding_remaining, origin_drift, category_edits, engine_peers, engine_peers_all, name_kinds, catalog_upsert, catalog_ranks, catalog_by_name, catalog_by_size, feed_cap, metadata_flags)
+QUERIES = (category_list, category_summary, newest_per_category, retention_plan, retirement_plan, catalog_search, publishing_flags, visible_entries, title_filter, catalog_status, engine_merge, stack_resolution, stack_impact, stack_impact_all, stack_coverage, stack_revisions, adopt_candidates, held_sources, feed_take_until_seen, catalogue_unseen, prune_plan, expected_builds, url_templates, seeding_verdicts, seeding_remaining, origin_drift, category_edits, engine_peers, engine_peers_all, name_kinds, catalog_upsert, catalog_upsert_stored, catalog_ranks, catalog_by_name, catalog_by_size, feed_cap, metadata_flags)
 
 CAT, PERCAT, FEED = with_views("catalog"), with_views("catalog", "percat"), with_views("feed_items")
 _ORDER = "coalesce(build_date, created_at) DESC, created_at DESC, info_hash"
@@ -287,6 +302,7 @@ SELECT k AS info_hash, status, CASE WHEN status = 'changed' THEN concat_ws('; ',
     "category_edits": f"""{CAT} SELECT info_hash, array_to_string(list_sort(list_distinct(list_filter(list_concat(categories, [family, 'new']), lambda c: c NOT IN ('BUILDING', '1-URGENT')))), '|') AS categories, 'z|' || family || '|a' AS attributions FROM catalog""",
     "name_kinds": """SELECT doc_id, ['pmtiles', 'mbtiles', 'torrent', 'other'][doc_id % 4 + 1] AS kind, CASE WHEN doc_id % 4 = 0 AND doc_id % 10 = 0 THEN 'tens' WHEN doc_id % 4 = 0 THEN 'tiles' WHEN doc_id < 10 THEN 'short' END AS rule, doc_id % 4 IN (2, 3) AND CAST(doc_id AS VARCHAR) LIKE '1%' AS globbed FROM documents""",
     "catalog_upsert": f"""{CAT} SELECT coalesce(c.info_hash, doc_id) AS info_hash, coalesce('doc-' || doc_id, name) AS name, size, {_TS(f"coalesce(created_at, TIMESTAMP '{NOW}')")} AS created_at, {_TS(f"CASE WHEN doc_id IS NOT NULL THEN TIMESTAMP '{NOW}' ELSE created_at END")} AS updated_at FROM catalog c FULL JOIN documents ON doc_id = c.info_hash""",
+    "catalog_upsert_stored": f"""{CAT} SELECT coalesce(c.info_hash, doc_id) AS info_hash, coalesce('doc-' || doc_id, name) AS name, size, {_TS(f"coalesce(created_at, TIMESTAMP '{NOW}')")} AS created_at, {_TS(f"CASE WHEN doc_id IS NOT NULL THEN TIMESTAMP '{NOW}' ELSE created_at END")} AS updated_at FROM catalog c FULL JOIN documents ON doc_id = c.info_hash""",
     "catalog_ranks": f"{CAT} SELECT info_hash, row_number() OVER (ORDER BY coalesce(build_date, created_at) DESC NULLS LAST, created_at DESC NULLS LAST, info_hash) - 1 AS place FROM catalog",
     "catalog_by_name": f"{CAT} SELECT info_hash, row_number() OVER (ORDER BY CASE WHEN info_hash % 9 <> 0 THEN lower(name) END NULLS LAST, info_hash) - 1 AS place FROM catalog",
     "catalog_by_size": f"{CAT} SELECT info_hash, row_number() OVER (ORDER BY CASE WHEN info_hash % 8 <> 0 THEN size % 100 END DESC NULLS LAST, info_hash) - 1 AS place FROM catalog",

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators.traffic import clean_samples
+from ..sources import tables as H
 from ..streaming import streams as S
 from .fixtures import as_requests, as_samples, with_views
 
@@ -54,7 +58,21 @@ def stream_seeding_ends(s, d):
     return S.drained(S.seeding_ends(status, 10 * 24 * 60, 300.0, late="1 day")).select("info_hash", "reason")
 
 
-QUERIES = (stream_hourly_requests, stream_sessions, stream_items_once, stream_recent_percentiles, stream_traffic_archives, stream_traffic_node, stream_seeding_ends)
+KEEP_HOURS = 240
+
+
+def stream_traffic_history(s, d):
+    """Samples appended to a stored history by a stream, a trigger that comes again, and the eviction of all that is older than ten days; what each archive has left."""
+    history = H.History(s, f"{S.shared_dir(s)}/history-{uuid.uuid4().hex}", "info_hash long, at long, down long, up long")
+    samples = as_samples(S.read_stream(s, d, "events"))
+    history.sink(clean_samples(samples), f"{history.folder.path}/_stream").awaitTermination()
+    rows = history.rows()
+    history.append(rows.limit(100), 0)
+    history.prune(rows.agg(F.max("at")).first()[0] - KEEP_HOURS * 3600)
+    return history.rows().groupBy("info_hash").agg(F.count(F.lit(1)).alias("samples"), F.min("at").alias("first"), F.sum("down").alias("down"), F.sum("up").alias("up"))
+
+
+QUERIES = (stream_traffic_history, stream_hourly_requests, stream_sessions, stream_items_once, stream_recent_percentiles, stream_traffic_archives, stream_traffic_node, stream_seeding_ends)
 
 _T = with_views("traffic_samples")
 _R = with_views("tile_requests")
@@ -63,6 +81,8 @@ _R = with_views("tile_requests")
 def oracle(batch: dict[str, str]) -> dict[str, str]:
     """Streams give what the same work gives in batch, whose SQL is taken over."""
     return {
+        "stream_traffic_history": f"""{_T} SELECT info_hash, count(*) AS samples, min("at") AS first, CAST(sum(down) AS BIGINT) AS down, CAST(sum(up) AS BIGINT) AS up FROM traffic_samples
+WHERE "at" >= (SELECT max("at") FROM traffic_samples) - {KEEP_HOURS * 3600} GROUP BY info_hash""",
         "stream_hourly_requests": batch["tumbling_requests"],
         "stream_sessions": f"""SELECT * FROM ({batch["client_sessions"]}) WHERE session_end <= (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM events) - 86400000000""",
         "stream_items_once": f"{_R} SELECT DISTINCT ip AS info_hash FROM tile_requests",

@@ -11,6 +11,7 @@ from ..functions import rules as P
 from ..functions import tiles as T
 from ..operators import audit as A
 from ..operators import pieces as K
+from ..operators import runs as U
 from ..operators import stack as ST
 from ..operators import tiles as O
 from ..sources import pmtiles as Z
@@ -27,6 +28,26 @@ def coverage_overlap(s, d):
     return O.coverage_overlap(archive_tiles(s, d), 0, 1)
 
 
+def _entries(s, d):
+    """Each archive's directory entries: its tiles as runs."""
+    return U.union_runs(archive_tiles(s, d).withColumn("run_length", F.lit(1).cast("long")), ["source_idx"])
+
+
+def coverage_union_runs(s, d):
+    return U.union_runs(_entries(s, d))
+
+
+def coverage_overlap_runs(s, d):
+    return U.overlap_runs(_entries(s, d), 0, 1)
+
+
+def warm_report_runs(s, d):
+    """The second archive's tiles, and the block of ids around every hundredth of them, are wanted of the first."""
+    two = _entries(s, d).filter("source_idx = 1")
+    blocks = two.select(F.floor(F.col("tile_id") / 100).cast("long").alias("b")).distinct().select((F.col("b") * 100).alias("tile_id"), F.lit(40).cast("long").alias("run_length"))
+    return U.warm_runs(two.select("tile_id", "run_length").unionByName(blocks), _entries(s, d).filter("source_idx = 0"))
+
+
 def coverage_by_zoom(s, d):
     return archive_tiles(s, d).groupBy("source_idx", T.zoom_of(F.col("tile_id")).alias("z")).agg(F.count(F.lit(1)).alias("tiles"))
 
@@ -130,6 +151,28 @@ def bake_archive(s, d):
     return tiles
 
 
+def _local_shared(s):
+    """A new folder in the shared one, as a path that open() takes."""
+    folder = f"{shared_dir(s).removeprefix('file://').removeprefix('file:')}/baked-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    return folder
+
+
+def bake_resumed(s, d):
+    """A bake of every line's order as a tile, broken off after two ranges and gone on with: entries by the archive's own directory, of more than one leaf."""
+    folder = _local_shared(s)
+    wanted = table(s, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("tile_id")).distinct()
+    answers = lambda part: part.withColumn("content", F.concat_ws(":", F.shiftright("tile_id", 1).cast("string"), F.lit("t")))
+    rows = max(1, wanted.count() // 5)
+    ST.bake_on(wanted, answers, F.col("content"), f"{folder}/work", "r1", rows, most=2)
+    parts, left = ST.bake_on(wanted, answers, F.col("content"), f"{folder}/work", "r1", rows)
+    if left:
+        raise RuntimeError("ranges are left")
+    ST.bake_parts(parts, f"{folder}/all.pmtiles", {"max_zoom": 20}, {"name": "all"})
+    entries = Z.scan(s, folder)
+    return Z.read_tiles(entries, folder).select("tile_id", F.col("run_length").cast("long").alias("run_length"), F.col("content").cast("string").alias("content"))
+
+
 def archive_headers(s, d):
     """Header and metadata of an archive of all documents, as the sink writes and the source reads them."""
     folder = f"{shared_dir(s).removeprefix('file://').removeprefix('file:')}/headers-{uuid.uuid4().hex}"
@@ -284,7 +327,7 @@ def counter_maps(s, d):
     return m.select("info_hash", F.to_json("by_status").alias("by_status"))
 
 
-QUERIES = (coverage_union, coverage_overlap, coverage_by_zoom, tile_places, priority_tiles, parent_fallback, child_assembly, tiles_in_bounds, tile_counts, warm_report, shared_domain, box_sides, tile_dedup, tile_runs, content_counts, tile_offsets, clustered_check, passthrough_split, bake_report, bake_archive, archive_headers, bake_remaining, contributor_report, piece_digests, piece_ranges, piece_verify, piece_buckets, distributed_copies, lru_plan, shared_files, import_paths, log_rules, watched_rules, save_cycles, never_saved, save_cycles_all, never_saved_all, disk_use, orphan_files, listing_links, listing_newest, link_reachability, parsed_feed, counter_maps)
+QUERIES = (coverage_union, coverage_overlap, coverage_union_runs, coverage_overlap_runs, warm_report_runs, coverage_by_zoom, tile_places, priority_tiles, parent_fallback, child_assembly, tiles_in_bounds, tile_counts, warm_report, shared_domain, box_sides, tile_dedup, tile_runs, content_counts, tile_offsets, clustered_check, passthrough_split, bake_report, bake_archive, bake_resumed, archive_headers, bake_remaining, contributor_report, piece_digests, piece_ranges, piece_verify, piece_buckets, distributed_copies, lru_plan, shared_files, import_paths, log_rules, watched_rules, save_cycles, never_saved, save_cycles_all, never_saved_all, disk_use, orphan_files, listing_links, listing_newest, link_reachability, parsed_feed, counter_maps)
 
 AT, ZOOMED = with_views("archive_tiles"), with_views("archive_tiles", "zoomed")
 _BOX = "boxes AS (SELECT o_orderkey AS box, (o_orderkey % 1009) * 0.3::DOUBLE - 170 AS west, (o_orderkey % 1009) * 0.13::DOUBLE - 70 AS south, (o_orderkey % 1009) * 0.3::DOUBLE - 170 + 1 + o_orderkey % 1009 % 7 * 4 AS east, (o_orderkey % 1009) * 0.13::DOUBLE - 70 + 1 + o_orderkey % 1009 % 5 * 3 AS north FROM orders)"
@@ -303,6 +346,11 @@ _SNAP = "snap AS (SELECT user_id % 20 AS info_hash, hour(ts) AS cycle, CASE WHEN
 
 ORACLE = {
     "coverage_union": f"{AT} SELECT DISTINCT tile_id FROM archive_tiles",
+    "coverage_union_runs": f"{AT}, t AS (SELECT DISTINCT tile_id FROM archive_tiles), g AS (SELECT tile_id, tile_id - row_number() OVER (ORDER BY tile_id) AS g FROM t) SELECT min(tile_id) AS tile_id, count(*) AS run_length FROM g GROUP BY g",
+    "coverage_overlap_runs": f"{AT}, t AS (SELECT tile_id, CASE WHEN tile_id IN (SELECT tile_id FROM archive_tiles WHERE source_idx = 1) THEN 'both' ELSE 'first' END AS held_by FROM archive_tiles WHERE source_idx = 0), g AS (SELECT *, tile_id - row_number() OVER (PARTITION BY held_by ORDER BY tile_id) AS g FROM t) SELECT min(tile_id) AS tile_id, count(*) AS run_length, held_by FROM g GROUP BY held_by, g",
+    "warm_report_runs": f"""{AT}, r AS (SELECT tile_id, tile_id - row_number() OVER (ORDER BY tile_id) AS g FROM archive_tiles WHERE source_idx = 1), b AS (SELECT DISTINCT min(tile_id) // 100 AS b FROM r GROUP BY g),
+w AS (SELECT tile_id FROM r UNION SELECT b * 100 + i FROM b, range(40) q(i)), p AS (SELECT tile_id, {"".join(f"CASE WHEN tile_id < {(4 ** (k + 1) - 1) // 3} THEN {k} ELSE " for k in range(16))}NULL{" END" * 16} AS z FROM w)
+SELECT z, count(*) AS total, count(*) FILTER (WHERE tile_id IN (SELECT tile_id FROM archive_tiles WHERE source_idx = 0)) AS hits, count(*) FILTER (WHERE tile_id NOT IN (SELECT tile_id FROM archive_tiles WHERE source_idx = 0)) AS misses FROM p GROUP BY z""",
     "coverage_overlap": f"{AT} SELECT tile_id, CASE WHEN tile_id IN (SELECT tile_id FROM archive_tiles WHERE source_idx = 1) THEN 'both' ELSE 'first' END AS held_by FROM archive_tiles WHERE source_idx = 0",
     "coverage_by_zoom": f"{ZOOMED} SELECT source_idx, z, count(*) AS tiles FROM zoomed GROUP BY ALL",
     "tile_places": f"{_ZR}, {_ZXY} SELECT tile_id, z, x, y, tile_id AS back FROM places",
@@ -329,6 +377,8 @@ SELECT archive, count(*) FILTER (WHERE tile_id <= p) = 0 AS clustered, count(*)
     "bake_archive": """WITH l AS (SELECT doc_id // 2 AS tile_id, arg_max(CASE WHEN doc_id // 2 % 3 = 0 THEN text ELSE lang END, doc_id % 2) AS content FROM documents GROUP BY 1), g AS (SELECT *, tile_id - row_number() OVER (PARTITION BY content ORDER BY tile_id) AS g FROM l)
 SELECT tile_id, sha256(content) AS digest, count(*) OVER (PARTITION BY content, g) AS run_length FROM g""",
     "archive_headers": "SELECT 'docs.pmtiles' AS archive, 'mvt' AS format, 11 AS max_zoom, -123.4::DOUBLE AS west, count(*) AS addressed, count(DISTINCT text) AS contents, true AS clustered, 'docs' AS name FROM documents",
+    "bake_resumed": """WITH t AS (SELECT DISTINCT l_orderkey * 8 + l_linenumber AS tile_id FROM lineitem), g AS (SELECT tile_id, (tile_id >> 1) || ':t' AS content, tile_id - row_number() OVER (PARTITION BY tile_id >> 1 ORDER BY tile_id) AS g FROM t)
+SELECT min(tile_id) AS tile_id, count(*) AS run_length, content FROM g GROUP BY content, g""",
     "bake_remaining": f"{AT} SELECT DISTINCT tile_id FROM archive_tiles WHERE NOT (tile_id // 1000 < 25 AND tile_id // 1000 % 2 = 0 AND tile_id % 1000 <= 700)",
     "contributor_report": f"{AT}, r AS (SELECT *, CASE WHEN (tile_id + source_idx) % 11 = 0 THEN 'error' ELSE 'ok' END AS o FROM archive_tiles) SELECT tile_id, bool_or(o = 'error' AND source_idx = 0) AS failed, count(*) FILTER (WHERE o = 'ok') AS sources, string_agg('s' || source_idx || '=' || o, ',' ORDER BY source_idx) AS contributors FROM r GROUP BY tile_id",
     "piece_digests": f"WITH {_PIECES} SELECT key, md5(b) AS file_md5, CAST(piece AS INT) AS piece, sha1(b[piece * 1024 + 1:piece * 1024 + 1024]) AS sha1 FROM pieces",

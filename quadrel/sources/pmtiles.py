@@ -216,19 +216,30 @@ def _leaves(entries: DataFrame, size: int, partitions: int) -> DataFrame:
     return entries.select("tile_id", "offset", "length", "run_length").repartitionByRange(partitions, "tile_id").sortWithinPartitions("tile_id").mapInArrow(run, "first long, entries long, blob binary")
 
 
-def _append(blobs: DataFrame, order: str, path: str) -> None:
-    """The blobs in order at the end of a file, streamed partition by partition, so the driver holds one at a time."""
-    with open(path, "ab") as f:
-        for row in blobs.orderBy(order).select("blob").toLocalIterator(prefetchPartitions=False):
-            f.write(row.blob)
+def _put(blobs: DataFrame, path: str, base: int) -> int:
+    """Each blob (offset, blob) at its place in a file that is there at its full size: tasks write their own ranges, and one that runs again writes the same bytes. How many bytes were written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        with open(path, "r+b") as f:
+            for batch in batches:
+                for offset, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    data = blob.as_buffer()
+                    f.seek(base + offset)
+                    done += f.write(data)
+            f.flush()
+            os.fsync(f.fileno())
+        yield pa.RecordBatch.from_pydict({"n": [done]})
+
+    return blobs.select("offset", "blob").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def write_archive(payloads: DataFrame, destination: str, header: dict | None = None, metadata: dict | None = None, scratch: str | None = None, partitions: int | None = None) -> dict:
     """Write (tile_id, content) rows as one archive on a shared mount.
 
     Spark finds the distinct contents, their offsets (tile_offsets) and the runs of tiles (tile_runs), and encodes leaf directories in tasks.
-    Leaves and contents are written as rows of the scratch folder; the driver gets one row for each leaf (its first id and size) for the root directory, and
-    streams leaves and contents in order into the one file that the format asks for. What it holds at a time is a partition, whatever the archive's size.
+    All offsets are known before a byte is written, so the driver lays out header and root directory (of one row for each leaf: its first id and size) and
+    tasks write leaves and contents into their own ranges of the one file that the format asks for. It gets its name when all bytes are there.
     """
     spark = payloads.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -248,7 +259,7 @@ def write_archive(payloads: DataFrame, destination: str, header: dict | None = N
     if not root or len(root) > ROOT_LIMIT - HEADER:
         while True:
             leaves = kept(_leaves(entries, size, n), f"leaves-{size}")
-            top, at = [], 0
+            top, at = [], 0  # first id, offset, length
             for r in leaves.select("first", F.octet_length("blob").alias("n")).orderBy("first").collect():  # a row for each leaf of thousands of entries
                 top.append((r.first, at, r.n, 0))
                 at += r.n
@@ -264,9 +275,14 @@ def write_archive(payloads: DataFrame, destination: str, header: dict | None = N
     path = f"{destination}.{uuid.uuid4().hex}"
     with open(path, "wb") as out:
         out.write(LAYOUT.pack(b"PMTiles", 3, *(h[k] for k in FIELDS)) + root + meta)
+        out.truncate(h["data_offset"] + held.bytes)
+    written = 0
     if leaves is not None:
-        _append(leaves, "first", path)
+        places = spark.createDataFrame([(first, offset) for first, offset, _, _ in top], "first long, offset long")
+        written += _put(leaves.join(places, "first"), path, h["leaf_offset"])
     owners = contents.select("tile_id", "offset")  # each content where its first tile has it
-    _append(rows.join(owners, "tile_id").select("offset", F.col("content").alias("blob")), "offset", path)
+    written += _put(rows.join(owners, "tile_id").select("offset", F.col("content").alias("blob")), path, h["data_offset"])
+    if written != leaf_bytes + held.bytes:
+        raise OSError(f"{destination}: {written} bytes were written of {leaf_bytes + held.bytes}")
     os.replace(path, destination)
     return {"addressed": totals.addressed, "entries": totals.entries, "contents": held.contents, "bytes": held.bytes, "sha1": hashlib.sha1(root).hexdigest()}

@@ -12,8 +12,8 @@ RECIPE = (
     "sources array<struct<category:string,archive:string,encoding:string,maskValues:array<double>,maskColors:array<string>,heightAdjustment:double,opacity:double,blend:string,cutline:string,bounds:array<double>,required:boolean>>, _corrupt_record string"
 )
 CATALOGUE = "format string, archives array<struct<infoHash:string,name:string,size:long,categories:array<string>,magnet:string,createdAt:string>>"
-#: Geometries within collections, and collections within collections, that are looked into.
-DEPTH = 3
+#: Geometries within collections, and collections within collections, that are looked into; a shape that goes deeper is an error.
+DEPTH = 4
 
 
 def load_recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -54,14 +54,16 @@ def _rings(g: Column, depth: int) -> Column:
     own = F.when(g["type"] == "Polygon", F.from_json(g["coordinates"], "array<array<array<double>>>")).when(g["type"] == "MultiPolygon", F.flatten(F.from_json(g["coordinates"], "array<array<array<array<double>>>>")))
     if depth:
         own = own.when(g["type"] == "GeometryCollection", F.flatten(F.transform(g["geometries"], lambda x: _rings(x, depth - 1))))
+    else:
+        own = own.when(g["type"] == "GeometryCollection", F.raise_error(F.lit("collections nested too deep")).cast("array<array<array<double>>>"))
     return F.coalesce(own, _none())
 
 
 def _rings_of(node: Column, depth: int) -> Column:
     own = F.when(node["type"] == "Feature", _rings(node["geometry"], DEPTH)).otherwise(_rings(node, DEPTH))
     if depth:
-        own = F.when(node["features"].isNotNull(), F.flatten(F.transform(node["features"], lambda x: _rings_of(x, depth - 1)))).otherwise(own)
-    return own
+        return F.when(node["features"].isNotNull(), F.flatten(F.transform(node["features"], lambda x: _rings_of(x, depth - 1)))).otherwise(own)
+    return F.when(node["type"] == "FeatureCollection", F.raise_error(F.lit("collections nested too deep")).cast("array<array<array<double>>>")).otherwise(own)
 
 
 def shape_rings(shapes: DataFrame) -> DataFrame:
@@ -83,11 +85,12 @@ def catalogue_entries(bodies: DataFrame, format_prefix: str) -> DataFrame:
     return parsed.select("peer", F.explode("c.archives").alias("a")).select("peer", "a.*")
 
 
-def catalogue_export(catalog: DataFrame) -> DataFrame:
-    """One JSON line for each archive that is published."""
-    return catalog.select(F.to_json(F.struct(F.col("info_hash").cast("string").alias("infoHash"), "name", "size", "categories")).alias("value"))
-
-
-def watched_files(spark: SparkSession, folder: str, pattern: str = "*.pmtiles") -> DataFrame:
-    """Files that appear in a folder, as a stream of path, time and length."""
-    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).load(folder).drop("content")
+def catalogue_export(catalog: DataFrame, name: str = "archives/1", category: str | None = None) -> DataFrame:
+    """One JSON line for each published archive (null `published`: it is), of one category if one is asked for, after a line with the format's name and how many follow."""
+    rows = catalog
+    if "published" in catalog.columns:
+        rows = rows.filter(F.coalesce("published", F.lit(True)))
+    if category is not None:
+        rows = rows.filter(F.exists("categories", lambda c: F.lower(c) == category.lower()))
+    head = rows.agg(F.count(F.lit(1)).alias("count")).select(F.lit(0).alias("nth"), F.to_json(F.struct(F.lit(name).alias("format"), "count")).alias("value"))
+    return head.unionByName(rows.select(F.lit(1).alias("nth"), F.to_json(F.struct(F.col("info_hash").cast("string").alias("infoHash"), "name", "size", "categories")).alias("value")))
