@@ -22,12 +22,20 @@ def _x(c: str) -> str:
 _FIRST = f"CAST(array({', '.join(str((4**k - 1) // 3) + 'L' for k in range(MAX_ZOOM + 1))})[z] AS BIGINT)"
 #: One level of the curve: what the quadrant adds, and how it turns the rest.
 _DOWN = "named_struct('x', CASE WHEN a.y & s > 0 THEN a.x ELSE CASE WHEN a.x & s > 0 THEN s - 1 - a.y ELSE a.y END END, 'y', CASE WHEN a.y & s > 0 THEN a.y ELSE CASE WHEN a.x & s > 0 THEN s - 1 - a.x ELSE a.x END END, 'd', a.d + s * s * ((3 * CAST(a.x & s > 0 AS BIGINT)) ^ CAST(a.y & s > 0 AS BIGINT)))"
+#: One level back up: the lowest pair of bits says the quadrant, which turns what was found below it.
+_UP = "named_struct('x', CASE WHEN ((a.t ^ (a.t >> 1)) & 1) = 0 THEN CASE WHEN ((a.t >> 1) & 1) = 1 THEN s - 1 - a.y ELSE a.y END ELSE a.x END + s * ((a.t >> 1) & 1), 'y', CASE WHEN ((a.t ^ (a.t >> 1)) & 1) = 0 THEN CASE WHEN ((a.t >> 1) & 1) = 1 THEN s - 1 - a.x ELSE a.x END ELSE a.y END + s * ((a.t ^ (a.t >> 1)) & 1), 't', a.t >> 2)"
+_PLACE = f"aggregate(CASE WHEN z > 0 THEN transform(sequence(0, z - 1), k -> shiftleft(1L, k)) ELSE CAST(array() AS ARRAY<BIGINT>) END, named_struct('x', 0L, 'y', 0L, 't', id - {_FIRST}), (a, s) -> {_UP}, a -> named_struct('z', z, 'x', a.x, 'y', a.y))"
 SCALARS = (
     ("world_x", "lon DOUBLE", "DOUBLE", _x("lon")),
     ("world_y", "lat DOUBLE", "DOUBLE", _y("lat")),
     ("first_tile_id", "z INT", "BIGINT", _FIRST),
     ("tile_zoom", "id BIGINT", "INT", f"CASE WHEN id >= 0 AND id < {(4 ** (MAX_ZOOM + 1) - 1) // 3} THEN shiftright(length(bin(id * 3 + 1)) - 1, 1) END"),
     ("tile_id", "z INT, x BIGINT, y BIGINT", "BIGINT", f"{_FIRST} + aggregate(CASE WHEN z > 0 THEN transform(sequence(z - 1, 0, -1), k -> shiftleft(1L, k)) ELSE CAST(array() AS ARRAY<BIGINT>) END, named_struct('x', x, 'y', y, 'd', 0L), (a, s) -> {_DOWN}, a -> a.d)"),
+    ("tile_place_at", "id BIGINT, z INT", "STRUCT<z: INT, x: BIGINT, y: BIGINT>", _PLACE),
+    ("tile_place", "id BIGINT", "STRUCT<z: INT, x: BIGINT, y: BIGINT>", "CASE WHEN tile_zoom(id) IS NOT NULL THEN tile_place_at(id, tile_zoom(id)) END"),
+    ("tile_z", "id BIGINT", "INT", "tile_zoom(id)"),
+    ("tile_x", "id BIGINT", "BIGINT", "tile_place(id).x"),
+    ("tile_y", "id BIGINT", "BIGINT", "tile_place(id).y"),
     ("tile_column", "lon DOUBLE, z INT", "BIGINT", _COLUMN.format(z="z", f=_x("lon"))),
     ("tile_row", "lat DOUBLE, z INT", "BIGINT", _COLUMN.format(z="z", f=_y("lat"))),
     ("tile_box", "z INT, x BIGINT, y BIGINT", "STRUCT<min_x: DOUBLE, min_y: DOUBLE, max_x: DOUBLE, max_y: DOUBLE>", "named_struct('min_x', x / power(2, z), 'min_y', y / power(2, z), 'max_x', (x + 1) / power(2, z), 'max_y', (y + 1) / power(2, z))"),

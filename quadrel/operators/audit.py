@@ -13,6 +13,12 @@ def shared_files(entries: DataFrame) -> DataFrame:
     return entries.groupBy("path").agg(F.count(F.lit(1)).alias("entries"), ((F.count(F.lit(1)) - 1) * F.max("size")).alias("bytes_again"), F.min("info_hash").alias("first_entry")).filter("entries > 1")
 
 
+def sharing_entries(entries: DataFrame) -> DataFrame:
+    """(path, info_hash, entries): every entry that shares its path with others."""
+    shared = entries.groupBy("path").agg(F.count(F.lit(1)).alias("entries")).filter("entries > 1")
+    return entries.select("path", "info_hash").join(shared, "path")
+
+
 def import_paths(entries: DataFrame, base: str, ratio: float = 2.0) -> DataFrame:
     """Entries and the share in trouble for each source, and whether that share is well above the base source's."""
     rates = entries.groupBy("source").agg(F.count(F.lit(1)).alias("entries"), F.count_if("trouble").alias("troubled"), F.avg(F.col("trouble").cast("int")).alias("rate"))

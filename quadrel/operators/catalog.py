@@ -123,8 +123,9 @@ def prune_plan(entries: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def expected_builds(sources: DataFrame, held: DataFrame, today: Column, back: int = 3, most: int = 1) -> DataFrame:
-    """Dates that a dated source should have: from today back to the first date held, `most` at most."""
-    dates = sources.withColumn("date", F.explode(F.sequence(today, F.date_sub(today, back - 1), F.expr("interval -1 day"))))
+    """Dates that a dated source should have: from today back to the first date held, `most` at most. Sources with offset_days count from so many days after today (below 0: before)."""
+    start = F.date_add(today, F.coalesce(F.col("offset_days").cast("int"), F.lit(0))) if "offset_days" in sources.columns else today
+    dates = sources.withColumn("date", F.explode(F.sequence(start, F.date_sub(start, back - 1), F.expr("interval -1 day"))))
     marked = dates.join(held.select("source", "date", F.lit(True).alias("_held")).distinct(), ["source", "date"], "left")
     stop = marked.groupBy("source").agg(F.max(F.when(F.col("_held"), F.col("date"))).alias("_stop"))
     new = marked.join(stop, "source").filter(F.col("_stop").isNull() | (F.col("date") > F.col("_stop")))

@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import tiles as T
 
 
+#: Sources of a recipe, and shapes that they name: what may be broadcast whole.
+FEW = 4096
+
+
+def few(rows: DataFrame, what: str, most: int = FEW) -> DataFrame:
+    """rows as ones that are broadcast, after a look at how many they are."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"{what}: more than {most}")
+    return F.broadcast(rows)
+
+
 def segments(points: DataFrame) -> DataFrame:
     """(shape, ring, i, lon, lat) ring points as segments; rings of fewer than four points are dropped, open rings closed."""
     w = Window.partitionBy("shape", "ring")
@@ -41,7 +52,7 @@ def odd_crossings(points: DataFrame, segs: DataFrame, keys: list[str], bins: int
 
 def of_all_shapes(rows: DataFrame, states: DataFrame, segs: DataFrame, keys: list[str], rest: Column) -> DataFrame:
     """rows (keys) for every shape with its state from states (keys, shape, state), `rest` where there is none. Only keys with a state are joined; the shapes' names, a recipe's few, come as one row."""
-    names = segs.agg(F.array_sort(F.collect_set("shape")).alias("_shapes"))
+    names = few(segs.select("shape").distinct(), "shapes").agg(F.array_sort(F.collect_set("shape")).alias("_shapes"))
     own = states.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("shape", "state"))).alias("_own"))
     each = rows.join(own, keys, "left").crossJoin(F.broadcast(names)).withColumn("shape", F.explode("_shapes"))  # one row on the right
     return each.select(*keys, "shape", F.coalesce(F.try_element_at(F.col("_own"), F.col("shape")), rest).alias("state"))
@@ -107,5 +118,5 @@ def clip_choice(sources: DataFrame, places: DataFrame) -> DataFrame:
     known = places.select("shape").distinct().withColumn("_known", F.lit(True))
     s = sources.join(known, F.col("cutline") == F.col("shape"), "left").drop("shape")
     tiles = places.select("tile_id").distinct()
-    joined = tiles.crossJoin(F.broadcast(s)).join(places.withColumnRenamed("shape", "cutline"), ["tile_id", "cutline"], "left")  # a recipe's few sources
+    joined = tiles.crossJoin(few(s, "sources of a recipe")).join(places.withColumnRenamed("shape", "cutline"), ["tile_id", "cutline"], "left")
     return joined.select("tile_id", "source_idx", F.when(F.col("cutline").isNull(), "inside").otherwise(F.coalesce("place", F.lit("outside"))).alias("place"))

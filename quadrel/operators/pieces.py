@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,6 +32,43 @@ def verified(found: DataFrame, expected: DataFrame) -> DataFrame:
     return both.groupBy("key").agg(F.count(F.lit(1)).alias("pieces"), F.avg(good.cast("int")).alias("share"), F.min(F.when(~good, F.col("piece"))).alias("first_bad"))
 
 
+def sampled_pieces(expected: DataFrame, claims: DataFrame, most: int = 3) -> DataFrame:
+    """Of each key's expected pieces (key, piece, ...) the `most` to look at: first those that claims (key, piece, held) disputes, in order, then the first, the middle and the last. Ranks are cut where rows are before they are shuffled."""
+    n = expected.groupBy("key").agg((F.max("piece") + 1).alias("_n"))
+    spread = n.select("key", F.posexplode(F.array(F.lit(0), F.floor(F.col("_n") / 2).cast("int"), F.col("_n") - 1)).alias("_nth", "piece")).select("key", "piece", F.lit(1).alias("_kind"), "_nth")
+    disputed = claims.filter(~F.col("held")).select("key", "piece", F.lit(0).alias("_kind"), F.col("piece").alias("_nth"))
+    top = lambda rows: rows.withColumn("_k", F.row_number().over(Window.partitionBy("key").orderBy("_kind", "_nth", "piece"))).filter(F.col("_k") <= most)
+    once = top(disputed).drop("_k").unionByName(spread).groupBy("key", "piece").agg(F.min(F.struct("_kind", "_nth")).alias("o")).select("key", "piece", "o.*")
+    return expected.join(top(once).select("key", "piece"), ["key", "piece"])
+
+
+def sample_verified(wanted: DataFrame, read: DataFrame) -> DataFrame:
+    """(key, checked, passed) of sampled pieces (key, piece, length, sha1) against what was read of them (key, piece, data); pieces that are cut short aren't checked."""
+    both = wanted.join(read, ["key", "piece"], "left")
+    whole = F.coalesce(F.octet_length("data") >= F.col("length"), F.lit(False))
+    return both.groupBy("key").agg(F.count_if(whole).alias("checked"), F.count_if(whole & (F.sha1("data") == F.col("sha1"))).alias("passed"))
+
+
+def read_pieces(wanted: DataFrame, piece: int) -> DataFrame:
+    """(key, piece, data) of wanted (key, path, piece, length): only those ranges of the files are read, where the task runs; a file that can't be opened gives none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, n, length in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                try:
+                    with open(path, "rb") as f:
+                        f.seek(n * piece)
+                        out.append(f.read(length))
+                except OSError:
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=["key", "piece", "data"])
+
+    kinds = dict(wanted.dtypes)
+    rows = wanted.select("key", "path", "piece", "length").repartition("path").sortWithinPartitions("path", "piece")
+    return rows.mapInArrow(run, f"key {kinds['key']}, piece {kinds['piece']}, data binary")
+
+
 def piece_buckets(availability: DataFrame, buckets: int) -> DataFrame:
     """(archive, piece, copies) reduced to a number of buckets by all, any and min; copies above 255 count as 255. Every bucket holds a piece at least, so few pieces serve several buckets."""
     n = availability.groupBy("archive").agg(F.max("piece").alias("_last")).withColumn("_n", F.col("_last") + 1)

@@ -85,6 +85,25 @@ def latency_summary(requests: DataFrame, side: str) -> DataFrame:
     return rest.join(ranks, side, "left").select(side, "requests", "p50", "p90", "p99", "worst", "errors", "bytes")
 
 
+def latency_report(results: DataFrame, side: str) -> DataFrame:
+    """results (side, ok, status, total, ttfb, bytes, encoding, backend): of each side how many were served, statuses of all, and of those served the bytes, encodings, backends, and percentiles of the time to the first byte and to the last."""
+    served = results.filter("ok")
+    of = results.groupBy(side).agg(F.count(F.lit(1)).alias("of"), F.count_if("ok").alias("served"), F.sum(F.when(F.col("ok"), F.col("bytes"))).alias("bytes"), F.max(F.when(F.col("ok"), F.col("total"))).alias("total_max"))
+
+    def counted(rows: DataFrame, name: str, alias: str) -> DataFrame:
+        """"name=count" of each value in order; values are few."""
+        n = rows.filter(F.col(name).isNotNull()).groupBy(side, name).agg(F.count(F.lit(1)).alias("n"))
+        return n.groupBy(side).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", F.col(name).cast("string"), F.col("n").cast("string")))), ",").alias(alias))
+
+    out = of
+    for name in ("ttfb", "total"):
+        v = value_counts(served.select(side, F.col(name).alias("ms")), side)
+        out = out.join(v.groupBy(side).agg(*(at_index("ms", rank_index(F.col("total"), f)).alias(f"{name}_{k}") for k, f in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99)))), side, "left")
+    for rows, name, alias in ((results, "status", "statuses"), (served, "encoding", "encodings"), (served, "backend", "backends")):
+        out = out.join(counted(rows, name, alias), side, "left")
+    return out
+
+
 def histogram(requests: DataFrame, side: str, bins: int = 8) -> DataFrame:
     """Counts in equal bins up to each side's maximum; empty bins are absent."""
     top = requests.groupBy(side).agg(F.max("ms").alias("_top"))

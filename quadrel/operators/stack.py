@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.tiles import parent, revision
 from ..sources.tables import Parts
-from . import raster
+from . import clip, raster
+from .clip import few
 from .tiles import passthrough
 
 
@@ -87,8 +88,6 @@ def changes_of(recipe: DataFrame, output: dict, sigma: float = 0.0) -> Column:
 
 def shapes_of(recipe: DataFrame, shapes: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
     """The recipe with a cutline for every source that is clipped, and the shapes with those of the sources' own bounds (west, south, east, north in degrees): a box is a shape of four corners. A cutline goes before bounds."""
-    from . import clip
-
     if "bounds" not in recipe.columns:
         return recipe, shapes
     name = F.concat(F.lit("bounds:"), F.col("source_idx").cast("string"))
@@ -108,17 +107,6 @@ def answer(layers: DataFrame, needs_pixels: Column, size: int, mask: list[float]
     return copied.unionByName(merged.select("tile_id", "px", F.lit(False).alias("copied")))
 
 
-#: Sources of a recipe, and shapes that they name: what may be broadcast whole.
-SOURCES = 4096
-
-
-def few(rows: DataFrame, what: str, most: int = SOURCES) -> DataFrame:
-    """rows as one that is broadcast, after a look at how many they are."""
-    if rows.limit(most + 1).count() > most:
-        raise ValueError(f"{what}: more than {most}")
-    return F.broadcast(rows)
-
-
 def _placed(reads: DataFrame, recipe: DataFrame, places: DataFrame | None) -> DataFrame:
     """Reads with their source's settings and where their tile lies to its shape."""
     rows = reads.join(few(recipe, "sources of a recipe"), "source_idx")
@@ -131,8 +119,6 @@ def _placed(reads: DataFrame, recipe: DataFrame, places: DataFrame | None) -> Da
 
 def stack_reads(wanted: DataFrame, held: DataFrame, recipe: DataFrame, shapes: DataFrame | None = None, output: dict | None = None, sigma: float = 0.0, most: int = 6, sized: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """The reads of a recipe with its settings, place, copied and failed, and the shapes that clip them. With `sized` (a width is asked for) nothing is copied, for a stored width is known to none before decoding."""
-    from . import clip
-
     recipe, shapes = shapes_of(recipe, shapes)
     if "changes" not in recipe.columns:
         recipe = recipe.withColumn("changes", changes_of(recipe, output or {}, sigma))
@@ -164,8 +150,6 @@ def stack_answer(wanted: DataFrame, held: DataFrame, grids: DataFrame, recipe: D
     narrower than `size`, or its nearest ancestor's square, clipped by its shape or bounds; single unchanged answers are copied. Sources that can't be read are
     left out, and tiles where such a one is required have no row (failures() lists them).
     """
-    from . import clip
-
     reads, shapes = stack_reads(wanted, held, recipe, shapes, output, sigma, most, sized)
     names = ["px"] if space == "elevation" else list("rgba")
     extra = ["r", "g", "b"] if space == "elevation" and "r" in grids.columns else []

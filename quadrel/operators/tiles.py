@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tiles as T
+from . import runs
 
 
 def coverage_union(tiles: DataFrame) -> DataFrame:
@@ -71,19 +72,13 @@ def content_dedup(payloads: DataFrame) -> DataFrame:
 
 def content_counts(payloads: DataFrame) -> DataFrame:
     """Tiles addressed, directory entries after run-length encoding, and distinct contents."""
-    runs = tile_runs(payloads)
-    return runs.agg(F.sum("run_length").alias("addressed"), F.count(F.lit(1)).alias("entries"), F.countDistinct("digest").alias("contents"))
+    return tile_runs(payloads).agg(F.sum("run_length").alias("addressed"), F.count(F.lit(1)).alias("entries"), F.countDistinct("digest").alias("contents"))
 
 
 def tile_runs(payloads: DataFrame) -> DataFrame:
-    """Runs of consecutive tile ids with one content (gaps and islands). A content's tiles are dealt to ranges of ids, so a frequent one takes many tasks; runs that touch across ranges are joined after."""
-    rows = payloads.select("tile_id", F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
-    cell = F.shiftright("tile_id", 16)
-    w = Window.partitionBy("digest", "_cell").orderBy("tile_id")
-    local = rows.withColumn("_cell", cell).withColumn("_g", F.col("tile_id") - F.row_number().over(w)).groupBy("digest", "_cell", "_g").agg(F.min("tile_id").alias("tile_id"), F.count(F.lit(1)).alias("run_length"))
-    w = Window.partitionBy("digest").orderBy("tile_id")  # a row or so for each range of ids and gap
-    opens = (F.lag(F.col("tile_id") + F.col("run_length")).over(w) != F.col("tile_id")) | F.lag("tile_id").over(w).isNull()
-    return local.withColumn("_run", opens).withColumn("_run", F.sum(F.col("_run").cast("int")).over(w)).groupBy("digest", "_run").agg(F.min("tile_id").alias("tile_id"), F.sum("run_length").alias("run_length")).drop("_run")
+    """Runs of consecutive tile ids with one content (gaps and islands), found within cells of ids: a content of many tiles, even of every second one, takes many tasks."""
+    rows = payloads.select("tile_id", F.sha2(F.col("content").cast("binary"), 256).alias("digest"), F.lit(1).cast("long").alias("run_length"))
+    return runs.union_runs(rows, ["digest"], 16)
 
 
 def tile_offsets(contents: DataFrame, cell_bits: int = 12) -> DataFrame:
@@ -116,7 +111,7 @@ def shared_domain(sources: DataFrame) -> DataFrame:
 
 def sample_domain(domain: DataFrame, n: int, seed: int = 1) -> DataFrame:
     """Seeded tiles of a shared domain, deeper zooms likelier (zoom by the square root of an even number); sampling is the feature."""
-    u = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("i")), F.lit(1 << 30)) / float(1 << 30)
+    u = lambda k: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(k), "i")), 1, 7), 16, 10).cast("long") / float(1 << 28)
     rows = domain.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
     z = (F.col("min_zoom") + F.floor(F.sqrt(u(0)) * (F.col("max_zoom") - F.col("min_zoom") + 1))).cast("int")
     lon, lat = F.col("west") + u(1) * (F.col("east") - F.col("west")), F.col("south") + u(2) * (F.col("north") - F.col("south"))

@@ -66,8 +66,12 @@ def rgba_tiles(spark: SparkSession, d: str) -> DataFrame:
 def feed_items(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    docs = table(spark, d, "documents").select(F.col("source").alias("feed"), F.col("doc_id").alias("info_hash"))
-    return docs.withColumns({"pos": F.row_number().over(Window.partitionBy("feed").orderBy(F.desc("info_hash"))), "seen": F.col("info_hash") % 7 == 0})
+    # Positions run within cells of ids, then over a feed's cells: a feed may hold a third of all documents.
+    docs = table(spark, d, "documents").select(F.col("source").alias("feed"), F.col("doc_id").alias("info_hash"), F.shiftright("doc_id", 16).alias("cell"))
+    cells = docs.groupBy("feed", "cell").agg(F.count(F.lit(1)).alias("n"))
+    before = cells.select("feed", "cell", F.coalesce(F.sum("n").over(Window.partitionBy("feed").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("feed", "cell").orderBy(F.desc("info_hash")))
+    return docs.withColumn("own", own).join(before, ["feed", "cell"]).select("feed", "info_hash", (F.col("before") + F.col("own")).cast("int").alias("pos"), (F.col("info_hash") % 7 == 0).alias("seen"))
 
 
 def piece_availability(spark: SparkSession, d: str) -> DataFrame:

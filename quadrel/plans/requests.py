@@ -53,6 +53,12 @@ def latency_ab(s, d):
     return R.latency_summary(_sided(s, d), "side")
 
 
+def latency_full(s, d):
+    """Requests of even and odd clients as results, with a time to the first byte, an encoding and a backend of their own."""
+    r = _sided(s, d)
+    return R.latency_report(r.select("side", (F.col("status") < 400).alias("ok"), "status", F.col("ms").alias("total"), F.floor(F.col("ms") * 0.4).cast("double").alias("ttfb"), "bytes", F.when(F.col("z") % 3 == 0, "gzip").when(F.col("z") % 3 == 1, "br").alias("encoding"), F.when(F.col("ip") % 4 != 0, F.concat(F.lit("b"), (F.col("ip") % 4).cast("string"))).alias("backend")), "side")
+
+
 def latency_ratio(s, d):
     r = R.side_ratio(R.latency_summary(_sided(s, d), "side"), "side", "a", "b")
     return r.select(*(F.round(c, 6).alias(c) for c in r.columns))
@@ -107,7 +113,7 @@ def bucket_widths(s, d):
     return t.select("info_hash", T.bucket_seconds(F.col("since"), F.col("until"), F.lit(200)).alias("seconds"))
 
 
-QUERIES = (request_totals, requests_by_zoom, requests_by_status, top_clients, latency_recent512, node_snapshot, recent_requests, latency_ab, latency_ratio, latency_histogram, latency_modes, tumbling_requests, client_sessions, traffic_series_one, traffic_series_all, traffic_totals, traffic_retained, in_schedule_bytes, bucket_widths)
+QUERIES = (request_totals, requests_by_zoom, requests_by_status, top_clients, latency_recent512, node_snapshot, recent_requests, latency_ab, latency_full, latency_ratio, latency_histogram, latency_modes, tumbling_requests, client_sessions, traffic_series_one, traffic_series_all, traffic_totals, traffic_retained, in_schedule_bytes, bucket_widths)
 
 _RECENT = """recent AS (SELECT info_hash, ms, row_number() OVER (PARTITION BY info_hash ORDER BY ms) AS i, count(*) OVER (PARTITION BY info_hash) AS n
   FROM (SELECT *, row_number() OVER (PARTITION BY info_hash ORDER BY "at" DESC, seq DESC) AS k FROM tile_requests WHERE ms IS NOT NULL) WHERE k <= 512),
@@ -116,6 +122,7 @@ _AB = """sided AS (SELECT *, CASE WHEN ip % 2 = 0 THEN 'a' ELSE 'b' END AS side
 ranked AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY ms, seq) - 1 AS i, count(*) OVER (PARTITION BY side) AS n FROM sided),
 ab AS (SELECT side, count(*) AS requests, max(CASE WHEN i = least(n - 1, floor(n * 0.5)) THEN ms END) AS p50, max(CASE WHEN i = least(n - 1, floor(n * 0.9)) THEN ms END) AS p90,
   max(CASE WHEN i = least(n - 1, floor(n * 0.99)) THEN ms END) AS p99, max(ms) AS worst, count(*) FILTER (WHERE status >= 400) AS errors, CAST(sum(bytes) AS BIGINT) AS bytes FROM ranked GROUP BY side)"""
+_FULL = ", ".join(f"{c}[1 + CAST(least(n - 1, floor(n * {q})) AS BIGINT)] AS {name}_p{int(q * 100)}" for c, name in (("f", "ttfb"), ("t", "total")) for q in (0.5, 0.9, 0.99))
 _MODES = _AB.split("ranked AS")[0].replace("sided AS", "plain AS") + """sided AS (SELECT * FROM plain UNION ALL SELECT * REPLACE ('half-' || side AS side, CASE WHEN seq % 2 = 0 THEN ms / 50 + 900 ELSE ms / 50 END AS ms) FROM plain UNION ALL SELECT * REPLACE ('tail-' || side AS side, CASE WHEN seq % 10 = 0 THEN ms / 50 + 900 ELSE ms / 50 END AS ms) FROM plain),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY ms, seq) - 1 AS i, count(*) OVER (PARTITION BY side) AS n FROM sided)"""
 _NIGHT = "((dayofweek(\"at\") BETWEEN 1 AND 5 AND hour(\"at\") * 60 + minute(\"at\") >= 1320) OR (dayofweek(\"at\") BETWEEN 2 AND 6 AND hour(\"at\") * 60 + minute(\"at\") < 360))"
@@ -132,6 +139,13 @@ FROM tile_requests r LEFT JOIN pct USING (info_hash) GROUP BY r.info_hash""",
     "node_snapshot": f"{T_R} SELECT info_hash, count(*) AS requests, CAST(sum(bytes) AS BIGINT) AS bytes, grouping(info_hash) = 0 AS archive FROM tile_requests GROUP BY ROLLUP (info_hash)",
     "recent_requests": f"{T_R} SELECT seq, info_hash, z, status, bytes FROM tile_requests ORDER BY \"at\" DESC, seq DESC LIMIT 200",
     "latency_ab": f"{T_R}, {_AB} SELECT * FROM ab",
+    "latency_full": f"""{T_R}, sided AS (SELECT CASE WHEN ip % 2 = 0 THEN 'a' ELSE 'b' END AS side, status < 400 AS ok, status, ms AS total, floor(ms * 0.4) AS ttfb, bytes, CASE z % 3 WHEN 0 THEN 'gzip' WHEN 1 THEN 'br' END AS encoding, CASE WHEN ip % 4 <> 0 THEN 'b' || (ip % 4) END AS backend FROM tile_requests),
+pc AS (SELECT side, list_sort(list(total)) AS t, list_sort(list(ttfb)) AS f, count(*) AS n FROM sided WHERE ok AND total IS NOT NULL GROUP BY side),
+st AS (SELECT side, string_agg(x, ',' ORDER BY x) AS statuses FROM (SELECT side, status || '=' || count(*) AS x FROM sided GROUP BY side, status) GROUP BY side),
+en AS (SELECT side, string_agg(x, ',' ORDER BY x) AS encodings FROM (SELECT side, encoding || '=' || count(*) AS x FROM sided WHERE ok AND encoding IS NOT NULL GROUP BY side, encoding) GROUP BY side),
+ba AS (SELECT side, string_agg(x, ',' ORDER BY x) AS backends FROM (SELECT side, backend || '=' || count(*) AS x FROM sided WHERE ok AND backend IS NOT NULL GROUP BY side, backend) GROUP BY side)
+SELECT s.*, {_FULL}, statuses, encodings, backends
+FROM (SELECT side, count(*) AS "of", count(*) FILTER (WHERE ok) AS served, sum(bytes) FILTER (WHERE ok)::BIGINT AS bytes, max(total) FILTER (WHERE ok) AS total_max FROM sided GROUP BY side) s LEFT JOIN pc USING (side) LEFT JOIN st USING (side) LEFT JOIN en USING (side) LEFT JOIN ba USING (side)""",
     "latency_ratio": f"{T_R}, {_AB} SELECT round(b.p50 / a.p50, 6) AS p50_ratio, round(b.p90 / a.p90, 6) AS p90_ratio, round(b.p99 / a.p99, 6) AS p99_ratio FROM ab a, ab b WHERE a.side = 'a' AND b.side = 'b'",
     "latency_histogram": f"{T_R}, {_AB} SELECT side, CAST(CASE WHEN worst <= 0 THEN 0 ELSE least(7, floor(ms / (worst / 8))) END AS BIGINT) AS bin, count(*) AS requests FROM sided JOIN ab USING (side) GROUP BY ALL",
     "latency_modes": f"""{T_R}, {_MODES}, gaps AS (SELECT side, i, n, ms, lead(ms) OVER (PARTITION BY side ORDER BY ms, seq) AS nxt FROM ranked),

@@ -208,6 +208,27 @@ def piece_verify(s, d):
     return K.verified(b, a).withColumn("share", F.round("share", 6))
 
 
+def piece_sample_verify(s, d):
+    """Texts as files of which a third have another beginning; a fifth of the pieces are in dispute."""
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("key"), "text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("#"), F.expr("substring(text, 2)"))).otherwise(F.col("text")).cast("binary").alias("file"))
+    size = F.octet_length("text")
+    digests = K.piece_digests(docs.select("key", F.col("text").alias("content")), 1024)
+    expected = digests.join(docs.select("key", size.alias("size")), "key").select("key", "piece", "sha1", F.least(F.lit(1024), F.col("size") - F.col("piece") * 1024).alias("length"))
+    wanted = K.sampled_pieces(expected, digests.select("key", "piece", ((F.col("key") + F.col("piece")) % 5 != 0).alias("held")))
+    read = wanted.select("key", "piece", "length").join(docs.select("key", "file"), "key").select("key", "piece", F.substring(F.col("file"), F.col("piece") * 1024 + 1, F.col("length")).alias("data"))
+    return K.sample_verified(wanted, read)
+
+
+def shared_entries(s, d):
+    return A.sharing_entries(table(s, d, "documents").select(F.md5("text").alias("path"), F.col("doc_id").alias("info_hash")))
+
+
+def domain_sample(s, d):
+    """Seeded tiles of what all orders' archives share: as many as there are customers."""
+    n = table(s, d, "customer").count()
+    return O.sample_domain(shared_domain(s, d), n).select("i", "z", "x", "y")
+
+
 def piece_buckets(s, d):
     return K.piece_buckets(piece_availability(s, d), 5)
 
@@ -327,7 +348,7 @@ def counter_maps(s, d):
     return m.select("info_hash", F.to_json("by_status").alias("by_status"))
 
 
-QUERIES = (coverage_union, coverage_overlap, coverage_union_runs, coverage_overlap_runs, warm_report_runs, coverage_by_zoom, tile_places, priority_tiles, parent_fallback, child_assembly, tiles_in_bounds, tile_counts, warm_report, shared_domain, box_sides, tile_dedup, tile_runs, content_counts, tile_offsets, clustered_check, passthrough_split, bake_report, bake_archive, bake_resumed, archive_headers, bake_remaining, contributor_report, piece_digests, piece_ranges, piece_verify, piece_buckets, distributed_copies, lru_plan, shared_files, import_paths, log_rules, watched_rules, save_cycles, never_saved, save_cycles_all, never_saved_all, disk_use, orphan_files, listing_links, listing_newest, link_reachability, parsed_feed, counter_maps)
+QUERIES = (coverage_union, coverage_overlap, coverage_union_runs, coverage_overlap_runs, warm_report_runs, coverage_by_zoom, tile_places, priority_tiles, parent_fallback, child_assembly, tiles_in_bounds, tile_counts, warm_report, shared_domain, box_sides, tile_dedup, tile_runs, content_counts, tile_offsets, clustered_check, passthrough_split, bake_report, bake_archive, bake_resumed, archive_headers, bake_remaining, contributor_report, piece_digests, piece_ranges, piece_verify, piece_sample_verify, shared_entries, domain_sample, piece_buckets, distributed_copies, lru_plan, shared_files, import_paths, log_rules, watched_rules, save_cycles, never_saved, save_cycles_all, never_saved_all, disk_use, orphan_files, listing_links, listing_newest, link_reachability, parsed_feed, counter_maps)
 
 AT, ZOOMED = with_views("archive_tiles"), with_views("archive_tiles", "zoomed")
 _BOX = "boxes AS (SELECT o_orderkey AS box, (o_orderkey % 1009) * 0.3::DOUBLE - 170 AS west, (o_orderkey % 1009) * 0.13::DOUBLE - 70 AS south, (o_orderkey % 1009) * 0.3::DOUBLE - 170 + 1 + o_orderkey % 1009 % 7 * 4 AS east, (o_orderkey % 1009) * 0.13::DOUBLE - 70 + 1 + o_orderkey % 1009 % 5 * 3 AS north FROM orders)"
@@ -341,6 +362,14 @@ _ZXY = """walk AS (SELECT tile_id, z, 0 AS k, CAST(0 AS BIGINT) AS x, CAST(0 AS
 places AS (SELECT tile_id, z, x, y FROM walk WHERE k = z)"""
 _ZR = ZOOMED.replace("WITH", "WITH RECURSIVE", 1)
 _CELLS = "p AS (SELECT l_suppkey AS archive, CAST(l_linenumber - 1 AS BIGINT) AS piece, count(*) AS copies FROM lineitem GROUP BY 1, 2)"
+def _sample_sql() -> str:
+    u = lambda k: f"('0x' || substr(md5('1:{k}:' || i), 1, 7))::BIGINT / pow(2, 28)"
+    at = lambda f: f"CAST(greatest(0, least(pow(2, z) - 1, floor({f} * pow(2, z)))) AS BIGINT)"
+    return f"""WITH {_BOX}, dom AS (SELECT max(box % 4) AS low, min(box % 3 + 5) AS high, round(max(west / 100 - 5), 6) AS w, round(max(south / 100 - 5), 6) AS s, round(min(east / 100 + 10), 6) AS e, round(min(north / 100 + 5), 6) AS n FROM boxes),
+p AS (SELECT CAST(i AS INT) AS i, CAST(low + floor(sqrt({u(0)}) * (high - low + 1)) AS INT) AS z, w + {u(1)} * (e - w) AS lon, s + {u(2)} * (n - s) AS lat FROM dom, (SELECT unnest(range((SELECT count(*) FROM customer))) AS i))
+SELECT i, z, {at(_WX("lon"))} AS x, {at(_WY("lat"))} AS y FROM p"""
+
+
 _PIECES = "pieces AS (SELECT doc_id AS key, unnest(range(greatest(1, CAST(ceil(octet_length(encode(text)) / 1024) AS BIGINT)))) AS piece, encode(text) AS b FROM documents)"
 _SNAP = "snap AS (SELECT user_id % 20 AS info_hash, hour(ts) AS cycle, CASE WHEN user_id % 20 = 5 THEN 0 ELSE max(event_id) END AS mtime FROM events GROUP BY 1, 2), marked AS (SELECT *, coalesce(mtime <> lag(mtime) OVER (PARTITION BY info_hash ORDER BY cycle), false) AS new FROM snap)"
 
@@ -383,6 +412,12 @@ SELECT min(tile_id) AS tile_id, count(*) AS run_length, content FROM g GROUP BY
     "contributor_report": f"{AT}, r AS (SELECT *, CASE WHEN (tile_id + source_idx) % 11 = 0 THEN 'error' ELSE 'ok' END AS o FROM archive_tiles) SELECT tile_id, bool_or(o = 'error' AND source_idx = 0) AS failed, count(*) FILTER (WHERE o = 'ok') AS sources, string_agg('s' || source_idx || '=' || o, ',' ORDER BY source_idx) AS contributors FROM r GROUP BY tile_id",
     "piece_digests": f"WITH {_PIECES} SELECT key, md5(b) AS file_md5, CAST(piece AS INT) AS piece, sha1(b[piece * 1024 + 1:piece * 1024 + 1024]) AS sha1 FROM pieces",
     "piece_ranges": "WITH r AS (SELECT l_partkey * 100 AS a, l_partkey * 100 + CAST(l_quantity AS BIGINT) * 50 AS b FROM lineitem), s AS (SELECT a // 1024 AS f, (b - 1) // 1024 AS l FROM r) SELECT unnest(range(f, l + 1)) AS piece, count(*) AS ranges, CAST(sum(l - f) AS BIGINT) AS spread FROM s GROUP BY 1",
+    "domain_sample": _sample_sql(),
+    "piece_sample_verify": f"""WITH {_PIECES}, e AS (SELECT p.key, p.piece, sha1(b[p.piece * 1024 + 1:p.piece * 1024 + 1024]) AS sha1, least(1024, octet_length(b) - p.piece * 1024) AS len, (p.key + p.piece) % 5 = 0 AS disputed, max(p.piece) OVER (PARTITION BY p.key) + 1 AS n, encode(CASE WHEN p.key % 3 = 0 THEN '#' || substr(text, 2) ELSE text END) AS f FROM pieces p JOIN documents ON doc_id = p.key),
+o AS (SELECT *, CASE WHEN disputed AND row_number() OVER (PARTITION BY key, disputed ORDER BY piece) <= 3 THEN piece WHEN piece = 0 THEN 1000001 WHEN piece = n // 2 THEN 1000002 WHEN piece = n - 1 THEN 1000003 END AS nth FROM e),
+t AS (SELECT *, f[piece * 1024 + 1:piece * 1024 + len] AS got FROM o WHERE nth IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY nth) <= 3)
+SELECT key, count(*) FILTER (WHERE octet_length(got) >= len) AS checked, count(*) FILTER (WHERE octet_length(got) >= len AND sha1(got) = sha1) AS passed FROM t GROUP BY key""",
+    "shared_entries": "SELECT md5(text) AS path, doc_id AS info_hash, count(*) OVER (PARTITION BY text) AS entries FROM documents WHERE text IS NOT NULL QUALIFY count(*) OVER (PARTITION BY text) > 1",
     "piece_verify": f"WITH {_PIECES}, n AS (SELECT key, piece, max(piece) OVER (PARTITION BY key) AS last FROM pieces) SELECT key, count(*) AS pieces, CASE WHEN key % 3 = 0 AND octet_length(encode(any_value(text))) % 1024 > 0 OR key % 3 = 0 AND octet_length(encode(any_value(text))) = 0 THEN round((count(*) - 1) / count(*), 6) ELSE 1.0 END AS share, CASE WHEN key % 3 = 0 AND (octet_length(encode(any_value(text))) % 1024 > 0 OR octet_length(encode(any_value(text))) = 0) THEN CAST(max(piece) AS INT) END AS first_bad FROM n JOIN documents ON doc_id = key GROUP BY key",
     "piece_buckets": f"""WITH {_CELLS}, n AS (SELECT archive, max(piece) + 1 AS n FROM p GROUP BY 1), s AS (SELECT archive, b AS bucket, b * n // 5 AS lo, greatest(b * n // 5 + 1, (b + 1) * n // 5) AS hi FROM n, range(5) r(b)),
 x AS (SELECT s.archive, bucket, coalesce(copies, 0) AS c FROM s JOIN range(100) q(i) ON i >= lo AND i < hi LEFT JOIN p ON p.archive = s.archive AND p.piece = i) SELECT archive, CAST(bucket AS INT) AS bucket, bool_and(c > 0) AS all_held, bool_or(c > 0) AS any_held, CAST(least(255, min(c)) AS BIGINT) AS least FROM x GROUP BY 1, 2""",
