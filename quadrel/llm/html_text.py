@@ -8,7 +8,8 @@ their host's winning path. A page without an element at that path uses its own b
 Furniture is what the elements and roles for it hold (menus, footers, asides, forms and their fields, dialogs, scripts, styles, the head; a
 header outside the article), what is hidden from all readers, and what class names or ids say is menu, advert, notice, reader comment and the
 like. Names are evidence by degree: a name made only of such words and of neutral parts ("comment-list", "ad_box2") decides for a block element; one
-that mixes them with other words ("related-work") counts only if most of the element's text is links. Names of inline elements, of
+that mixes them with other words ("related-work") counts only if most of the element's text is links. So does, within an article, one that is
+made of words that articles have as subjects too ("banner", "share"), if there is more than a label in it. Names of inline elements, of
 anything in preformatted text, and of the containers that hold the article say nothing. All else is kept: formulas,
 captions, fallbacks of objects, text of drawings.
 
@@ -54,6 +55,8 @@ HOLDERS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li ul ol dl dt dd tr td
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices outbrain pager pagination popup promo promoted recommended related replies respond share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe taboola toolbar".split()
 )
+#: Words of those that name subjects of articles as well, and how much text more than a label has.
+SUBJECTS, LABEL = frozenset("banner recommended related share sharing social".split()), 20
 NEUTRAL = frozenset("a all area bar block bottom box button buttons center column container content footer form global header inner item items left link links list main middle mini mobile outer panel primary right row secondary section side site slot space text the thread top unit widget wrap wrapper zone".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 
@@ -61,29 +64,30 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 class _Element:
     __slots__ = ("above", "tag", "name", "path", "out", "link", "block", "weak", "held", "score", "text", "linked")
 
-    def __init__(self, above: int, tag: str, name: str, path: int, out: bool, link: bool, block: int, weak: bool, held: bool):
+    def __init__(self, above: int, tag: str, name: str, path: int, out: bool, link: bool, block: int, weak: int, held: bool):
         self.above, self.tag, self.name, self.path, self.out, self.link, self.block, self.weak, self.held = above, tag, name, path, out, link, block, weak, held
         self.score = self.text = self.linked = 0
 
 
 @cache
 def _named(names: str) -> int:
-    """What class names or an id say: 2 furniture, 1 perhaps, 0 nothing."""
+    """What class names or an id say: 3 furniture, 2 furniture or a subject, 1 perhaps, 0 nothing."""
     degree = 0
     for name in names.split():
         parts = [x for x in re.split(r"[^a-z]+", re.sub(r"([a-z0-9])([A-Z])", r"\1-\2", name).lower()) if x]
-        if WORDS & set(parts):
-            degree = max(degree, 2 if all(p in WORDS or p in NEUTRAL for p in parts) else 1)
+        if found := WORDS & set(parts):
+            degree = max(degree, 1 if any(p not in WORDS and p not in NEUTRAL for p in parts) else 2 if found <= SUBJECTS else 3)
     return degree
 
 
 def _furniture(tag: str, attributes: dict[str, str], article: bool) -> int:
-    """2: yes, 1: only if it is mostly links, 0: no."""
+    """3: yes, 2: if it is mostly links or a mere label, 1: only if it is mostly links, 0: no."""
     if tag in FURNITURE or tag == "header" and not article or "hidden" in attributes or attributes.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", attributes.get("style", "")):
-        return 2
+        return 3
     if tag in INLINE or tag in ("html", "body", "main"):
         return 0
-    return _named(attributes.get("class", "")) if tag == "article" else max(_named(attributes.get("class", "")), _named(attributes.get("id", "")))
+    degree = _named(attributes.get("class", "")) if tag == "article" else max(_named(attributes.get("class", "")), _named(attributes.get("id", "")))
+    return degree + (degree == 2 and not article)
 
 
 def _step(path: int, name: str) -> int:
@@ -92,7 +96,7 @@ def _step(path: int, name: str) -> int:
 
 def read(html: str) -> tuple[list[tuple[int, str, int]], list[_Element]]:
     """Blocks of text outside sure furniture (the element around it, the text, how much of it is links), and all elements, each after its parent."""
-    elements, stack, blocks, held = [_Element(0, "", "", 0, False, False, 0, False, False)], [0], [], []
+    elements, stack, blocks, held = [_Element(0, "", "", 0, False, False, 0, 0, False)], [0], [], []
     open_: Counter = Counter()
     at, pattern, broken = 0, TOKEN, 0
 
@@ -155,12 +159,12 @@ def read(html: str) -> tuple[list[tuple[int, str, int]], list[_Element]]:
             at = end.end() if end else len(html)
             continue
         up = elements[stack[-1]]
-        out, weak, name, path = up.out, False, "", up.path
+        out, weak, name, path = up.out, 0, "", up.path
         if not out:
             attributes = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m["rest"] or "")}
             article = open_["article"] > 0 or open_["main"] > 0
             degree = 0 if open_["pre"] > 0 else _furniture(tag, attributes, article)
-            out, weak = degree == 2, degree == 1
+            out, weak = degree == 3, degree % 3
             if tag not in INLINE:
                 names = ".".join(sorted({x for c in attributes.get("class", "").lower().split() if (x := re.sub(r"[-_]?\d+", "", c))}))
                 name = f"{tag}{'.' + names if names else ''}"
@@ -187,7 +191,7 @@ def judged(html: str) -> tuple[list[tuple[int, str]], list[_Element]]:
             up.text += e.text
             up.linked += e.linked
         for e in elements[1:]:
-            e.out = elements[e.above].out or e.weak and 2 * e.linked > e.text
+            e.out = elements[e.above].out or e.out or e.weak > 0 and 2 * e.linked > e.text or e.weak == 2 and e.text < LABEL
     for k, text, link in blocks:
         n = 0 if elements[k].out else len(text) - link
         while n:

@@ -111,7 +111,23 @@ def tree_links(fps: np.ndarray, radius: int, tree_size: int = 4096, bits: tuple[
     return out
 
 
-def _stars(links: set[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+def tree_stars(fps: np.ndarray, radius: int, tree_size: int = 4096, bits: tuple[int, ...] = tuple(range(64))) -> Iterator[tuple[int, int]]:
+    """Links of each distinct fingerprint to the first of its component: as tree_links(), but links within a component that is known already are neither kept nor given."""
+    if len(fps) > tree_size and len(bits) > radius + 1:
+        for part in np.array_split(np.array(bits), radius + 1):
+            mask = np.uint64(sum(1 << int(b) for b in part))
+            order = np.argsort(fps & mask, kind="stable")
+            value = (fps & mask)[order]
+            rest = tuple(b for b in bits if b not in set(part.tolist()))
+            for group in np.split(fps[order], np.flatnonzero(value[1:] != value[:-1]) + 1):
+                if len(group) > 1:
+                    yield from tree_stars(group, radius, tree_size, rest)
+        return
+    for a, b in tree_components(fps[:, None], radius):
+        yield int(fps[a]), int(fps[b])
+
+
+def _stars(links: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -135,7 +151,7 @@ def _linker(radius: int):
 
         def out() -> Iterator[pa.RecordBatch]:
             fps = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-            if len(fps) > 1 and (pairs := list(_stars(tree_links(fps, radius)))):
+            if len(fps) > 1 and (pairs := list(_stars(tree_stars(fps, radius)))):
                 a, b = np.array(pairs, np.uint64).view(np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], names=["a", "b"])
 

@@ -1,7 +1,9 @@
 """Hard negatives, toxicity and token alignment against brute force, labels and the tokenizers' own libraries; edge cases of each."""
 
 import hashlib
+import html
 import itertools
+import re
 import time
 from collections import Counter
 
@@ -11,7 +13,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quadrel.llm import hard_negatives, pii, queries, simhash_dedup, token_alignment, toxicity
+from quadrel.llm import hard_negatives, html_text, pii, queries, simhash_dedup, token_alignment, toxicity
 
 A, B = f"{queries.TOKENIZERS}/byte_bpe_50k.json", f"{queries.TOKENIZERS}/piece_bpe_32k.model"
 VECTORS = "vec_id long, embedding array<float>, label int, extra string"
@@ -333,3 +335,44 @@ def test_near_copies_in_blocks_of_bytes(spark):
     for size in (128 << 20, 100_000):  # three texts a block
         got = {r.doc_id: r.component_id for r in simhash_dedup.similar_texts(docs, group_bytes=size).collect()}
         assert all(c == d - d % 100 for d, c in got.items())
+
+
+def test_stars_join_what_links_join():
+    rng = np.random.default_rng(21)
+    base = rng.integers(0, 2**64, 40, dtype=np.uint64)
+    near = [b ^ np.uint64(1 << int(i)) ^ np.uint64(1 << int(j)) for b in base for i, j in rng.integers(0, 64, (12, 2))]
+    fps = np.unique(np.concatenate([base, np.array(near, np.uint64), rng.integers(0, 2**64, 300, dtype=np.uint64)]))
+    for size in (4096, 8):
+        links, stars = simhash_dedup.tree_links(fps, 2), list(simhash_dedup.tree_stars(fps, 2, size))
+        assert dict(simhash_dedup._stars(links)) == dict(simhash_dedup._stars(stars)) and len(links) > 400
+    dense = np.array([base[0] ^ np.uint64(1 << i) ^ np.uint64(1 << j) for i in range(33) for j in range(i)], np.uint64)  # each two within four bits, many within two
+    assert len(list(simhash_dedup.tree_stars(dense, 2))) == len(dense) - 1 < len(simhash_dedup.tree_links(dense, 2)) / 10
+
+
+def test_extraction_gives_each_page_its_own_article(spark, sf_dir):
+    pages = {r.page_id: r.html for r in queries.table(spark, sf_dir, "pages").collect()}
+    for r in queries.op7_html_text(spark, sf_dir).collect():
+        own = re.search(r"<article[^>]*>(.*?)</article>", pages[r.page_id], re.S)[1]
+        own = re.sub(r"<!--.*?-->|<(script|style|aside|nav|form|footer)\b.*?</\1>", "", own, flags=re.S)
+        assert "".join(r.text.split()) == "".join(html.unescape(re.sub(r"<[^<>]*>", "", own)).split())
+
+
+def test_names_of_subjects_yield_to_evidence():
+    text = lambda x: html_text.main_text(x, None)
+    article = "<body><article><p>The long first paragraph of the article.</p>{}<p>And the second one.</p></article>{}</body>"
+    whole = "The long first paragraph of the article. {}And the second one."
+    for own, kept in (("<div class='banner'><p>The city's banner shows a bear on gold.</p></div>", "The city's banner shows a bear on gold. "), ("<section class='share'>Share of the vote by party</section>", "Share of the vote by party "), ("<div id=social-main><p>Social work began in the parishes.</p></div>", "Social work began in the parishes. ")):
+        assert text(article.format(own, "")) == whole.format(kept)
+    for no in ("<div class='banner'>Sale!</div>", "<div class='share'>Share: <a href=x>on one network</a> <a href=y>on another</a></div>", "<div class='social-links'><a href=x>follow us all over the place</a></div>", "<div class='sponsored banner'><p>Bears of gold, now cheaper than ever before.</p></div>"):
+        assert text(article.format(no, "")) == whole.format("")
+    assert text(article.format("", "<div class='banner'><p>A banner that is outside of the article.</p></div>")) == whole.format("")
+
+
+def test_quality_scores_are_calibrated(spark):
+    """Held-out rows: the Brier score, and in each bin of scores the share of good rows near the mean score."""
+    got = queries.op8_quality(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").filter("held_out").collect()
+    s, y = np.array([r.score for r in got]), np.array([r.quality for r in got], float)
+    assert len(got) > 600 and np.mean((s - y) ** 2) < 0.05 < np.mean((y.mean() - y) ** 2)
+    of = np.minimum((s * 5).astype(int), 4)
+    error = sum(abs(s[of == k].mean() - y[of == k].mean()) * (of == k).sum() for k in np.unique(of)) / len(s)
+    assert error < 0.08
