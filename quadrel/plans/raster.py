@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tiles as T
 from ..operators import clip as C
+from ..operators import cover as V
 from ..operators import raster as R
 from ..operators import stack as ST
 from ..operators import tiles as O
@@ -190,6 +191,12 @@ def clip_classify(s, d):
     return C.classify(_tiles(s, d), shape_segments(s)).select("tile_id", "place")
 
 
+def clip_classify_cover(s, d):
+    """The same by a cover of runs, shallow enough that many tiles lie deeper."""
+    ids = O.coverage_union(archive_tiles(s, d))
+    return V.classify(ids.select("tile_id", T.zoom_of(F.col("tile_id")).alias("z")), shape_segments(s), 1 << 10).select("tile_id", "place")
+
+
 def clip_mask(s, d):
     return clip_mask_all(s, d)
 
@@ -214,7 +221,7 @@ def tile_boxes(s, d):
     return b.select("tile_id", *(F.round(F.col(f"b.{c}"), 6).alias(c) for c in ("min_x", "min_y")), F.col("p.x").alias("px"), F.col("p.dy").alias("dy"))
 
 
-QUERIES = (elevation_encode, elevation_mask_paint, color_mask, elevation_resample, elevation_parent, elevation_blur, elevation_stitch, elevation_merge, stack_answer, elevation_full, stack_blurred, stack_answer_children, stack_contributors, stack_failures, stack_answer_rgba, rgba_composite, rgba_bytes, rgba_resample, clip_classify, clip_mask, clip_sources, clip_mask_all, clip_sources_all, elevation_resample_all, elevation_parent_all, elevation_blur_all, rgba_resample_all, tile_boxes)
+QUERIES = (elevation_encode, elevation_mask_paint, color_mask, elevation_resample, elevation_parent, elevation_blur, elevation_stitch, elevation_merge, stack_answer, elevation_full, stack_blurred, stack_answer_children, stack_contributors, stack_failures, stack_answer_rgba, rgba_composite, rgba_bytes, rgba_resample, clip_classify, clip_classify_cover, clip_mask, clip_sources, clip_mask_all, clip_sources_all, elevation_resample_all, elevation_parent_all, elevation_blur_all, rgba_resample_all, tile_boxes)
 
 H = with_views("heights")
 _M = "floor(h * 1000 + 0.5) BETWEEN -5000 AND -4851"
@@ -265,6 +272,7 @@ m AS (SELECT tile_id, copied, i, CASE WHEN copied THEN max(h) ELSE arg_max(h + s
 g AS (SELECT tile_id, i % 8 AS x, i // 8 AS y, r / 255.0::DOUBLE AS r, a / 255.0::DOUBLE AS a FROM px WHERE source_idx = 3)
 SELECT tile_id, CAST(y.o * 4 + x.o AS INT) AS i, CASE WHEN sum(y.w * x.w * a) > 1e-6 THEN round(sum(y.w * x.w * r * a) / sum(y.w * x.w * a), 6) ELSE 0.0 END AS r, round(sum(y.w * x.w * a) / sum(y.w * x.w), 6) AS a FROM g JOIN wx x ON x.s = g.x JOIN wx y ON y.s = g.y GROUP BY 1, 2""",
         "clip_classify": f"{_clip_sql()} SELECT tile_id, place FROM cls",
+        "clip_classify_cover": f"{_clip_sql()} SELECT tile_id, place FROM cls",
         "clip_mask": f"""{_TILES}, {_ZXY}, {_segments_sql()}, p AS (SELECT tile_id, CAST(i AS INT) AS i, (x + (i % 8 + 0.5) / 8) / pow(2, z) AS cx, (y + (i // 8 + 0.5) / 8) / pow(2, z) AS cy FROM places, range(64) q(i) WHERE z BETWEEN 2 AND 4)
 SELECT tile_id, i, CAST(sum(CASE WHEN (ay > cy) <> (s."by" > cy) AND cx < (bx - ax) * (cy - ay) / CASE WHEN s."by" <> ay THEN s."by" - ay END + ax THEN 1 ELSE 0 END) % 2 AS INT) AS inside FROM p, segs s GROUP BY 1, 2""",
         "clip_sources": f"{_clip_sql()} SELECT tile_id, CAST(k AS INT) AS source_idx, CASE k WHEN 0 THEN 'inside' WHEN 1 THEN place ELSE 'outside' END AS place FROM cls, range(3) q(k) WHERE z <= 3",

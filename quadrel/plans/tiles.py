@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as P
 from ..functions import tiles as T
 from ..operators import audit as A
+from ..operators import cover as V
 from ..operators import pieces as K
 from ..operators import runs as U
 from ..operators import stack as ST
@@ -85,6 +86,11 @@ def tiles_in_bounds(s, d):
     return O.tiles_in_bounds(_boxes(s, d), 0, 4).select("box", "z", "x", "y")
 
 
+def tiles_in_bounds_runs(s, d):
+    """All boxes together, eight zooms, as runs of ids."""
+    return U.union_runs(V.box_runs(_boxes(s, d), 0, 7))
+
+
 def tile_counts(s, d):
     return O.tile_counts(_boxes(s, d), 0, 10, 500).select("box", "tiles")
 
@@ -348,7 +354,7 @@ def counter_maps(s, d):
     return m.select("info_hash", F.to_json("by_status").alias("by_status"))
 
 
-QUERIES = (coverage_union, coverage_overlap, coverage_union_runs, coverage_overlap_runs, warm_report_runs, coverage_by_zoom, tile_places, priority_tiles, parent_fallback, child_assembly, tiles_in_bounds, tile_counts, warm_report, shared_domain, box_sides, tile_dedup, tile_runs, content_counts, tile_offsets, clustered_check, passthrough_split, bake_report, bake_archive, bake_resumed, archive_headers, bake_remaining, contributor_report, piece_digests, piece_ranges, piece_verify, piece_sample_verify, shared_entries, domain_sample, piece_buckets, distributed_copies, lru_plan, shared_files, import_paths, log_rules, watched_rules, save_cycles, never_saved, save_cycles_all, never_saved_all, disk_use, orphan_files, listing_links, listing_newest, link_reachability, parsed_feed, counter_maps)
+QUERIES = (coverage_union, coverage_overlap, coverage_union_runs, coverage_overlap_runs, warm_report_runs, coverage_by_zoom, tile_places, priority_tiles, parent_fallback, child_assembly, tiles_in_bounds, tiles_in_bounds_runs, tile_counts, warm_report, shared_domain, box_sides, tile_dedup, tile_runs, content_counts, tile_offsets, clustered_check, passthrough_split, bake_report, bake_archive, bake_resumed, archive_headers, bake_remaining, contributor_report, piece_digests, piece_ranges, piece_verify, piece_sample_verify, shared_entries, domain_sample, piece_buckets, distributed_copies, lru_plan, shared_files, import_paths, log_rules, watched_rules, save_cycles, never_saved, save_cycles_all, never_saved_all, disk_use, orphan_files, listing_links, listing_newest, link_reachability, parsed_feed, counter_maps)
 
 AT, ZOOMED = with_views("archive_tiles"), with_views("archive_tiles", "zoomed")
 _BOX = "boxes AS (SELECT o_orderkey AS box, (o_orderkey % 1009) * 0.3::DOUBLE - 170 AS west, (o_orderkey % 1009) * 0.13::DOUBLE - 70 AS south, (o_orderkey % 1009) * 0.3::DOUBLE - 170 + 1 + o_orderkey % 1009 % 7 * 4 AS east, (o_orderkey % 1009) * 0.13::DOUBLE - 70 + 1 + o_orderkey % 1009 % 5 * 3 AS north FROM orders)"
@@ -387,6 +393,10 @@ SELECT z, count(*) AS total, count(*) FILTER (WHERE tile_id IN (SELECT tile_id F
     "parent_fallback": f"""{_ZR}, {_ZXY}, up AS (SELECT w.z, w.x, w.y, d, z - d AS pz, x >> d AS px, y >> d AS py FROM places w, range(7) r(d) WHERE w.tile_id % 3 = 0 AND d <= z)
 SELECT u.z, u.x, u.y, arg_max(h.tile_id, pz) AS from_id, max(pz) AS from_z, arg_max(u.x % (1 << d), pz) AS sub_x, arg_max(u.y % (1 << d), pz) AS sub_y FROM up u JOIN places h ON h.z = pz AND h.x = px AND h.y = py AND h.tile_id % 3 <> 0 GROUP BY u.z, u.x, u.y""",
     "child_assembly": f"{_ZR}, {_ZXY} SELECT w.tile_id AS parent, count(*) AS children FROM places w JOIN places c ON c.z = w.z + 1 AND c.x >> 1 = w.x AND c.y >> 1 = w.y GROUP BY 1 HAVING count(*) = 4",
+    "tiles_in_bounds_runs": f"""WITH RECURSIVE {_RANGE(8)}, w AS (SELECT DISTINCT z, unnest(xs) AS x, y FROM (SELECT z, range(x0, x1 + 1) AS xs, unnest(range(y0, y1 + 1)) AS y FROM r)),
+c AS (SELECT CAST(z AS BIGINT) AS z, x, y, CAST(z AS BIGINT) - 1 AS k, CAST(0 AS BIGINT) AS d FROM w UNION ALL SELECT z, CASE WHEN ry = 1 THEN lx WHEN rx = 1 THEN s - 1 - ly ELSE ly END, CASE WHEN ry = 1 THEN ly WHEN rx = 1 THEN s - 1 - lx ELSE lx END, k - 1, d + s * s * xor(3 * rx, ry)
+  FROM (SELECT *, CAST(1 AS BIGINT) << k AS s, (x >> k) & 1 AS rx, (y >> k) & 1 AS ry, x & ((CAST(1 AS BIGINT) << k) - 1) AS lx, y & ((CAST(1 AS BIGINT) << k) - 1) AS ly FROM c WHERE k >= 0)),
+t AS (SELECT d + CAST((pow(4, z) - 1) / 3 AS BIGINT) AS tile_id FROM c WHERE k = -1), g AS (SELECT tile_id, tile_id - row_number() OVER (ORDER BY tile_id) AS g FROM t) SELECT min(tile_id) AS tile_id, count(*) AS run_length FROM g GROUP BY g""",
     "tiles_in_bounds": f"WITH {_RANGE(5)} SELECT box, CAST(z AS INT) AS z, unnest(xs) AS x, y FROM (SELECT box, z, range(x0, x1 + 1) AS xs, unnest(range(y0, y1 + 1)) AS y FROM r)",
     "tile_counts": f"WITH {_RANGE(11)} SELECT box, CAST(least(500, sum(greatest(0, x1 - x0 + 1) * greatest(0, y1 - y0 + 1))) AS BIGINT) AS tiles FROM r GROUP BY box",
     "warm_report": f"""{_ZR}, {_ZXY}, {_RANGE(7)}, w AS (SELECT DISTINCT z, unnest(xs) AS x, y FROM (SELECT z, range(x0, x1 + 1) AS xs, unnest(range(y0, y1 + 1)) AS y FROM r))
