@@ -23,7 +23,8 @@ _FIRST = f"CAST(array({', '.join(str((4**k - 1) // 3) + 'L' for k in range(MAX_Z
 #: One level of the curve: what the quadrant adds, and how it turns the rest.
 _DOWN = "named_struct('x', CASE WHEN a.y & s > 0 THEN a.x ELSE CASE WHEN a.x & s > 0 THEN s - 1 - a.y ELSE a.y END END, 'y', CASE WHEN a.y & s > 0 THEN a.y ELSE CASE WHEN a.x & s > 0 THEN s - 1 - a.x ELSE a.x END END, 'd', a.d + s * s * ((3 * CAST(a.x & s > 0 AS BIGINT)) ^ CAST(a.y & s > 0 AS BIGINT)))"
 #: One level back up: the lowest pair of bits says the quadrant, which turns what was found below it.
-_UP = "named_struct('x', CASE WHEN ((a.t ^ (a.t >> 1)) & 1) = 0 THEN CASE WHEN ((a.t >> 1) & 1) = 1 THEN s - 1 - a.y ELSE a.y END ELSE a.x END + s * ((a.t >> 1) & 1), 'y', CASE WHEN ((a.t ^ (a.t >> 1)) & 1) = 0 THEN CASE WHEN ((a.t >> 1) & 1) = 1 THEN s - 1 - a.x ELSE a.x END ELSE a.y END + s * ((a.t ^ (a.t >> 1)) & 1), 't', a.t >> 2)"
+_RX, _RY = "(shiftright(a.t, 1) & 1)", "((a.t ^ shiftright(a.t, 1)) & 1)"
+_UP = f"named_struct('x', CASE WHEN {_RY} = 1 THEN a.x WHEN {_RX} = 1 THEN s - 1 - a.y ELSE a.y END + s * {_RX}, 'y', CASE WHEN {_RY} = 1 THEN a.y WHEN {_RX} = 1 THEN s - 1 - a.x ELSE a.x END + s * {_RY}, 't', shiftright(a.t, 2))"
 _PLACE = f"aggregate(CASE WHEN z > 0 THEN transform(sequence(0, z - 1), k -> shiftleft(1L, k)) ELSE CAST(array() AS ARRAY<BIGINT>) END, named_struct('x', 0L, 'y', 0L, 't', id - {_FIRST}), (a, s) -> {_UP}, a -> named_struct('z', z, 'x', a.x, 'y', a.y))"
 SCALARS = (
     ("world_x", "lon DOUBLE", "DOUBLE", _x("lon")),

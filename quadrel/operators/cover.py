@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tiles as T
+from ..sources.tables import stored
 from . import clip, runs
 
 #: Boxes that a task descends at once.
@@ -130,11 +131,11 @@ def classify(tiles: DataFrame, segs: DataFrame, cells: int = 1 << 18) -> DataFra
     first = F.call_function("shiftright", down, 2 * F.greatest(F.lit(0), F.col("z") - F.lit(level)))
     wide = F.call_function("shiftleft", F.lit(1).cast("long"), 2 * F.greatest(F.lit(0), F.lit(level) - F.col("z")))
     t = t.select("tile_id", "z", first.alias("_at"), (first + wide).alias("_end")).withColumn("_cell", F.shiftright("_at", bits))
-    cover = shape_runs(segs, level).withColumn("_stop", F.col("tile_id") + F.col("run_length"))
+    cover = stored(shape_runs(segs, level), "cover").withColumn("_stop", F.col("tile_id") + F.col("run_length"))
     pieces = runs.cut(cover, bits).select("shape", "place", "_cell", "first", "stop", "_stop")
     met = t.join(pieces, "_cell").filter((F.col("_at") >= F.col("first")) & (F.col("_at") < F.col("stop")))
     place = F.when((F.col("place") == "partial") & (F.col("z") > level), "open").when((F.col("place") == "partial") | (F.col("_end") > F.col("_stop")), "partial").otherwise(F.col("place"))
-    placed = met.select("tile_id", "z", "shape", "_at", place.alias("place"))
+    placed = stored(met.select("tile_id", "z", "shape", "_at", place.alias("place")), "placed")
     open_ = T.with_places(placed.filter("place = 'open'").select("tile_id", "shape", F.col("_at").alias("_leaf"))).select("tile_id", "shape", "_leaf", "z", "x", "y")
     boxes = open_.withColumn("b", T.tile_box(F.col("z"), F.col("x"), F.col("y")))
     leaf_at = T.tile_id(F.lit(level), F.col("x"), F.col("y")) - T.first_id(F.lit(level))

@@ -322,7 +322,7 @@ def merge_elevation(layers: DataFrame, size: int, mask: list[float] = (), kernel
     without. Of the columns levels, sub_x, sub_y (squares of parents) and mask (coverage) those may be missing that nothing needs.
     """
     have = set(layers.columns)
-    rows = layers.withColumns({c: F.lit(0) for c in SQUARE if c not in have})
+    rows = layers.withColumns({c: F.lit(0) for c in SQUARE if c not in have} | ({} if "adjustment" in have else {"adjustment": F.lit(0.0)}))
     out = mask_heights(F.col("px"), F.coalesce("values", F.array(*map(F.lit, mask)).cast("array<double>")) if "values" in have else list(mask))
     if "colors" in have:
         out = mask_colors(out, F.col("r"), F.col("g"), F.col("b"), F.coalesce("colors", F.array().cast("array<long>")))
@@ -335,7 +335,8 @@ def merge_elevation(layers: DataFrame, size: int, mask: list[float] = (), kernel
 def merge_rgba(layers: DataFrame, size: int, colors: list[str] = (), kernel: str = "bilinear") -> DataFrame:
     """Colour layers (tile_id, source_idx, r, g, b, a of 0 to 1, opacity, blend) in the fixed order: mask colours, resample, clip, compose. A source's own `colors`, and columns that are missing, as in merge_elevation."""
     have = set(layers.columns)
-    rows = layers.withColumns({c: F.lit(0) for c in SQUARE if c not in have})
+    usual = {"opacity": F.lit(1.0), "blend": F.lit("normal")}
+    rows = layers.withColumns({c: F.lit(0) for c in SQUARE if c not in have} | {c: v for c, v in usual.items() if c not in have})
     own = F.coalesce("colors", colors_of(colors)) if "colors" in have else list(colors)
     masked = rows.withColumn("a", mask_layer(F.col("r"), F.col("g"), F.col("b"), F.col("a"), own)) if "colors" in have or colors else rows
     sized = sized_layers(masked, size, kernel)

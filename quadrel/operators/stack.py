@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tiles import parent, revision
-from ..sources.tables import Parts
+from ..sources.tables import Parts, stored
 from . import clip, raster
 from .clip import few
 from .tiles import passthrough
@@ -108,13 +108,13 @@ def answer(layers: DataFrame, needs_pixels: Column, size: int, mask: list[float]
 
 
 def _placed(reads: DataFrame, recipe: DataFrame, places: DataFrame | None) -> DataFrame:
-    """Reads with their source's settings and where their tile lies to its shape."""
+    """Reads with their source's settings and where their tile lies to its shape; outside of one that is missing."""
     rows = reads.join(few(recipe, "sources of a recipe"), "source_idx")
-    if places is None:
-        return rows.withColumn("place", F.when(F.col("cutline").isNull(), "inside").otherwise("outside"))
-    known = places.select("shape").distinct().withColumn("_known", F.lit(True))
-    rows = rows.join(places.withColumnRenamed("shape", "cutline"), ["tile_id", "cutline"], "left").join(few(known, "shapes of a recipe"), F.col("cutline") == F.col("shape"), "left").drop("shape")
-    return rows.withColumn("place", F.when(F.col("cutline").isNull(), "inside").otherwise(F.coalesce("place", F.lit("outside")))).drop("_known")
+    if places is not None:
+        rows = rows.join(places.withColumnRenamed("shape", "cutline"), ["tile_id", "cutline"], "left")
+    else:
+        rows = rows.withColumn("place", F.lit(None).cast("string"))
+    return rows.withColumn("place", F.when(F.col("cutline").isNull(), "inside").otherwise(F.coalesce("place", F.lit("outside"))))
 
 
 def stack_reads(wanted: DataFrame, held: DataFrame, recipe: DataFrame, shapes: DataFrame | None = None, output: dict | None = None, sigma: float = 0.0, most: int = 6, sized: bool = False) -> tuple[DataFrame, DataFrame | None]:
@@ -123,7 +123,8 @@ def stack_reads(wanted: DataFrame, held: DataFrame, recipe: DataFrame, shapes: D
     if "changes" not in recipe.columns:
         recipe = recipe.withColumn("changes", changes_of(recipe, output or {}, sigma))
     places = clip.classify(wanted, shapes) if shapes is not None else None
-    return routed(_placed(reads_of(wanted, held, most), recipe, places), F.col("changes") | F.lit(sized)), shapes
+    placed = stored(_placed(reads_of(wanted, held, most), recipe, places), "reads")  # ids only; each of the steps that follow uses them
+    return stored(routed(placed, F.col("changes") | F.lit(sized)), "routed"), shapes
 
 
 def failures(reads: DataFrame) -> DataFrame:

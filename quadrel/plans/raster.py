@@ -44,15 +44,24 @@ def color_mask(s, d):
 
 
 def elevation_resample(s, d):
-    return elevation_resample_all(s, d)
+    """All grids at twice their size by the cubic kernel."""
+    return _exploded(R.resample(height_tiles(s, d), 16, "cubic"), "h", "source_idx")
 
 
 def elevation_parent(s, d):
-    return elevation_parent_all(s, d)
+    """A square of each grid, one zoom down, by the Lanczos kernel; one in nine of the samples is missing."""
+    h = _holes(s, d).withColumns({"levels": F.lit(1), "sub_x": (F.col("tile_id") % 2).cast("int"), "sub_y": F.lit(1)})
+    return _exploded(R.resample_parent(h, "lanczos"), "h", "source_idx")
 
 
 def elevation_blur(s, d):
-    return elevation_blur_all(s, d)
+    """Blurred by a distance of none to two zooms; one in nine of the samples is missing."""
+    h = _holes(s, d).withColumn("levels", (F.col("tile_id") % 3).cast("int"))
+    return _exploded(R.blur(h, 0.8, distance="levels"), "h", "source_idx")
+
+
+def _holes(s, d):
+    return height_tiles(s, d).withColumn("px", F.transform("px", lambda h, i: F.when((i + F.col("tile_id")) % 9 != 0, h)))
 
 
 def elevation_resample_all(s, d):
@@ -101,7 +110,10 @@ def rgba_bytes(s, d):
 
 
 def rgba_resample(s, d):
-    return rgba_resample_all(s, d)
+    """A square of each layer, one zoom down."""
+    square = _layers(s, d).select("tile_id", "source_idx", "r", "g", "b", "a", F.lit(1).alias("levels"), (F.col("tile_id") % 2).cast("int").alias("sub_x"), F.lit(1).alias("sub_y"))
+    c = R.resample_layer(square, 8, square=True)
+    return c.select("tile_id", "source_idx", F.posexplode(F.arrays_zip("r", "a")).alias("i", "p")).select("tile_id", "source_idx", "i", F.round("p.r", 6).alias("r"), F.round("p.a", 6).alias("a"))
 
 
 def rgba_resample_all(s, d):
@@ -198,7 +210,8 @@ def clip_classify_cover(s, d):
 
 
 def clip_mask(s, d):
-    return clip_mask_all(s, d)
+    """Coarser masks than clip_mask_all's."""
+    return C.masks(_tiles(s, d), shape_segments(s), 4).select("tile_id", F.posexplode("mask").alias("i", "inside"))
 
 
 def clip_sources(s, d):
@@ -287,9 +300,30 @@ SELECT tile_id, i, CAST(sum(CASE WHEN (ay > cy) <> (s."by" > cy) AND cx < (bx -
         sql = re.sub(r" WHERE source_idx = \d", "", out[name])
         sql = sql.replace("g AS (SELECT tile_id,", "g AS (SELECT tile_id, source_idx,").replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3")
         out[name + "_all"] = re.sub(r"SELECT tile_id, CAST\(y\.o", "SELECT tile_id, source_idx, CAST(y.o", sql).replace("FROM ax GROUP BY 1, 2, 3", "FROM ax GROUP BY 1, 2").replace("r(k) GROUP BY 1, 2, 3)", "r(k) GROUP BY 1, 2)")
-    for name in ("elevation_resample", "elevation_parent", "elevation_blur", "rgba_resample", "clip_mask", "clip_sources"):
-        out[name] = out[name + "_all"]
-    return out
+    out["clip_sources"] = out["clip_sources_all"]
+    out["clip_mask"] = out["clip_mask_all"].replace("(i % 8 + 0.5) / 8", "(i % 4 + 0.5) / 4").replace("(i // 8 + 0.5) / 8", "(i // 4 + 0.5) / 4").replace("range(64)", "range(16)")
+    return out | _kernel_sql()
+
+
+def _kernel_sql() -> dict[str, str]:
+    """Resampling by kernels that reach several samples, blurring in two passes, and squares of layers."""
+    holes = f"{H}, g AS (SELECT tile_id, source_idx, i % 8 AS x, i // 8 AS y, h FROM heights WHERE (i + tile_id) % 9 <> 0)"
+    cubic = "CASE WHEN t <= 1 THEN 1.5 * t * t * t - 2.5 * t * t + 1 WHEN t < 2 THEN -0.5 * t * t * t + 2.5 * t * t - 4 * t + 2 ELSE 0 END"
+    lanczos = "CASE WHEN t < 1e-9 THEN 1 WHEN t < 3 THEN 3 * sin(pi() * t) * sin(pi() * t / 3) / (pi() * pi() * t * t) ELSE 0 END"
+    axis = lambda at, size, reach, kernel, subs=1: f"""w AS (SELECT sub, o, s, sum({kernel}) AS w FROM (SELECT sub, o, greatest(0, least(7, CAST(floor(p) AS INT) + k)) AS s, abs(p - floor(p) - k) AS t
+  FROM (SELECT sub, o, {at} AS p FROM range({subs}) b(sub), range({size}) q(o)), range({1 - reach}, {reach + 1}) r(k)) GROUP BY 1, 2, 3)"""
+    whole = "CASE WHEN abs(sum(y.w * x.w)) > 1e-9 THEN round(sum(y.w * x.w * h) / sum(y.w * x.w), 6) END"
+    every = lambda side: f"SELECT e.tile_id, e.source_idx, CAST(q.i AS INT) AS i, m.h FROM (SELECT DISTINCT tile_id, source_idx FROM heights) e CROSS JOIN range({side * side}) q(i) LEFT JOIN m ON m.tile_id = e.tile_id AND m.source_idx = e.source_idx AND m.i = q.i"
+    return {
+        "elevation_resample": f"{H}, g AS (SELECT tile_id, source_idx, i % 8 AS x, i // 8 AS y, h FROM heights), {axis('(o + 0.5) / 2 - 0.5', 16, 2, cubic)} SELECT tile_id, source_idx, CAST(y.o * 16 + x.o AS INT) AS i, {whole} AS h FROM g JOIN w x ON x.s = g.x JOIN w y ON y.s = g.y GROUP BY tile_id, source_idx, x.o, y.o",
+        "elevation_parent": f"{holes}, {axis('sub * 4 + (o + 0.5) / 2 - 0.5', 8, 3, lanczos, 2)}, m AS (SELECT tile_id, source_idx, y.o * 8 + x.o AS i, {whole} AS h FROM g JOIN w x ON x.s = g.x AND x.sub = tile_id % 2 JOIN w y ON y.s = g.y AND y.sub = 1 GROUP BY tile_id, source_idx, x.o, y.o) {every(8)}",
+        "elevation_blur": f"""{holes}, bw AS (SELECT l, o, s, sum(w) AS w FROM (SELECT l, o, greatest(0, least(7, o + k)) AS s, exp(-(k * k) / (2 * pow(0.8 * l, 2))) AS w FROM range(1, 3) a(l), range(8) c(o), range(-5, 6) r(k) WHERE abs(k) <= greatest(1, ceil(2.4 * l))) GROUP BY 1, 2, 3),
+a AS (SELECT tile_id, source_idx, b.o AS x, y, sum(b.w * h) / sum(b.w) AS h FROM g JOIN bw b ON b.l = tile_id % 3 AND b.s = g.x GROUP BY 1, 2, 3, 4),
+m AS (SELECT tile_id, source_idx, b.o * 8 + x AS i, round(sum(b.w * h) / sum(b.w), 6) AS h FROM a JOIN bw b ON b.l = tile_id % 3 AND b.s = a.y GROUP BY 1, 2, 3 UNION ALL SELECT tile_id, source_idx, y * 8 + x, round(h, 6) FROM g WHERE tile_id % 3 = 0) {every(8)}""",
+        "rgba_resample": f"""WITH {_RGBA}, {axis('sub * 4 + (o + 0.5) / 2 - 0.5', 8, 1, 'greatest(0, 1 - t)', 2)}, g AS (SELECT tile_id, source_idx, i % 8 AS x, i // 8 AS y, r / 255.0::DOUBLE AS r, a / 255.0::DOUBLE AS a FROM px)
+SELECT tile_id, source_idx, CAST(y.o * 8 + x.o AS INT) AS i, CASE WHEN sum(y.w * x.w * a) > 1e-6 THEN round(sum(y.w * x.w * r * a) / sum(y.w * x.w * a), 6) ELSE 0.0 END AS r, round(sum(y.w * x.w * a) / sum(y.w * x.w), 6) AS a
+FROM g JOIN w x ON x.s = g.x AND x.sub = tile_id % 2 JOIN w y ON y.s = g.y AND y.sub = 1 GROUP BY tile_id, source_idx, x.o, y.o""",
+    }
 
 
 def _picked_sql() -> str:

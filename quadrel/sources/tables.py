@@ -12,6 +12,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..streaming.streams import shared_dir
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df, written to the shared folder and read back: for what is used several times, and to cut a long plan."""
+    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 class Folder:
     """A folder in the store that Spark's paths name."""
