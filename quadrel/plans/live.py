@@ -63,7 +63,7 @@ KEEP_HOURS = 240
 
 def stream_traffic_history(s, d):
     """Samples appended to a stored history by a stream, a trigger that comes again, and the eviction of all that is older than ten days; what each archive has left."""
-    history = H.History(s, f"{S.shared_dir(s)}/history-{uuid.uuid4().hex}", "info_hash long, at long, down long, up long")
+    history = H.History(s, f"{S.shared_dir(s)}/history-{uuid.uuid4().hex}", "info_hash long, at long, down long, up long", 86400)
     samples = as_samples(S.read_stream(s, d, "events"))
     history.sink(clean_samples(samples), f"{history.folder.path}/_stream").awaitTermination()
     rows = history.rows()

@@ -179,6 +179,15 @@ def bake_resumed(s, d):
     return Z.read_tiles(entries, folder).select("tile_id", F.col("run_length").cast("long").alias("run_length"), F.col("content").cast("string").alias("content"))
 
 
+def archive_entries(s, d):
+    """An archive for each source, of every line's order as a tile, scanned together in two stages."""
+    folder = _local_shared(s)
+    lines = table(s, d, "lineitem").select((F.col("l_suppkey") % 3).alias("source_idx"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("tile_id")).distinct()
+    for k in range(3):
+        Z.write_archive(lines.filter(F.col("source_idx") == k).select("tile_id", F.shiftright("tile_id", 2).cast("string").alias("content")), f"{folder}/s{k}.pmtiles")
+    return Z.scan_folder(s, folder).select("archive", "tile_id", F.col("run_length").cast("long").alias("run_length"))
+
+
 def archive_headers(s, d):
     """Header and metadata of an archive of all documents, as the sink writes and the source reads them."""
     folder = f"{shared_dir(s).removeprefix('file://').removeprefix('file:')}/headers-{uuid.uuid4().hex}"
@@ -354,7 +363,7 @@ def counter_maps(s, d):
     return m.select("info_hash", F.to_json("by_status").alias("by_status"))
 
 
-QUERIES = (coverage_union, coverage_overlap, coverage_union_runs, coverage_overlap_runs, warm_report_runs, coverage_by_zoom, tile_places, priority_tiles, parent_fallback, child_assembly, tiles_in_bounds, tiles_in_bounds_runs, tile_counts, warm_report, shared_domain, box_sides, tile_dedup, tile_runs, content_counts, tile_offsets, clustered_check, passthrough_split, bake_report, bake_archive, bake_resumed, archive_headers, bake_remaining, contributor_report, piece_digests, piece_ranges, piece_verify, piece_sample_verify, shared_entries, domain_sample, piece_buckets, distributed_copies, lru_plan, shared_files, import_paths, log_rules, watched_rules, save_cycles, never_saved, save_cycles_all, never_saved_all, disk_use, orphan_files, listing_links, listing_newest, link_reachability, parsed_feed, counter_maps)
+QUERIES = (coverage_union, coverage_overlap, coverage_union_runs, coverage_overlap_runs, warm_report_runs, coverage_by_zoom, tile_places, priority_tiles, parent_fallback, child_assembly, tiles_in_bounds, tiles_in_bounds_runs, tile_counts, warm_report, shared_domain, box_sides, tile_dedup, tile_runs, content_counts, tile_offsets, clustered_check, passthrough_split, bake_report, bake_archive, bake_resumed, archive_entries, archive_headers, bake_remaining, contributor_report, piece_digests, piece_ranges, piece_verify, piece_sample_verify, shared_entries, domain_sample, piece_buckets, distributed_copies, lru_plan, shared_files, import_paths, log_rules, watched_rules, save_cycles, never_saved, save_cycles_all, never_saved_all, disk_use, orphan_files, listing_links, listing_newest, link_reachability, parsed_feed, counter_maps)
 
 AT, ZOOMED = with_views("archive_tiles"), with_views("archive_tiles", "zoomed")
 _BOX = "boxes AS (SELECT o_orderkey AS box, (o_orderkey % 1009) * 0.3::DOUBLE - 170 AS west, (o_orderkey % 1009) * 0.13::DOUBLE - 70 AS south, (o_orderkey % 1009) * 0.3::DOUBLE - 170 + 1 + o_orderkey % 1009 % 7 * 4 AS east, (o_orderkey % 1009) * 0.13::DOUBLE - 70 + 1 + o_orderkey % 1009 % 5 * 3 AS north FROM orders)"
@@ -418,6 +427,8 @@ SELECT tile_id, sha256(content) AS digest, count(*) OVER (PARTITION BY content,
     "archive_headers": "SELECT 'docs.pmtiles' AS archive, 'mvt' AS format, 11 AS max_zoom, -123.4::DOUBLE AS west, count(*) AS addressed, count(DISTINCT text) AS contents, true AS clustered, 'docs' AS name FROM documents",
     "bake_resumed": """WITH t AS (SELECT DISTINCT l_orderkey * 8 + l_linenumber AS tile_id FROM lineitem), g AS (SELECT tile_id, (tile_id >> 1) || ':t' AS content, tile_id - row_number() OVER (PARTITION BY tile_id >> 1 ORDER BY tile_id) AS g FROM t)
 SELECT min(tile_id) AS tile_id, count(*) AS run_length, content FROM g GROUP BY content, g""",
+    "archive_entries": """WITH t AS (SELECT DISTINCT l_suppkey % 3 AS k, l_orderkey * 8 + l_linenumber AS tile_id FROM lineitem), g AS (SELECT k, tile_id, tile_id >> 2 AS c, tile_id - row_number() OVER (PARTITION BY k, tile_id >> 2 ORDER BY tile_id) AS g FROM t)
+SELECT 's' || k || '.pmtiles' AS archive, min(tile_id) AS tile_id, count(*) AS run_length FROM g GROUP BY k, c, g""",
     "bake_remaining": f"{AT} SELECT DISTINCT tile_id FROM archive_tiles WHERE NOT (tile_id // 1000 < 25 AND tile_id // 1000 % 2 = 0 AND tile_id % 1000 <= 700)",
     "contributor_report": f"{AT}, r AS (SELECT *, CASE WHEN (tile_id + source_idx) % 11 = 0 THEN 'error' ELSE 'ok' END AS o FROM archive_tiles) SELECT tile_id, bool_or(o = 'error' AND source_idx = 0) AS failed, count(*) FILTER (WHERE o = 'ok') AS sources, string_agg('s' || source_idx || '=' || o, ',' ORDER BY source_idx) AS contributors FROM r GROUP BY tile_id",
     "piece_digests": f"WITH {_PIECES} SELECT key, md5(b) AS file_md5, CAST(piece AS INT) AS piece, sha1(b[piece * 1024 + 1:piece * 1024 + 1024]) AS sha1 FROM pieces",

@@ -170,6 +170,41 @@ def scan(spark: SparkSession, path: str, view: str = "entries") -> DataFrame:
     return spark.read.format("pmtiles").option("view", view).load(path)
 
 
+def scan_folder(spark: SparkSession, folder: str, low: int = 0, high: int = 1 << 62, files: int = 64, tasks: int | None = None) -> DataFrame:
+    """Directory entries of all archives of a folder in two stages, for many archives: the driver only lists names; headers and root directories are read in tasks of about `files` archives, and the leaves that hold ids from low to high are rows, dealt evenly to the tasks that read them."""
+    names = sorted(x for x in os.listdir(folder) if x.endswith(".pmtiles"))
+    listed = spark.createDataFrame([(os.path.join(folder, x),) for x in names], "path string").repartition(max(1, -(-len(names) // files)))
+
+    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path in batch.column(0).to_pylist():
+                with open(path, "rb") as f:
+                    h = read_header(f)
+                    root = decode_directory(_range(f, h["root_offset"], h["root_length"]), h["internal_compression"])
+                leaves = [e for e in root if e[3] == 0]
+                if len(leaves) < len(root):
+                    out.append((path, h["root_offset"], h["root_length"], h["data_offset"], h["internal_compression"]))
+                for e, after in zip(leaves, [*(x[0] for x in leaves[1:]), 1 << 62], strict=False):
+                    if e[0] <= high and after > low:
+                        out.append((path, h["leaf_offset"] + e[1], e[2], h["data_offset"], h["internal_compression"]))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(columns)], names=["path", "at", "length", "data", "compression"])
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                with open(row["path"], "rb") as f:
+                    found = [e for e in decode_directory(_range(f, row["at"], row["length"]), row["compression"]) if e[3] and e[0] <= high and e[0] + e[3] > low]
+                ids, offsets, lengths, counts = zip(*found, strict=True) if found else ([],) * 4
+                kinds = pa.schema([("archive", pa.string()), ("tile_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int32()), ("run_length", pa.int32())])
+                yield pa.RecordBatch.from_pydict({"archive": [os.path.basename(row["path"])] * len(found), "tile_id": ids, "offset": [row["data"] + o for o in offsets], "length": lengths, "run_length": counts}, kinds)
+
+    n = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    leaves = listed.mapInArrow(roots, "path string, at long, length long, data long, compression long").repartition(n)
+    return leaves.mapInArrow(entries, ENTRIES)
+
+
 def tile_ids(entries: DataFrame) -> DataFrame:
     """One row for each tile: runs opened."""
     return entries.select("archive", F.explode(F.sequence("tile_id", F.col("tile_id") + F.col("run_length") - 1)).alias("tile_id"), "offset", "length")

@@ -158,7 +158,7 @@ def test_required_sources_fail_a_tile_and_others_are_left_out(spark):
 
 
 def test_what_keeps_a_tile_from_being_copied(spark):
-    held = places(spark, [(0, 1)])
+    held = places(spark, [(0, 1)]).withColumn("width", F.lit(2))
     grids = spark.createDataFrame([(0, 1, [1.0] * 4, *([[9] * 4] * 3))], f"{GRID}, r array<int>, g array<int>, b array<int>")
     wanted = T.with_places(spark.createDataFrame([(1,)], "tile_id long"))
 

@@ -76,6 +76,20 @@ def test_tasks_write_an_archive_with_leaves(spark, tmp_path):
         assert Z.read_header(f)["leaf_length"] > 0
 
 
+def test_scan_in_two_stages_equals_the_other(spark, tmp_path):
+    for k in range(3):
+        tiles = spark.range(0, 6000 if k == 1 else 300, k + 1).select(F.col("id").alias("tile_id"), F.sha2(F.col("id").cast("string"), 256).alias("content"))
+        Z.write_archive(tiles, str(tmp_path / f"{k}.pmtiles"))
+    whole = Z.scan(spark, str(tmp_path))
+    for bounds in ({}, {"low": 500, "high": 5000}, {"low": 10**9}):
+        low, high = bounds.get("low", 0), bounds.get("high", 1 << 62)
+        got, want = Z.scan_folder(spark, str(tmp_path), files=2, **bounds), whole.filter((F.col("tile_id") <= high) & (F.col("tile_id") + F.col("run_length") > low))
+        assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert Z.scan_folder(spark, str(empty)).count() == 0
+
+
 def test_history(spark, tmp_path):
     schema = "info_hash long, at long, down long, up long"
     history = H.History(spark, str(tmp_path / "h"), schema)
