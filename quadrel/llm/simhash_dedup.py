@@ -384,7 +384,7 @@ def _unpacked(packed: bytes | None, opener: zstandard.ZstdDecompressor) -> str |
 
 
 def _sketches(docs: DataFrame, width: int, keep: bool) -> DataFrame:
-    """Written rows with own (the columns of docs but text, if kept), row, key, node, fp, shards, the number of shingles and the text, compressed. Row numbers are given once, where the rows are written."""
+    """Written rows with own (the columns of docs but text, if kept), row, key, node, fp, shards, the bytes that its shingles and its text take, and the text, compressed. Row numbers are given once, where the rows are written."""
     rows = docs.select(F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if keep and c != "text"), F.col("doc_id").cast("long").alias("doc_id")).alias("own"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,12 +393,13 @@ def _sketches(docs: DataFrame, width: int, keep: bool) -> DataFrame:
             texts = [t.as_py() for t in table["text"]]
             fp, shards, node, size = zip(*((*wide_fingerprint(h), len(h)) for h in (shingle_set(t, hasher) for t in texts)), strict=True)
             packed = [None if t is None else packer.compress(t.encode("utf-8", "surrogatepass")) for t in texts]
+            held = [8 * n + len(p or b"") for n, p in zip(size, packed, strict=True)]
             table = table.drop_columns(["text"])
-            for name, column in (("fp", pa.array(fp, pa.binary())), ("shards", pa.array(shards, pa.list_(pa.int64()))), ("node", pa.array(node, pa.int64())), ("size", pa.array(size, pa.int64())), ("packed", pa.array(packed, pa.binary()))):
+            for name, column in (("fp", pa.array(fp, pa.binary())), ("shards", pa.array(shards, pa.list_(pa.int64()))), ("node", pa.array(node, pa.int64())), ("bytes", pa.array(held, pa.int64())), ("packed", pa.array(packed, pa.binary()))):
                 table = table.append_column(name, column)
             yield from table.combine_chunks().to_batches()
 
-    sketched = rows.mapInArrow(run, StructType([rows.schema["own"], StructField("fp", BinaryType()), StructField("shards", ArrayType(LongType())), StructField("node", LongType()), StructField("size", LongType()), StructField("packed", BinaryType())]))
+    sketched = rows.mapInArrow(run, StructType([rows.schema["own"], StructField("fp", BinaryType()), StructField("shards", ArrayType(LongType())), StructField("node", LongType()), StructField("bytes", LongType()), StructField("packed", BinaryType())]))
     return stored(sketched.withColumns({"row": F.monotonically_increasing_id(), "key": F.coalesce("own.doc_id", F.lit(NULL_KEY))}), "sketches")
 
 
@@ -409,7 +410,7 @@ def _similar(each: DataFrame, width: int, similarity: float, shard_rows: int, gr
     proposed = by_shard.repartition("shard").sortWithinPartitions("shard").mapInArrow(_proposer(radius), "group long, node long")
     found = stored(proposed.distinct(), "groups")
     wanted = each.join(found.select("node").distinct(), "node", "left_semi")
-    held = wanted.groupBy("node").agg(F.max(8 * F.col("size") + F.octet_length("packed")).alias("bytes"))
+    held = each.select("node", "bytes").join(found.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.max("bytes").alias("bytes"))
     groups = _dealt(stored(found.join(held, "node"), "sized-groups"), "group", group_rows, group_bytes)
     by_group = groups.select("group", "node").join(wanted.select("node", "fp", "packed").dropDuplicates(["node"]), "node").select("group", "node", "fp", "packed")
     return components(by_group.repartition("group").sortWithinPartitions("group").mapInArrow(_tester(radius, similarity, width), "a long, b long"))
