@@ -206,9 +206,11 @@ def bake_on(wanted: DataFrame, answers: Callable[[DataFrame], DataFrame], encode
     spark = wanted.sparkSession
     parts = Parts(spark, f"{work}/{rev}", BAKED)
     done = spark.createDataFrame([(rev, *map(int, n.split("-"))) for n in parts.names()], "revision string, first_id long, last_id long")
-    left = ranges_of(to_bake(wanted, done, rev), tiles)
+    # What is left is written once, by ranges of ids, so that a range reads its own rows and asks for nothing again.
+    todo = stored(to_bake(wanted, done, rev).repartitionByRange("tile_id").sortWithinPartitions("tile_id"), "to-bake")
+    left = ranges_of(todo, tiles)
     for first, last in left[:most]:
-        part = to_bake(wanted.filter(F.col("tile_id").between(first, last)), done, rev)
+        part = todo.filter(F.col("tile_id").between(first, last))
         parts.put(f"{first:020d}-{last:020d}", answers(part).select(F.col("tile_id").cast("long").alias("tile_id"), encoded.cast("binary").alias("content")))
     return parts, max(0, len(left) - (len(left) if most is None else most))
 
