@@ -72,7 +72,14 @@ def stream_traffic_history(s, d):
     return history.rows().groupBy("info_hash").agg(F.count(F.lit(1)).alias("samples"), F.min("at").alias("first"), F.sum("down").alias("down"), F.sum("up").alias("up"))
 
 
-QUERIES = (stream_traffic_history, stream_hourly_requests, stream_sessions, stream_items_once, stream_recent_percentiles, stream_traffic_archives, stream_traffic_node, stream_seeding_ends)
+def stream_settled_files(s, d):
+    """Requests stand for listings of a file for each client, whose length and time change now and then: files that stood still for a day."""
+    r = _requests(s, d)
+    listed = r.select(F.concat(F.lit("in/"), F.col("ip").cast("string"), F.lit(".pmtiles")).alias("path"), "at", F.floor(F.col("ms") / 100).cast("long").alias("length"), F.timestamp_seconds(F.floor(F.unix_timestamp("at") / 259200) * 259200).alias("modified"))
+    return S.drained(S.stood_still(listed, 86400, late="1 day")).select("path", "length")
+
+
+QUERIES = (stream_settled_files, stream_traffic_history, stream_hourly_requests, stream_sessions, stream_items_once, stream_recent_percentiles, stream_traffic_archives, stream_traffic_node, stream_seeding_ends)
 
 _T = with_views("traffic_samples")
 _R = with_views("tile_requests")
@@ -81,6 +88,11 @@ _R = with_views("tile_requests")
 def oracle(batch: dict[str, str]) -> dict[str, str]:
     """Streams give what the same work gives in batch, whose SQL is taken over."""
     return {
+        "stream_settled_files": f"""{_R}, l AS (SELECT ip, epoch_us("at") AS us, CAST(floor(ms / 100) AS BIGINT) AS length, epoch_us("at") // 259200000000 AS modified FROM tile_requests),
+n AS (SELECT *, coalesce(length <> lag(length) OVER w OR modified <> lag(modified) OVER w, true) AS new FROM l WINDOW w AS (PARTITION BY ip ORDER BY us, modified, length)),
+g AS (SELECT ip, us AS since, length, lead(us) OVER (PARTITION BY ip ORDER BY us) AS until, (SELECT max(us) FROM n m WHERE m.ip = n.ip) AS last FROM n WHERE new),
+ok AS (SELECT * FROM g WHERE coalesce(until, last) - since >= 86400000000 OR until IS NULL AND since + 86400000000 < (SELECT max(us) FROM n) - 86400000000)
+SELECT 'in/' || ip || '.pmtiles' AS path, arg_min(length, since) AS length FROM ok GROUP BY ip""",
         "stream_traffic_history": f"""{_T} SELECT info_hash, count(*) AS samples, min("at") AS first, CAST(sum(down) AS BIGINT) AS down, CAST(sum(up) AS BIGINT) AS up FROM traffic_samples
 WHERE "at" >= (SELECT max("at") FROM traffic_samples) - {KEEP_HOURS * 3600} GROUP BY info_hash""",
         "stream_hourly_requests": batch["tumbling_requests"],

@@ -32,6 +32,18 @@ def elevation_encode(s, d):
     return back.select("tile_id", "source_idx", F.posexplode(F.arrays_zip("r", "g", "b", "px")).alias("i", "p")).select("tile_id", "source_idx", "i", "p.r", "p.g", "p.b", F.round("p.px", 3).alias("height"))
 
 
+#: The encoding of each source of elevation_encodings.
+ENCODINGS = (R.factors("terrarium"), R.factors("mapbox", 0.25, -5000.0), R.factors("mapbox", 0.5), R.factors("custom", custom=(131072.0, 512.0, 2.0, 3000.0)))
+
+
+def elevation_encodings(s, d):
+    """A source in each encoding, encoded and decoded."""
+    pick = lambda of: F.element_at(F.array(*(of(f) for f in ENCODINGS)), F.col("source_idx") + 1)
+    e = height_tiles(s, d).select("tile_id", "source_idx", pick(lambda f: R.encode(F.col("px"), f)).alias("e")).select("tile_id", "source_idx", "e.*")
+    back = e.withColumn("px", pick(lambda f: R.decode(F.col("r"), F.col("g"), F.col("b"), f)))
+    return back.select("tile_id", "source_idx", F.posexplode(F.arrays_zip("r", "g", "b", "px")).alias("i", "p")).select("tile_id", "source_idx", "i", "p.r", "p.g", "p.b", F.round("p.px", 3).alias("height"))
+
+
 def elevation_mask_paint(s, d):
     layers = height_tiles(s, d).select("tile_id", "source_idx", R.adjust(R.mask_heights(F.col("px"), MASK), 2.5).alias("px"))
     some = layers.withColumn("px", F.transform("px", lambda h: F.when(h > F.col("source_idx") * 40 - 60, h)))
@@ -104,6 +116,16 @@ def rgba_composite(s, d):
     return c.select("tile_id", F.posexplode(F.arrays_zip("r", "g", "b", "a")).alias("i", "p")).select("tile_id", "i", *(F.round(f"p.{c}", 6).alias(c) for c in "rgba"))
 
 
+BLENDS = ("normal", "multiply", "screen", "darken", "lighten", "overlay")
+
+
+def rgba_blends(s, d):
+    """Each layer above the first by one of the six modes in turn, so that each mode meets each place in the order."""
+    k = F.when(F.col("source_idx") == 0, F.lit(0)).otherwise(F.pmod(F.col("tile_id") + F.col("source_idx"), F.lit(6)).cast("int"))
+    c = R.composite(_layers(s, d).withColumn("blend", F.element_at(F.array(*(F.lit(m) for m in BLENDS)), k + 1)))
+    return c.select("tile_id", F.posexplode(F.arrays_zip("r", "g", "b", "a")).alias("i", "p")).select("tile_id", "i", *(F.round(f"p.{c}", 6).alias(c) for c in "rgba"))
+
+
 def rgba_bytes(s, d):
     t = _layers(s, d).withColumn("a", R.mask_layer(F.col("r"), F.col("g"), F.col("b"), F.col("a"), ["#000000"]))
     return t.select("tile_id", "source_idx", F.posexplode(F.arrays_zip(R.to_bytes(F.col("r")).alias("r"), R.to_bytes(F.col("a")).alias("a"))).alias("i", "p")).select("tile_id", "source_idx", "i", "p.r", "p.a")
@@ -234,7 +256,7 @@ def tile_boxes(s, d):
     return b.select("tile_id", *(F.round(F.col(f"b.{c}"), 6).alias(c) for c in ("min_x", "min_y")), F.col("p.x").alias("px"), F.col("p.dy").alias("dy"))
 
 
-QUERIES = (elevation_encode, elevation_mask_paint, color_mask, elevation_resample, elevation_parent, elevation_blur, elevation_stitch, elevation_merge, stack_answer, elevation_full, stack_blurred, stack_answer_children, stack_contributors, stack_failures, stack_answer_rgba, rgba_composite, rgba_bytes, rgba_resample, clip_classify, clip_classify_cover, clip_mask, clip_sources, clip_mask_all, clip_sources_all, elevation_resample_all, elevation_parent_all, elevation_blur_all, rgba_resample_all, tile_boxes)
+QUERIES = (elevation_encode, elevation_encodings, rgba_blends, elevation_mask_paint, color_mask, elevation_resample, elevation_parent, elevation_blur, elevation_stitch, elevation_merge, stack_answer, elevation_full, stack_blurred, stack_answer_children, stack_contributors, stack_failures, stack_answer_rgba, rgba_composite, rgba_bytes, rgba_resample, clip_classify, clip_classify_cover, clip_mask, clip_sources, clip_mask_all, clip_sources_all, elevation_resample_all, elevation_parent_all, elevation_blur_all, rgba_resample_all, tile_boxes)
 
 H = with_views("heights")
 _M = "floor(h * 1000 + 0.5) BETWEEN -5000 AND -4851"
@@ -266,6 +288,8 @@ def oracle() -> dict[str, str]:
     from .tiles import _ZXY
 
     out = {
+        "elevation_encodings": _encodings_sql(),
+        "rgba_blends": _blends_sql(),
         "elevation_encode": f"{H}, u AS (SELECT *, CAST(greatest(0, least(16777215, floor((h + 10000.0) / 0.1 + 0.5))) AS BIGINT) AS u FROM heights) SELECT tile_id, source_idx, CAST(i AS INT) AS i, CAST(u >> 16 AS INT) AS r, CAST((u >> 8) & 255 AS INT) AS g, CAST(u & 255 AS INT) AS b, round((u >> 16) * 6553.6 + ((u >> 8) & 255) * 25.6 + (u & 255) * 0.1 - 10000.0, 3) AS height FROM u",
         "elevation_mask_paint": f"""{H}, m AS (SELECT tile_id, source_idx, i, CASE WHEN NOT ({_M}) AND h + 2.5 > source_idx * 40 - 60 THEN h + 2.5 END AS h FROM heights),
 p AS (SELECT tile_id, i, arg_max(h, source_idx) FILTER (WHERE h IS NOT NULL) AS h FROM m GROUP BY 1, 2) SELECT tile_id, CAST(i AS INT) AS i, round(coalesce(h, -10000.0), 6) AS h FROM p WHERE tile_id IN (SELECT tile_id FROM p WHERE h IS NOT NULL)""",
@@ -416,12 +440,26 @@ UNION ALL SELECT tile_id, false AS copied, i, round(r, 6){final}""",
     }
 
 
-def _composite_sql() -> str:
+def _encodings_sql() -> str:
+    f = lambda k: "CASE source_idx " + " ".join(f"WHEN {n} THEN {x[k]!r}" for n, x in enumerate(ENCODINGS)) + " END::DOUBLE"
+    step = "CASE source_idx " + " ".join(f"WHEN {n} THEN {min(x[:3])!r}" for n, x in enumerate(ENCODINGS)) + " END::DOUBLE"
+    return f"""{H}, u AS (SELECT *, CAST(greatest(0, least(16777215, floor((h + {f(3)}) / {step} + 0.5))) AS BIGINT) AS u FROM heights)
+SELECT tile_id, source_idx, CAST(i AS INT) AS i, CAST(u >> 16 AS INT) AS r, CAST((u >> 8) & 255 AS INT) AS g, CAST(u & 255 AS INT) AS b, round((u >> 16) * {f(0)} + ((u >> 8) & 255) * {f(1)} + (u & 255) * {f(2)} - {f(3)}, 3) AS height FROM u"""
+
+
+def _blends_sql() -> str:
+    """_composite_sql with the mode by tile: the standard's formulas of the six modes."""
+    lower, upper = "s.{c}", "l.{c}"
+    mode = f"CASE l.mode WHEN 1 THEN {lower} * {upper} WHEN 2 THEN {lower} + {upper} - {lower} * {upper} WHEN 3 THEN least({lower}, {upper}) WHEN 4 THEN greatest({lower}, {upper}) WHEN 5 THEN CASE WHEN {lower} <= 0.5 THEN 2 * {lower} * {upper} ELSE 1 - 2 * (1 - {lower}) * (1 - {upper}) END ELSE {upper} END"
+    return _composite_sql([mode] * 4, ", CASE WHEN source_idx = 0 THEN 0 ELSE (tile_id + source_idx) % 6 END AS mode")
+
+
+def _composite_sql(modes: list[str] | None = None, more: str = "") -> str:
     """Four layers, composed step by step from clear."""
-    out = f"WITH {_RGBA}, l AS (SELECT tile_id, source_idx, i, r / 255.0::DOUBLE AS r, g / 255.0::DOUBLE AS g, b / 255.0::DOUBLE AS b, a / 255.0::DOUBLE * CASE WHEN source_idx = 0 THEN 1.0 ELSE 0.75 END::DOUBLE AS sa FROM px),\n"
+    out = f"WITH {_RGBA}, l AS (SELECT tile_id, source_idx, i, r / 255.0::DOUBLE AS r, g / 255.0::DOUBLE AS g, b / 255.0::DOUBLE AS b, a / 255.0::DOUBLE * CASE WHEN source_idx = 0 THEN 1.0 ELSE 0.75 END::DOUBLE AS sa{more} FROM px),\n"
     out += "s0 AS (SELECT DISTINCT tile_id, i, 0.0::DOUBLE AS r, 0.0::DOUBLE AS g, 0.0::DOUBLE AS b, 0.0::DOUBLE AS a FROM l)"
-    modes = {0: "l.{c}", 1: "s.{c} * l.{c}", 2: "CASE WHEN s.{c} <= 0.5 THEN 2 * s.{c} * l.{c} ELSE 1 - 2 * (1 - s.{c}) * (1 - l.{c}) END", 3: "s.{c} + l.{c} - s.{c} * l.{c}"}
-    for k, mode in modes.items():
+    modes = modes or ["l.{c}", "s.{c} * l.{c}", "CASE WHEN s.{c} <= 0.5 THEN 2 * s.{c} * l.{c} ELSE 1 - 2 * (1 - s.{c}) * (1 - l.{c}) END", "s.{c} + l.{c} - s.{c} * l.{c}"]
+    for k, mode in enumerate(modes):
         oa = "(l.sa + s.a * (1 - l.sa))"
         mix = ", ".join(f"CASE WHEN l.sa IS NULL THEN s.{c} WHEN {oa} <= 0 THEN 0.0 ELSE (l.sa * ((1 - s.a) * l.{c} + s.a * ({mode.format(c=c)})) + (1 - l.sa) * s.a * s.{c}) / {oa} END AS {c}" for c in "rgb")
         out += f",\ns{k + 1} AS (SELECT s.tile_id, s.i, {mix}, CASE WHEN l.sa IS NULL THEN s.a ELSE {oa} END AS a FROM s{k} s LEFT JOIN l ON l.tile_id = s.tile_id AND l.i = s.i AND l.source_idx = {k})"

@@ -114,6 +114,57 @@ def settled_files(files: DataFrame, seconds: int = 5) -> DataFrame:
     return files.groupBy("path").transformWithStateInPandas(SettledFiles(seconds), "path string, length long", "append", "processingTime")
 
 
+class StoodStill(StatefulProcessor):
+    """A file is passed on, once, when a listing sees it unchanged for some seconds, or when the watermark has passed them without another listing of it."""
+
+    def __init__(self, seconds: float):
+        self.wait = int(seconds * 1_000_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.seen = handle, handle.getValueState("seen", "length long, modified long, since long, done boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state = self.seen.get() if self.seen.exists() else None
+        if state is not None and state[3]:
+            return
+        began = state and state[2]
+        for row in pd.concat(list(rows)).sort_values(["us", "modified", "length"]).itertuples():
+            if state is not None and int(row.us) - state[2] >= self.wait:
+                break
+            if state is None or state[:2] != (int(row.length), int(row.modified)):
+                state = (int(row.length), int(row.modified), int(row.us), False)
+        else:
+            if state[2] != began:
+                for t in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer((state[2] + self.wait) // 1000)
+            self.seen.update(state)
+            return
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.seen.update((*state[:3], True))
+        yield pd.DataFrame({"path": [key[0]], "length": [state[0]]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state = self.seen.get()
+        if not state[3]:
+            self.seen.update((*state[:3], True))
+            yield pd.DataFrame({"path": [key[0]], "length": [state[0]]})
+
+    def close(self) -> None:
+        pass
+
+
+def stood_still(listed: DataFrame, seconds: float = 5, late: str = "1 minute") -> DataFrame:
+    """listed: (path, length, modified, at) of listings that carry their time, as logged ones do. settled_files by the listings' clock in place of the machine's.
+
+    What stood still long enough before its next change counts as settled even if that change comes in the same trigger. Null paths, lengths or times take no part. Late listings are dropped by the watermark.
+    """
+    timed = listed.filter("path is not null and length is not null and modified is not null and at is not null").withWatermark("at", late)
+    rows = timed.select("path", "at", F.unix_micros("at").alias("us"), "length", F.unix_micros("modified").alias("modified"))
+    return rows.groupBy("path").transformWithStateInPandas(StoodStill(seconds), "path string, length long", "append", "eventTime")
+
+
 class SeedingClock(StatefulProcessor):
     """Starts when progress first reaches 1; fires once, at the first row that reaches the ratio or the minutes, or when the watermark has passed the minutes without one."""
 
