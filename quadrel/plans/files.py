@@ -37,7 +37,8 @@ def mbtiles_tiles(s, d):
 
 def mbtiles_zooms(s, d):
     folder = _databases(s, d)
-    return M.zoom_ranges(M.folder_metadata(s, folder), M.scan_folder(s, folder))
+    ranges = M.folder_ranges(s, folder).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("database"), F.col("z").cast("int").alias("z"))
+    return M.zoom_ranges(M.folder_metadata(s, folder), ranges)
 
 
 #: Orders' keys that share a file of recipes.

@@ -82,25 +82,36 @@ def _listed(spark: SparkSession, folder: str, files: int) -> DataFrame:
     return spark.createDataFrame([(os.path.join(folder, x),) for x in names], "path string").repartition(max(1, -(-len(names) // files)))
 
 
-def scan_folder(spark: SparkSession, folder: str, columns: int = 256, files: int = 64, tasks: int | None = None) -> DataFrame:
-    """(database, z, x, y, content) of all databases of a folder. The driver lists names only; a range of columns is what one read takes."""
+def folder_ranges(spark: SparkSession, folder: str, tiles: int = 50_000, files: int = 64) -> DataFrame:
+    """(path, z, low, high, tiles) of all databases of a folder: ranges of columns that hold some `tiles` tiles each, or one column. The driver lists names only; no content is read."""
 
-    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                parts = [(path, p.z, p.low, p.high) for p in _Reader(path, "tiles", columns).partitions()]
-                cells = list(zip(*parts, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(cells)], names=["path", "z", "low", "high"])
+                parts: list[list] = []
+                for z, x, n in _Reader(path, "tiles", 0)._rows("SELECT zoom_level, tile_column, count(*) FROM tiles GROUP BY zoom_level, tile_column ORDER BY zoom_level, tile_column"):
+                    if parts and parts[-1][1] == z and parts[-1][4] + n <= tiles:
+                        parts[-1][3:] = x, parts[-1][4] + n
+                    else:
+                        parts.append([path, z, x, x, n])
+                cells = list(zip(*parts, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(cells)], names=["path", "z", "low", "high", "tiles"])
+
+    return _listed(spark, folder, files).mapInArrow(run, "path string, z long, low long, high long, tiles long")
+
+
+def scan_folder(spark: SparkSession, folder: str, tiles: int = 50_000, files: int = 64, tasks: int | None = None) -> DataFrame:
+    """(database, z, x, y, content) of all databases of a folder, by ranges of columns that follow where the tiles are."""
 
     def pack(name: str, rows: list[tuple]) -> pa.RecordBatch:
         z, x, y, data = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(z, pa.int32()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(data, pa.binary())], names=["database", "z", "x", "y", "content"])
 
-    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in batch.to_pylist():
                 name, rows, size = os.path.basename(part["path"]), [], 0
-                for row in _Reader(part["path"], "tiles", columns).read(_Part(part["z"], part["low"], part["high"])):
+                for row in _Reader(part["path"], "tiles", 0).read(_Part(part["z"], part["low"], part["high"])):
                     rows.append(row)
                     size += len(row[3] or b"")
                     if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
@@ -110,7 +121,7 @@ def scan_folder(spark: SparkSession, folder: str, columns: int = 256, files: int
                     yield pack(name, rows)
 
     n = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return _listed(spark, folder, files).mapInArrow(ranges, "path string, z long, low long, high long").repartition(n).mapInArrow(tiles, TILES)
+    return folder_ranges(spark, folder, tiles, files).repartition(n).mapInArrow(read, TILES)
 
 
 def folder_metadata(spark: SparkSession, folder: str, files: int = 64) -> DataFrame:
@@ -126,7 +137,7 @@ def folder_metadata(spark: SparkSession, folder: str, files: int = 64) -> DataFr
 
 
 def zoom_ranges(metadata: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Of each database what zoom_range gives of one."""
+    """Of each database what zoom_range gives of one. tiles: (database, z) rows, of tiles or of ranges of them."""
     named = metadata.groupBy("database").agg(*(F.max(F.when(F.col("name") == n, F.col("value").try_cast("int"))).alias(n) for n in ("minzoom", "maxzoom")))
     held = tiles.groupBy("database").agg(F.min("z").alias("_a"), F.max("z").alias("_b"))
     return held.join(named, "database", "full").select("database", F.coalesce("minzoom", "_a").alias("min_zoom"), F.coalesce("maxzoom", "_b").alias("max_zoom"))

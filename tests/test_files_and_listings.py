@@ -34,9 +34,12 @@ def test_folder_of_databases(spark, tmp_path):
     meta = spark.createDataFrame([("d0.mbtiles", "minzoom", "2"), ("d0.mbtiles", "maxzoom", "many"), ("bare.mbtiles", "maxzoom", "4"), ("d2.mbtiles", "name", None)], "database string, name string, value string")
     for _ in range(2):  # what is written again replaces what was there
         assert mbtiles.write_databases(tiles, folder, meta) == 4
-    got = mbtiles.scan_folder(spark, folder, columns=100, files=1, tasks=5).withColumn("content", F.col("content").cast("string"))
+    got = mbtiles.scan_folder(spark, folder, tiles=100, files=1, tasks=5).withColumn("content", F.col("content").cast("string"))
     want = tiles.select("database", "z", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "content")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    parts = mbtiles.folder_ranges(spark, folder, tiles=100)
+    assert parts.agg(F.sum("tiles")).first()[0] == tiles.count() and parts.filter("tiles > 100").count() == 0
+    assert parts.filter("path like '%d0.mbtiles' and z = 9").count() <= 2 * (1000 // 100 + 1)
     one = mbtiles.scan(spark, f"{folder}/d1.mbtiles")
     assert one.count() == want.filter("database = 'd1.mbtiles'").count()
     with sqlite3.connect(f"{folder}/d0.mbtiles") as db:  # rows count from the south in the format
