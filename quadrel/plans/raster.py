@@ -232,8 +232,7 @@ def clip_classify_cover(s, d):
 
 
 def clip_mask(s, d):
-    """Coarser masks than clip_mask_all's."""
-    return C.masks(_tiles(s, d), shape_segments(s), 4).select("tile_id", F.posexplode("mask").alias("i", "inside"))
+    return clip_mask_all(s, d)
 
 
 def clip_sources(s, d):
@@ -310,14 +309,14 @@ g AS (SELECT tile_id, i % 8 AS x, i // 8 AS y, r / 255.0::DOUBLE AS r, a / 255.0
 SELECT tile_id, CAST(y.o * 4 + x.o AS INT) AS i, CASE WHEN sum(y.w * x.w * a) > 1e-6 THEN round(sum(y.w * x.w * r * a) / sum(y.w * x.w * a), 6) ELSE 0.0 END AS r, round(sum(y.w * x.w * a) / sum(y.w * x.w), 6) AS a FROM g JOIN wx x ON x.s = g.x JOIN wx y ON y.s = g.y GROUP BY 1, 2""",
         "clip_classify": f"{_clip_sql()} SELECT tile_id, place FROM cls",
         "clip_classify_cover": f"{_clip_sql()} SELECT tile_id, place FROM cls",
-        "clip_mask": f"""{_TILES}, {_ZXY}, {_segments_sql()}, p AS (SELECT tile_id, CAST(i AS INT) AS i, (x + (i % 8 + 0.5) / 8) / pow(2, z) AS cx, (y + (i // 8 + 0.5) / 8) / pow(2, z) AS cy FROM places, range(64) q(i) WHERE z BETWEEN 2 AND 4)
+        "clip_mask": f"""{_TILES}, {_ZXY}, {_segments_sql()}, p AS (SELECT tile_id, CAST(i AS INT) AS i, (x + (i % 8 + 0.5) / 8) / pow(2, z) AS cx, (y + (i // 8 + 0.5) / 8) / pow(2, z) AS cy FROM places, range(64) q(i))
 SELECT tile_id, i, CAST(sum(CASE WHEN (ay > cy) <> (s."by" > cy) AND cx < (bx - ax) * (cy - ay) / CASE WHEN s."by" <> ay THEN s."by" - ay END + ax THEN 1 ELSE 0 END) % 2 AS INT) AS inside FROM p, segs s GROUP BY 1, 2""",
         "clip_sources": f"{_clip_sql()} SELECT tile_id, CAST(k AS INT) AS source_idx, CASE k WHEN 0 THEN 'inside' WHEN 1 THEN place ELSE 'outside' END AS place FROM cls, range(3) q(k) WHERE z <= 3",
         "tile_boxes": f"{_TILES}, {_ZXY} SELECT tile_id, round(x / pow(2, z), 6) AS min_x, round(y / pow(2, z), 6) AS min_y, x >> least(2, z) AS px, y % (1 << least(2, z)) AS dy FROM places",
     }
     out |= _full_sql() | _read_sql()
     # The same over all tiles.
-    out["clip_mask_all"] = out["clip_mask"].replace(" WHERE z BETWEEN 2 AND 4", "")
+    out["clip_mask_all"] = out["clip_mask"]
     out["clip_sources_all"] = out["clip_sources"].replace(" WHERE z <= 3", "")
     # The same over all sources.
     for name in ("elevation_resample", "elevation_parent", "elevation_blur", "rgba_resample"):
@@ -325,7 +324,6 @@ SELECT tile_id, i, CAST(sum(CASE WHEN (ay > cy) <> (s."by" > cy) AND cx < (bx -
         sql = sql.replace("g AS (SELECT tile_id,", "g AS (SELECT tile_id, source_idx,").replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3")
         out[name + "_all"] = re.sub(r"SELECT tile_id, CAST\(y\.o", "SELECT tile_id, source_idx, CAST(y.o", sql).replace("FROM ax GROUP BY 1, 2, 3", "FROM ax GROUP BY 1, 2").replace("r(k) GROUP BY 1, 2, 3)", "r(k) GROUP BY 1, 2)")
     out["clip_sources"] = out["clip_sources_all"]
-    out["clip_mask"] = out["clip_mask_all"].replace("(i % 8 + 0.5) / 8", "(i % 4 + 0.5) / 4").replace("(i // 8 + 0.5) / 8", "(i // 4 + 0.5) / 4").replace("range(64)", "range(16)")
     return out | _kernel_sql()
 
 

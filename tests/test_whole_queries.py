@@ -11,6 +11,12 @@ def test_clips_of_all_tiles(spark, sf_dir):
     assert QUERIES["clip_sources_all"](spark, sf_dir).count() == 3 * tiles
 
 
+def test_masks_of_all_pixels(spark, sf_dir):
+    tiles = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey").distinct().count()
+    pixels = QUERIES["clip_mask"](spark, sf_dir).select("tile_id", "i").distinct()
+    assert pixels.count() == 64 * tiles
+
+
 def test_all_grids_and_rows(spark, sf_dir):
     grids = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
     for name in ("elevation_resample_all", "elevation_parent_all", "elevation_blur_all", "rgba_resample_all"):
