@@ -19,6 +19,8 @@ from . import clip, runs
 
 #: Boxes that a task descends at once.
 TOGETHER = 64
+#: Edges, in tiles, of rectangles that a task unites at once.
+EDGES = 1 << 18
 
 
 def _long(c: Column) -> Column:
@@ -84,6 +86,62 @@ def box_runs(boxes: DataFrame, low: int, high: int) -> DataFrame:
     return r.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "z int, tile_id long, run_length long"]))
 
 
+def united_rectangles(z: int, x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, number) of the runs of tiles that any of the rectangles at a zoom has, in order.
+
+    All descend at once: a cell that one of them fills is closed for the others, and rectangles that are alike within a cell go on as one.
+    """
+    x, y = np.zeros(len(x0), np.int64), np.zeros(len(x0), np.int64)
+    found = []
+    for level in range(z + 1):
+        k = z - level
+        x0, x1, y0, y1 = np.maximum(x0, x << k), np.minimum(x1, ((x + 1) << k) - 1), np.maximum(y0, y << k), np.minimum(y1, ((y + 1) << k) - 1)
+        meets = (x0 <= x1) & (y0 <= y1)
+        x, y, x0, x1, y0, y1 = (c[meets] for c in (x, y, x0, x1, y0, y1))
+        at = curve(level, x, y)
+        full = np.unique(at[(x1 - x0 + 1 == 1 << k) & (y1 - y0 + 1 == 1 << k)])
+        found.append((full << (2 * k), np.full(len(full), 1 << (2 * k), np.int64)))
+        part = np.flatnonzero(~np.isin(at, full))
+        if 4 * z - 2 * level < 63:  # a cell and four sides within it in one number
+            name = at[part]
+            for side, edge in ((x0, x), (x1, x), (y0, y), (y1, y)):
+                name = (name << k) | (side[part] - (edge[part] << k))
+            part = part[np.unique(name, return_index=True)[1]]
+        x, y = (2 * x[part][:, None] + [0, 1, 0, 1]).ravel(), (2 * y[part][:, None] + [0, 0, 1, 1]).ravel()
+        x0, x1, y0, y1 = (np.repeat(c[part], 4) for c in (x0, x1, y0, y1))
+    first, n = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(first)
+    first, n = first[order], n[order]
+    if not len(first):
+        return first, n
+    starts = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1] + n[:-1]]))
+    return first[starts], np.add.reduceat(n, starts)
+
+
+def boxes_union(boxes: DataFrame, low: int, high: int) -> DataFrame:
+    """(tile_id, run_length): the tiles that any box (west, south, east, north) has over a range of zooms, as runs of ids.
+
+    Columns and rows of a zoom are those of the deepest one, shifted; so boxes of the same tiles are taken once, and each task unites its rectangles before they meet those of others.
+    """
+    sides = ["x0", "x1", "y0", "y1"]
+    deepest = boxes.select(T.box_range(F.col("west"), F.col("south"), F.col("east"), F.col("north"), F.lit(high)).alias("r")).select("r.*").distinct()
+    z = deepest.select("*", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("z"))
+    r = z.select("z", *(F.call_function("shiftright", F.col(c), F.lit(high) - F.col("z")).alias(c) for c in sides)).filter("x0 <= x1 and y0 <= y1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            zooms, *cut = (c.to_numpy() for c in batch.columns)
+            for zoom in np.unique(zooms).tolist():
+                x0, x1, y0, y1 = (c[zooms == zoom] for c in cut)
+                group = np.cumsum(x1 - x0 + y1 - y0 + 2) // EDGES
+                for part in np.split(np.arange(len(x0)), np.flatnonzero(np.diff(group)) + 1):
+                    first, count = united_rectangles(zoom, x0[part], x1[part], y0[part], y1[part])
+                    yield pa.RecordBatch.from_arrays([pa.array(first + (4**zoom - 1) // 3), pa.array(count)], names=["tile_id", "run_length"])
+
+    longest = r.mapInArrow(run, "tile_id long, run_length long").groupBy("tile_id").agg(F.max("run_length").alias("run_length"))
+    return runs.union_runs(longest)
+
+
 def depth_for(segs: DataFrame, cells: int, deepest: int = 16) -> int:
     """The deepest level at which the boxes of all segments meet no more than about so many cells."""
     wide, tall = F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))

@@ -88,7 +88,7 @@ def tiles_in_bounds(s, d):
 
 def tiles_in_bounds_runs(s, d):
     """All boxes together, eight zooms, as runs of ids."""
-    return U.union_runs(V.box_runs(_boxes(s, d), 0, 7))
+    return V.boxes_union(_boxes(s, d), 0, 7)
 
 
 def tile_counts(s, d):

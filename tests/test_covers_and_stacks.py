@@ -86,6 +86,70 @@ def test_box_runs_against_tiles(spark):
     assert cover.box_runs(boxes, 0, 5).filter("box = 2").count() == 6
 
 
+def test_united_rectangles():
+    rng = np.random.default_rng(6)
+    for z, many in ((0, 3), (1, 4), (3, 10), (5, 1), (5, 60), (7, 400)):
+        n = 1 << z
+        for size in (1, 3, n):
+            a, b = rng.integers(0, n, many), rng.integers(0, n, many)
+            a1, b1 = np.minimum(a + rng.integers(0, size, many), n - 1), np.minimum(b + rng.integers(0, size, many), n - 1)
+            first, count = cover.united_rectangles(z, a, a1, b, b1)
+            x, y = (v.ravel() for v in np.meshgrid(np.arange(n), np.arange(n)))
+            held = np.zeros(n * n, bool)
+            for k in range(many):
+                held |= (x >= a[k]) & (x <= a1[k]) & (y >= b[k]) & (y <= b1[k])
+            assert list(zip(first.tolist(), count.tolist())) == merged(cover.curve(z, x[held], y[held]).tolist())
+    for z in (14, 16, 18):  # sides that fit in one number at all levels, at some, at few
+        sides = [np.array(v) << (z - 14) for v in ([1000, 1000, 30], [1900, 1100, 50], [2000, 2000, 40], [2500, 2900, 41])]
+        first, count = cover.united_rectangles(z, *sides)
+        of, at, n = cover.rectangle_runs(z, *sides)
+        spans = np.concatenate([np.stack([at, np.ones_like(at)]), np.stack([at + n, -np.ones_like(at)])], axis=1)
+        spans = spans[:, np.lexsort((-spans[1], spans[0]))]
+        depth = np.cumsum(spans[1])
+        stops = np.flatnonzero(depth == 0)
+        starts = np.concatenate([[0], stops[:-1] + 1])
+        assert first.tolist() == spans[0][starts].tolist() and (first + count).tolist() == spans[0][stops].tolist()
+
+
+BOXES = "box int, west double, south double, east double, north double"
+
+
+def test_boxes_united_against_tiles(spark):
+    rng = np.random.default_rng(7)
+    rows = [(-10.0, 40.0, 30.0, 60.0), (10.0, 10.0, 10.0, 10.0), (170.0, 0.0, -170.0, 5.0), (20.0, 5.0, 19.0, 6.0), (5.0, 50.0, 6.0, 49.0), (100.0, -89.0, 400.0, -80.0), (-500.0, 84.0, -179.0, 95.0), (179.9999, 1.0, 180.0, 1.5), (None, 3.0, 50.0, 4.0), (-60.0, None, -59.0, -30.0), (float("nan"), -20.0, -175.0, -19.0), (0.0, float("-inf"), 0.1, -84.9)]
+    rows += [(float(w), float(s), float(w + a), float(s + b)) for w, s, a, b in zip(rng.uniform(-180, 180, 300), rng.uniform(-85, 85, 300), rng.exponential(2, 300), rng.exponential(2, 300))]
+    boxes = spark.createDataFrame([(i, *r) for i, r in enumerate(rows * 3)], BOXES).repartition(3)
+    for low, high in ((0, 7), (3, 3), (2, 9)):
+        tiles = O.tiles_in_bounds(boxes, low, high).select(T.tile_id(F.col("z"), F.col("x"), F.col("y")).alias("t")).distinct()
+        want = merged([r.t for r in tiles.collect()])
+        assert sorted(tuple(r) for r in cover.boxes_union(boxes, low, high).select("tile_id", "run_length").collect()) == want
+    assert cover.boxes_union(boxes.filter("false"), 0, 3).count() == 0
+
+
+def test_copies_of_boxes_are_not_shuffled(spark, sf_dir, tmp_path):
+    """The query sends what its boxes cover, not each box's runs: orders of the same boxes add no rows to its shuffles."""
+    from quadrel.plans import queries
+
+    def shuffled(folder):
+        sc = spark.sparkContext._jsc.sc()
+        stages = lambda: sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        sc.listenerBus().waitUntilEmpty()
+        before = max((stages().apply(i).stageId() for i in range(stages().size())), default=-1)
+        rows = sorted(tuple(r) for r in queries()["tiles_in_bounds_runs"](spark, str(folder)).collect())
+        sc.listenerBus().waitUntilEmpty()
+        after = stages()
+        return rows, sum(s.shuffleWriteRecords() for s in map(after.apply, range(after.size())) if s.stageId() > before)
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").limit(50).coalesce(1)
+    orders.write.parquet(str(tmp_path / "once" / "orders.parquet"))
+    copies = orders.crossJoin(spark.range(40)).withColumn("o_orderkey", F.col("o_orderkey") + F.col("id") * 1009).drop("id")
+    copies.coalesce(1).write.parquet(str(tmp_path / "copies" / "orders.parquet"))
+    once, sent = shuffled(tmp_path / "once")
+    again, sent_again = shuffled(tmp_path / "copies")
+    assert once == again and once
+    assert sent_again <= 2 * sent
+
+
 SHAPES = {
     "star": [[(-60 + 40 * np.cos(a) * r, 20 + 25 * np.sin(a) * r) for a, r in zip(np.linspace(0, 2 * np.pi, 25)[:-1], [1, 0.4] * 12)]],
     "ring": [[(20.0, -40.0), (90.0, -40.0), (90.0, 10.0), (20.0, 10.0)], [(40.0, -30.0), (70.0, -30.0), (70.0, 0.0), (40.0, 0.0)]],
